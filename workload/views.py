@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.ordered import bucketed_offset, exclusive_prefix
 from fleetlens.session import ensure_checkpoint_dir
+from workload.oracle_views import ORACLE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents")
@@ -276,15 +277,18 @@ SQL["m12_facts"] = " union all ".join(
 _REF = re.compile(r"\{(\w+)\}")
 
 
+_ALL = {**SQL, **ORACLE}
+
+
 def with_views(sql: str) -> str:
     """DuckDB text: ``sql`` with every ``{view}`` it needs as a common table expression."""
     ctes: dict[str, str] = {}
 
     def need(text: str) -> None:
         for name in _REF.findall(text):
-            if name in SQL and name not in ctes:
-                need(SQL[name])
-                ctes[name] = _REF.sub(r"\1", SQL[name]).strip()
+            if name in _ALL and name not in ctes:
+                need(_ALL[name])
+                ctes[name] = _REF.sub(r"\1", _ALL[name]).strip()
     need(sql)
     body = _REF.sub(r"\1", sql).strip()
     if not ctes:
