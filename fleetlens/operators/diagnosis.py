@@ -193,19 +193,27 @@ def action_candidates(classified: DataFrame, long_trx: DataFrame, flags: DataFra
     """Threads an operator may end, once per moment, without any side effect.
 
     Transactions and changes only where the instance is known not to be a replica; a
-    statement whose thread is listed as a transaction is not listed again.
+    statement whose thread is listed as a transaction is not listed again. Statements and
+    transactions are stacked before they meet the flags, so the diagnosis behind the flags
+    runs once.
     """
-    gate = flags.join(facts.select("instance", "is_replica"), MOMENT[0], "left") \
-        .withColumn("primary", F.coalesce(~F.col("is_replica"), F.lit(False)))
-    trx_keys, query_keys = moment_keys(long_trx, gate), moment_keys(classified, gate)
-    trx = (long_trx.join(gate.filter("trx_problem and primary"), trx_keys)
-           .select(*moment_keys(classified), F.col("thread_id").alias("id"))
-           .distinct().withColumn("class", F.lit("transaction"))
-           .withColumn("reason", F.lit("long transaction")))
-    queries = (classified.filter(F.col("class").isin(*LONG_CLASSES))
-               .join(gate.filter("query_problem"), query_keys)
-               .filter("class = 'select' or primary")
-               .select(*moment_keys(classified), "id", "class")
-               .withColumn("reason", F.lit("long statement"))
-               .join(trx, [*moment_keys(classified), "id"], "left_anti"))
-    return trx.unionByName(queries)
+    keys = moment_keys(classified, long_trx)
+    gate = flags.join(facts.select("instance", "is_replica"), MOMENT[0], "left").withColumn(
+        "primary", F.coalesce(~F.col("is_replica"), F.lit(False))).drop("is_replica")
+    statements = classified.filter(F.col("class").isin(*LONG_CLASSES)).select(
+        *keys, "id", "class")
+    trx = long_trx.select(*keys, F.col("thread_id").alias("id"),
+                          F.lit("transaction").alias("class"))
+    is_trx = F.col("class") == "transaction"
+    allowed = F.when(is_trx, F.col("trx_problem") & F.col("primary")).otherwise(
+        F.col("query_problem") & ((F.col("class") == "select") | F.col("primary")))
+    chosen = statements.unionByName(trx).join(gate, moment_keys(classified, gate)).filter(
+        allowed)
+    return (chosen.groupBy(*keys, "id")
+            .agg(F.bool_or(is_trx).alias("_trx"),
+                 F.max(F.when(~is_trx, F.col("class"))).alias("_class"))
+            .select(*keys, "id",
+                    F.when(F.col("_trx"), "transaction").otherwise(F.col("_class"))
+                    .alias("class"),
+                    F.when(F.col("_trx"), "long transaction").otherwise("long statement")
+                    .alias("reason")))

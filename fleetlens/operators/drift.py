@@ -108,48 +108,64 @@ def table_option_drift(a: DataFrame, b: DataFrame, scope: Sequence[str] = ()) ->
             .select(*keys, F.inline(pairs)).filter("value_a <> value_b"))
 
 
+def _paired(a: DataFrame, b: DataFrame, keys: Sequence[str],
+            attributes: Sequence[str]) -> DataFrame:
+    """Full outer join on keys: each attribute of both sides, and which sides exist."""
+    sides = [d.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in attributes],
+                      F.lit(True).alias(f"in_{s}")) for d, s in ((a, "a"), (b, "b"))]
+    return sides[0].join(sides[1], list(keys), "full")
+
+
+def _findings(pairs: DataFrame, scope: Sequence[str], element: Column, kind: str,
+              attributes: dict[str, Column], shown: str | None) -> DataFrame:
+    """A missing element as one row, a differing one as a row per attribute."""
+    lone = F.col("in_a").isNull() | F.col("in_b").isNull()
+
+    def value(side: str) -> Column:
+        if shown is None:
+            return F.when(F.col(f"in_{side}"), "present")
+        return F.col(f"{shown}_{side}")
+    rows = [F.when(lone, F.struct(F.lit(f"missing_{kind[0]}").alias("kind"),
+                                  element.alias("name"), value("a").alias("side_a"),
+                                  value("b").alias("side_b")))]
+    for c, name in attributes.items():
+        left, right = F.col(f"{c}_a"), F.col(f"{c}_b")
+        rows.append(F.when(~lone & ~left.eqNullSafe(right), F.struct(
+            F.lit(kind[1]).alias("kind"), name.alias("name"), left.alias("side_a"),
+            right.alias("side_b"))))
+    return pairs.select(*scope, "table_name", F.inline(F.array_compact(F.array(*rows))))
+
+
 def schema_diff(tables_a: DataFrame, tables_b: DataFrame, columns_a: DataFrame,
                 columns_b: DataFrame, indexes_a: DataFrame, indexes_b: DataFrame,
                 scope: Sequence[str] = ()) -> DataFrame:
     """Every structural difference of two catalogs in one table of findings. ``tables_*``
-    decide which tables exist; ``indexes_*`` are index parts."""
-    ia, ib = collapse_indexes(indexes_a, scope), collapse_indexes(indexes_b, scope)
-    shared = common_tables(tables_a, tables_b, scope)
+    (one row per table) decide which tables exist; ``indexes_*`` are index parts.
+
+    One full outer join per level (tables, columns, indexes) gives the missing and the
+    differing elements together; elements count only in tables both sides have.
+    """
     keys = [*scope, "table_name"]
-    ca, cb, ia, ib = (d.join(shared, keys, "left_semi")
-                      for d in (columns_a, columns_b, ia, ib))
-    columns = [*scope, "kind", "table_name", "name", "side_a", "side_b"]
-    text = F.lit(None).cast("string")
-
-    def lacking(df: DataFrame, kind: str, name: Column, shown: Column) -> DataFrame:
-        return df.select(
-            *scope, F.lit(kind).alias("kind"), "table_name", name.alias("name"),
-            F.when(F.col("missing_on") == "B", shown).alias("side_a"),
-            F.when(F.col("missing_on") == "A", shown).alias("side_b"))
-
-    def drifted(df: DataFrame, kind: str, name: str, attributes: Sequence[str]) -> DataFrame:
-        pairs = F.array(*[F.struct(
-            F.concat(F.col(name), F.lit("."), F.lit(c)).alias("name"),
-            F.col(f"{c}_a").alias("side_a"), F.col(f"{c}_b").alias("side_b"))
-            for c in attributes])
-        return (df.select(*scope, F.lit(kind).alias("kind"), "table_name", F.inline(pairs))
-                .filter(~F.col("side_a").eqNullSafe(F.col("side_b"))).select(*columns))
-    keyed = [*scope, "table_name"]
-    return reduce(DataFrame.unionByName, (
-        lacking(missing_tables(tables_a, tables_b, scope), "missing_table", text,
-                F.lit("present")),
-        lacking(_missing(ca.select(*keyed, "column_name", "type"),
-                         cb.select(*keyed, "column_name", "type"),
-                         [*keyed, "column_name"]),
-                "missing_column", F.col("column_name"), F.col("type")),
-        lacking(_missing(ia, ib, [*keyed, "key_name"]), "missing_index", F.col("key_name"),
-                F.col("columns")),
-        drifted(column_drift(ca, cb, scope), "column", "column_name", COLUMN_ATTRIBUTES),
-        drifted(index_drift(ia, ib, scope), "index", "key_name", ["columns", "nulls"]),
-        table_option_drift(tables_a, tables_b, scope).select(
-            *scope, F.lit("option").alias("kind"), "table_name",
-            F.col("option").alias("name"), F.col("value_a").alias("side_a"),
-            F.col("value_b").alias("side_b"))))
+
+    def options(df: DataFrame) -> DataFrame:
+        return df.select(*keys, table_options(F.col("create_sql")).alias("o")).select(
+            *keys, *[F.col("o")[o].alias(o) for o in OPTIONS])
+    tables = _paired(options(tables_a), options(tables_b), keys, list(OPTIONS))
+    shared = tables.filter("in_a and in_b").select(*keys)
+
+    def inner(a: DataFrame, b: DataFrame, element: str, attributes: Sequence[str],
+              kind: tuple[str, str], shown: str) -> DataFrame:
+        pairs = _paired(a, b, [*keys, element], attributes).join(shared, keys, "left_semi")
+        names = {c: F.concat(F.col(element), F.lit(f".{c}")) for c in attributes}
+        return _findings(pairs, scope, F.col(element), kind, names, shown)
+    found = (
+        _findings(tables, scope, F.lit(None).cast("string"), ("table", "option"),
+                  {o: F.lit(o) for o in OPTIONS}, None),
+        inner(columns_a, columns_b, "column_name", COLUMN_ATTRIBUTES,
+              ("column", "column"), "type"),
+        inner(collapse_indexes(indexes_a, scope), collapse_indexes(indexes_b, scope),
+              "key_name", ("columns", "nulls"), ("index", "index"), "columns"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def with_definitions(diff: DataFrame, tables_a: DataFrame, tables_b: DataFrame,

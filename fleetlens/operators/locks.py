@@ -189,10 +189,9 @@ def waiter_blockers(waiters: DataFrame, statements: DataFrame,
                     mode: str = "exact") -> DataFrame:
     """Each waiter with the number of other threads' statements that touch its table."""
     keys = [*moment_keys(waiters, statements), "table_name"]
-    held = _held_tables(waiters, statements, mode)
-    everyone = held.groupBy(*keys).agg(F.count("*").alias("_all"))
-    own = held.groupBy(*keys, F.col("thread_id").alias("id")).agg(
-        F.count("*").alias("_own"))
+    own = _held_tables(waiters, statements, mode).groupBy(
+        *keys, F.col("thread_id").alias("id")).agg(F.count("*").alias("_own"))
+    everyone = own.groupBy(*keys).agg(F.sum("_own").alias("_all"))
     return (waiters.join(everyone, keys, "left").join(own, [*keys, "id"], "left")
             .withColumn("n_blockers", F.coalesce(F.col("_all"), F.lit(0))
                         - F.coalesce(F.col("_own"), F.lit(0)))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from fleetlens.functions import logtext as L
 from fleetlens.operators.ordered import bucketed_offset, exclusive_prefix
 
+# Lines per ordered chunk; per bucket in which lines meet short spans; and long spans.
 CHUNK_LINES = 500_000
+SPAN_LINES = 256
+RUN_LINES = 8_192
 
 
 def _chunk(line_no: Column, chunk_lines: int) -> Column:
@@ -141,27 +144,27 @@ def transaction_summaries(trx: DataFrame) -> DataFrame:
 
 
 def _lines_in(lines: DataFrame, spans: DataFrame, first: str, last: str,
-              chunk_lines: int) -> DataFrame:
-    """Lines inside line spans, with the span's columns.
+              width: int) -> DataFrame:
+    """Lines inside line spans that do not overlap, with the span's columns.
 
-    Both sides meet on (file, chunk): a span is listed under each chunk it touches and the
-    exact bounds are a residual. Few spans are broadcast by size and the text then never
-    shuffles; many spans shuffle on a key that no more than ``chunk_lines`` lines share.
+    Both sides meet on (file, bucket of ``width`` lines): a span is listed under each bucket
+    it touches and the exact bounds are a residual, so a line is compared with the few spans
+    of its own bucket. Few spans are broadcast by size and the text then never shuffles;
+    many spans shuffle on a key that no more than ``width`` lines share.
     """
-    listed = spans.withColumn("_chunk", F.explode(F.sequence(
-        _chunk(F.col(first), chunk_lines), _chunk(F.col(last), chunk_lines))))
-    keyed = lines.withColumn("_chunk", _chunk(F.col("line_no"), chunk_lines))
-    return (keyed.join(listed, ["file", "_chunk"])
+    listed = spans.withColumn("_bucket", F.explode(F.sequence(
+        _chunk(F.col(first), width), _chunk(F.col(last), width))))
+    keyed = lines.withColumn("_bucket", _chunk(F.col("line_no"), width))
+    return (keyed.join(listed, ["file", "_bucket"])
             .filter(F.col("line_no").between(F.col(first), F.col(last)))
-            .drop("_chunk"))
+            .drop("_bucket"))
 
 
-def transaction_lines(lines: DataFrame, trx: DataFrame,
-                      chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def transaction_lines(lines: DataFrame, trx: DataFrame) -> DataFrame:
     """All log lines of the given transactions, first to last."""
     spans = (trx.filter("start_line is not null")
              .select("file", "xid", "start_line", "end_line"))
-    return (_lines_in(lines, spans, "start_line", "end_line", chunk_lines)
+    return (_lines_in(lines, spans, "start_line", "end_line", SPAN_LINES)
             .select("file", "xid", "start_line", "line_no", "line"))
 
 
@@ -202,7 +205,7 @@ def log_window(lines: DataFrame, start_ts: str | None = None, stop_ts: str | Non
     spans = runs.join(ends, "file").select(
         "file", F.col("at_line").alias("_first"),
         F.coalesce(F.col("stop_line") - 1, F.col("final_line")).alias("_last"))
-    return (_lines_in(lines, spans, "_first", "_last", chunk_lines)
+    return (_lines_in(lines, spans, "_first", "_last", RUN_LINES)
             .select("file", "line_no", "line"))
 
 

@@ -9,9 +9,8 @@ inside (key, bucket); one summary row per bucket carries what crosses a border.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOMENT = ("instance", "snapshot_ts")
@@ -22,12 +21,6 @@ def moment_keys(*frames: DataFrame) -> list[str]:
     return [k for k in MOMENT if all(k in f.columns for f in frames)]
 
 
-def null_safe(left: str, right: str, keys: Sequence[str]) -> Column:
-    """Equi-join condition on ``keys`` in which NULL matches NULL."""
-    return reduce(lambda a, b: a & b,
-                  (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
-
-
 def exclusive_prefix(totals: DataFrame, keys: Sequence[str], bucket: str,
                      sums: Sequence[str]) -> DataFrame:
     """Per (keys, bucket): the sums of all earlier buckets of the key.
@@ -45,7 +38,8 @@ def bucketed_offset(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
     """``lag`` (or ``lead``) of ``cols`` (source -> new name) by ``order`` within ``keys``.
 
     Equal to a window over the whole key, but the largest sort is one (key, bucket). The
-    neighbour of a bucket's first row is the last row of the key's previous bucket.
+    neighbour of a bucket's first row is the last row of the key's previous bucket. The
+    edges join on the partitioning the window has already made. Keys are not NULL.
     """
     part = [*keys, bucket]
     by = [F.col(c).desc() for c in order] if lead else [F.col(c).asc() for c in order]
@@ -57,7 +51,6 @@ def bucketed_offset(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
         F.col(bucket).desc() if lead else F.col(bucket).asc())
     edges = edges.select(*part, F.lag("_edge").over(buckets).alias("_edge"))
     rows = df.withColumn("_near", F.lag(payload).over(inside))
-    joined = rows.alias("r").join(edges.alias("e"), null_safe("r", "e", part), "left")
-    near = F.coalesce(F.col("r._near"), F.col("e._edge"))
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns],
-                         *[near[c].alias(name) for c, name in cols.items()])
+    near = F.coalesce(F.col("_near"), F.col("_edge"))
+    return rows.join(edges, part, "left").select(
+        *df.columns, *[near[c].alias(name) for c, name in cols.items()])

@@ -454,17 +454,16 @@ def q_table_option_drift(spark, sf_dir):
 
 
 def _schema_diff(spark, sf_dir):
-    """The column catalog decides the tables; each has an empty create statement."""
+    """Create statements exist for some tables only; columns and indexes name the others."""
     i = Inputs(spark, sf_dir)
-    ca, cb = i.sides("m8_columns")
-    ta, tb = (c.select("table_name").distinct().withColumn("create_sql", F.lit(") ENGINE=x"))
-              for c in (ca, cb))
-    oa, ob = i.sides("m8_tables")
-    ia, ib = i.sides("m8_indexes")
-    ka, kb = (k.select("table_name").distinct().withColumn("create_sql", F.lit(") ENGINE=x"))
-              for k in (ia, ib))
-    return drift.schema_diff(ta.unionByName(oa).unionByName(ka),
-                             tb.unionByName(ob).unionByName(kb), ca, cb, ia, ib)
+    sides = []
+    for options, columns, indexes in zip(i.sides("m8_tables"), i.sides("m8_columns"),
+                                         i.sides("m8_indexes")):
+        named = columns.select("table_name").unionByName(indexes.select("table_name"))
+        bare = named.distinct().withColumn("create_sql", F.lit(") ENGINE=x"))
+        sides.append((options.unionByName(bare), columns, indexes))
+    (ta, ca, ia), (tb, cb, ib) = sides
+    return drift.schema_diff(ta, tb, ca, cb, ia, ib)
 
 
 _COLUMN_FINDINGS = " union all ".join(
