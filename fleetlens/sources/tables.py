@@ -53,7 +53,7 @@ def scan_instances(df: DataFrame) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """The backup ledger; ``since`` prunes day partitions."""
-    ledger = spark.read.schema(S.LEDGER).parquet(path)
+    ledger = spark.read.schema(S.LEDGER).parquet(path).select(*S.LEDGER.fieldNames())
     return ledger if since is None else ledger.filter(
         F.col("backup_day") >= F.lit(since).cast("timestamp_ntz"))
 
@@ -67,10 +67,23 @@ def append_ledger(df: DataFrame, path: str) -> None:
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Size and MD5 of each file. The source reads a file as one value, at most 2 GiB;
-    larger backups are listed in chunks by whoever wrote them."""
+    larger backups are listed in chunks by whoever wrote them.
+
+    Spark's scans pass over empty files, and an empty backup is what one looks for, so the
+    listed paths (which the driver holds anyway) that were not read are added.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("size_bytes"),
-                        F.md5("content").alias("checksum"))
+
+    def one_form(path_col: str) -> Column:       # file:/x and file:///x are the same
+        return F.regexp_replace(path_col, "^file:/+", "file:/").alias("file")
+    name = one_form("_metadata.file_path")
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(
+        one_form("path"))
+    empty = listed.join(files.select(name), "file", "left_anti")
+    return files.select(name, F.col("length").alias("size_bytes"),
+                        F.md5("content").alias("checksum")).unionByName(empty.select(
+        "file", F.lit(0).cast("bigint").alias("size_bytes"),
+        F.md5(F.lit("").cast("binary")).alias("checksum")))
 
 
 def content_manifest(df: DataFrame, id_col: str, content: str, *keep: str) -> DataFrame:
