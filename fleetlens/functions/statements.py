@@ -9,6 +9,8 @@ seen: names that follow a sub-select in a comma list.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,10 @@ _WORD = r"(?:`[^`]+`|(?!(?:" + "|".join(RESERVED) + r")\b)[\p{L}_$][\p{L}\p{N}_$
 _NAME = _WORD + r"(?:\s*\.\s*(?:`[^`]+`|[\p{L}_$][\p{L}\p{N}_$]*))?"
 _REF = _NAME + r"(?:\s+(?:as\s+)?" + _WORD + r")?"
 _MODIFIERS = r"(?:(?:low_priority|high_priority|delayed|quick|ignore|only|if\s+not\s+exists|if\s+exists)\s+)*"
-_LISTED = (r"(?i)\b(?:(?:from|join|update|table|copy)\s+" + _MODIFIERS
-           + "(" + _REF + r"(?:\s*,\s*" + _REF + r")*)"
-           + r"|into\s+" + _MODIFIERS + "(?:table\\s+)?(" + _REF + "))")
+_LEAD = r"(?:(?:from|join|update|table|copy)|into(?:\s+table)?)\s+" + _MODIFIERS
+_LISTED = (r"(?i)\b(?:into\s+(?:table\s+)?" + _MODIFIERS + _REF
+           + r"|(?:from|join|update|table|copy)\s+" + _MODIFIERS
+           + _REF + r"(?:\s*,\s*" + _REF + r")*)")
 _PARTS = (r"(?i)^(?:(`[^`]+`|[\p{L}\p{N}_$]+)\s*\.\s*)?(`[^`]+`|[\p{L}\p{N}_$]+)"
           r"(?:\s+(?:as\s+)?(`[^`]+`|[\p{L}\p{N}_$]+))?$")
 
@@ -41,26 +44,30 @@ _NO_TABLE = (r"(?i)\bon\s+duplicate\s+key\s+update\b|\bfor\s+update\b|"
 
 
 def clean_statement(sql: Column) -> Column:
-    """The statement without literals, comments and clauses that look like references."""
-    text = F.regexp_replace(sql, f"{_LITERALS}|{_COMMENTS}", " ? ")
-    return F.btrim(F.regexp_replace(text, _NO_TABLE, " ? "))
-
-
-def _present(text: Column) -> Column:
-    return F.when(text != "", F.replace(text, F.lit("`"), F.lit("")))
+    """The statement without literals, comments and clauses that look like references. Plain
+    searches decide first whether a pattern has anything to replace."""
+    marks = ("'", '"', "#", "--", "/*")
+    suspect = reduce(lambda a, b: a | b, (sql.contains(m) for m in marks))
+    text = F.when(suspect, F.regexp_replace(sql, f"{_LITERALS}|{_COMMENTS}", " ? ")
+                  ).otherwise(sql)
+    return F.when(F.lower(text).rlike(r"(?:for|key)\s+update|[gmrty]\s*\("),
+                  F.regexp_replace(text, _NO_TABLE, " ? ")).otherwise(text)
 
 
 def extract_tables(sql: Column) -> Column:
     """``ARRAY<STRUCT<schema, table, alias>>`` in order of appearance."""
-    clean = clean_statement(F.coalesce(sql, F.lit("")))
-    lists = F.zip_with(F.regexp_extract_all(clean, F.lit(_LISTED), 1),
-                       F.regexp_extract_all(clean, F.lit(_LISTED), 2),
-                       lambda a, b: F.when(a != "", a).otherwise(b))
-    refs = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))
-    return F.transform(refs, lambda r: F.struct(
-        _present(F.regexp_extract(F.btrim(r), _PARTS, 1)).alias("schema"),
-        _present(F.regexp_extract(F.btrim(r), _PARTS, 2)).alias("table"),
-        _present(F.regexp_extract(F.btrim(r), _PARTS, 3)).alias("alias")))
+    clauses = F.regexp_extract_all(clean_statement(F.coalesce(sql, F.lit(""))),
+                                   F.lit(_LISTED), 0)
+    refs = F.flatten(F.transform(clauses, lambda x: F.split(
+        F.regexp_replace(x, "(?i)^" + _LEAD, ""), ",")))
+    parts = F.transform(refs, lambda r: F.split(
+        F.translate(F.regexp_replace(F.btrim(r), _PARTS, "$1\u0001$2\u0001$3"), "`", ""),
+        "\u0001"))
+
+    def part(p: Column, i: int) -> Column:
+        return F.when(p[i] != "", p[i])
+    return F.transform(parts, lambda p: F.struct(
+        part(p, 0).alias("schema"), part(p, 1).alias("table"), part(p, 2).alias("alias")))
 
 
 def first_table(sql: Column) -> Column:

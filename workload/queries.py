@@ -47,7 +47,7 @@ class Inputs:
 
     @property
     def log(self) -> DataFrame:
-        return landed(*self._at, "m7_lines")
+        return self.m7_lines
 
     @property
     def trx(self) -> DataFrame:
@@ -734,6 +734,13 @@ def q_time_range(spark, sf_dir):
 
 # --- streams, each run to the end of its input -----------------------------------------
 
+def _follow(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stored capture as a stream."""
+    stored = landed(spark, sf_dir, name)
+    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
+    return spark.readStream.schema(stored.schema).parquet(folder)
+
+
 def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     base = f"{ensure_checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:8]}"
     (stream.writeStream.outputMode("append").format("parquet")
@@ -748,9 +755,7 @@ def q_stream_transactions(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state."
                    "RocksDBStateStoreProvider")
-    stored = landed(spark, sf_dir, "m7_lines")
-    lines = spark.readStream.schema(stored.schema).parquet(
-        stored.inputFiles()[0].rsplit("/", 1)[0])
+    lines = _follow(spark, sf_dir, "m7_lines")
     return _drain(spark, stream_transactions(lines), "transactions")
 
 
@@ -762,8 +767,4 @@ def q_stream_transactions(spark, sf_dir):
 from {o_counts} where snapshot_ts + interval 1 day
  <= (select max(snapshot_ts) - interval 1 hour from {o_active})""")
 def q_stream_health(spark, sf_dir):
-    from workload.views import SQL, _spark_text
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(
-        f"{sf_dir}/events.parquet*")
-    pl = spark.sql(_spark_text(SQL["m1_processlist"]), events=events)
-    return _drain(spark, stream_health(pl), "health")
+    return _drain(spark, stream_health(_follow(spark, sf_dir, "m1_processlist")), "health")

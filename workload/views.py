@@ -17,6 +17,7 @@ from fleetlens.operators.ordered import bucketed_offset, exclusive_prefix
 from fleetlens.session import ensure_checkpoint_dir
 from workload.oracle_views import ORACLE
 
+LANDED = ("m1_processlist", "m4_waits", "m7_lines")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents")
 
@@ -314,6 +315,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a view as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
+    if name in LANDED:
+        return landed(spark, sf_dir, name)
+    return _render(spark, sf_dir, name)
+
+
+def _render(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in _BUILT:
         return _BUILT[name](spark, sf_dir)
     text = SQL[name]
@@ -327,15 +334,15 @@ _landed: dict[tuple[str, str, str], str] = {}
 def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view written once per application to the shared folder, then read back.
 
-    Used for the decoded log: its readers start from stored text, as they would in
-    production, and not from the plan that renders it.
+    Used for the decoded log, the process list and the lock waits: their readers start
+    from stored captures, as in production, and not from the plan that renders them.
     """
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, name)
     if key not in _landed:
         tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
         path = f"{ensure_checkpoint_dir(spark)}/landed-{app}-{tag}/{name}"
-        view(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+        _render(spark, sf_dir, name).write.mode("overwrite").parquet(path)
         _landed[key] = path
     return spark.read.parquet(_landed[key])
 
