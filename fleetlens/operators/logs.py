@@ -14,7 +14,7 @@ from fleetlens.functions import logtext as L
 from fleetlens.operators.ordered import bucketed_offset, exclusive_prefix
 
 # Lines per ordered chunk; per bucket in which lines meet short spans; and long spans.
-CHUNK_LINES = 500_000
+CHUNK_LINES = 200_000
 SPAN_LINES = 256
 RUN_LINES = 8_192
 
@@ -76,11 +76,11 @@ def assemble_transactions(lines: DataFrame, mode: str = "strict",
     """
     begin, commit = _is("begin").cast("bigint"), _is("commit").cast("bigint")
     chunk, line = _chunk(F.col("line_no"), chunk_lines).alias("chunk"), F.col("line")
-    seen = Window.partitionBy("file", "chunk").orderBy("line_no")
+    seen = (Window.partitionBy("file", "chunk").orderBy("line_no")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marks = log_marks(lines, mode).select("*", chunk).select(
         "*", F.sum(begin).over(seen).alias("b"),
-        F.coalesce(F.sum(commit).over(seen.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("c"))
+        (F.sum(commit).over(seen) - commit).alias("c"))
     totals = lines.groupBy("file", chunk).agg(
         F.count_if(L.is_begin(line)).alias("begins"),
         F.count_if(L.is_commit(line)).alias("commits"))
