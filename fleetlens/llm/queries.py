@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import simhash
+from fleetlens.llm import decontaminate, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +33,35 @@ def op7_simhash_near_dedup(spark, sf_dir):
     found = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from benchmark),
+grams as (select distinct item_id, ws[i : i + least(len(ws), 13) - 1] gram, least(len(ws), 13) n
+    from (select item_id, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) i
+          from b where len(ws) > 0)),
+spans as (select doc_id, i, n, ws[i : i + n - 1] gram from (
+    select doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) i
+    from d, (select distinct n from grams) where len(ws) >= n)),
+hits as (select doc_id, i, grams.n, item_id from spans join grams using (gram)),
+pos as (select doc_id, count(distinct p) n_hit from (
+    select doc_id, unnest(generate_series(i, i + n - 1)) p from hits) group by 1),
+its as (select doc_id, count(distinct item_id) n_items,
+    string_agg(distinct item_id::varchar, ',' order by item_id::varchar) ids from hits group by 1)
+select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit,
+    coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
+from d left join pos using (doc_id) left join its using (doc_id)""")
+def op5_benchmark_decontamination(spark, sf_dir):
+    judged = decontaminate.contamination(_table(spark, sf_dir, "documents"),
+                                         _table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return judged.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"),
+                         F.size("items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
