@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, simhash
+from fleetlens.llm import bpe, decontaminate, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,20 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return judged.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"),
                          F.size("items").cast("long").alias("n_items"),
                          F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws
+           from documents),
+w as (select doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) h
+      from (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) i from d where len(ws) >= 50)),
+low as (select h, min(doc_id) first from w group by h),
+cut as (select doc_id, list_distinct(flatten(list(generate_series(i, i + 49)))) gone
+        from w join low using (h) where doc_id > first group by doc_id)
+select doc_id, len(ws)::bigint n_words, coalesce(len(gone), 0)::bigint n_removed,
+    sha256(case when gone is null then array_to_string(ws, ' ') else array_to_string(
+        list_filter(ws, lambda x, i: not list_contains(gone, i)), ' ') end) kept_sha256
+from d left join cut using (doc_id)""")
+def op8_substring_dedup(spark, sf_dir):
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
