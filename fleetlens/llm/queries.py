@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, simhash, substrings
+from fleetlens.llm import bpe, decontaminate, simhash, substrings, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,11 @@ from d left join cut using (doc_id)""")
 def op8_substring_dedup(spark, sf_dir):
     kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_token_files(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    read = tokenfile.read_tokens(tokenfile.write_tokens(docs), docs)
+    return read.select("doc_id", "start", (F.octet_length("payload") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("payload").alias("ids_crc32"))

@@ -6,6 +6,7 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
@@ -47,3 +48,27 @@ def byte_pieces(text: str) -> list[bytes]:
     added = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
     pieces = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     return [added.get(i) or bytes(byte_of[c] for c in p) for i, p in enumerate(pieces)]
+
+#: Words whose ids a worker process keeps; full, it starts again, which costs time only.
+_KEPT_WORDS = 500_000
+_WORD = re.compile(f"[^{_SPACE}]+")
+
+
+@lru_cache(maxsize=1)
+def _known(text: str) -> dict[str, bytes]:
+    return {}
+
+
+def payloads(text: str, documents: list[str]) -> list[bytes]:
+    """Ids of whole documents as little-endian 32-bit integers, for a vocabulary that drops
+    white space: each distinct word is encoded once per worker while it is kept."""
+    known, library = _known(text), load(text)
+    words = [_WORD.findall(d) for d in documents]
+    if len(known) > _KEPT_WORDS:
+        known.clear()
+    fresh = [w for w in dict.fromkeys(w for own in words for w in own) if w not in known]
+    for at in range(0, len(fresh), 4096):
+        part = fresh[at:at + 4096]
+        for word, coded in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
+            known[word] = np.array(coded.ids, "<u4").tobytes()
+    return [b"".join(map(known.__getitem__, own)) for own in words]
