@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, simhash, substrings, tokenfile
+from fleetlens.llm import bpe, decontaminate, quality, simhash, substrings, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +99,11 @@ def op9_token_files(spark, sf_dir):
     read = tokenfile.read_tokens(tokenfile.write_tokens(docs), docs)
     return read.select("doc_id", "start", (F.octet_length("payload") / 4).cast("long").alias("n_tokens"),
                        F.crc32("payload").alias("ids_crc32"))
+
+
+@query()
+def op10_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.classify(docs, _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
