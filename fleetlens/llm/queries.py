@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, quality, simhash, substrings, tokenfile
+from fleetlens.llm import bpe, decontaminate, quality, simhash, substrings, tokenfile, webpages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,9 @@ def op10_quality_classifier(spark, sf_dir):
     scored = quality.classify(docs, _table(spark, sf_dir, "labels"), keep=["doc_id"])
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op6_html_extraction(spark, sf_dir):
+    return webpages.extract_text(_table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.char_length("text").cast("long"))
