@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, quality, simhash, substrings, tokenfile, webpages
+from fleetlens.llm import bpe, decontaminate, ppm, quality, simhash, substrings, tokenfile, webpages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,3 +113,8 @@ def op10_quality_classifier(spark, sf_dir):
 def op6_html_extraction(spark, sf_dir):
     return webpages.extract_text(_table(spark, sf_dir, "pages")).withColumn(
         "n_chars", F.char_length("text").cast("long"))
+
+
+@query()
+def op4_lm_scoring(spark, sf_dir):
+    return ppm.score_documents(_table(spark, sf_dir, "documents"))
