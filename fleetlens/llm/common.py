@@ -25,6 +25,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_column(docs: DataFrame, doc_id: str) -> Column:
+    """The id as a long named ``doc_id``; the bare column where it is one already, so that equal
+    subplans stay equal and their shuffle is reused."""
+    column = F.col(doc_id)
+    if doc_id == "doc_id" and docs.schema[doc_id].dataType.simpleString() == "bigint":
+        return column
+    return column.cast("long").alias("doc_id")
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``text`` and ``sig``, a hash of the text; all other columns go.
 

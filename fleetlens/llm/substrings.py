@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import id_column
+
 WINDOW = 50
 PERIOD = 31
 #: A perfect difference set modulo 31: every difference of two places is one of its pairs.
@@ -56,11 +58,11 @@ def _gathered(found: list[tuple], kind: np.dtype) -> pa.RecordBatch:
     single = last - first == 1
     rest = [None if one else places[a + 1:b].tobytes()
             for one, a, b in zip(single.tolist(), first.tolist(), last.tolist())]
-    columns = {"h": pa.array(hashes[first]),
-               "doc": pa.array(places["doc"][first]),
-               "top": pa.array(places["doc"][last - 1], mask=single)}
+    columns = {"h": pa.array(hashes[first]), "doc": pa.array(places["doc"][first])}
     if "sig" in kind.names:
         columns["sig"] = pa.array(places["sig"][first])
+    else:
+        columns["top"] = pa.array(places["doc"][last - 1], mask=single)
     return pa.RecordBatch.from_pydict(columns | {"pos": pa.array(places["pos"][first]),
                                                  "rest": pa.array(rest, pa.binary())})
 
@@ -135,17 +137,26 @@ def _later_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             "pos": np.ascontiguousarray(places["pos"])})
 
 
+def _places(sig: pa.Scalar, at: pa.Scalar) -> np.ndarray:
+    """Where repeated windows of the text with this hash start."""
+    if not at.is_valid:
+        return np.array([], np.int64)
+    found = at.values
+    own = found.field("sig").to_numpy() == sig.as_py()
+    return found.field("pos").to_numpy()[own].astype(np.int64)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         totals, removed, kept = [], [], []
-        for raw, at in zip(batch.column("raw"), batch.column("at")):
-            words = (raw.as_py() or b"").split()
+        for sig, raw, at in zip(*(batch.column(c) for c in ("sig", "raw", "at"))):
+            words = raw.as_py().split()
             totals.append(len(words))
-            places = at.as_py()
-            if places:
+            places = _places(sig, at)
+            if len(places):
                 edges = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edges, np.array(places), 1)
-                np.add.at(edges, np.array(places) + WINDOW, -1)
+                np.add.at(edges, places, 1)
+                np.add.at(edges, places + WINDOW, -1)
                 keep = np.cumsum(edges)[:-1] == 0
                 words = [w for w, k in zip(words, keep.tolist()) if k]
             removed.append(totals[-1] - len(words))
@@ -156,12 +167,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_words", "n_removed", "text"])
 
 
-def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Rows of the document table beside what was found for them."""
-    on = left["doc_id"].eqNullSafe(right["id"]) & (left["sig"] == right["of"])
-    return left.join(right, on, how)
-
-
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, text): each row's words without those of repeated passages.
 
@@ -178,24 +183,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are told apart by 64-bit XXH3: a window is taken for another with a chance of one in 10**19
     a pair.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+    rows = docs.select(id_column(docs, doc_id),
                        F.coalesce(F.hash(F.col(text).cast("string")), F.lit(0)).alias("sig"),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
+    named = rows.filter("doc_id is not null")
     same = Window.partitionBy("h")
-    shared = (rows.filter("doc_id is not null").select("doc_id", "raw")
+    shared = (named.select("doc_id", "raw")
               .mapInArrow(_anchors, "h long, doc long, top long, pos int, rest binary")
               .withColumn("low", F.min("doc").over(same))
               .withColumn("high", F.max(F.coalesce("top", "doc")).over(same))
               .filter("low <> high").select("doc", "pos", "rest")
               .mapInArrow(_shared_places, "doc_id long, pos int")
               .groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
-    texts = rows.join(shared.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"))
-    repeats = (texts.select("doc_id", "sig", "raw", "at")
-               .mapInArrow(_windows, "h long, doc long, top long, sig int, pos int, rest binary")
+    # Both joins bring the same columns by the same key, so the texts are shuffled once.
+    repeats = (named.join(shared, "doc_id").select("doc_id", "sig", "raw", "at")
+               .mapInArrow(_windows, "h long, doc long, sig int, pos int, rest binary")
                .withColumn("low", F.min("doc").over(same))
-               .filter("low < coalesce(top, doc)").select("doc", "sig", "pos", "rest", "low")
+               .filter("low < doc or rest is not null").select("doc", "sig", "pos", "rest", "low")
                .mapInArrow(_later_places, "doc_id long, sig int, pos int")
-               .groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("at"))
-               .select(F.col("doc_id").alias("id"), F.col("sig").alias("of"), "at"))
-    return _same(rows, repeats, "left").select("doc_id", "raw", "at").mapInArrow(
+               .groupBy("doc_id").agg(F.collect_set(F.struct("sig", "pos")).alias("at")))
+    parts = named.join(repeats, "doc_id", "left").select("doc_id", "sig", "raw", "at")
+    whole = rows.filter("doc_id is null").select(
+        "doc_id", "sig", "raw", F.lit(None).cast("array<struct<sig: int, pos: int>>").alias("at"))
+    return parts.union(whole).mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, text string")
