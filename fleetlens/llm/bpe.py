@@ -17,12 +17,15 @@ from fleetlens.llm import vocab
 BLOCK_CHARS = 32 << 20
 #: Distinct words that are encoded in one call.
 _WORDS_AT_ONCE = 4096
-_HEADER = -1
-
-_WORD_ROWS = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("word", pa.string())])
-_DOC_ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("seal", pa.string()),
-                       ("n", pa.int32()), ("numbers", pa.binary())])
-_ID_ROWS = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("ids", pa.binary())])
+#: Hash buckets in which words meet; a task holds the distinct words of one bucket at a time.
+BUCKETS = 2048
+
+_WORD_ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("seal", pa.string()),
+                        ("payload", pa.binary())])
+_WORD_DDL = "block long, bucket int, seal string, payload binary"
+_DOC_ROWS = pa.schema([("block", pa.int64()), ("is_doc", pa.bool_()), ("doc_id", pa.int64()),
+                       ("seal", pa.string()), ("n", pa.int32()), ("numbers", pa.binary())])
+_DOC_DDL = "block long, is_doc boolean, doc_id long, seal string, n int, numbers binary"
 _OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 _OUT_DDL = "doc_id long, ids array<int>, decoded string"
 
@@ -45,10 +48,29 @@ def _unpack(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).reshape(n)
 
 
+def _pack_parts(parts: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, parts), "<u4", len(parts))
+    return zlib.compress(np.array([len(parts)], "<u4").tobytes() + lengths.tobytes() + b"".join(parts), 1)
+
+
+def _unpack_parts(packed: bytes) -> list[bytes]:
+    content = zlib.decompress(packed)
+    n = int(np.frombuffer(content, "<u4", 1)[0])
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(content, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [content[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
 def _seal(words: dict[str, int]) -> str:
     return f"{len(words)}:{zlib.crc32(chr(0).join(words).encode())}"
 
 
+def _buckets(words: dict[str, int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words, the bucket of each, and their numbers ordered by bucket."""
+    spelled = [w.encode() for w in words]
+    found = np.fromiter((zlib.crc32(w) % BUCKETS for w in spelled), np.uint16, len(spelled))
+    return spelled, found, np.argsort(found, kind="stable")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Numbers, list]]:
     """(block, word numbers, [(doc_id, its words' numbers)]) of each run of rows of a task."""
     block = TaskContext.get().partitionId() << 32
@@ -69,88 +91,90 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Numbers,
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, words, _ in _blocks(batches):
-        texts, at = list(words), 0
-        yield pa.record_batch([[block], [_HEADER], [_seal(words)]], schema=_WORD_ROWS)
-        for at in range(0, len(texts), 1 << 16):
-            part = texts[at:at + (1 << 16)]
-            yield pa.record_batch([pa.array([block] * len(part), pa.int64()),
-                                   pa.array(range(at, at + len(part)), pa.int32()),
-                                   pa.array(part, pa.string())], schema=_WORD_ROWS)
+        spelled, found, order = _buckets(words)
+        present, starts = np.unique(found[order], return_index=True)
+        payloads = [_pack_parts([spelled[i] for i in part.tolist()])
+                    for part in np.split(order, starts[1:])] if len(order) else []
+        yield pa.record_batch([
+            pa.array([block] * len(present), pa.int64()), pa.array(present.astype(np.int32)),
+            pa.array([_seal(words)] * len(present), pa.string()), pa.array(payloads, pa.binary())],
+            schema=_WORD_ROWS)
 
 
 def _doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, words, rows in _blocks(batches):
         seal = _seal(words)
+        table = zlib.compress(_buckets(words)[1].tobytes(), 1)
+        yield pa.record_batch([[block], [False], pa.array([None], pa.int64()), [seal],
+                               pa.array([len(words)], pa.int32()), [table]], schema=_DOC_ROWS)
         for at in range(0, len(rows), 1024):
             part = rows[at:at + 1024]
             yield pa.record_batch([
-                pa.array([block] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int64()),
-                pa.array([seal] * len(part)), pa.array([len(r[1]) for r in part], pa.int32()),
+                pa.array([block] * len(part), pa.int64()), pa.array([True] * len(part)),
+                pa.array([r[0] for r in part], pa.int64()), pa.array([seal] * len(part)),
+                pa.array([len(r[1]) for r in part], pa.int32()),
                 pa.array([_pack(r[1]) for r in part], pa.binary())], schema=_DOC_ROWS)
 
 
 def _encoder(tokenizer: Broadcast) -> Callable:
-    """Rows sorted by word: each distinct word is encoded once and its ids go to all its rows."""
+    """Rows sorted by bucket: each distinct word is encoded once and its ids answer all blocks."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = vocab.load(tokenizer.value)
-        last, last_ids = None, b""
+        bucket, known = None, {}
         for batch in batches:
-            numbers = batch.column("no").to_numpy()
-            words = batch.column("word").to_pylist()
-            ids: list[bytes] = [b""] * len(words)
-            fresh: list[str] = []
-            place: list[int] = []
-            for i, word in enumerate(words):
-                if numbers[i] == _HEADER:
-                    place.append(-2)
-                elif fresh and word == fresh[-1]:
-                    place.append(len(fresh) - 1)
-                elif not fresh and word == last:
-                    place.append(-1)
-                else:
-                    fresh.append(word)
-                    place.append(len(fresh) - 1)
-            coded: list[bytes] = []
-            for at in range(0, len(fresh), _WORDS_AT_ONCE):
-                coded += [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(
-                    fresh[at:at + _WORDS_AT_ONCE], add_special_tokens=False)]
-            for i, p in enumerate(place):
-                ids[i] = coded[p] if p >= 0 else last_ids if p == -1 else words[i].encode()
-            if fresh:
-                last, last_ids = fresh[-1], coded[-1]
-            yield pa.record_batch([batch.column("block"), batch.column("no"),
-                                   pa.array(ids, pa.binary())], schema=_ID_ROWS)
+            answers = []
+            for own, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+                if own != bucket:
+                    bucket, known = own, {}
+                words = _unpack_parts(payload.as_py())
+                fresh = [w for w in words if w not in known]
+                for at in range(0, len(fresh), _WORDS_AT_ONCE):
+                    part = fresh[at:at + _WORDS_AT_ONCE]
+                    coded = library.encode_batch_fast([w.decode() for w in part],
+                                                      add_special_tokens=False)
+                    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
+                answers.append(_pack_parts([known[w] for w in words]))
+            yield pa.record_batch([*batch.columns[:3], pa.array(answers, pa.binary())],
+                                  schema=_WORD_ROWS)
     return encode
 
 
+def _word_ids(answers: pa.Table, buckets: np.ndarray) -> list[bytes]:
+    """The ids of every word of a block, by its number."""
+    order = np.argsort(buckets, kind="stable").tolist()
+    starts = np.searchsorted(buckets[order], np.arange(BUCKETS)).tolist()
+    table: list[bytes | None] = [None] * len(buckets)
+    for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload")):
+        start = starts[bucket]
+        for number, ids in zip(order[start:], _unpack_parts(payload.as_py())):
+            table[number] = ids
+    if None in table:
+        raise ValueError("a block did not get the ids of all its words")
+    return table
+
+
 def _assembler(tokenizer: Broadcast, decoded: bool) -> Callable:
-    def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return _OUT.empty_table()
-        numbers = words.column("no").to_numpy()
-        header = np.flatnonzero(numbers == _HEADER)
-        ids = words.column("ids").to_pylist()
-        seals = {s for s in docs.column("seal").to_pylist()} | {ids[h].decode() for h in header}
-        if len(header) != 1 or len(seals) != 1 or int(next(iter(seals)).split(":")[0]) != len(ids) - 1:
+    def assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        seals = {*docs.column("seal").to_pylist(), *answers.column("seal").to_pylist()}
+        if len(seals) != 1:
             raise ValueError("two reads of the documents differ; write them to files first")
-        table: list[bytes] = [b""] * (len(ids) - 1)
-        for number, one in zip(numbers.tolist(), ids):
-            if number != _HEADER:
-                table[number] = one
+        is_doc = docs.column("is_doc").to_pylist()
+        table = zlib.decompress(docs.column("numbers")[is_doc.index(False)].as_py())
+        word_ids = _word_ids(answers, np.frombuffer(table, np.uint16))
+        rows = docs.filter(docs.column("is_doc"))
+        pieces = vocab.byte_pieces(tokenizer.value) if decoded else []
+        spelled = [b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+                   for ids in word_ids] if decoded else []
         out_ids, texts = [], []
-        if decoded:
-            pieces = vocab.byte_pieces(tokenizer.value)
-            spelled = [b"".join([pieces[i] for i in np.frombuffer(one, "<u4").tolist()])
-                       for one in table]
-        for n, packed in zip(docs.column("n").to_pylist(), docs.column("numbers").to_pylist()):
-            own = _unpack(packed, n).tolist() if n else []
-            out_ids.append(np.frombuffer(b"".join(map(table.__getitem__, own)), "<u4").astype(np.int32))
+        for n, packed in zip(rows.column("n").to_pylist(), rows.column("numbers")):
+            own = _unpack(packed.as_py(), n).tolist() if n else []
+            out_ids.append(np.frombuffer(b"".join(map(word_ids.__getitem__, own)), "<u4"))
             texts.append(b"".join(map(spelled.__getitem__, own)).decode("utf-8", "replace")
                          if decoded else None)
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in out_ids]))).astype(np.int32)
-        flat = np.concatenate(out_ids) if out_ids else np.array([], np.int32)
-        return pa.table([docs.column("doc_id").combine_chunks(),
-                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())),
+        flat = np.concatenate(out_ids).astype(np.int32) if out_ids else np.array([], np.int32)
+        return pa.table([rows.column("doc_id").combine_chunks(),
+                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                          pa.array(texts, pa.string())], schema=_OUT)
     return assemble
 
@@ -164,22 +188,20 @@ def encode(docs: DataFrame, tokenizer: str = vocab.BYTE_BPE, decoded: bool = Fal
     byte-level vocabulary. NULL and empty texts have no ids and spell "".
 
     Each task numbers the distinct words (with the white space before them) of a block of
-    its rows. The (block, number, word) rows meet by word, each distinct word of the corpus is
-    encoded once there, and its ids go back to every block that asked; documents, as packed
-    word numbers, take them by position. A frequent word has one row a block, so none is hot,
-    and no table of words is sent to all executors. The documents are read twice, and both
-    reads must give the same rows in the same order, as files do; a seal over each block's
-    words is compared and the job fails if they don't.
+    its rows, and sends them to their hash buckets, packed. In a bucket all blocks' words meet,
+    each distinct word of the corpus is encoded once, and its ids go back to every block that
+    asked; documents, as packed word numbers, take them by position. A frequent word is in one
+    row a block, so none is hot, and no table of words is sent to all executors. The documents
+    are read twice, and both reads must give the same rows in the same order, as files do; a
+    seal over each block's words is compared and the job fails if they don't.
     """
     shared = vocab.share(docs.sparkSession, tokenizer)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.col(text).cast("string").alias("text"))
-    words = rows.mapInArrow(_word_rows, "block long, no int, word string")
-    ids = (words.repartition("word").sortWithinPartitions("word")
-           .mapInArrow(_encoder(shared), "block long, no int, ids binary"))
-    numbered = rows.mapInArrow(_doc_rows,
-                               "block long, doc_id long, seal string, n int, numbers binary")
-    return numbered.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
+    answers = (rows.mapInArrow(_word_rows, _WORD_DDL).repartition("bucket")
+               .sortWithinPartitions("bucket").mapInArrow(_encoder(shared), _WORD_DDL))
+    numbered = rows.mapInArrow(_doc_rows, _DOC_DDL)
+    return numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _assembler(shared, decoded), _OUT_DDL)
 
 
