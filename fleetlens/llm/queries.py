@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, ppm, quality, simhash, substrings, tokenfile, webpages
+from fleetlens.llm import bpe, decontaminate, lines, ppm, quality, simhash, substrings, tokenfile, webpages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,3 +118,34 @@ def op6_html_extraction(spark, sf_dir):
 @query()
 def op4_lm_scoring(spark, sf_dir):
     return ppm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+@query("""
+with l as (select doc_id, no, list_distinct(list_filter(regexp_split_to_array(line,
+        '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) ws
+    from (select doc_id, unnest(string_split(text, chr(10))) line,
+          unnest(generate_series(1, len(string_split(text, chr(10))))) no from documents)),
+sets as (select list_sort(ws) ws, min((doc_id, no)) place, row_number() over () id
+    from l where len(ws) > 0 group by list_sort(ws)),
+df as (select w, count(*) n from (select unnest(ws) w from sets) group by w),
+ranked as (select id, len(ws) n, u.w, row_number() over (partition by id order by df.n, df.w) r
+    from (select id, ws, unnest(ws) w from sets) u join df using (w)),
+prefix as (select id, n, w from ranked where r <= n - ceil(n * 4 / 5) + 1),
+cand as (select distinct x.id a, y.id b from prefix x join prefix y using (w)
+    where x.id <> y.id and 5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n),
+links as (select a, b from cand join sets s on a = s.id join sets t on b = t.id
+    where 9 * len(list_intersect(s.ws, t.ws)) >= 4 * (len(s.ws) + len(t.ws))),
+best as (select a id, min(place) place from links join sets on b = sets.id group by a),
+bound as (select s.ws, least(s.place, coalesce(best.place, s.place)) place
+    from sets s left join best using (id)),
+gone as (select doc_id, list(no) nos from l join bound on list_sort(l.ws) = bound.ws
+    where (doc_id, no) > bound.place group by doc_id)
+select doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint n_lines,
+    coalesce(len(nos), 0)::bigint n_removed,
+    sha256(coalesce(case when nos is null then text else array_to_string(list_filter(
+        string_split(text, chr(10)), lambda x, i: not list_contains(nos, i)), chr(10)) end, '')) kept_sha256
+from documents left join gone using (doc_id)""")
+def op2_line_dedup(spark, sf_dir):
+    kept = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(
+        F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
