@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, lines, ppm, quality, simhash, substrings, tokenfile, webpages
+from fleetlens.llm import bpe, decontaminate, lines, ppm, quality, simhash, substrings, tokenfile, vectors, webpages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,3 +149,19 @@ def op2_line_dedup(spark, sf_dir):
     kept = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(
         F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("""
+with e as (select vec_id, label, embedding::double[] v,
+    coalesce(label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) ok from embeddings),
+links as (select a.vec_id a, b.vec_id b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id
+    and a.ok and b.ok and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (with recursive r(a, b) as (select vec_id, vec_id from e union
+    select r.a, links.b from r join links on r.b = links.a) select a, min(b) root from r group by a),
+n as (select a, count(*) n from links group by a)
+select vec_id, coalesce(n, 0)::bigint n_links, root component_id, vec_id = root kept
+from e join reach on vec_id = reach.a left join n on vec_id = n.a""")
+def op3_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
