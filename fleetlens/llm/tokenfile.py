@@ -46,6 +46,11 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), folder
 
 
+def _kind(ids: int) -> np.dtype:
+    """Two bytes an id where the vocabulary allows, else four."""
+    return np.dtype("<u2" if ids <= 1 << 16 else "<u4")
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     ids, texts, size = [], [], 0
     for batch in batches:
@@ -66,13 +71,15 @@ def _writer(folder: str, tokenizer: Broadcast) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
-        part, end = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
+        kind = _kind(vocab.load(tokenizer.value).get_vocab_size())
+        end = np.array([END_ID], kind).tobytes()
         seq, out, name, size, offsets, ids = 0, None, "", 0, [0], []
 
         def finish() -> pa.RecordBatch:
             out.close()
             with store.open_output_stream(f"{name}.off") as file:
-                file.write(np.array(offsets, "<u8").tobytes())
+                file.write(np.array([kind.itemsize, *offsets], "<u8").tobytes())
             n = len(ids)
             return pa.record_batch(
                 [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()),
@@ -82,6 +89,7 @@ def _writer(folder: str, tokenizer: Broadcast) -> Callable:
 
         for doc_ids, texts in _documents(batches):
             for doc_id, payload in zip(doc_ids, vocab.payloads(tokenizer.value, texts)):
+                payload = np.frombuffer(payload, "<u4").astype(kind).tobytes()
                 if out is not None and size + len(payload) > SHARD_BYTES:
                     yield finish()
                     seq, out = seq + 1, None
@@ -91,7 +99,7 @@ def _writer(folder: str, tokenizer: Broadcast) -> Callable:
                 out.write(payload)
                 out.write(end)
                 size += len(payload) + len(end)
-                offsets.append(size // 4)
+                offsets.append(size // kind.itemsize)
                 ids.append(doc_id)
         if out is not None:
             yield finish()
@@ -131,8 +139,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = vo
                  text: str = "text") -> TokenFiles:
     """Encode every whole text, append id 2, and write the ids in ascending doc_id order.
 
-    A shard is ``.bin`` (ids as little-endian unsigned 32-bit integers, nothing else) and
-    ``.off`` (where its documents begin, in ids, as 64-bit integers). Index files hold a minimal
+    A shard is ``.bin`` (ids as little-endian unsigned integers of two bytes, of four for
+    vocabularies beyond 65,536, and nothing else) and ``.off`` (that width, then where its
+    documents begin, in ids, as 64-bit integers). Index files hold a minimal
     perfect hash of (doc_id, copy number) with a 32-bit fingerprint, shard and row per key.
     NULL and empty texts are the end id alone; NULL ids come first; repeated ids are stored
     each, in the order of their texts' hashes. ``shards`` is the number of ranges (default: the
@@ -174,7 +183,7 @@ def _finder(table: pa.Table) -> pa.Table:
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (path, row): a shard stays open while its rows last."""
-    path, file, offsets = None, None, None
+    path, file, offsets, width = None, None, [], 4
     for batch in batches:
         doc_ids, starts, payloads, size, begin = batch.column("doc_id"), [], [], 0, 0
         columns = (batch.column(c).to_pylist() for c in ("path", "row", "first_id"))
@@ -184,10 +193,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     file.close()
                 store, place = _open(name)
                 with store.open_input_file(f"{place}.off") as table:
-                    offsets = np.frombuffer(table.read(), "<u8").tolist()
+                    width, *offsets = np.frombuffer(table.read(), "<u8").tolist()
                 path, file = name, store.open_input_file(f"{place}.bin")
-            file.seek(4 * offsets[row])
-            payloads.append(file.read(4 * (offsets[row + 1] - offsets[row])))
+            file.seek(width * offsets[row])
+            raw = file.read(width * (offsets[row + 1] - offsets[row]))
+            payloads.append(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
             starts.append(first + offsets[row])
             size += len(payloads[-1])
             if size >= _AT_ONCE or i + 1 == batch.num_rows:
@@ -200,7 +210,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(files: TokenFiles, keys: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, start, payload) of every row of ``keys``: ids before it in all files, raw ids.
+    """(doc_id, start, payload) of every row of ``keys``: ids before it in all files, and its ids
+    as little-endian unsigned 32-bit integers.
 
     Keys meet their index file by hash bucket, which gives shard and row in constant time;
     rows then meet by shard and are read at their offsets. The n-th row of an id gets the n-th
