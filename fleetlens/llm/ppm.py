@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import LOWER_ASCII, stage
 
-#: Longest context in bytes.
+#: Longest context in bytes. A step is the context (5 bytes) and the symbol in one number.
 ORDER = 5
 #: Byte values and the end of a document.
 ALPHABET = 257
 END_SYMBOL = 256
-#: Stands for the end of a document in the table of words; no word holds a space.
-END = b" "
-#: The most used context prices and words that every executor keeps at hand (some tens of MB
-#: at most); all others are joined.
-KEPT_PRICES = 1 << 18
-KEPT_WORDS = 1 << 17
+#: The most used steps and words, in bounded number, whose prices every executor keeps at hand
+#: (16 bytes a step, some 150 a word); all others are joined.
+KEPT_STEPS = 1 << 20
+KEPT_WORDS = 1 << 18
 KEPT_WORD_BYTES = 32
-#: Distinct keys counted in a task before they are handed on.
+#: Stands for the end of a document in the table of words; no word holds a space.
+END = " "
+#: Distinct keys gathered in a task before they are handed on, and bytes numbered at a time.
 _GATHER = 400_000
+_STEPS_AT_ONCE = 1 << 22
+
+_SYMBOL_BITS = 9
 
 
 def held_out(doc_id: Column) -> Column:
@@ -34,12 +37,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def _count_rows(counts: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(counts), pa.binary()),
-                            pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def steps(words: list[bytes]) -> np.ndarray:
+    """Every step of a text as context (5 bytes, zero before the start) times 512 plus symbol.
+
+    The text is its words with one space behind each; the end is the last step.
+    """
+    line = b"\0" * (ORDER - 1) + b" " + b"".join([w + b" " for w in words])
+    values = np.frombuffer(line, np.uint8).astype(np.int64)
+    count = len(values) - ORDER + 1
+    context = np.zeros(count, np.int64)
+    for back in range(ORDER):
+        context = (context << 8) | values[back:back + count]
+    symbol = np.append(values[ORDER:], END_SYMBOL)
+    return (context << _SYMBOL_BITS) | symbol
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> pa.RecordBatch:
+        words = pa.array(list(counts), pa.binary()).cast(pa.string())
+        return pa.record_batch([words, pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
     counts: Counter = Counter()
     for batch in batches:
         for held, raw in zip(batch.column("held").to_pylist(), batch.column("raw")):
@@ -48,152 +65,139 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.update(dict.fromkeys(words, 0))
             else:
                 counts.update(words)
-                counts[END] += 1
+                counts[END.encode()] += 1
             if len(counts) > _GATHER:
-                yield _count_rows(counts)
+                yield rows()
                 counts.clear()
-    yield _count_rows(counts)
+    yield rows()
 
 
-def steps(word: bytes) -> list[tuple[bytes, int]]:
-    """(context, symbol) of every byte of a word and of the space behind it.
-
-    The context is what precedes, from the space before the word on, ``ORDER`` bytes at most.
-    """
-    if word == END:
-        return [(b" ", END_SYMBOL)]
-    line = b" " + word + b" "
-    return [(line[max(0, i - ORDER):i], line[i]) for i in range(1, len(line))]
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([f[0] for f in found])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], np.concatenate([f[1] for f in found])[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
 
 
 def _step_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.record_batch(
-            [pa.array([k[0] for k in counts], pa.binary()), pa.array([k[1] for k in counts], pa.int32()),
-             pa.array(list(counts.values()), pa.int64())], names=["context", "symbol", "n"])
-
-    counts: Counter = Counter()
+    def rows() -> pa.RecordBatch:
+        keys, counts = _merged(found)
+        return pa.record_batch([pa.array(keys), pa.array(counts)], names=["step", "n"])
+
+    def number() -> None:
+        for held in (False, True):
+            if waiting[held]:
+                keys, counts = np.unique(np.concatenate(waiting[held]), return_counts=True)
+                found.append((keys, np.zeros_like(counts) if held else counts))
+                waiting[held].clear()
+
+    found: list = []
+    waiting: dict[bool, list] = {False: [], True: []}
+    size = 0
     for batch in batches:
-        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-            for step in steps(word):
-                counts[step] += n
-        if len(counts) > _GATHER:
-            yield rows(counts)
-            counts.clear()
-    yield rows(counts)
-
-
-_SUFFIXES = "transform(sequence(0, octet_length(context)), i -> substring(context, i + 1))"
-
-
-def trie(steps_seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        for held, raw in zip(batch.column("held").to_pylist(), batch.column("raw")):
+            own = steps(raw.as_py().translate(LOWER_ASCII).split())
+            waiting[held].append(own)
+            size += len(own)
+            if size < _STEPS_AT_ONCE:
+                continue
+            number()
+            size = 0
+            if sum(len(f[0]) for f in found) > 4 * _GATHER:
+                found = [_merged(found)]
+                if len(found[0][0]) > 2 * _GATHER:
+                    yield rows()
+                    found = []
+    number()
+    if found:
+        yield rows()
+
+
+def _orders(table: DataFrame, *keep: str) -> DataFrame:
+    """Each row once per order, with ``context``: the order and that many last bytes."""
+    context = F.expr("transform(sequence(0, %d), j -> shiftleft(cast(j as bigint), 40) | "
+                     "(shiftright(step, %d) & (shiftleft(1L, 8 * j) - 1)))" % (ORDER, _SYMBOL_BITS))
+    symbol = F.col("step").bitwiseAND(F.lit((1 << _SYMBOL_BITS) - 1))
+    return table.select(*keep, symbol.alias("symbol"), F.explode(context).alias("context"))
+
+
+def trie(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (context, symbol, n) of all orders, and contexts (context, total, kinds, up_total,
     up_kinds).
 
     A context's ``up_`` figures are those of the next shorter context without the symbols that
     were seen here: what is left to predict from after an escape (symbol exclusion).
     """
-    nodes = stage(steps_seen.filter("n > 0").select(
-        F.explode(F.expr(_SUFFIXES)).alias("context"), "symbol", "n")
-        .groupBy("context", "symbol").agg(F.sum("n").alias("n")), "nodes")
+    nodes = stage(_orders(seen.filter("n > 0"), "n").groupBy("context", "symbol").agg(
+        F.sum("n").alias("n")), "nodes")
     own = nodes.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    shorter = F.expr("substring(context, 2)")
-    children = nodes.filter("octet_length(context) > 0").select(
-        F.col("context").alias("child"), shorter.alias("context"), "symbol")
-    seen_here = (children.join(nodes, ["context", "symbol"]).groupBy("child")
-                 .agg(F.sum("n").alias("excluded")).withColumnRenamed("child", "context"))
+    order = "shiftright(context, 40)"
+    shorter = F.expr(f"""case when {order} > 0 then shiftleft({order} - 1, 40)
+        | (context & (shiftleft(1L, cast(8 * ({order} - 1) as int)) - 1)) end""")
+    children = nodes.select(F.col("context").alias("child"), shorter.alias("context"), "symbol").filter(
+        "context is not null")
+    here = (children.join(nodes, ["context", "symbol"]).groupBy("child")
+            .agg(F.sum("n").alias("excluded")).withColumnRenamed("child", "context"))
     parents = own.select(F.col("context").alias("parent"), F.col("total").alias("parent_total"),
                          F.col("kinds").alias("parent_kinds"))
-    contexts = (own.join(seen_here, "context", "left")
-                .withColumn("parent", F.when(F.octet_length("context") > 0, shorter))
-                .join(parents, "parent", "left")
+    contexts = (own.withColumn("parent", shorter).join(here, "context", "left").join(parents, "parent", "left")
                 .select("context", "total", "kinds",
                         (F.col("parent_total") - F.col("excluded")).alias("up_total"),
                         (F.col("parent_kinds") - F.col("kinds")).alias("up_kinds")))
     return nodes, stage(contexts, "contexts")
 
 
-def prices(steps_seen: DataFrame) -> DataFrame:
-    """(context, symbol, n, price): log10 probability of each step, by PPM.
+def prices(seen: DataFrame) -> DataFrame:
+    """(step, n, price): log10 probability of each step, by PPM.
 
     From the longest known context down: a symbol seen there has (2 n - 1) / (2 total), the
     escape kinds / (2 total); after an escape the symbols of the longer context are left
-    out. What no context knows shares the rest evenly.
+    out. What no context knows shares the rest evenly. Only steps that training never took
+    are followed down the orders.
     """
-    nodes, contexts = trie(steps_seen)
-    root = contexts.filter("octet_length(context) = 0").select("kinds").collect()
+    nodes, contexts = trie(seen)
+    longest = F.shiftright("step", _SYMBOL_BITS).bitwiseOR(F.lit(ORDER << 40))
+    taken = seen.filter("n > 0").withColumn("context", longest)
+    direct = taken.join(contexts.select("context", "total"), "context").select(
+        "step", "n", F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("price"))
+    root = contexts.filter("context = 0").select("kinds").collect()
     unknown = ALPHABET - (root[0].kinds if root else 0)
-    asked = steps_seen.select(F.col("context").alias("full"), "symbol", F.col("n").alias("uses"),
-                              F.explode(F.expr(_SUFFIXES)).alias("context"))
-    levels = (asked.join(nodes, ["context", "symbol"], "left").join(contexts, "context", "left")
-              .groupBy("full", "symbol").agg(
-                  F.max("uses").alias("n"), F.collect_list(F.struct(
-                      F.octet_length("context").alias("j"), F.col("n").alias("seen"), "total", "kinds",
-                      "up_total", "up_kinds")).alias("at")))
-    top = F.coalesce(F.array_max(F.transform(F.filter("at", lambda x: x["total"].isNotNull()),
-                                             lambda x: x["j"])), F.lit(-1))
-    best = F.coalesce(F.array_max(F.transform(F.filter("at", lambda x: x["seen"].isNotNull()),
-                                              lambda x: x["j"])), F.lit(-1))
-    levels = levels.withColumn("top", top).withColumn("best", best).withColumn("hits", F.coalesce(
-        F.array_max(F.transform("at", lambda x: F.when(x["j"] == F.col("best"), x["seen"]))), F.lit(0)))
+    levels = (_orders(seen.filter("n = 0"), "step").join(nodes, ["context", "symbol"], "left")
+              .join(contexts, "context", "left").groupBy("step").agg(F.collect_list(F.struct(
+                  F.shiftright("context", 40).alias("j"), F.col("n").alias("seen"), "total", "kinds",
+                  "up_total", "up_kinds")).alias("at")))
+    top = F.array_max(F.transform("at", lambda x: F.when(x["total"].isNotNull(), x["j"])))
+    best = F.array_max(F.transform("at", lambda x: F.when(x["seen"].isNotNull(), x["j"])))
+    levels = (levels.withColumn("top", F.coalesce(top, F.lit(-1)))
+              .withColumn("best", F.coalesce(best, F.lit(-1))))
+    levels = levels.withColumn("hits", F.coalesce(F.array_max(F.transform(
+        "at", lambda x: F.when(x["j"] == F.col("best"), x["seen"]))), F.lit(0)))
     first, last, hits = F.col("top"), F.col("best"), F.col("hits")
 
     def share(x: Column) -> Column:
-        nothing = F.lit(0.0)
-        return (F.when((x["j"] == first) & (last == first), F.log10((2 * hits - 1) / (2 * x["total"])))
-                .when((x["j"] == first) & (last < first), F.log10(x["kinds"] / (2 * x["total"])))
-                .otherwise(nothing)
-                + F.when((last < first) & (x["j"] >= last + 2) & (x["j"] <= first) & (x["up_total"] > 0),
-                         F.log10(x["up_kinds"] / (2 * x["up_total"])))
-                .when((last < first) & (last >= 0) & (x["j"] == last + 1),
-                      F.log10((2 * hits - 1) / (2 * x["up_total"])))
-                .otherwise(nothing))
+        start = (F.when((x["j"] == first) & (last == first), F.log10((2 * hits - 1) / (2 * x["total"])))
+                 .when((x["j"] == first) & (last < first), F.log10(x["kinds"] / (2 * x["total"])))
+                 .otherwise(0.0))
+        below = (F.when((last < first) & (x["j"] >= last + 2) & (x["j"] <= first) & (x["up_total"] > 0),
+                        F.log10(x["up_kinds"] / (2 * x["up_total"])))
+                 .when((last < first) & (last >= 0) & (x["j"] == last + 1),
+                       F.log10((2 * hits - 1) / (2 * x["up_total"])))
+                 .otherwise(0.0))
+        return start + below
 
     known = F.aggregate("at", F.lit(0.0), lambda total, x: total + share(x))
     rest = F.when(last < 0, F.lit(float(-np.log10(max(unknown, 1))))).otherwise(0.0)
-    return levels.select(F.col("full").alias("context"), "symbol", "n", (known + rest).alias("price"))
-
-
-def _pricer(kept: Broadcast) -> Callable:
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_hand = kept.value
-        kind = pa.list_(pa.struct([("context", pa.binary()), ("symbol", pa.int32())]))
-        for batch in batches:
-            totals, others = [], []
-            for word in batch.column("word").to_pylist():
-                found = [(step, at_hand.get(step)) for step in steps(word)]
-                totals.append(sum(p for _, p in found if p is not None))
-                others.append([{"context": c, "symbol": s} for (c, s), p in found if p is None])
-            yield pa.record_batch([batch.column("word"), batch.column("n"),
-                                   pa.array(totals, pa.float64()), pa.array(others, kind)],
-                                  names=["word", "n", "price", "others"])
-    return price
-
-
-def price_words(words: DataFrame) -> DataFrame:
-    """(word, n, price): log10 probability of every distinct word, with the space behind it."""
-    table = stage(prices(stage(words.mapInArrow(
-        _step_counts, "context binary, symbol int, n long").groupBy("context", "symbol").agg(
-        F.sum("n").alias("n")), "steps")), "prices")
-    most = table.orderBy(F.desc("n"), "context", "symbol").limit(KEPT_PRICES).collect()
-    kept = words.sparkSession.sparkContext.broadcast(
-        {(bytes(r.context), r.symbol): r.price for r in most})
-    priced = stage(words.mapInArrow(
-        _pricer(kept), "word binary, n long, price double, "
-        "others array<struct<context: binary, symbol: int>>"), "priced")
-    rest = priced.filter("size(others) > 0").select("word", "n", "price", F.explode("others").alias("o"))
-    late = (rest.select("word", "n", "price", "o.*")
-            .join(table.select("context", "symbol", F.col("price").alias("more")), ["context", "symbol"])
-            .groupBy("word").agg(F.max("n").alias("n"), (F.max("price") + F.sum("more")).alias("price")))
-    return stage(priced.filter("size(others) = 0").select("word", "n", "price").union(late), "words")
+    return direct.union(levels.select("step", F.lit(0).cast("long"), known + rest))
 
 
 def _scorer(kept: Broadcast) -> Callable:
-    """One row of sums over the words at hand per document, and a row per other distinct word."""
+    """One row of sums over what is at hand per document, and a row per other distinct word or
+    step, under keys of their own."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, figures, end = kept.value
+        number, figures, end, hand, hand_prices = kept.value
         row = TaskContext.get().partitionId() << 36
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()),
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.string()),
                             ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                             ("base", pa.float64()), ("score", pa.float64())])
         for batch in batches:
@@ -201,10 +205,15 @@ def _scorer(kept: Broadcast) -> Callable:
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw")):
                 words = raw.as_py().translate(LOWER_ASCII).split()
                 places = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                known, base, price = figures[places[places >= 0]].sum(0) + end
-                lines = [(END + str(row).encode(), 0, len(words) + 1, int(known), base, price)]
+                known, base = figures[places[places >= 0]].sum(0) + end
+                taken = steps(words)
+                spot = np.minimum(np.searchsorted(hand, taken), len(hand) - 1)
+                there = hand[spot] == taken
+                lines = [(f" {row}", 0, len(words) + 1, int(known), base, hand_prices[spot[there]].sum())]
                 others = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
-                lines += [(w, n, 0, 0, 0.0, 0.0) for w, n in others.items()]
+                lines += [("w" + w.decode(), n, 0, 0, 0.0, 0.0) for w, n in others.items()]
+                rest, counts = np.unique(taken[~there], return_counts=True)
+                lines += [(f"s{s}", n, 0, 0, 0.0, 0.0) for s, n in zip(rest.tolist(), counts.tolist())]
                 for line in lines:
                     for column, value in zip(out, (row, doc_id, *line)):
                         column.append(value)
@@ -219,42 +228,48 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     The text is lower-cased (A-Z) and read as its words with one space behind each, then one
     end. ``score`` is its log10 probability under a byte model pretrained on the rows that
-    are not held out: PPM with contexts of up to 5 bytes that reach back to the space before
-    the word, PPMD escapes and symbol exclusion. As no context crosses a space, the price of
-    a word is computed once per distinct word. ``base_score`` is the add-one unigram score
-    of the same tokens. NULL and empty texts are the end alone; NULL ids are learnt from.
-    Without rows to learn from all symbols are equally likely.
-
-    Word counts are gathered over all rows and pre-aggregated in the tasks. The commonest
-    words and context prices, in bounded number, are on all executors; every other one is
+    are not held out: PPM with contexts of up to 5 bytes, PPMD escapes and symbol exclusion.
+    ``base_score`` is the add-one unigram score of the words and the end. NULL and empty texts
+    are the end alone; NULL ids are learnt from. Without rows to learn from all symbols are
+    equally likely.
+
+    Counts are gathered over all rows and pre-aggregated in the tasks. The commonest words
+    and steps, in bounded number, are priced on all executors at hand; every other one is
     joined, so the result does not depend on those bounds.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("raw"))
-    words = stage(rows.select(held_out(F.col("doc_id")).alias("held"), "raw")
-                  .mapInArrow(_word_counts, "word binary, n long")
-                  .groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    marked = rows.select(held_out(F.col("doc_id")).alias("held"), "raw")
+    words = stage(marked.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(
+        F.sum("n").alias("n")), "counts")
     total, kinds, ends = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)),
-        F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
-    priced = price_words(words.union(spark.createDataFrame(
-        [(bytearray(END), 0)], words.schema)).groupBy("word").agg(F.sum("n").alias("n")))
+        F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
     base = float(total + kinds + 1)
-    short = priced.filter(F.octet_length("word") <= KEPT_WORD_BYTES)
-    most = short.orderBy(F.desc("n"), "word").limit(KEPT_WORDS).collect()
-    end_price = priced.filter(F.col("word") == F.lit(END)).first().price
-    figures = np.array([((r.n > 0), np.log10((r.n + 1) / base), r.price) for r in most], float)
+    priced = stage(prices(stage(marked.mapInArrow(_step_counts, "step long, n long").groupBy("step").agg(
+        F.sum("n").alias("n")), "steps")), "prices")
+    short = words.filter((F.octet_length("word") <= KEPT_WORD_BYTES) & (F.col("word") != END))
+    common = short.orderBy(F.desc("n"), "word").limit(KEPT_WORDS).collect()
+    figures = np.array([(r.n > 0, np.log10((r.n + 1) / base)) for r in common], float).reshape(-1, 2)
+    taken = priced.orderBy(F.desc("n"), "step").limit(KEPT_STEPS).select("step", "price").toArrow()
+    order = np.argsort(taken.column("step").to_numpy())
+    hand = taken.column("step").to_numpy()[order] if len(order) else np.array([-1])
+    hand_prices = taken.column("price").to_numpy()[order] if len(order) else np.array([0.0])
     kept = spark.sparkContext.broadcast(
-        ({bytes(r.word): i for i, r in enumerate(most)}, figures.reshape(-1, 3),
-         np.array([ends > 0, np.log10((ends + 1) / base), end_price], float)))
-    parts = rows.mapInArrow(_scorer(kept), "row long, doc_id long, word binary, times long, "
+        ({r.word.encode(): i for i, r in enumerate(common)}, figures,
+         np.array([ends > 0, np.log10((ends + 1) / base)], float), hand, hand_prices))
+    parts = rows.mapInArrow(_scorer(kept), "row long, doc_id long, key string, times long, "
                             "n_tokens long, n_known long, base double, score double")
-    n, times = F.col("n"), F.col("times")
-    return (parts.join(priced, "word", "left").groupBy("row").agg(
+    each = words.select(F.concat(F.lit("w"), "word").alias("key"), (F.col("n") > 0).cast("long").alias("known"),
+                        F.log10((F.col("n") + 1) / F.lit(base)).alias("base_each"), F.lit(0.0).alias("score_each"))
+    each = each.union(priced.select(F.concat(F.lit("s"), F.col("step").cast("string")), F.lit(0).cast("long"),
+                                    F.lit(0.0), "price"))
+    times = F.col("times")
+    return (parts.join(each, "key", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(n > 0, times).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.coalesce(times * F.log10((n + 1) / F.lit(base)), F.lit(0.0))).alias("base_score"),
-        F.sum(F.col("score") + F.coalesce(times * F.col("price"), F.lit(0.0))).alias("score"))
+        F.sum(F.col("n_known") + F.coalesce(times * F.col("known"), F.lit(0))).alias("n_known"),
+        F.sum(F.col("base") + F.coalesce(times * F.col("base_each"), F.lit(0.0))).alias("base_score"),
+        F.sum(F.col("score") + F.coalesce(times * F.col("score_each"), F.lit(0.0))).alias("score"))
         .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
                 F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"))
