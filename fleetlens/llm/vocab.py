@@ -54,21 +54,39 @@ _KEPT_WORDS = 500_000
 _WORD = re.compile(f"[^{_SPACE}]+")
 
 
+#: Letters, then marks without an apostrophe: a border of both tokenizers' patterns between them.
+_CORE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
 @lru_cache(maxsize=1)
-def _known(text: str) -> dict[str, bytes]:
-    return {}
+def _known(text: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    return {}, {}
+
+
+def _encode_into(library: Tokenizer, known: dict[str, bytes], words: list[str]) -> None:
+    for at in range(0, len(words), 4096):
+        part = words[at:at + 4096]
+        for word, coded in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
+            known[word] = np.array(coded.ids, "<u4").tobytes()
 
 
 def payloads(text: str, documents: list[str]) -> list[bytes]:
     """Ids of whole documents as little-endian 32-bit integers, for a vocabulary that drops
-    white space: each distinct word is encoded once per worker while it is kept."""
-    known, library = _known(text), load(text)
+    white space and case: each distinct word is encoded once per worker while it is kept, and
+    words that differ in ASCII case or in the marks behind them share the work."""
+    (known, cores), library = _known(text), load(text)
     words = [_WORD.findall(d) for d in documents]
-    if len(known) > _KEPT_WORDS:
-        known.clear()
+    for kept in (known, cores):
+        if len(kept) > _KEPT_WORDS:
+            kept.clear()
     fresh = [w for w in dict.fromkeys(w for own in words for w in own) if w not in known]
-    for at in range(0, len(fresh), 4096):
-        part = fresh[at:at + 4096]
-        for word, coded in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
-            known[word] = np.array(coded.ids, "<u4").tobytes()
+    split = []
+    for word in fresh:
+        found = _CORE.match(word)
+        core, marks = found.groups() if found else (word, "")
+        split.append((core.lower() if found and core.isascii() else core, marks))
+    new = dict.fromkeys(part for both in split for part in both if part and part not in cores)
+    _encode_into(library, cores, list(new))
+    for word, (core, marks) in zip(fresh, split):
+        known[word] = cores[core] + cores[marks] if marks else cores[core]
     return [b"".join(map(known.__getitem__, own)) for own in words]
