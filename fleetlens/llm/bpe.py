@@ -64,11 +64,8 @@ def _seal(words: dict[str, int]) -> str:
     return f"{len(words)}:{zlib.crc32(chr(0).join(words).encode())}"
 
 
-def _buckets(words: dict[str, int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words, the bucket of each, and their numbers ordered by bucket."""
-    spelled = [w.encode() for w in words]
-    found = np.fromiter((zlib.crc32(w) % BUCKETS for w in spelled), np.uint16, len(spelled))
-    return spelled, found, np.argsort(found, kind="stable")
+def _buckets(spelled: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, spelled), np.uint32, len(spelled)) % BUCKETS
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Numbers, list]]:
@@ -91,7 +88,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Numbers,
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, words, _ in _blocks(batches):
-        spelled, found, order = _buckets(words)
+        spelled = [w.encode() for w in words]
+        found = _buckets(spelled)
+        order = np.argsort(found, kind="stable")
         present, starts = np.unique(found[order], return_index=True)
         payloads = [_pack_parts([spelled[i] for i in part.tolist()])
                     for part in np.split(order, starts[1:])] if len(order) else []
@@ -104,7 +103,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, words, rows in _blocks(batches):
         seal = _seal(words)
-        table = zlib.compress(_buckets(words)[1].tobytes(), 1)
+        table = zlib.compress(_buckets([w.encode() for w in words]).astype(np.uint16).tobytes(), 1)
         yield pa.record_batch([[block], [False], pa.array([None], pa.int64()), [seal],
                                pa.array([len(words)], pa.int32()), [table]], schema=_DOC_ROWS)
         for at in range(0, len(rows), 1024):
@@ -145,8 +144,8 @@ def _word_ids(answers: pa.Table, buckets: np.ndarray) -> list[bytes]:
     starts = np.searchsorted(buckets[order], np.arange(BUCKETS)).tolist()
     table: list[bytes | None] = [None] * len(buckets)
     for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload")):
-        start = starts[bucket]
-        for number, ids in zip(order[start:], _unpack_parts(payload.as_py())):
+        parts = _unpack_parts(payload.as_py())
+        for number, ids in zip(order[starts[bucket]:starts[bucket] + len(parts)], parts):
             table[number] = ids
     if None in table:
         raise ValueError("a block did not get the ids of all its words")
