@@ -152,12 +152,14 @@ def op2_line_dedup(spark, sf_dir):
 
 
 @query("""
-with e as (select vec_id, label, embedding::double[] v,
+with e as (select vec_id, label, list_transform(embedding, lambda x: coalesce(x, 0)::double) v,
     coalesce(label is not null and embedding is not null
         and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) ok from embeddings),
-links as (select a.vec_id a, b.vec_id b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id
-    and a.ok and b.ok and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98),
+good as (select * from e where ok),
+links as (select a.vec_id a, b.vec_id b from good a join good b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where list_cosine_similarity(a.v, b.v) >= 0.98),
 reach as (with recursive r(a, b) as (select vec_id, vec_id from e union
     select r.a, links.b from r join links on r.b = links.a) select a, min(b) root from r group by a),
 n as (select a, count(*) n from links group by a)
