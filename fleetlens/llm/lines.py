@@ -11,6 +11,9 @@ from fleetlens.llm.common import keyed, stage
 _SPACES = r"[\x20\x09-\x0D]+"
 #: Hash buckets of word counts: a word's rarity is the count of its bucket, in 1.2-fold steps.
 RARITY_BUCKETS = 1 << 18
+#: Removed line numbers (8 bytes each) up to which they are sent to all executors; beyond, the
+#: same join shuffles the texts.
+BROADCAST_NUMBERS = 8_000_000
 #: Characters of six bits each of the set filter that thins a scan before an exact join.
 FILTER_CHARACTERS = 1 << 20
 
@@ -70,60 +73,67 @@ def _ordered(line: Column, rarity: str) -> Column:
     return F.sort_array(F.transform(_word_hashes(line), key))
 
 
-def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, links): every line with words as (doc_id, sig, line_no, cls), and all pairs (a, b)
-    of classes with a Jaccard similarity of 4/5 or more.
+def similar_lines(docs: DataFrame, doc_id: str = "doc_id",
+                  text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, classes, links): every line with words as (doc_id, sig, line_no, cls), the
+    classes as (cls, no, first), and all pairs (a, b) of class numbers with a Jaccard
+    similarity of 4/5 or more.
 
     A class is a set of words, so copies enter the join once. Of each set's words, rarest
-    first, only the prefix that two similar sets must share a word in is joined; pairs whose
-    sizes or word positions rule out the overlap are left out, and the rest is verified on all
-    words. Words are told apart by 56 bits of their hash and the rarity level.
+    first, only the prefix that two similar sets must share a word in is joined. Pairs whose
+    sizes, word positions or parities (of words per hash value of six bits: at most one of 64
+    changes with each word that differs) rule out the overlap are left out, and the rest is
+    verified on all words. Words are told apart by 56 bits of their hash and the rarity level.
     """
     split = split_lines(docs, doc_id, text)
     rarity = _rarity(split)
     keys = split.select("doc_id", "sig", "line_no", _ordered(F.col("line"), rarity).alias("keys"))
+    parity = F.expr("aggregate(keys, 0L, (p, k) -> p ^ shiftleft(1L, cast(k & 63 as int)))")
     lines = stage(keys.filter(F.size("keys") > 0).select(
         "doc_id", "sig", "line_no", F.xxhash64("keys").alias("cls"), F.size("keys").alias("n"),
+        parity.alias("parity"), F.monotonically_increasing_id().alias("no"),
         F.expr("transform(slice(keys, 1, size(keys) - (4 * size(keys) + 4) div 5 + 1), k -> hash(k))")
         .alias("prefix")), "lines")
     place = F.struct("doc_id", "sig", "line_no")
-    classes = stage(lines.groupBy("cls", "n", "prefix").agg(F.min(place).alias("first")), "classes")
-    rows = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "key"))
+    classes = stage(lines.groupBy("cls").agg(
+        F.min("no").alias("no"), F.min(place).alias("first")), "classes")
+    rows = (lines.groupBy("cls", "n", "parity", "prefix").agg(F.min("no").alias("no"))
+            .select("no", "n", "parity", F.posexplode("prefix").alias("pos", "key")))
     x, y = rows.alias("x"), rows.alias("y")
-    near = F.expr("""(y.n < x.n or (y.n = x.n and y.cls < x.cls)) and 5 * y.n >= 4 * x.n
+    near = F.expr("""(y.n < x.n or (y.n = x.n and y.no < x.no)) and 5 * y.n >= 4 * x.n
         and y.pos <= y.n - (8 * y.n + 8) div 9
-        and least(x.n - x.pos, y.n - y.pos) >= (4 * (x.n + y.n) + 8) div 9""")
+        and least(x.n - x.pos, y.n - y.pos) >= (4 * (x.n + y.n) + 8) div 9
+        and bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)""")
     pairs = stage(x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(
-        F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "pairs")
-    asked = stage(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-                  .join(classes.select("cls", "first"), "cls")
-                  .select("cls", "first.*", F.xxhash64("first").alias("spot")), "asked")
+        F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct(), "pairs")
+    asked = stage(pairs.select(F.col("a").alias("no")).union(pairs.select("b")).distinct()
+                  .join(classes, "no").select("no", "first.*", F.xxhash64("first").alias("spot")), "asked")
     table = _filter_of(asked, "spot")
     found = split.filter(_may_hold(table, F.xxhash64(place))).alias("s").join(
         asked.alias("q"), F.col("s.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("s.sig") == F.col("q.sig"))
         & (F.col("s.line_no") == F.col("q.line_no"))).select(
-        "cls", _word_hashes(F.col("line")).alias("words")).dropDuplicates(["cls"])
+        "no", _word_hashes(F.col("line")).alias("words")).dropDuplicates(["no"])
     words = stage(found, "words")
-    a = words.select(F.col("cls").alias("a"), F.col("words").alias("left"))
-    b = words.select(F.col("cls").alias("b"), F.col("words").alias("right"))
+    a = words.select(F.col("no").alias("a"), F.col("words").alias("left"))
+    b = words.select(F.col("no").alias("b"), F.col("words").alias("right"))
     links = pairs.join(a, "a").join(b, "b").filter(
         9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right")))
-    return lines.select("doc_id", "sig", "line_no", "cls"), stage(links.select("a", "b"), "links")
+    return lines.select("doc_id", "sig", "line_no", "cls"), classes, stage(links.select("a", "b"), "links")
 
 
-def _removed(lines: DataFrame, links: DataFrame) -> DataFrame:
+def _removed(lines: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, of, gone): numbers of the lines of each document that an earlier similar line precedes."""
-    firsts = stage(lines.groupBy("cls").agg(
-        F.min(F.struct("doc_id", "sig", "line_no")).alias("first")), "firsts")
-    both = links.union(links.select("b", "a")).toDF("cls", "other")
-    best = (both.join(firsts.withColumnRenamed("cls", "other"), "other")
-            .groupBy("cls").agg(F.min("first").alias("best")))
-    bounds = firsts.join(best, "cls", "left").select(
+    both = links.union(links.select("b", "a")).toDF("no", "other")
+    best = (both.join(classes.select(F.col("no").alias("other"), "first"), "other")
+            .groupBy("no").agg(F.min("first").alias("best")))
+    bounds = classes.join(best, "no", "left").select(
         "cls", F.least("first", F.coalesce("best", "first")).alias("bound"))
     later = lines.join(bounds, "cls").filter(
         F.struct("doc_id", "sig", "line_no") > F.col("bound"))
-    return stage(later.groupBy(F.col("doc_id").alias("id"), F.col("sig").alias("of")).agg(
+    gone = stage(later.groupBy(F.col("doc_id").alias("id"), F.col("sig").alias("of")).agg(
         F.array_distinct(F.collect_list("line_no")).alias("gone")), "gone")
+    numbers = gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
+    return F.broadcast(gone) if numbers <= BROADCAST_NUMBERS else gone
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
