@@ -21,8 +21,10 @@ def is_begin(line: Column) -> Column:
     return line.contains(BEGIN_LINE) & (F.btrim(line, F.lit(_BLANKS)) == BEGIN_LINE)
 
 
-def is_commit(line: Column) -> Column:
-    return line.contains(COMMIT_MARK)
+def is_commit(line: Column, mode: str = "compat") -> Column:
+    """The line holds the commit marker; ``strict`` does not take it from a row image."""
+    found = line.contains(COMMIT_MARK)
+    return found & ~is_row_text(line) if mode == "strict" else found
 
 
 def is_row_text(line: Column) -> Column:

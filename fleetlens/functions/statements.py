@@ -1,7 +1,7 @@
 """Table references of a SQL statement, with built-in expressions only.
 
-Supported grammar: names after FROM, any JOIN, INTO, UPDATE, TABLE, COPY, DESCRIBE-free;
-``schema.table``, back-quoted names, aliases with or without AS, comma lists (not after
+Supported grammar: names after FROM, any word ending in JOIN, INTO, a bare INSERT or
+TRUNCATE, UPDATE, TABLE, COPY; ``schema.table``, back-quoted names, aliases with or without AS, comma lists (not after
 INTO), sub-selects. Literals and comments are removed first. A keyword in the place of a
 name, or anything unreadable, gives no reference; the result is then an empty array. Not
 seen: names that follow a sub-select in a comma list.
@@ -26,16 +26,21 @@ RESERVED = (
     "update", "use", "using", "value", "values", "when", "where", "window", "with", "write",
     "read")
 
-_WORD = r"(?:`[^`]+`|(?!(?:" + "|".join(RESERVED) + r")\b)[\p{L}_$][\p{L}\p{N}_$]*)"
-_NAME = _WORD + r"(?:\s*\.\s*(?:`[^`]+`|[\p{L}_$][\p{L}\p{N}_$]*))?"
+# A bare name may begin with digits but holds a letter, ``_`` or ``$``.
+_BARE = r"\p{N}*[\p{L}_$][\p{L}\p{N}_$]*"
+_QUOTED = r"`(?:[^`]|``)+`"
+_WORD = r"(?:" + _QUOTED + r"|(?!(?:" + "|".join(RESERVED) + r")\b)" + _BARE + r")"
+_NAME = _WORD + r"(?:\s*\.\s*(?:" + _QUOTED + "|" + _BARE + r"))?"
 _REF = _NAME + r"(?:\s+(?:as\s+)?" + _WORD + r")?"
 _MODIFIERS = r"(?:(?:low_priority|high_priority|delayed|quick|ignore|only|if\s+not\s+exists|if\s+exists)\s+)*"
-_LEAD = r"(?:(?:from|join|update|table|copy)|into(?:\s+table)?)\s+" + _MODIFIERS
-_LISTED = (r"(?i)\b(?:into\s+(?:table\s+)?" + _MODIFIERS + _REF
-           + r"|(?:from|join|update|table|copy)\s+" + _MODIFIERS
+_VERBS = r"(?:from|[a-z_]*join|update|table|copy|truncate(?!\s+table\b))"
+_INTO = r"(?:into(?:\s+table)?|insert(?:\s+(?:low_priority|high_priority|delayed|ignore))*(?!\s+into\b))"
+_LEAD = r"(?:" + _VERBS + "|" + _INTO + r")\s+" + _MODIFIERS
+_LISTED = (r"(?i)\b(?:" + _INTO + r"\s+" + _MODIFIERS + _REF
+           + r"|" + _VERBS + r"\s+" + _MODIFIERS
            + _REF + r"(?:\s*,\s*" + _REF + r")*)")
-_PARTS = (r"(?i)^(?:(`[^`]+`|[\p{L}\p{N}_$]+)\s*\.\s*)?(`[^`]+`|[\p{L}\p{N}_$]+)"
-          r"(?:\s+(?:as\s+)?(`[^`]+`|[\p{L}\p{N}_$]+))?$")
+_PIECE = r"(" + _QUOTED + r"|[\p{L}\p{N}_$]+)"
+_PARTS = r"(?i)^(?:" + _PIECE + r"\s*\.\s*)?" + _PIECE + r"(?:\s+(?:as\s+)?" + _PIECE + r")?$"
 
 _COMMENTS = r"(?s)/\*.*?\*/|(?m:--[ \t].*$)|(?m:--$)|(?m:#.*$)"
 _LITERALS = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\""
@@ -61,7 +66,9 @@ def extract_tables(sql: Column) -> Column:
     refs = F.flatten(F.transform(clauses, lambda x: F.split(
         F.regexp_replace(x, "(?i)^" + _LEAD, ""), ",")))
     parts = F.transform(refs, lambda r: F.split(
-        F.translate(F.regexp_replace(F.btrim(r), _PARTS, "$1\u0001$2\u0001$3"), "`", ""),
+        F.replace(F.replace(F.replace(
+            F.regexp_replace(F.btrim(r), _PARTS, "$1\u0001$2\u0001$3"),
+            F.lit("``"), F.lit("\u0002")), F.lit("`"), F.lit("")), F.lit("\u0002"), F.lit("`")),
         "\u0001"))
 
     def part(p: Column, i: int) -> Column:

@@ -123,7 +123,7 @@ def backup_chain(ledger: DataFrame) -> DataFrame:
 def last_checkpoint_lsn(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Value of the last ``to_lsn = N`` line per key; the aggregate keeps two numbers."""
     found = lines.filter(F.col("line").contains("to_lsn"))
-    value = as_bigint(F.btrim(F.element_at(F.split("line", "="), 2)))
+    value = as_bigint(F.btrim(F.try_element_at(F.split("line", "="), F.lit(2))))
     return found.groupBy(*keys).agg(F.max_by(value, "line_no").alias("to_lsn"))
 
 
@@ -134,9 +134,14 @@ def uncovered_instances(instances: DataFrame, policies: DataFrame) -> DataFrame:
     return instances.join(named, list(HOST), "left_anti")
 
 
+def _typed(*frames: DataFrame) -> list[str]:
+    return ["backup_type"] if all("backup_type" in f.columns for f in frames) else []
+
+
 def policy_sync(policies: DataFrame, installed: DataFrame) -> DataFrame:
-    """What turns the installed jobs into the policies: add, remove or change."""
-    keys = ["backup_port", "backup_ip"]
+    """What turns the installed jobs into the policies: add, remove or change. Where both
+    sides carry ``backup_type``, a host has one job of each type."""
+    keys = ["backup_port", "backup_ip", *_typed(policies, installed)]
     wanted = policies.select(*keys, F.col("backup_cron").alias("policy_cron"),
                              F.lit(True).alias("_wanted"))
     present = installed.select(*keys, F.col("backup_cron").alias("installed_cron"),
@@ -151,11 +156,15 @@ def policy_sync(policies: DataFrame, installed: DataFrame) -> DataFrame:
 def expired_backups(ledger: DataFrame, policies: DataFrame, as_of: str,
                     default_days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:
     """Backups past their retention that are not deleted yet. The cutoff of the shortest
-    possible retention is no constant, so the day filter sits above the policy join."""
-    keep = policies.select(F.col("backup_port").alias("instance_port"),
-                           F.col("backup_ip").alias("instance_ip"), "backup_retention")
+    possible retention is no constant, so the day filter sits above the policy join. Where
+    both sides carry ``backup_type``, a backup follows the policy of its type; of several
+    policies for the same key the longest retention holds."""
+    keys = [*HOST, *_typed(ledger, policies)]
+    keep = (policies.withColumnsRenamed({"backup_port": "instance_port",
+                                         "backup_ip": "instance_ip"})
+            .groupBy(*keys).agg(F.max("backup_retention").alias("backup_retention")))
     days = F.coalesce(F.col("backup_retention"), F.lit(default_days)).cast("int")
-    return (ledger.filter(F.col("isdelete") != "yes").join(keep, list(HOST), "left")
+    return (ledger.filter(F.col("isdelete") != "yes").join(keep, keys, "left")
             .withColumn("retention_days", days.cast("bigint")).drop("backup_retention")
             .filter(F.date_add(F.col("backup_day").cast("date"),
                                F.col("retention_days").cast("int"))

@@ -215,13 +215,14 @@ def instance_drift(variables: DataFrame, pairs: DataFrame, dynamic: DataFrame) -
             .withColumn("status", status).drop("_src", "_dest"))
 
 
-def variable_changes(history: DataFrame, tie: str = "event_id",
+def variable_changes(history: DataFrame, tie: str | None = None,
                      bucket: str = "day") -> DataFrame:
-    """Changes of a variable between consecutive snapshots of an instance. A busy variable
-    is split by ``bucket``; no task sorts its whole history."""
+    """Changes of a variable between consecutive snapshots of an instance; ``tie`` is a
+    column that orders rows of the same moment. A busy variable is split by ``bucket``; no
+    task sorts its whole history."""
     keyed = history.withColumn("_bucket", F.date_trunc(bucket, F.col("snapshot_ts"))
                                .cast("timestamp_ntz"))
-    order = ["snapshot_ts", tie]
+    order = ["snapshot_ts", *([tie] if tie else [])]
     seen = keyed.withColumn("_here", F.lit(True))
     moved = bucketed_offset(seen, ["instance", "name"], "_bucket", order,
                             {"value": "old_value", "_here": "_before"})

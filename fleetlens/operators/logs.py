@@ -43,7 +43,7 @@ def log_marks(lines: DataFrame, mode: str = "strict") -> DataFrame:
     hashed = line.startswith("#") & ~L.is_row_text(line) if strict else line.startswith("#")
     header = hashed if strict else F.lit(True)
     flags = dict(zip(_FLAGS, (
-        L.is_begin(line), L.is_commit(line), L.is_change(line, mode), hashed,
+        L.is_begin(line), L.is_commit(line, mode), L.is_change(line, mode), hashed,
         header & line.contains("end_log_pos") & line.contains("Table_map"),
         header & line.contains("end_log_pos") & line.contains("Xid"),
         header & line.contains("last_committed") & line.contains("sequence_number"))))
@@ -83,7 +83,7 @@ def assemble_transactions(lines: DataFrame, mode: str = "strict",
         (F.sum(commit).over(seen) - commit).alias("c"))
     totals = lines.groupBy("file", chunk).agg(
         F.count_if(L.is_begin(line)).alias("begins"),
-        F.count_if(L.is_commit(line)).alias("commits"))
+        F.count_if(L.is_commit(line, mode)).alias("commits"))
     offsets = exclusive_prefix(totals, ["file"], "chunk", ["begins", "commits"])
     placed = (marks.join(offsets, ["file", "chunk"])
               .withColumn("begin_ord", F.col("b") + F.col("begins"))
@@ -211,10 +211,11 @@ def log_window(lines: DataFrame, start_ts: str | None = None, stop_ts: str | Non
 
 def group_commit_stats(trx: DataFrame, bucket: str = "hour") -> DataFrame:
     """Commit groups (equal ``last_committed``) per file and time bucket, with the file
-    and grand totals as rollup rows (``level`` 0 detail, 1 file, 3 all)."""
-    groups = (trx.groupBy("file", F.date_trunc(bucket, "start_time").cast("timestamp_ntz")
-                          .alias("bucket_start"), "last_committed")
-              .agg(F.count("*").alias("n")))
+    and grand totals as rollup rows (``level`` 0 detail, 1 file, 3 all). A group belongs to
+    the bucket of its first start; transactions without ``last_committed`` are in none."""
+    first = F.date_trunc(bucket, F.min("start_time")).cast("timestamp_ntz")
+    groups = (trx.filter("last_committed is not null").groupBy("file", "last_committed")
+              .agg(F.count("*").alias("n"), first.alias("bucket_start")))
     return groups.rollup("file", "bucket_start").agg(
         F.grouping_id().cast("bigint").alias("level"),
         F.count("*").alias("n_groups"), F.sum("n").alias("n_transactions"),

@@ -19,8 +19,10 @@ def _climb(instances: DataFrame, scope: Sequence[str], node: str, parent: str) -
     """Per node: ``state`` (done, orphan, cycle), root, level and path from the root."""
     ensure_checkpoint_dir(instances.sparkSession)
     scope = list(scope)
+    instances = instances.groupBy(*scope, F.col(node).alias(node)).agg(
+        F.min(parent).alias(parent))
     known = instances.select(*scope, F.col(node).alias("_parent"),
-                             F.lit(True).alias("_known")).distinct()
+                             F.lit(True).alias("_known"))
     nodes = (instances.select(*scope, F.col(node).alias("node"),
                               F.col(parent).alias("_parent"))
              .join(known, [*scope, "_parent"], "left"))
@@ -53,7 +55,9 @@ def replication_tree(instances: DataFrame, scope: Sequence[str] = ("cluster",),
                      node: str = "ip", parent: str = "master_ip") -> DataFrame:
     """Level and path of each instance under its root; sorting by (scope, path) gives
     depth-first order. A root has no master ('' or NULL). Keys are (scope, node), so equal
-    addresses in two clusters stay apart; orphans and cycles are in ``tree_anomalies``."""
+    addresses in two clusters stay apart; orphans and cycles are in ``tree_anomalies``. Rows
+    that repeat a node are one, below the smallest master named; instances that share an
+    address need a ``node`` column that tells them apart, such as address and port."""
     climbed = _climb(_rooted(instances, parent), scope, node, parent)
     return climbed.filter("up is null and not lost").select(
         *scope, F.col("node").alias(node), "level",
@@ -63,11 +67,16 @@ def replication_tree(instances: DataFrame, scope: Sequence[str] = ("cluster",),
 def tree_anomalies(instances: DataFrame, scope: Sequence[str] = ("cluster",),
                    node: str = "ip", parent: str = "master_ip") -> DataFrame:
     """Instances in no tree: ``orphan`` (some master above is unknown) or ``cycle`` (on a
-    cycle or below one)."""
-    climbed = _climb(_rooted(instances, parent), scope, node, parent)
+    cycle or below one); and nodes with rows that name different masters (``masters``)."""
+    rooted = _rooted(instances, parent)
+    climbed = _climb(rooted, scope, node, parent)
+    named = F.coalesce(F.col(parent).cast("string"), F.lit(""))
+    torn = rooted.groupBy(*scope, F.col(node).alias(node)).agg(
+        F.min(named).alias("_low"), F.max(named).alias("_high")).filter("_low <> _high")
     return climbed.filter("up is not null or lost").select(
         *scope, F.col("node").alias(node),
-        F.when(F.col("lost"), "orphan").otherwise("cycle").alias("anomaly"))
+        F.when(F.col("lost"), "orphan").otherwise("cycle").alias("anomaly")).unionByName(
+        torn.select(*scope, node, F.lit("masters").alias("anomaly")))
 
 
 def _rooted(instances: DataFrame, parent: str) -> DataFrame:

@@ -25,26 +25,27 @@ PROCESSLIST = _schema(
     rows_sent="long", rows_examined="long")
 INNODB_TRX = _schema(
     instance="long", snapshot_ts="time", trx_id="long", trx_state="string",
-    trx_started="time", trx_wait_started="time", requested_lock_id="long",
+    trx_started="time", trx_wait_started="time", requested_lock_id="string",
     thread_id="long", trx_query="string", tables_in_use="long", tables_locked="long",
     isolation_level="string", rows_modified="long")
 LOCK_WAITS = _schema(instance="long", snapshot_ts="time", requesting="long",
-                     blocking="long", lock_id="long")
-LOCKS = _schema(instance="long", snapshot_ts="time", lock_id="long", lock_mode="string",
+                     blocking="long", lock_id="string")
+LOCKS = _schema(instance="long", snapshot_ts="time", lock_id="string", lock_mode="string",
                 lock_type="string", lock_table="string", lock_index="string")
 METADATA_LOCKS = _schema(
-    instance="long", owner_thread_id="long", object_type="string", object_schema="string",
+    instance="long", snapshot_ts="time", owner_thread_id="long", object_type="string", object_schema="string",
     object_name="string", lock_type="string", lock_duration="string", lock_status="string")
-THREADS = _schema(instance="long", id="long", thread_id="long")
-OPEN_TABLES = _schema(instance="long", database="string", table="string", in_use="long")
-SERVER_FACTS = _schema(instance="long", name="string", value="string")
+THREADS = _schema(instance="long", snapshot_ts="time", id="long", thread_id="long")
+OPEN_TABLES = _schema(instance="long", snapshot_ts="time", database="string", table="string",
+                      in_use="long")
+SERVER_FACTS = _schema(instance="long", snapshot_ts="time", name="string", value="string")
 CATALOG_TABLES = _schema(table_name="string", create_sql="string")
 CATALOG_COLUMNS = _schema(table_name="string", column_name="string", type="string",
                           nullable="string", column_key="string", default_value="string",
                           extra="string")
 CATALOG_INDEXES = _schema(table_name="string", key_name="string", seq_in_index="long",
                           column_name="string", nullable="string")
-VARIABLES = _schema(instance="long", name="string", value="string")
+VARIABLES = _schema(instance="long", snapshot_ts="time", name="string", value="string")
 LEDGER = _schema(
     instance_port="long", stage="string", stage_status="string", message="string",
     instance_ip="string", backup_type="string", backup_begin_time="time",
@@ -65,11 +66,12 @@ _OPTIONAL = ("instance", "snapshot_ts")
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The contract's columns, in order and cast; names match without case. Columns of the
-    contract that are missing raise, columns beyond it are pruned from the scan."""
+    contract that are missing raise, columns beyond it are pruned from the scan. A cell that
+    does not fit its type becomes NULL; it does not fail the job."""
     have = {c.lower(): c for c in df.columns}
     missing = [f.name for f in schema
                if f.name not in have and f.name not in _OPTIONAL]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")
-    return df.select(*[F.col(f"`{have[f.name]}`").cast(f.dataType).alias(f.name)
+    return df.select(*[F.col(f"`{have[f.name]}`").try_cast(f.dataType).alias(f.name)
                        for f in schema if f.name in have])

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
+from fleetlens.operators.ordered import moment_keys
+
+# Largest file that is read as one value, the limit of Spark's binary source.
+WHOLE_FILE_BYTES = 2_000_000_000
 
 
 def scan_processlist(df: DataFrame) -> DataFrame:
@@ -33,10 +37,11 @@ def scan_variables(df: DataFrame) -> DataFrame:
 
 
 def variables_map(variables: DataFrame) -> DataFrame:
-    """One MAP per instance, for callers at the edge; a server has some hundred names."""
-    entry = F.struct("name", "value")
-    return variables.groupBy("instance", "name").agg(F.max("value").alias("value")).groupBy(
-        "instance").agg(F.map_from_entries(F.collect_list(entry)).alias("variables"))
+    """One MAP per instance and moment, for callers at the edge; a server has some hundred
+    names."""
+    entry, keys = F.struct("name", "value"), moment_keys(variables)
+    return variables.groupBy(*keys, "name").agg(F.max("value").alias("value")).groupBy(
+        *keys).agg(F.map_from_entries(F.collect_list(entry)).alias("variables"))
 
 
 def scan_policies(df: DataFrame) -> DataFrame:
@@ -65,9 +70,14 @@ def append_ledger(df: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("backup_day").parquet(path)
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Size and MD5 of each file. The source reads a file as one value, at most 2 GiB;
-    larger backups are listed in chunks by whoever wrote them.
+def file_manifest(spark: SparkSession, path: str, chunks: DataFrame | None = None,
+                  whole: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Size, checksum and ``checksum_of`` of each file of any size.
+
+    Sizes come from the listing, without the content. Files of up to ``whole`` bytes have the
+    MD5 of their content ("content"). Larger ones have the MD5 of the checksums of their
+    chunks, in order, if ``chunks`` (file, chunk_no, checksum) names them ("chunks"), else
+    NULL ("too large").
 
     Spark's scans pass over empty files, and an empty backup is what one looks for, so the
     listed paths (which the driver holds anyway) that were not read are added.
@@ -79,11 +89,24 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     name = one_form("_metadata.file_path")
     listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(
         one_form("path"))
-    empty = listed.join(files.select(name), "file", "left_anti")
-    return files.select(name, F.col("length").alias("size_bytes"),
-                        F.md5("content").alias("checksum")).unionByName(empty.select(
+    size = F.col("length").alias("size_bytes")
+    small = files.filter(F.col("length") <= whole).select(
+        name, size, F.md5("content").alias("checksum"), F.lit("content").alias("checksum_of"))
+    large = files.filter(F.col("length") > whole).select(name, size)
+    if chunks is None:
+        large = large.withColumn("checksum", F.lit(None).cast("string"))
+    else:
+        ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "checksum")))
+        known = chunks.select(one_form("file"), "chunk_no", "checksum").groupBy("file").agg(
+            F.md5(F.array_join(F.transform(ordered, lambda c: c["checksum"]), "")
+                  .cast("binary")).alias("checksum"))
+        large = large.join(known, "file", "left").select("file", "size_bytes", "checksum")
+    large = large.withColumn("checksum_of", F.when(F.col("checksum").isNull(), "too large")
+                             .otherwise("chunks"))
+    empty = listed.join(files.select(name), "file", "left_anti").select(
         "file", F.lit(0).cast("bigint").alias("size_bytes"),
-        F.md5(F.lit("").cast("binary")).alias("checksum")))
+        F.md5(F.lit("").cast("binary")).alias("checksum"), F.lit("content").alias("checksum_of"))
+    return small.unionByName(large).unionByName(empty)
 
 
 def content_manifest(df: DataFrame, id_col: str, content: str, *keep: str) -> DataFrame:

@@ -84,13 +84,16 @@ class TransactionAssembler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._open = handle.getListState("open", _MARK_SCHEMA)
         self._last = handle.getValueState("last", T.StructType(
-            [T.StructField("line_no", T.LongType())]))
+            [T.StructField("line_no", T.LongType()), T.StructField("first", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
                         timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).astype({n: "Int64" for n in _MARK_FIELDS})
-        seen = self._last.get()[0] if self._last.exists() else 0
-        batch = batch[batch["line_no"] > seen]        # a replay after a restart
+        seen, first = self._last.get() if self._last.exists() else (0, int(batch["line_no"].min()))
+        late = batch[batch["line_no"] < first]
+        if not late.empty:
+            raise ValueError(f"{key[0]}: {len(late)} lines before number {first}, the first one seen")
+        batch = batch[batch["line_no"] > seen]        # lines that are sent again
         if batch.empty:
             return
         batch = batch.drop_duplicates("line_no").sort_values("line_no")
@@ -99,7 +102,7 @@ class TransactionAssembler(StatefulProcessor):
         marks = pd.concat([carried.sort_values("line_no"), batch[list(_MARK_FIELDS)]],
                           ignore_index=True)
         done, kept = _assemble(marks)
-        self._last.update((int(batch["line_no"].max()),))
+        self._last.update((int(batch["line_no"].max()), first))
         if kept.empty:
             self._open.clear()
         else:
@@ -116,7 +119,8 @@ def stream_transactions(lines: DataFrame, mode: str = "strict") -> DataFrame:
     """Committed transactions of a line stream ``(file, line_no, line)``, in append mode.
 
     Needs the RocksDB state store. Within a file, lines must arrive in batches that do not
-    step back; ``line_no`` at or below the last one seen is taken as a replay.
+    step back: a line before the first one ever seen fails the stream, and one at or below
+    the last one seen is taken for a line that is sent again.
     """
     marks = log_marks(lines, mode).withColumn("ts", F.expr(
         "unix_micros(cast(ts as timestamp))")).withColumn("mask", F.col("mask").cast("bigint"))

@@ -1,5 +1,6 @@
 """Backup rules, replication trees, sources, sinks and the policy feed."""
 
+import hashlib
 import os
 
 import pytest
@@ -84,10 +85,9 @@ def test_expiry_and_default_retention(spark):
 
 # --- topology --------------------------------------------------------------------------
 
-SHAPE = [("10.9.0.1", None), ("10.9.0.2", "10.9.0.1"), ("10.9.0.3", "10.9.0.2"),
-         ("10.9.0.4", "10.9.0.2"), ("10.9.0.5", "10.9.0.3"), ("10.9.0.6", "10.9.0.3"),
-         ("10.9.0.7", "10.9.0.4"), ("10.9.0.8", "10.9.0.4"), ("10.9.0.9", "10.9.0.1"),
-         ("10.9.0.10", "10.9.0.8")]
+# Two trees of uneven depth in one cluster, listed leaves first.
+SHAPE = [("leaf-3", "mid-2"), ("leaf-2", "mid-1"), ("leaf-1", "mid-1"), ("mid-2", "mid-1"),
+         ("mid-1", "top-a"), ("solo", "top-b"), ("top-b", None), ("top-a", "")]
 
 
 def instances(spark, *clusters):
@@ -99,9 +99,8 @@ def instances(spark, *clusters):
 def test_golden_tree(spark):
     tree = topology.replication_tree(instances(spark, ("c", SHAPE)))
     printed = [(r["level"], r["ip"]) for r in topology.depth_first(tree).collect()]
-    assert printed == [(0, "10.9.0.1"), (1, "10.9.0.2"), (2, "10.9.0.3"), (3, "10.9.0.5"),
-                       (3, "10.9.0.6"), (2, "10.9.0.4"), (3, "10.9.0.7"), (3, "10.9.0.8"),
-                       (4, "10.9.0.10"), (1, "10.9.0.9")]
+    assert printed == [(0, "top-a"), (1, "mid-1"), (2, "leaf-1"), (2, "leaf-2"), (2, "mid-2"),
+                       (3, "leaf-3"), (0, "top-b"), (1, "solo")]
     assert topology.tree_anomalies(instances(spark, ("c", SHAPE))).count() == 0
 
 
@@ -110,15 +109,23 @@ def test_roots_orphans_cycles_and_equal_addresses(spark):
         spark, ("c1", [*SHAPE, ("r2", ""), ("s2", "r2"), ("lost", "nowhere"),
                        ("below_lost", "lost"), ("x", "z"), ("y", "x"), ("z", "y"),
                        ("below_cycle", "z"), ("self", "self")]),
-        ("c2", [("10.9.0.1", "10.9.0.2"), ("10.9.0.2", None)]))
+        ("c2", [("top-a", "solo"), ("solo", None)]))
     tree = topology.replication_tree(data)
     assert {(r["cluster"], r["root"]) for r in tree.collect()} == {
-        ("c1", "10.9.0.1"), ("c1", "r2"), ("c2", "10.9.0.2")}
+        ("c1", "top-a"), ("c1", "top-b"), ("c1", "r2"), ("c2", "solo")}
     assert rows(topology.tree_anomalies(data), "ip", "anomaly") == [
         ("below_cycle", "cycle"), ("below_lost", "orphan"), ("lost", "orphan"),
         ("self", "cycle"), ("x", "cycle"), ("y", "cycle"), ("z", "cycle")]
 
 
+def test_repeated_nodes_do_not_multiply(spark):
+    data = instances(spark, ("c", [("r", None), ("a", "r"), ("a", "r"), ("b", "a"), ("b", "a"),
+                                   ("d", "b"), ("e", "r"), ("e", "a")]))
+    tree = topology.replication_tree(data)
+    assert rows(tree, "ip", "level") == [("a", 1), ("b", 2), ("d", 3), ("e", 2), ("r", 0)]
+    assert rows(topology.tree_anomalies(data), "ip", "anomaly") == [("e", "masters")]
+
+
 def test_deep_chain_needs_few_rounds(spark):
     chain = [(f"n{i:03d}", f"n{i - 1:03d}" if i else None) for i in range(150)]
     tree = topology.replication_tree(instances(spark, ("c", chain)))
@@ -170,6 +177,42 @@ def test_report_sink(spark, tmp_path, fmt):
         src.write_report(df, str(tmp_path / "out"), "xml")
 
 
+def test_odd_checkpoint_lines(spark):
+    lines = spark.createDataFrame([("k", 1, "to_lsn = 7"), ("k", 2, "no to_lsn here"),
+                                   ("m", 1, "to_lsn missing")], "k string, line_no bigint, line string")
+    assert rows(backup.last_checkpoint_lsn(lines, ("k",)))[-1] == ("m", None)
+
+
+def test_two_policies_of_a_host(spark):
+    ledger = spark.sql("""select 1L as instance_port, 'a' as instance_ip, t as backup_type,
+        timestamp_ntz '2024-01-01 00:00:00' as backup_day, 'no' as isdelete
+        from values ('full'), ('incremental') v(t)""")
+    policy = spark.createDataFrame([(1, "a", "full", 7, "c1"), (1, "a", "incremental", 2, "c2")],
+                                   "backup_port bigint, backup_ip string, backup_type string, "
+                                   "backup_retention bigint, backup_cron string")
+    got = backup.expired_backups(ledger, policy, "2024-01-20 00:00:00")
+    assert rows(got, "backup_type", "retention_days") == [("full", 7), ("incremental", 2)]
+    assert backup.policy_sync(policy, policy).count() == 0
+
+
+def test_manifest_of_large_files(spark, tmp_path):
+    (tmp_path / "big").write_bytes(b"x" * 100)
+    (tmp_path / "small").write_bytes(b"y")
+    chunks = spark.createDataFrame([(f"file:{tmp_path}/big", 2, "b"), (f"file:{tmp_path}/big", 1, "a")],
+                                   "file string, chunk_no int, checksum string")
+    plain = src.file_manifest(spark, str(tmp_path), whole=10)
+    assert rows(plain, "size_bytes", "checksum_of") == [(1, "content"), (100, "too large")]
+    named = src.file_manifest(spark, str(tmp_path), chunks, whole=10).filter("size_bytes = 100")
+    assert rows(named, "checksum", "checksum_of") == [(hashlib.md5(b"ab").hexdigest(), "chunks")]
+
+
+def test_contracts_keep_the_moment(spark):
+    v = spark.sql("""select 1L as instance, t as snapshot_ts, 'a' as name, x as value from values
+        (timestamp_ntz '2024-01-01 00:00:00', '9'), (timestamp_ntz '2024-01-02 00:00:00', '1') v(t, x)""")
+    maps = src.variables_map(src.scan_variables(v)).collect()
+    assert {r["variables"]["a"] for r in maps} == {"1", "9"}
+
+
 def test_variables_map(spark):
     v = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", None)],
                               "instance bigint, name string, value string")

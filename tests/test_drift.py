@@ -175,7 +175,7 @@ def test_variable_changes_across_buckets(spark):
         id event_id, value from values ('2024-01-01 01:00:00', 1L, 'a'),
         ('2024-01-01 02:00:00', 2L, 'a'), ('2024-01-03 00:00:00', 3L, 'b'),
         ('2024-01-09 00:00:00', 4L, null), ('2024-01-09 00:00:00', 5L, 'c') x(t, id, value)""")
-    assert rows(drift.variable_changes(h), "event_id", "old_value", "new_value") == [
+    assert rows(drift.variable_changes(h, tie="event_id"), "event_id", "old_value", "new_value") == [
         (3, "a", "b"), (4, "b", None), (5, None, "c")]
 
 

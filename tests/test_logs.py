@@ -133,7 +133,17 @@ def test_ranked_window_pipeline(spark):
 def test_group_commit_levels(spark):
     found = logs.group_commit_stats(logs.assemble_transactions(frame(spark, LOG)))
     total = found.filter("level = 3").collect()[0]
-    assert (total["n_groups"], total["n_transactions"]) == (4, 5)
+    # One of the five has no last_committed and so is in no group.
+    assert total["n_groups"] == 3
+    assert total["n_transactions"] == logs.assemble_transactions(frame(spark, LOG)).filter(
+        "last_committed is not null").count()
+
+
+def test_group_over_an_hour_border_counts_once(spark):
+    trx = spark.sql("""select 'f' as file, cast(t as timestamp_ntz) as start_time, 4L as last_committed
+        from values ('2024-01-01 01:59:59'), ('2024-01-01 02:00:01') v(t)""")
+    found = logs.group_commit_stats(trx)
+    assert rows(found, "level", "n_groups", "n_transactions") == [(0, 1, 2), (1, 1, 2), (3, 1, 2)]
 
 
 def test_summary(spark):
@@ -218,6 +228,35 @@ def test_stream_equals_batch(spark, tmp_path, cuts, mode):
     assert rows(got, *cols) == rows(logs.assemble_transactions(lines, mode), *cols)
 
 
+def test_stream_fails_on_lines_before_the_first(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    numbered = list(enumerate(LOG, 1))
+    for i, part in enumerate((numbered[9:], numbered[:9])):
+        path = source / f"{i:03d}.json"
+        path.write_text("\n".join(spark_json("f", n, text) for n, text in part) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(frame(spark, LOG).schema).option(
+        "maxFilesPerTrigger", 1).json(str(source))
+    run = (stream_transactions(stream).writeStream.format("parquet")
+           .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
+           .trigger(availableNow=True).start())
+    with pytest.raises(Exception, match="the first one seen"):
+        run.awaitTermination()
+
+
 def spark_json(file, line_no, line):
     import json
     return json.dumps({"file": file, "line_no": line_no, "line": line})
+
+
+def test_commit_marker_inside_a_row_image(spark):
+    text = ["# at 100", "#240101 10:00:00 server id 1  end_log_pos 150 CRC32 0x1 \tTable_map: a",
+            "BEGIN", "### INSERT INTO `d`.`t`", "###   @1='COMMIT/*!*/;'", "### INSERT INTO `d`.`t`",
+            "###   @1='BEGIN'", "#240101 10:00:01 server id 1  end_log_pos 300 CRC32 0x2 \tXid = 7",
+            "COMMIT/*!*/;"]
+    df = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(text)],
+                               "file string, line_no bigint, line string")
+    found = logs.assemble_transactions(df).collect()
+    assert [(r["n_rows"], r["start_line"], r["end_line"], r["is_complete"]) for r in found] == [(2, 3, 9, True)]
+    assert len(logs.assemble_transactions(df, "compat").collect()) == 2

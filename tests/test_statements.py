@@ -31,6 +31,13 @@ CASES = [
     ("select * from order", []), ("select * from group where 1", []),
     ("select 1", []), ("commit", []), ("flush tables with read lock", []),
     ("", []), (None, []),
+    ("select * from a straight_join b", [(None, "a", None), (None, "b", None)]),
+    ("insert t values (1)", [(None, "t", None)]),
+    ("insert ignore t values (1)", [(None, "t", None)]),
+    ("insert ignore into t values (1)", [(None, "t", None)]),
+    ("truncate t1", [(None, "t1", None)]), ("truncate table t1", [(None, "t1", None)]),
+    ("select * from 2020_orders o", [(None, "2020_orders", "o")]),
+    ("select * from `we``ird` w", [(None, "we`ird", "w")]),
     ("select 'it''s from a' , 'b\\' from c' from d", [(None, "d", None)]),
 ]
 

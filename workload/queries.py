@@ -144,8 +144,9 @@ def q_log_window_position(spark, sf_dir):
 
 @query("""select file, bucket_start, cast(grouping(file, bucket_start) as bigint) as level,
  count(*) as n_groups, cast(sum(n) as bigint) as n_transactions, max(n) as largest_group
-from (select file, date_trunc('hour', start_time) as bucket_start, last_committed,
-        count(*) as n from {o_trx} group by all) g
+from (select file, date_trunc('hour', min(start_time)) as bucket_start, last_committed,
+        count(*) as n from {o_trx} where last_committed is not null
+        group by file, last_committed) g
 group by rollup (file, bucket_start)""")
 def q_group_commit_stats(spark, sf_dir):
     return logs.group_commit_stats(Inputs(spark, sf_dir).trx)
@@ -550,7 +551,7 @@ from (select *, lag(value) over w as old_value, row_number() over w as rn from {
       window w as (partition by instance, name order by snapshot_ts, event_id)) q
 where rn > 1 and old_value is distinct from value""")
 def q_variable_changes(spark, sf_dir):
-    return drift.variable_changes(Inputs(spark, sf_dir).m9_history)
+    return drift.variable_changes(Inputs(spark, sf_dir).m9_history, tie="event_id")
 
 
 # --- backups ---------------------------------------------------------------------------
