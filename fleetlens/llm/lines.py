@@ -73,17 +73,18 @@ def _ordered(line: Column, rarity: str) -> Column:
     return F.sort_array(F.transform(_word_hashes(line), key))
 
 
-def similar_lines(docs: DataFrame, doc_id: str = "doc_id",
-                  text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, links): every line with words as (doc_id, sig, line_no, cls), the
-    classes as (cls, no, first), and all pairs (a, b) of class numbers with a Jaccard
-    similarity of 4/5 or more.
+def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
+                   text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, classes, preceded): every line with words as (doc_id, sig, line_no, cls), the
+    classes as (cls, no, first), and the numbers of those with an earlier class that has a
+    Jaccard similarity of 4/5 or more.
 
     A class is a set of words, so copies enter the join once. Of each set's words, rarest
     first, only the prefix that two similar sets must share a word in is joined. Pairs whose
     sizes, word positions or parities (of words per hash value of six bits: at most one of 64
     changes with each word that differs) rule out the overlap are left out, and the rest is
-    verified on all words. Words are told apart by 56 bits of their hash and the rarity level.
+    verified on all words: for each class its earliest candidate, then, where that one fails,
+    all others, so a large group of near copies is not verified pair by pair. Words are told apart by 56 bits of their hash and the rarity level.
     """
     split = split_lines(docs, doc_id, text)
     rarity = _rarity(split)
@@ -114,22 +115,30 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id",
         & (F.col("s.line_no") == F.col("q.line_no"))).select(
         "no", _word_hashes(F.col("line")).alias("words")).dropDuplicates(["no"])
     words = stage(found, "words")
-    a = words.select(F.col("no").alias("a"), F.col("words").alias("left"))
-    b = words.select(F.col("no").alias("b"), F.col("words").alias("right"))
-    links = pairs.join(a, "a").join(b, "b").filter(
-        9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right")))
-    return lines.select("doc_id", "sig", "line_no", "cls"), classes, stage(links.select("a", "b"), "links")
-
-
-def _removed(lines: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    first = classes.select("no", "first")
+    turned = (pairs.join(first.toDF("a", "p"), "a").join(first.toDF("b", "q"), "b").select(
+        F.when(F.expr("p > q"), F.col("a")).otherwise(F.col("b")).alias("x"),
+        F.when(F.expr("p > q"), F.col("b")).otherwise(F.col("a")).alias("y"),
+        F.least("p", "q").alias("place")))
+    turned = stage(turned, "turned")
+    picked = turned.groupBy("x").agg(F.min(F.struct("place", "y")).alias("m")).select("x", "m.y")
+    sure = stage(_verified(picked, words), "sure")
+    rest = stage(_verified(turned.select("x", "y").join(sure, "x", "left_anti"), words), "rest")
+    return lines.select("doc_id", "sig", "line_no", "cls"), classes, sure.union(rest)
+
+
+def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The distinct x of pairs (x, y) whose words overlap enough."""
+    both = pairs.join(words.toDF("x", "left"), "x").join(words.toDF("y", "right"), "y")
+    return both.filter(9 * F.size(F.array_intersect("left", "right"))
+                       >= 4 * (F.size("left") + F.size("right"))).select("x").distinct()
+
+
+def _removed(lines: DataFrame, classes: DataFrame, preceded: DataFrame) -> DataFrame:
     """(id, of, gone): numbers of the lines of each document that an earlier similar line precedes."""
-    both = links.union(links.select("b", "a")).toDF("no", "other")
-    best = (both.join(classes.select(F.col("no").alias("other"), "first"), "other")
-            .groupBy("no").agg(F.min("first").alias("best")))
-    bounds = classes.join(best, "no", "left").select(
-        "cls", F.least("first", F.coalesce("best", "first")).alias("bound"))
-    later = lines.join(bounds, "cls").filter(
-        F.struct("doc_id", "sig", "line_no") > F.col("bound"))
+    marked = classes.join(preceded.select(F.col("x").alias("no"), F.lit(True).alias("late")), "no", "left")
+    later = lines.join(marked.select("cls", "first", "late"), "cls").filter(
+        F.col("late") | (F.struct("doc_id", "sig", "line_no") > F.col("first")))
     gone = stage(later.groupBy(F.col("doc_id").alias("id"), F.col("sig").alias("of")).agg(
         F.array_distinct(F.collect_list("line_no")).alias("gone")), "gone")
     numbers = gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
@@ -146,7 +155,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lines. Rows equal in id and text share their lines' places and keep the same lines.
     Columns named ``n_lines`` or ``n_removed`` are replaced.
     """
-    gone = _removed(*similar_lines(docs, doc_id, text))
+    gone = _removed(*preceded_lines(docs, doc_id, text))
     sig = F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0))
     joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("id")) & (sig == F.col("of")), "left")
     split = F.split(F.col(text), "\n")
