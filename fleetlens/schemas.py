@@ -47,8 +47,8 @@ CATALOG_INDEXES = _schema(table_name="string", key_name="string", seq_in_index="
                           column_name="string", nullable="string")
 VARIABLES = _schema(instance="long", snapshot_ts="time", name="string", value="string")
 LEDGER = _schema(
-    instance_port="long", stage="string", stage_status="string", message="string",
-    instance_ip="string", backup_type="string", backup_begin_time="time",
+    run_id="long", instance_port="long", stage="string", stage_ts="time", status="string",
+    message="string", to_lsn="long", instance_ip="string", backup_type="string", backup_begin_time="time",
     backup_end_time="time", backup_day="time", to_hdfs="string", to_hdfs_time="time",
     backup_file_checksum="string", backup_size="string", backup_file_name="string",
     expired="string", isdelete="string", backup_tool="string",

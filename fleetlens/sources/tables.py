@@ -64,9 +64,11 @@ def read_ledger(spark: SparkSession, path: str, since: str | None = None) -> Dat
 
 
 def append_ledger(df: DataFrame, path: str) -> None:
-    """Append rows, one folder per day. The rebalance gathers a day for few files and lets
+    """Append rows, one folder per day; columns a row source lacks are NULL. The rebalance gathers a day for few files and lets
     AQE split a day that is too large for one writer."""
-    rows = S.conform(df, S.LEDGER).hint("rebalance", F.col("backup_day"))
+    lacking = [f for f in S.LEDGER if f.name not in df.columns]
+    whole = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking})
+    rows = S.conform(whole, S.LEDGER).hint("rebalance", F.col("backup_day"))
     rows.write.mode("append").partitionBy("backup_day").parquet(path)
 
 

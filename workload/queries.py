@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import values
+from fleetlens.functions.ddl import parse_conn_url
 from fleetlens.functions.statements import extract_tables
 from fleetlens.operators import (backup, diagnosis, drift, locks, logs, ranges, threads,
                                  topology)
@@ -769,3 +770,101 @@ from {o_counts} where snapshot_ts + interval 1 day
  <= (select max(snapshot_ts) - interval 1 hour from {o_active})""")
 def q_stream_health(spark, sf_dir):
     return _drain(spark, stream_health(_follow(spark, sf_dir, "m1_processlist")), "health")
+
+
+# --- contracts and reports -------------------------------------------------------------
+
+def _report(name: str, source: str, columns: str) -> None:
+    """A report as a query: its columns of another query's rows."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return src.report(QUERIES[source](spark, sf_dir), name)
+    QUERIES[f"q_report_{name}"] = run
+    ORACLES[f"q_report_{name}"] = f"select {columns} from ({ORACLES[source]}) q"
+
+
+_report("processlist", "q_scan_processlist", """instance, snapshot_ts, id, "user", host, db,
+ command, "time", state, info, rows_sent, rows_examined""")
+_report("mdl_holders", "q_mdl_holders", """instance, id, "user", host, db, command, "time",
+ owner_thread_id, object_type, object_schema, object_name, lock_type, lock_duration, lock_status""")
+_report("long_transactions", "q_long_transactions", """instance, snapshot_ts, trx_id, trx_state,
+ trx_started, requested_lock_id, thread_id, trx_query, tables_in_use, tables_locked,
+ isolation_level, "user", host, db, info""")
+
+
+@query("""select w.instance, w.snapshot_ts, w.requesting, w.blocking,
+ cast(w.lock_id as varchar) as lock_id, l.lock_table from {m4_waits} w
+join {m5_locks} l on l.lock_id = w.lock_id and l.instance = w.instance
+ and l.snapshot_ts = w.snapshot_ts""")
+def q_scan_locks(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    found = src.scan_locks(i.m2_trx, i.m4_waits, i.m5_locks, i.m6_mdl, i.m3_threads)
+    return found["waits"].join(found["locks"], ["instance", "snapshot_ts", "lock_id"]).select(
+        "instance", "snapshot_ts", "requesting", "blocking", "lock_id", "lock_table")
+
+
+@query("""select table_name, column_name, "type", nullable, column_key, default_value, extra
+from {m8_columns}""")
+def q_scan_catalog(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return src.scan_catalog(i.m8_tables, i.m8_columns, i.m8_indexes)["columns"]
+
+
+@query("select instance, name, value from {m9_variables}")
+def q_scan_variables(spark, sf_dir):
+    return src.scan_variables(Inputs(spark, sf_dir).m9_variables)
+
+
+@query("""select cast(cluster as varchar) as cluster, cast(idx as varchar) as ip,
+ cast(3306 as bigint) as port, cast(master_idx as varchar) as master_ip from {m11_instances}""")
+def q_scan_instances(spark, sf_dir):
+    named = Inputs(spark, sf_dir).m11_instances.select(
+        F.col("cluster").alias("CLUSTER"), F.col("idx").alias("ip"), F.lit(3306).alias("port"),
+        F.col("master_idx").alias("master_ip"))
+    return src.scan_instances(named)
+
+
+@query("""select backup_cron, backup_ip, backup_port, 'tool' as backup_took, 'full' as backup_type,
+ backup_retention, cast(1 as bigint) as storage_id from {m10_policy}""")
+def q_scan_policies(spark, sf_dir):
+    return src.scan_policies(Inputs(spark, sf_dir).m10_policy.withColumns({
+        "backup_took": F.lit("tool"), "backup_type": F.lit("full"), "storage_id": F.lit("1")}))
+
+
+@query("""select s_suppkey, 'u' || s_nationkey as "user", 'h' || (s_suppkey % 9) as host,
+ case when s_suppkey % 4 = 0 then null else 3306 + s_suppkey % 7 end as port, s_name as db
+from supplier where s_suppkey % 4 <> 0
+union all select s_suppkey, null, null, null, null from supplier where s_suppkey % 4 = 0""")
+def q_parse_conn_url(spark, sf_dir):
+    url = F.when(F.col("s_suppkey") % 4 == 0, F.concat("s_name", F.lit("@nowhere"))).otherwise(
+        F.format_string("u%s:p:w@h%s:%s/%s", F.col("s_nationkey"), F.col("s_suppkey") % 9,
+                        3306 + F.col("s_suppkey") % 7, F.col("s_name")))
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", parse_conn_url(url).alias("u")).select(
+        "s_suppkey", "u.user", "u.host", F.col("u.port").cast("bigint").alias("port"), "u.db")
+
+
+@query("""select run_id, instance_port, instance_ip, backup_day, stage, stage_ts, status,
+ backup_size, to_lsn, backup_tool, isdelete from {m10_ledger}""")
+def q_ledger_roundtrip(spark, sf_dir):
+    """Appended, read, and good for the operators that need a ledger."""
+    path = f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex[:8]}"
+    src.append_ledger(Inputs(spark, sf_dir).m10_ledger, path)
+    return src.read_ledger(spark, path).select(
+        "run_id", "instance_port", "instance_ip", "backup_day", "stage", "stage_ts", "status",
+        "backup_size", "to_lsn", "backup_tool", "isdelete")
+
+
+def _through_the_ledger(name: str) -> None:
+    """A list of the backup review, from the stored ledger instead of the capture."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        i = Inputs(spark, sf_dir)
+        lists = pipelines.backup_compliance(i.m10_instances, q_ledger_roundtrip(spark, sf_dir),
+                                            i.m10_policy, AS_OF)
+        return lists[name]
+    source = {"status": "q_backup_status", "expired": "q_expired_backups"}[name]
+    QUERIES[f"q_backup_compliance_{name}"] = run
+    ORACLES[f"q_backup_compliance_{name}"] = ORACLES[source]
+
+
+_through_the_ledger("status")
+_through_the_ledger("expired")

@@ -73,12 +73,14 @@ select o_custkey % 3 as instance, {_SNAP} as snapshot_ts, o_orderkey as trx_id,
  'REPEATABLE READ' as isolation_level, o_orderkey % 1000 as rows_modified
 from {{orders}}""",
     "m3_threads": """
-select c_custkey % 3 as instance, c_custkey as id, c_custkey + 1000 as thread_id,
+select c_custkey % 3 as instance,
+ case when c_acctbal > -300 then c_custkey else -c_custkey end as id,
+ case when c_acctbal > -300 then c_custkey else -c_custkey end + 1000 as thread_id,
  c_name as "user", '10.1.0.' || cast(c_nationkey as string) as host, c_mktsegment as db,
  case when c_custkey % 3 = 0 then 'Sleep' else 'Query' end as command,
  cast(floor(abs(c_acctbal)) as bigint) as "time",
  case when c_nationkey % 4 = 0 then null else 'select ' || c_name end as info
-from {customer} where c_acctbal > -300""",
+from {customer}""",
     "m4_waits": f"""
 select instance, snapshot_ts, requesting, blocking, requesting as lock_id
 from (select o_custkey % 3 as instance, {_SNAP} as snapshot_ts, o_orderkey as requesting,
@@ -111,16 +113,17 @@ select *, cast(sum(65 + size) over w - 65 - size as bigint) as pos,
 from {m7_trx} window w as (partition by log_no order by xid
                            rows between unbounded preceding and current row)""",
     "m8_columns": """
-select side, p_brand as table_name, p_name as column_name, p_type as "type",
+select side, case when side = 'A' and p_brand = 'Brand#3' then 'only A'
+   when side = 'B' and p_brand = 'Brand#7' then 'only B' else p_brand end as table_name,
+ case when rn = 1 then p_name else p_name || ' ' || cast(p_partkey as string) end
+  as column_name, p_type as "type",
  case when p_size % 2 = 0 then 'YES' else 'NO' end as nullable,
  case when p_size % 7 = 0 then 'PRI' else '' end as column_key,
  case when p_size % 5 = 0 then null else cast(p_size % 4 as string) end as default_value,
  '' as extra
 from (select *, case when p_partkey % 2 = 0 then 'A' else 'B' end as side,
         row_number() over (partition by p_partkey % 2, p_brand, p_name
-                           order by p_partkey) as rn from {part}) q
-where rn = 1 and not (side = 'A' and p_brand = 'Brand#3')
-  and not (side = 'B' and p_brand = 'Brand#7')""",
+                           order by p_partkey) as rn from {part}) q""",
     "m8_indexes": """
 select case when o_orderkey % 8 < 4 then 'A' else 'B' end as side,
  o_orderstatus as table_name,
