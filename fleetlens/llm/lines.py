@@ -15,7 +15,7 @@ RARITY_BUCKETS = 1 << 18
 #: same join shuffles the texts.
 BROADCAST_NUMBERS = 8_000_000
 #: Characters of six bits each of the set filter that thins a scan before an exact join.
-FILTER_CHARACTERS = 1 << 20
+FILTER_CHARACTERS = 1 << 18
 
 
 def _character(table: str, index: Column) -> Column:
@@ -115,11 +115,17 @@ def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
         & (F.col("s.line_no") == F.col("q.line_no"))).select(
         "no", _word_hashes(F.col("line")).alias("words")).dropDuplicates(["no"])
     words = stage(found, "words")
-    first = classes.select("no", "first")
-    turned = (pairs.join(first.toDF("a", "p"), "a").join(first.toDF("b", "q"), "b").select(
-        F.when(F.expr("p > q"), F.col("a")).otherwise(F.col("b")).alias("x"),
-        F.when(F.expr("p > q"), F.col("b")).otherwise(F.col("a")).alias("y"),
-        F.least("p", "q").alias("place")))
+    # A wide parity, of one of 256 hash values a word, for the candidates alone.
+    wide = [F.expr("aggregate(words, 0L, (p, h) -> case when (shiftright(h, 6) & 3) = %d "
+                   "then p ^ shiftleft(1L, cast(h & 63 as int)) else p end)" % i) for i in range(4)]
+    sides = stage(words.select("no", F.size("words").alias("n"), F.array(*wide).alias("w")).join(
+        classes.select("no", "first"), "no"), "sides")
+    apart = sum((F.bit_count(F.col("v")[i].bitwiseXOR(F.col("w")[i])) for i in range(4)), F.lit(0))
+    turned = (pairs.join(sides.toDF("a", "m", "v", "p"), "a").join(sides.toDF("b", "n", "w", "q"), "b")
+              .filter(apart <= F.expr("m + n - 2 * ((4 * (m + n) + 8) div 9)"))
+              .select(F.when(F.expr("p > q"), F.col("a")).otherwise(F.col("b")).alias("x"),
+                      F.when(F.expr("p > q"), F.col("b")).otherwise(F.col("a")).alias("y"),
+                      F.least("p", "q").alias("place")))
     turned = stage(turned, "turned")
     picked = turned.groupBy("x").agg(F.min(F.struct("place", "y")).alias("m")).select("x", "m.y")
     sure = stage(_verified(picked, words), "sure")
