@@ -18,10 +18,11 @@ ORDER = 5
 #: Byte values and the end of a document.
 ALPHABET = 257
 END_SYMBOL = 256
-#: The most used steps and words, in bounded number, whose prices every executor keeps at hand
-#: (16 bytes a step, some 150 a word); all others are joined.
-KEPT_STEPS = 1 << 20
-KEPT_WORDS = 1 << 18
+#: Steps and words with at least this part of all counts have their prices at hand on every
+#: executor (16 bytes a step, some 150 a word), so there are no more of them than this; all
+#: others are joined.
+KEPT_STEPS = 1 << 22
+KEPT_WORDS = 1 << 20
 KEPT_WORD_BYTES = 32
 #: Stands for the end of a document in the table of words; no word holds a space.
 END = " "
@@ -250,14 +251,17 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     priced = stage(prices(stage(marked.mapInArrow(_step_counts, "step long, n long").groupBy("step").agg(
         F.sum("n").alias("n")), "steps")), "prices")
     short = words.filter((F.octet_length("word") <= KEPT_WORD_BYTES) & (F.col("word") != END))
-    common = short.orderBy(F.desc("n"), "word").limit(KEPT_WORDS).collect()
-    figures = np.array([(r.n > 0, np.log10((r.n + 1) / base)) for r in common], float).reshape(-1, 2)
-    taken = priced.orderBy(F.desc("n"), "step").limit(KEPT_STEPS).select("step", "price").toArrow()
+    common = short.filter((F.col("n") > 0) & (F.col("n") * KEPT_WORDS >= total)).select("word", "n").toArrow()
+    often = common.column("n").to_numpy()
+    figures = np.stack([np.ones(len(often)), np.log10((often + 1) / base)], 1)
+    all_steps = priced.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    taken = priced.filter((F.col("n") > 0) & (F.col("n") * KEPT_STEPS >= all_steps)).select(
+        "step", "price").toArrow()
     order = np.argsort(taken.column("step").to_numpy())
     hand = taken.column("step").to_numpy()[order] if len(order) else np.array([-1])
     hand_prices = taken.column("price").to_numpy()[order] if len(order) else np.array([0.0])
     kept = spark.sparkContext.broadcast(
-        ({r.word.encode(): i for i, r in enumerate(common)}, figures,
+        ({w.encode(): i for i, w in enumerate(common.column("word").to_pylist())}, figures,
          np.array([ends > 0, np.log10((ends + 1) / base)], float), hand, hand_prices))
     parts = rows.mapInArrow(_scorer(kept), "row long, doc_id long, key string, times long, "
                             "n_tokens long, n_known long, base double, score double")
