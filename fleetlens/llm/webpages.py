@@ -12,8 +12,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import stage
+
 #: A subtree is a template of its host if it stands beside so many different main contents.
 TEMPLATE_PAGES = 5
+#: From so many recurring parts on, an article of which they hold over three quarters is a near
+#: copy of other articles, not a template filled in, and stays whole.
+COPY_PARTS = 3
 
 #: Elements that hold no article text, by the HTML standard's meaning of their names.
 _NEVER = frozenset("head script style noscript template nav footer aside form button select "
@@ -27,6 +32,9 @@ _NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor spon
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark "
                     "q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+#: Inside an article these go with the table, list or box they belong to, not alone: equal cells,
+#: items and headings recur in real articles.
+_PIECES = frozenset("td th tr tbody thead tfoot caption li dt dd h1 h2 h3 h4 h5 h6".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: An element that begins ends these, up to the border named last.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
@@ -146,8 +154,8 @@ def _signed(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def _outer(root: Element) -> list[Element]:
-    """Elements of the body with text that neither hold nor lie in a main element."""
+def _counted(root: Element) -> list[tuple[Element, bool]]:
+    """Elements of the body with text that hold no main element, and whether they lie in one."""
     holds: set[int] = set()
     open_elements: list[Element] = []
     for element, opens in _walk(root):
@@ -163,12 +171,32 @@ def _outer(root: Element) -> list[Element]:
             inside += 1 if opens else -1
         if element.tag == "head":
             skipped += 1 if opens else -1
-        if (opens and not inside and not skipped and id(element) not in holds and element.digest
-                and element.tag not in _INLINE and element.tag not in ("html", "body")):
-            found.append(element)
+        if (opens and not skipped and id(element) not in holds and element.digest
+                and element.tag not in _INLINE and element.tag not in ("html", "body")
+                and not (inside and element.tag in _PIECES)):
+            found.append((element, bool(inside)))
     return found
 
 
+def _inner_dead(root: Element, marked: set[int]) -> set[int]:
+    """Those of the recurring elements inside main elements that go: all, unless the article
+    would be left without text or is a near copy of others."""
+    total = gone = parts = inside = dropped = dead = 0
+    for element, opens in _walk(root):
+        step = 1 if opens else -1
+        inside += step * element.main
+        dropped += step * element.drop
+        counts = inside and not dropped
+        if opens and counts and not dead and id(element) in marked:
+            parts += 1
+        dead += step * (id(element) in marked)
+        if opens and counts:
+            own = sum(len(p.strip()) for p in element.parts if isinstance(p, str))
+            total, gone = total + own, gone + (own if dead else 0)
+    copy = parts >= COPY_PARTS and 4 * gone > 3 * total
+    return set() if gone >= total or copy else marked
+
+
 def _content(root: Element) -> int:
     """Hash of the main elements, or of the whole page where there is none."""
     mains = [e.digest for e, opens in _walk(root) if opens and e.main]
@@ -177,7 +205,11 @@ def _content(root: Element) -> int:
 
 def main_text(root: Element, templates: set[int]) -> str:
     """Text of what is no template and no side part; of the main elements only if any has text."""
-    dead = {id(e) for e in _outer(root) if _signed(e.digest) in templates} if templates else set()
+    dead: set[int] = set()
+    if templates:
+        marked = [(id(e), inside) for e, inside in _counted(root) if _signed(e.digest) in templates]
+        dead = {i for i, inside in marked if not inside}
+        dead |= _inner_dead(root, {i for i, inside in marked if inside})
     every: list[str] = []
     inside: list[str] = []
     depth = 0
@@ -205,7 +237,7 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             root = parse(page)
             hash_subtrees(root)
             content = _signed(_content(root))
-            for digest in {_signed(e.digest) for e in _outer(root)}:
+            for digest in {_signed(e.digest) for e, _ in _counted(root)}:
                 for column, value in zip(rows, (page_id, sig, host, digest, content)):
                     column.append(value)
         yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
@@ -236,9 +268,11 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                  html: str = "html") -> DataFrame:
     """(page_id, url, text): the article text of every page, "" if there is none.
 
-    Every element subtree outside the article is hashed (tag, words, children); hashes are
-    counted per host over different article contents, so copies of a page count once; subtrees
-    that recur beside five or more are the site's template and go. Of the rest go elements that
+    Every element subtree outside and inside the article is hashed (tag, words, children); hashes
+    are counted per host over different article contents, so copies of a page count once;
+    subtrees that recur beside five or more are the site's template and go. Inside an article
+    cells, items and headings go with their table, list or box only, and an article that would
+    lose all its text, or is a near copy of others, stays whole. Of the rest go elements that
     the standard or their class, id or role name as menus, headers, footers, sidebars, notices,
     adverts, forms and comments, scripts and styles; if an article or main element is left,
     its text is the page's. References are decoded, block borders and line breaks are white
@@ -251,8 +285,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     subtrees = (rows.select("page_id", "sig", host_of(F.col("url")).alias("host"), "html")
                 .filter("host is not null and html <> ''").mapInArrow(
                     _subtree_rows, "page_id long, sig long, host string, digest long, content long"))
-    templates = (subtrees.select("host", "digest", "content").distinct().groupBy("host", "digest")
-                 .count().filter(F.col("count") >= TEMPLATE_PAGES).select("host", "digest"))
+    templates = stage(subtrees.select("host", "digest", "content").distinct().groupBy("host", "digest")
+                      .count().filter(F.col("count") >= TEMPLATE_PAGES).select("host", "digest"), "templates")
     found = (subtrees.select("page_id", "sig", "host", "digest").join(templates, ["host", "digest"])
              .groupBy("page_id", "sig").agg(F.collect_set("digest").alias("found"))
              .select(F.col("page_id").alias("id"), F.col("sig").alias("of"), "found"))

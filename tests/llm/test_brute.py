@@ -199,6 +199,27 @@ def test_templates_and_odd_pages(spark):
     assert webpages.extract_text(pages.filter("false")).count() == 0
 
 
+def test_templates_inside_the_article(spark):
+    def page(n, host="a.example", box="<div><p>Follow us</p><p>on all networks</p></div>"):
+        return (n, f"http://{host}/{n}", f"<body><article><h1>Title {n}</h1><h2>Methods</h2><p>Own text {n}</p>"
+                f"<table><tr><td>yes<td>{n}</table>{box}<ul><li>Share<li>Print</ul></article>")
+
+    def near_copy(n):
+        same = "".join(f"<p>Paragraph {k} of a long story</p>" for k in range(8))
+        return (n, f"http://c.example/{n}", f"<article><p>Edit {n}</p>{same}</article>")
+    pages = spark.createDataFrame(
+        [*(page(n) for n in range(5)), *(page(10 + n, "b.example") for n in range(4)),
+         *(near_copy(20 + n) for n in range(6)),
+         (30, "http://a.example/30", "<article><div><p>Follow us</p><p>on all networks</p></div></article>")],
+        "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in webpages.extract_text(pages).collect()}
+    for n in range(5):
+        assert found[n] == f"Title {n} Methods Own text {n} yes {n}"
+    assert found[10] == "Title 10 Methods Own text 10 yes 10 Follow us on all networks Share Print"
+    assert found[20] == " ".join(["Edit 20", *(f"Paragraph {k} of a long story" for k in range(8))])
+    assert found[30] == "Follow us on all networks"
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage's decisions, recomputed from its own input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
