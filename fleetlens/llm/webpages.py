@@ -21,7 +21,7 @@ TEMPLATE_PAGES = 5
 COPY_PARTS = 3
 
 #: Elements that hold no article text, by the HTML standard's meaning of their names.
-_NEVER = frozenset("head script style noscript template nav footer aside form button select "
+_NEVER = frozenset("head script style noscript template nav footer aside button select "
                    "textarea iframe object svg canvas menu dialog audio video".split())
 #: Words in class, id or role that name such a part.
 _NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner "
@@ -29,6 +29,17 @@ _NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor spon
                    "masthead footer contentinfo cookie cookies consent notice notices popup modal "
                    "newsletter subscribe signup login search share sharing social related comment "
                    "comments disqus".split())
+#: Of these, words for parts that hold articles of others; the rest may as well name a layout.
+_OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo related "
+                    "comment comments disqus".split())
+#: Words that turn the name behind them round ("has-sidebar", "no-ads"): layout, not a side part.
+_DENY = frozenset("has no not with without".split())
+#: "related" names a list of links, but not in names such as "related-work".
+_WORK = frozenset("work works research literature studies methods concepts".split())
+#: Inside an article these name its own head, as the header element does.
+_HEADS = frozenset("header masthead".split())
+#: A name or form hint does not hold for an element with this share of the page's main text.
+_NEARLY_ALL = 0.9
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark "
                     "q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
@@ -58,6 +69,8 @@ class Element:
     tag: str
     parts: list = field(default_factory=list)
     drop: bool = False
+    hint: bool = False
+    others: bool = False
     digest: int = 0
 
     @property
@@ -65,13 +78,77 @@ class Element:
         return self.tag in ("article", "main")
 
 
-def _names_a_side_part(attributes: str, tag: str) -> bool:
+def _hidden(attributes: str, tag: str) -> bool:
+    return tag not in ("html", "body", "main", "article") and bool(_HIDDEN.search(attributes))
+
+
+def _side_names(attributes: str, tag: str, inside: bool) -> set[str]:
+    """Words in class, id or role that name a side part; ``inside`` an article its own head is none."""
+    named: set[str] = set()
     if tag in ("html", "body", "main", "article") or not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(word.lower() in _NAMED for value in _HINT.findall(attributes)
-               for word in _WORDS.findall(value))
+        return named
+    for value in _HINT.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            for at, word in enumerate(words):
+                if (word in _NAMED and not _DENY.intersection(words[:at]) and not (inside and word in _HEADS)
+                        and not (word == "related" and _WORK.intersection(words[at + 1:]))):
+                    named.add(word)
+    return named
+
+
+def _own_text(element: Element) -> int:
+    return sum(len(p.strip()) for p in element.parts if isinstance(p, str))
+
+
+def _settle_hints(root: Element) -> None:
+    """Drops the elements with a name or form hint, but none that holds a main element with text
+    (unless it names articles of others) or nearly all of the text in main elements (of the page,
+    if they have none); where only hinted elements hold that text, none that holds any goes."""
+    if not any(e.hint for e, _ in _walk(root)):
+        return
+    held: dict[int, list[int]] = {}
+    wraps: dict[int, bool] = {}
+    hinted: list[Element] = []
+    open_elements: list[list[int]] = []
+    free, inside, dropped, under = [0, 0], 0, 0, 0
+    for element, opens in _walk(root):
+        step = 1 if opens else -1
+        inside += step * element.main
+        dropped += step * element.drop
+        under += step * element.hint
+        if not opens:
+            done = open_elements.pop()
+            if element.hint:
+                hinted.append(element)
+                held[id(element)] = done
+                wraps[id(element)] = not inside and not element.others and done[0] > 0
+            if open_elements:
+                for k in (0, 1):
+                    open_elements[-1][k] += done[k]
+            else:
+                total = done
+            continue
+        own = 0 if dropped else _own_text(element)
+        found = [own if inside else 0, own]
+        open_elements.append(found)
+        if not under:
+            free = [x + y for x, y in zip(free, found)]
+    kind = 0 if total[0] else 1
+    for element in hinted:
+        size = held[id(element)][kind]
+        element.drop |= not (wraps[id(element)] or size and size >= _NEARLY_ALL * total[kind])
+    if not free[kind]:
+        left, dropped, inside = 0, 0, 0
+        for element, opens in _walk(root):
+            step = 1 if opens else -1
+            dropped += step * element.drop
+            inside += step * element.main
+            if opens and not dropped and (kind or inside):
+                left += _own_text(element)
+        for element in hinted if not left else ():
+            if held[id(element)][kind]:
+                element.drop = False
 
 
 def parse(page: str) -> Element:
@@ -87,6 +164,7 @@ def parse(page: str) -> Element:
         found = _TOKEN.search(page, at)
         text(page[at:found.start() if found else len(page)])
         if not found:
+            _settle_hints(root)
             return root
         at = found.end()
         if found[1]:
@@ -114,8 +192,11 @@ def parse(page: str) -> Element:
                 break
         if tag == "html":
             continue
-        element = Element(tag, drop=tag in _NEVER or _names_a_side_part(attributes, tag)
-                          or tag == "header" and not any(e.main for e in stack))
+        inside = any(e.main for e in stack)
+        element = Element(tag, drop=tag in _NEVER or _hidden(attributes, tag))
+        names = _side_names(attributes, tag, inside)
+        element.hint = not element.drop and (tag == "form" or tag == "header" and not inside or bool(names))
+        element.others = bool(names & _OTHERS)
         stack[-1].parts.append(element)
         if tag in _VOID or attributes.endswith("/") and tag not in _RAW and tag in ("path", "rect", "use"):
             continue
@@ -191,7 +272,7 @@ def _inner_dead(root: Element, marked: set[int]) -> set[int]:
             parts += 1
         dead += step * (id(element) in marked)
         if opens and counts:
-            own = sum(len(p.strip()) for p in element.parts if isinstance(p, str))
+            own = _own_text(element)
             total, gone = total + own, gone + (own if dead else 0)
     copy = parts >= COPY_PARTS and 4 * gone > 3 * total
     return set() if gone >= total or copy else marked
@@ -274,8 +355,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     cells, items and headings go with their table, list or box only, and an article that would
     lose all its text, or is a near copy of others, stays whole. Of the rest go elements that
     the standard or their class, id or role name as menus, headers, footers, sidebars, notices,
-    adverts, forms and comments, scripts and styles; if an article or main element is left,
-    its text is the page's. References are decoded, block borders and line breaks are white
+    adverts, forms and comments, scripts and styles, but by a name or as a form none that holds
+    a main element or nearly all of the main text; if an article or main element is left, its text is the page's. References are decoded, block borders and line breaks are white
     space, runs of it become one space. NULL pages give "". Pages without a host have no
     templates. Counts are pre-aggregated, so one large host is no hot group.
     """

@@ -220,6 +220,25 @@ def test_templates_inside_the_article(spark):
     assert found[30] == "Follow us on all networks"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='content has-sidebar'><article>Own</article></div>", "Own"),
+    ("<div class='layout no-ads'><article>Own</article><p>out</p></div>", "Own"),
+    ("<div id='page' class='with-header'><p>Own</p></div>", "Own"),
+    ("<form action='/x'><div><article>Own</article><div class='ad'>x</div></div></form>", "Own"),
+    ("<form><p>Own text of an old page</p><nav>menu</nav></form>", "Own text of an old page"),
+    ("<div class='share-layout'><div class='search'><article>Own</article></div></div>", "Own"),
+    ("<header><h1>Site</h1><article>Own</article>", "Own"),
+    ("<div class='ad'><article>One</article></div><div class='promo'><article>Two</article></div>", "One Two"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>Own</p></article>", "Title Own"),
+    ("<article><section class='related-work'><p>Others</p></section><p>Own</p></article>", "Others Own"),
+    ("<article>Own text<div class='related-posts'>x</div><form>y</form></article>", "Own text"),
+    ("<article>Own text of it</article><div class='comments'><article>No</article></div>", "Own text of it"),
+    ("<article>One</article><div class='search'><article>Two</article></div>", "One Two"),
+    ("<article>Own text</article><div hidden><article>Gone</article></div>", "Own text")])
+def test_hints_lose_no_article(page, text):
+    assert webpages.main_text(webpages.parse(page), set()) == text
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage's decisions, recomputed from its own input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
