@@ -25,13 +25,21 @@ THRESHOLD = 0.3
 _SHAPES = 1024
 _BINS = 12
 _STATISTICS = 8
-TERMS = _SHAPES + _STATISTICS * _BINS
+#: Hashed words stand behind the shapes and statistics.
+_FORM = _SHAPES + _STATISTICS * _BINS
+_WORDS = 4096
+TERMS = _FORM + _WORDS
 #: Documents whose products with all voters are computed at a time.
 _BLOCK = 256
+#: Rounds of the subspace iteration, and directions it carries beside those that are used.
+_ROUNDS = 12
+_SPARE = 16
 
 _CLASSES = bytes(
     ord("X") if 65 <= c <= 90 else ord("x") if 97 <= c <= 122 or c >= 128
     else ord("9") if 48 <= c <= 57 else c for c in range(256))
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32
+              for c in range(256))
 _RUNS = re.compile(rb"x{2,}|X{2,}|9{2,}")
 _MARKS = re.compile(rb"([!-/:-@\[-`{-~])\1{2,}")
 
@@ -46,10 +54,19 @@ def _soft_bins(values: list[float]) -> np.ndarray:
     return out.ravel()
 
 
+def _word_counts(raw: bytes) -> Counter:
+    """Counts of the hash bins of a text's words, runs of ASCII letters (without case), digits and
+    all characters beyond ASCII."""
+    counts: Counter = Counter()
+    for word, count in Counter(raw.translate(_FOLD).split()).items():
+        counts[zlib.crc32(word) % _WORDS] += count
+    return counts
+
+
 def term_weights(raw: bytes) -> np.ndarray:
     """Terms of a whole text: shapes of its words (case, digits, marks) as the root of their
-    share, and binned statistics: length, word length, repetition of words, neighbours and
-    lines, marks, upper case and digits."""
+    share; binned statistics: length, word length, repetition of words, neighbours and
+    lines, marks, upper case and digits; and its words, hashed, as the root of their share."""
     out = np.zeros(TERMS, np.float32)
     words = raw.split()
     n = len(words)
@@ -62,7 +79,11 @@ def term_weights(raw: bytes) -> np.ndarray:
     size = max(sum(map(len, words)), 1)
     upper, digits = shaped.count(b"X"), shaped.count(b"9")
     letters = upper + shaped.count(b"x")
-    out[_SHAPES:] = _soft_bins([
+    found = _word_counts(raw)
+    if found:
+        at = _FORM + np.fromiter(found.keys(), np.int64, len(found))
+        out[at] = np.sqrt(np.fromiter(found.values(), np.float32, len(found)) / found.total())
+    out[_SHAPES:_FORM] = _soft_bins([
         np.log10(1 + n) / 5, size / max(n, 1) / 20, 1 - len(set(words)) / max(n, 1),
         sum(map(eq, words, words[1:])) / max(n - 1, 1), 1 - len(set(lines)) / max(len(lines), 1),
         (size - letters - digits) / size * 2, upper / max(letters, 1), digits / size * 4])
@@ -79,7 +100,7 @@ class Model:
     labels: np.ndarray
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        latent = (terms * self.weights) @ self.projection
+        latent = weigh(terms, self.weights) @ self.projection
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def score(self, terms: np.ndarray) -> np.ndarray:
@@ -95,25 +116,70 @@ class Model:
         return np.where(total > 0, np.clip(share, 0, 1), self.labels.mean())
 
 
-def fit_model(terms: np.ndarray, labels: np.ndarray) -> Model:
-    """Latent-semantic space of the sample: its leading right singular vectors."""
+def weigh(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted terms; those of the words have length 1 together, as the shapes have before."""
+    out = terms * weights
+    words = out[:, _FORM:]
+    words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-12)
+    return out
+
+
+def _leading(rows: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors as columns, by subspace iteration; 0 beyond the rank."""
+    start = np.random.default_rng(0).standard_normal((rows.shape[1], DIMENSIONS + _SPARE))
+    basis = np.linalg.qr(start.astype(np.float32))[0]
+    for _ in range(_ROUNDS):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    image = (rows @ basis).astype(np.float64)
+    values, turn = np.linalg.eigh(image.T @ image)
+    values, turn = values[::-1][:DIMENSIONS], turn[:, ::-1][:, :DIMENSIONS]
+    return np.ascontiguousarray(basis @ (turn * (values > 1e-6 * values[0]))).astype(np.float32)
+
+
+def fit_model(terms: np.ndarray, labels: np.ndarray, doc_counts: np.ndarray, n_docs: int) -> Model:
+    """Latent-semantic space of the sample: its leading right singular vectors.
+
+    Shapes are weighted by the sample's counts, words by ``doc_counts``, the number of all
+    ``n_docs`` documents that hold a word of the bin.
+    """
     if not len(labels):
         nothing = np.zeros((0, 0), np.float32)
         return Model(np.ones(TERMS, np.float32), nothing, nothing, labels)
-    seen = (terms > 0).sum(0)
-    weights = (1 + np.log((1 + len(terms)) / (1 + seen))).astype(np.float32)
-    weights[_SHAPES:] = 0.5
-    weighted = (terms * weights).astype(np.float64)
-    _, vectors = np.linalg.eigh(weighted.T @ weighted)
-    projection = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS]).astype(np.float32)
+    weights = np.full(TERMS, 0.5, np.float32)
+    seen = (terms[:, :_SHAPES] > 0).sum(0)
+    weights[:_SHAPES] = 1 + np.log((1 + len(terms)) / (1 + seen))
+    weights[_FORM:] = 1 + np.log((1 + n_docs) / (1 + doc_counts))
+    projection = _leading(weigh(terms, weights))
     model = Model(weights, projection, np.zeros((0, DIMENSIONS), np.float32), labels.astype(float))
-    model.voters = model.project(terms)
+    model.voters = np.concatenate([model.project(terms[at:at + _BLOCK])
+                                   for at in range(0, len(terms), _BLOCK)])
     return model
 
 
+def _doc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's number of documents with a word of each bin; bin -1: of all documents."""
+    counts = np.zeros(_WORDS + 1, np.int64)
+    for batch in batches:
+        for raw in batch.column(0):
+            for word in _word_counts(raw.as_py() or b""):
+                counts[word] += 1
+        counts[-1] += batch.num_rows
+    bins = np.flatnonzero(counts)
+    yield pa.record_batch([pa.array(np.where(bins == _WORDS, -1, bins).astype(np.int32)),
+                           pa.array(counts[bins])], names=["bin", "n"])
+
+
+def document_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """Of all documents: how many hold a word of each bin, and how many there are."""
+    parts = docs.select(F.col(text).cast("string").cast("binary").alias("raw")).mapInArrow(
+        _doc_counts, "bin int, n long")
+    found = {r.bin: r.n for r in parts.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    return np.array([found.get(k, 0) for k in range(_WORDS)], float), found.get(-1, 0)
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [term_weights(raw.as_py()).tobytes() for raw in batch.column("raw")]
+        rows = [zlib.compress(term_weights(raw.as_py()).tobytes(), 1) for raw in batch.column("raw")]
         yield pa.record_batch([batch.column("label"), pa.array(rows, pa.binary())],
                               names=["label", "terms"])
 
@@ -142,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         label: str = "quality", sample: int = SAMPLE) -> Model:
     """The model of at most ``sample`` labelled rows, chosen by the hash of the id.
 
-    Only the text of a row enters. Ids with labels of both kinds, and NULL labels, teach
+    Only the text of a row enters, and the document counts of hashed words over all of ``docs``. Ids with labels of both kinds, and NULL labels, teach
     nothing. The sample's bound also bounds what is broadcast and what the driver gathers.
     """
     own = (labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
@@ -155,8 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
               .mapInArrow(_terms, "label int, terms binary")
               .orderBy(F.xxhash64("terms"), "terms").limit(sample))
     found = chosen.collect()
-    terms = np.frombuffer(b"".join(bytes(r.terms) for r in found), np.float32).reshape(-1, TERMS)
-    return fit_model(terms, np.array([r.label for r in found], int))
+    terms = np.zeros((len(found), TERMS), np.float32)
+    for at, row in enumerate(found):
+        terms[at] = np.frombuffer(zlib.decompress(row.terms), np.float32)
+    counts, n_docs = document_counts(docs, text) if found else (np.zeros(_WORDS), 0)
+    return fit_model(terms, np.array([r.label for r in found], int), counts, n_docs)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,

@@ -170,6 +170,23 @@ def test_quality_odd_rows(spark):
     assert quality.classify(docs.filter("false"), labels).count() == 0
 
 
+def test_quality_sees_words(spark):
+    """Texts of equal lengths, case and marks; only the vocabulary tells the labels."""
+    good, bad = ("river stone maple cloud tiger ocean".split(), "bonus prize money pills cheap deals".split())
+    good = [w.ljust(5, "e")[:5] for w in good]
+    bad = [w.ljust(5, "e")[:5] for w in bad]
+
+    def text(n):
+        words = bad if n % 2 else good
+        return " ".join(words[(n * 7 + k * k * (n // 2 % 5 + 1)) % 6] for k in range(12))
+    docs = spark.createDataFrame([(n, text(n)) for n in range(300)], "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    rows = quality.classify(docs, labels).filter(quality.held_out(F.col("doc_id"))).collect()
+    assert len(rows) > 30 and all((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in rows)
+    counts, n = quality.document_counts(docs)
+    assert n == 300 and counts[zlib.crc32(b"river") % 4096] == sum("river" in text(k) for k in range(300))
+
+
 def test_pages_query(spark, sf_dir):
     """The test pages hold one article each; all else in them is a side part."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
