@@ -43,20 +43,28 @@ def _fingerprint(raw: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [_fingerprint(raw.as_py()) for raw in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())],
-                              names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]],
+                              names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signature(text: Column) -> Column:
+    """A 64-bit hash of the text that tells rows with the same id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 signed: bool = False) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of each row's whole text as a signed long.
 
     Words are runs of non-white-space in lower-case (A-Z) text; features are 3-word shingles
     with repeats, hashed by XXH64 with seed 42; a bit is set if over half of them set it. A
-    text with fewer words is one shingle; NULL, empty and blank texts have 0.
+    text with fewer words is one shingle; NULL, empty and blank texts have 0. ``signed`` adds
+    ``sig``, the row's signature.
     """
+    more = [signature(F.col(text)).alias("sig")] if signed else []
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                       F.col(text).cast("binary").alias("raw")).mapInArrow(
-        _fingerprints, "doc_id long, fp long")
+                       F.col(text).cast("binary").alias("raw"), *more).mapInArrow(
+        _fingerprints, "doc_id long, fp long" + ", sig long" * signed)
 
 
 def _segment(fp: Column, number: int) -> Column:
@@ -94,19 +102,22 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                   signed: bool = False) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links of 3 or fewer differing
     bits. Copies share a fingerprint and enter the join once. Rows with a NULL doc_id keep
     their row and link like others; a component of such rows alone has a NULL component_id.
-    Empty input gives no rows.
+    Empty input gives no rows. ``signed`` adds ``sig``, the row's signature, and ``label``, which
+    is equal for the rows of a component and no others.
     """
-    prints = stage(fingerprints(docs, doc_id, text), "simhash")
+    prints = stage(fingerprints(docs, doc_id, text, signed), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = components(near_pairs(classes.select("fp")))
     marked = stage(classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
                    .select("fp", "first", F.coalesce("label", "fp").alias("label")), "marked")
     roots = marked.groupBy("label").agg(F.min("first").alias("component_id"))
-    placed = marked.join(roots, "label").select("fp", "component_id")
-    return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
+    more = ["label"] if signed else []
+    placed = marked.join(roots, "label").select("fp", "component_id", *more)
+    return prints.join(placed, "fp").select("doc_id", "fp", "component_id", *["sig"] * signed, *more)

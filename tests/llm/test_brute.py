@@ -284,6 +284,20 @@ def test_pipeline_stages(spark, sf_dir):
     assert set(after) == set(before)
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    a, b, c, d, e = (" ".join(f"{k}{n}" for n in range(30)) for k in "abcde")
+    rows = [(1, a), (1, b), (2, c), (5, c), (5, d), (7, e), (7, e), (9, b), (None, "x y z"), (None, "x y z"), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", n) for n, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert found == Counter([(1, a), (1, b), (2, c), (5, d), (7, e), (None, "x y z"), (None, "x y z")])
+    first = {r.n_chars for r in kept.collect() if r.doc_id == 7}
+    again = corpus_pipeline.near_dedup(spark, docs.orderBy(F.desc("n_chars")).repartition(2), "")
+    assert first == {r.n_chars for r in again.collect() if r.doc_id == 7}
+
+
 def test_pipeline_runs_on_odd_tables(spark, tmp_path):
     docs = spark.createDataFrame([(1, None, "en", "s", 0), (None, "a b\na b", None, None, None)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
