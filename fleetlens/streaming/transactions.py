@@ -2,13 +2,15 @@
 
 The lines are reduced to marks before the shuffle. State per file is the open transaction
 as at most a handful of marks: they are put in front of the next batch, and the batch is
-then assembled as if it began there.
+then assembled as if it began there. Which marker lines were seen is state too, a bit a line, so that a
+line that is sent again is told from one that comes late.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,13 +80,33 @@ def _assemble(marks: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return done, kept
 
 
+#: Lines whose bits share a value of the state.
+_SEEN_LINES = 8192
+
+
 class TransactionAssembler(StatefulProcessor):
-    """Per file: the open transaction's marks and the last line seen."""
+    """Per file: the open transaction's marks, the last line and all marker lines seen."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._open = handle.getListState("open", _MARK_SCHEMA)
         self._last = handle.getValueState("last", T.StructType(
             [T.StructField("line_no", T.LongType()), T.StructField("first", T.LongType())]))
+        self._seen = handle.getMapState("seen", T.StructType([T.StructField("part", T.LongType())]),
+                                        T.StructType([T.StructField("bits", T.BinaryType())]))
+
+    def _mark_seen(self, line_no: np.ndarray) -> np.ndarray:
+        """Which of the lines were seen before; from now on all are."""
+        again = np.zeros(len(line_no), bool)
+        parts, places = np.divmod(line_no, _SEEN_LINES)
+        for part in np.unique(parts).tolist():
+            rows = np.flatnonzero(parts == part)
+            bits = np.zeros(_SEEN_LINES, np.uint8)
+            if self._seen.containsKey((part,)):
+                bits = np.unpackbits(np.frombuffer(bytes(self._seen.getValue((part,))[0]), np.uint8))
+            again[rows] = bits[places[rows]] == 1
+            bits[places[rows]] = 1
+            self._seen.updateValue((part,), (bytes(np.packbits(bits)),))
+        return again
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
                         timerValues) -> Iterator[pd.DataFrame]:
@@ -93,6 +115,11 @@ class TransactionAssembler(StatefulProcessor):
         late = batch[batch["line_no"] < first]
         if not late.empty:
             raise ValueError(f"{key[0]}: {len(late)} lines before number {first}, the first one seen")
+        again = self._mark_seen(batch["line_no"].to_numpy(np.int64))
+        late = batch[(batch["line_no"] <= seen) & ~again]
+        if not late.empty:
+            raise ValueError(f"{key[0]}: {late['line_no'].nunique()} late lines, the first {late['line_no'].min()}, "
+                             f"were not seen before and lie behind number {seen}, the last one seen")
         batch = batch[batch["line_no"] > seen]        # lines that are sent again
         if batch.empty:
             return
@@ -119,8 +146,9 @@ def stream_transactions(lines: DataFrame, mode: str = "strict") -> DataFrame:
     """Committed transactions of a line stream ``(file, line_no, line)``, in append mode.
 
     Needs the RocksDB state store. Within a file, lines must arrive in batches that do not
-    step back: a line before the first one ever seen fails the stream, and one at or below
-    the last one seen is taken for a line that is sent again.
+    step back: a marker line before the first one ever seen, or below the last one seen and not
+    seen itself, fails the stream; what is sent again is passed over. Lines that decide nothing
+    are not tracked. All marks of a file in a batch are one group in one task.
     """
     marks = log_marks(lines, mode).withColumn("ts", F.expr(
         "unix_micros(cast(ts as timestamp))")).withColumn("mask", F.col("mask").cast("bigint"))

@@ -245,6 +245,23 @@ def test_stream_fails_on_lines_before_the_first(spark, tmp_path):
         run.awaitTermination()
 
 
+def test_stream_fails_on_a_batch_that_steps_back_into_a_gap(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    numbered = list(enumerate(LOG, 1))
+    for i, part in enumerate((numbered[:8], numbered[16:24], numbered[8:16])):
+        path = source / f"{i:03d}.json"
+        path.write_text("\n".join(spark_json("f", n, text) for n, text in part) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(frame(spark, LOG).schema).option(
+        "maxFilesPerTrigger", 1).json(str(source))
+    run = (stream_transactions(stream).writeStream.format("parquet")
+           .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
+           .trigger(availableNow=True).start())
+    with pytest.raises(Exception, match="late lines"):
+        run.awaitTermination()
+
+
 def spark_json(file, line_no, line):
     import json
     return json.dumps({"file": file, "line_no": line_no, "line": line})
