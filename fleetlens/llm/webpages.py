@@ -151,8 +151,9 @@ def _settle_hints(root: Element) -> None:
                 element.drop = False
 
 
-def parse(page: str) -> Element:
-    """The page's element tree; unclosed and misplaced tags never lose text."""
+def parse(page: str, parts: bool = True) -> Element:
+    """The page's element tree; unclosed and misplaced tags never lose text. Without ``parts`` it
+    is not told which elements are side parts."""
     root = Element("html")
     stack, at = [root], 0
 
@@ -164,7 +165,8 @@ def parse(page: str) -> Element:
         found = _TOKEN.search(page, at)
         text(page[at:found.start() if found else len(page)])
         if not found:
-            _settle_hints(root)
+            if parts:
+                _settle_hints(root)
             return root
         at = found.end()
         if found[1]:
@@ -192,11 +194,12 @@ def parse(page: str) -> Element:
                 break
         if tag == "html":
             continue
-        inside = any(e.main for e in stack)
-        element = Element(tag, drop=tag in _NEVER or _hidden(attributes, tag))
-        names = _side_names(attributes, tag, inside)
-        element.hint = not element.drop and (tag == "form" or tag == "header" and not inside or bool(names))
-        element.others = bool(names & _OTHERS)
+        element = Element(tag, drop=tag in _NEVER or parts and _hidden(attributes, tag))
+        if parts and not element.drop and (attributes or tag in ("form", "header")):
+            inside = any(e.main for e in stack)
+            names = _side_names(attributes, tag, inside)
+            element.hint = tag == "form" or tag == "header" and not inside or bool(names)
+            element.others = bool(names & _OTHERS)
         stack[-1].parts.append(element)
         if tag in _VOID or attributes.endswith("/") and tag not in _RAW and tag in ("path", "rect", "use"):
             continue
@@ -315,7 +318,7 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows: list[list] = [[], [], [], [], []]
         for page_id, sig, host, page in zip(*(c.to_pylist() for c in batch.columns)):
-            root = parse(page)
+            root = parse(page, parts=False)
             hash_subtrees(root)
             content = _signed(_content(root))
             for digest in {_signed(e.digest) for e, _ in _counted(root)}:
