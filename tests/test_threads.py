@@ -31,7 +31,7 @@ def facts(spark, version="8.0.1", ps="ON", mdl="YES", replica="NO"):
 
 
 def open_tables(spark, n=0):
-    return spark.createDataFrame([(1, "d", f"t{i}", 1) for i in range(n)], OPEN_TABLES)
+    return spark.createDataFrame([(1, NOW, "d", f"t{i}", 1) for i in range(n)], OPEN_TABLES)
 
 
 def no_trx(spark):
