@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, lines, ppm, quality, simhash, substrings, tokenfile, vectors, webpages
+from fleetlens.llm import bpe, decontaminate, lines, merkle, ppm, quality, simhash, substrings, tokenfile, vectors, webpages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,3 +167,70 @@ select vec_id, coalesce(n, 0)::bigint n_links, root component_id, vec_id = root
 from e join reach on vec_id = reach.a left join n on vec_id = n.a""")
 def op3_embedding_near_dedup(spark, sf_dir):
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def _merkle_sql(levels: int = 16) -> str:
+    """DuckDB SQL of the manifest: levels written out, CRC-32 bit by bit."""
+    def field(name: str) -> str:
+        return f"coalesce(octet_length(encode({name}::varchar))::varchar || ':' || {name}::varchar, '-')"
+
+    def tree(start: str, name: str) -> str:
+        out = f"{name}0 as (select tree, pos, digest d, n from {start}),\n"
+        for k in range(1, levels + 1):
+            out += f"""{name}{k} as (select tree, p pos, d, count(*) over (partition by tree) n from (
+                select tree, pos // 3 p, case when any_value(n) = 1 then any_value(d)
+                else sha256(string_agg(d, '' order by pos)) end d from {name}{k - 1} group by tree, pos // 3)),\n"""
+        return out
+
+    def path(name: str) -> str:
+        """Siblings of the leaf at each level: digests before and after the own one."""
+        return ",\n".join(f"""{name}_s{k} as (select x.tree, x.pos, coalesce(string_agg(y.d, '' order by y.pos)
+            filter (where y.pos < x.pos), '') bef, coalesce(string_agg(y.d, '' order by y.pos)
+            filter (where y.pos > x.pos), '') aft from {name}{k} x join {name}{k} y
+            on x.tree is not distinct from y.tree and x.pos // 3 = y.pos // 3
+            where x.n > 1 group by x.tree, x.pos)""" for k in range(levels))
+
+    def climb(name: str, first: str, start: str) -> str:
+        out, last = "", start
+        for k in range(levels):
+            out += f"""{first}{k} as (select f.* replace (
+                coalesce(sha256(s.bef || f.folded || s.aft), f.folded) as folded,
+                f.proof || coalesce(s.bef || s.aft, '') as proof) from {last} f left join {name}_s{k} s
+                on f.{name}_tree is not distinct from s.tree and f.{name}_pos // {3 ** k} = s.pos),\n"""
+            last = f"{first}{k}"
+        return out
+    cut = "case when text is null then '-' else octet_length(encode(replace(text, chr(10), '')))::varchar || ':' || replace(text, chr(10), '') end"
+    rest = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    return f"""with d0 as (select doc_id, source, sha256({rest} || {field('text')}) leaf, sha256({rest} || {cut}) cut,
+    list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)),
+        lambda h, c: list_reduce(list_concat([xor(h, c)], [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]),
+            lambda x, _: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) crc from documents),
+d as (select *, row_number() over (partition by source order by doc_id, leaf) - 1 pos,
+    count(*) over (partition by source) n from d0),
+leaf_rows as (select source tree, pos, leaf digest, n from d),
+{tree('leaf_rows', 'a')}
+subs as (select tree source, d subroot, row_number() over (order by tree nulls first) - 1 pos,
+    count(*) over () n from a{levels}),
+sub_rows as (select 0 tree, pos, subroot digest, n from subs),
+{tree('sub_rows', 'b')}
+{path('a')},
+{path('b')},
+f as (select d.doc_id, d.leaf, s.subroot, d.source a_tree, d.pos a_pos, 0 b_tree, s.pos b_pos,
+    case when xor(d.crc, 4294967295) % 2 = 0 then d.cut else d.leaf end folded, '' proof
+    from d join subs s on d.source is not distinct from s.source),
+{climb('a', 'fa', 'f')}
+{climb('b', 'fb', f'fa{levels - 1}')}
+z as (select d root from b{levels})
+select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, folded folded_root, folded = root verified
+from fb{levels - 1}, z"""
+
+
+@query(_merkle_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0,
+                      F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = merkle.merkle_manifest(_table(spark, sf_dir, "documents"), tampered).leaves
+    folded = leaves.withColumn("folded_root", merkle.fold(F.col("path"), F.coalesce("changed", "digest")))
+    return folded.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root",
+                         F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
