@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, lines, merkle, ppm, quality, simhash, substrings, tokenfile, vectors, webpages
+from fleetlens.llm import (
+    bpe, decontaminate, lines, merkle, ppm, quality, simhash, substrings, tokenfile, vectors, webpages, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,3 +235,8 @@ def op12_merkle_manifest(spark, sf_dir):
     return folded.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root",
                          F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
                          (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query()
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
