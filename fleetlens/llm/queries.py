@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    bpe, decontaminate, lines, merkle, ppm, quality, simhash, substrings, tokenfile, vectors, webpages, whitening)
+    bpe, decontaminate, lines, merkle, outliers, ppm, quality, simhash, substrings, tokenfile, vectors, webpages,
+    whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,6 +227,12 @@ select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, folded folded_ro
 from fb{levels - 1}, z"""
 
 
+@query()
+def op11_quality_rules(spark, sf_dir):
+    return outliers.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query(_merkle_sql())
 def op12_merkle_manifest(spark, sf_dir):
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0,
