@@ -59,6 +59,11 @@ def log_ts(line: Column) -> Column:
     return F.when(line.rlike(_STAMP), text.try_cast("timestamp_ntz"))
 
 
+def event_ts(line: Column) -> Column:
+    """Time of an event header; NULL for all other lines, row images among them."""
+    return F.when(line.startswith("#") & ~is_row_text(line), log_ts(line))
+
+
 def end_log_pos(line: Column) -> Column:
     return as_bigint(F.regexp_extract(line, r"end_log_pos\s+(\d+)", 1))
 

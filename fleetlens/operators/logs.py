@@ -1,6 +1,7 @@
 """Transactions out of decoded log text: assembly, ranking, windows, detail lines.
 
-Input lines are ``(file, line_no, line)``; ``line_no`` is 1-based and dense per file.
+Input lines are ``(file, line_no, line)``, with ``line_no`` 1-based and dense per file, or a
+``LandedLog``, of which windows and detail lines read only the parts they need.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import logtext as L
 from fleetlens.operators.ordered import bucketed_offset, exclusive_prefix
+from fleetlens.session import store
+from fleetlens.sources.text import LandedLog
 
 # Lines per ordered chunk; per bucket in which lines meet short spans; and long spans.
 CHUNK_LINES = 200_000
 SPAN_LINES = 256
 RUN_LINES = 8_192
+#: Pieces of spans up to which a landed log is read by ranges of line ids alone.
+MAX_PIECES = 256
 
 
 def _chunk(line_no: Column, chunk_lines: int) -> Column:
@@ -30,7 +35,7 @@ def _is(flag: str) -> Column:
     return F.col("mask").bitwiseAND(1 << _FLAGS.index(flag)) != 0
 
 
-def log_marks(lines: DataFrame, mode: str = "strict") -> DataFrame:
+def log_marks(lines: DataFrame | LandedLog, mode: str = "strict") -> DataFrame:
     """Only the lines that decide something, reduced to a flag mask and numbers.
 
     Row images, most of a log, go no further than the scan, and no text is shuffled.
@@ -38,6 +43,14 @@ def log_marks(lines: DataFrame, mode: str = "strict") -> DataFrame:
     """
     if mode not in ("strict", "compat"):
         raise ValueError("mode is 'strict' or 'compat'")
+    if isinstance(lines, LandedLog):
+        return lines.number(_marked(lines.stored.select("file", "block", "line_id", "line"), mode,
+                                    ["file", "block", "line_id"]))
+    numbered = lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    return _marked(numbered, mode, ["file", "line_no"])
+
+
+def _marked(lines: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     line = F.col("line")
     strict = mode == "strict"
     hashed = line.startswith("#") & ~L.is_row_text(line) if strict else line.startswith("#")
@@ -51,11 +64,10 @@ def log_marks(lines: DataFrame, mode: str = "strict") -> DataFrame:
     mask = reduce(lambda a, b: a + b, (
         F.when(test, F.lit(1 << i)).otherwise(F.lit(0)) for i, test in
         enumerate(flags.values())))
-    marked = (lines.filter(reduce(lambda a, b: a | b, (flags[f] for f in wanted)))
-              .select("file", F.col("line_no").cast("bigint").alias("line_no"), "line",
-                      mask.alias("mask")))
+    marked = lines.filter(reduce(lambda a, b: a | b, (flags[f] for f in wanted))).select(
+        *keys, "line", mask.alias("mask"))
     return marked.select(
-        "file", "line_no", "mask",
+        *keys, "mask",
         F.when(_is("hash"), L.as_bigint(L.last_token(line))).alias("pos"),
         F.when(_is("map") | _is("end"), L.log_ts(line)).alias("ts"),
         F.when(_is("end"), L.end_log_pos(line)).alias("end_pos"),
@@ -64,9 +76,31 @@ def log_marks(lines: DataFrame, mode: str = "strict") -> DataFrame:
         F.when(_is("gtid"), L.number_after(line, "sequence_number")).alias("sequence_number"))
 
 
-def assemble_transactions(lines: DataFrame, mode: str = "strict",
+_MARK = ("line_no", "mask", "pos", "ts", "end_pos", "xid", "last_committed", "sequence_number")
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
+def _shuffled_marks(marks: DataFrame, chunk_lines: int) -> DataFrame:
+    """Marks dealt out by (file, chunk of lines).
+
+    A mark travels as one array of numbers, which no rule can narrow to fewer columns. So all that
+    is made of the marks starts from the same exchange, and the text is scanned once.
+    """
+    seconds = F.timestamp_diff("SECOND", _epoch(), F.col("ts"))
+    cells = [(seconds if c == "ts" else F.col(c)).cast("bigint") for c in _MARK]
+    dealt = marks.select("file", F.coalesce(_chunk(F.col("line_no"), chunk_lines), F.lit(-1)).alias("chunk"),
+                         F.array(*cells).alias("mark")).repartition("file", "chunk")
+    mark = {c: F.col("mark")[i] for i, c in enumerate(_MARK)}
+    mark["ts"] = _epoch() + F.make_dt_interval(secs=mark["ts"])
+    return dealt.select("file", "chunk", *[v.alias(c) for c, v in mark.items()])
+
+
+def assemble_transactions(lines: DataFrame | LandedLog, mode: str = "strict",
                           chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """One row per committed transaction of every file.
+    """One row per committed transaction of every file; the text is read once.
 
     Every mark gets two ordinals, commits before it and BEGINs up to it, as a count
     inside its chunk of lines plus the totals of earlier chunks. A *cell* is one pair of
@@ -74,21 +108,27 @@ def assemble_transactions(lines: DataFrame, mode: str = "strict",
     BEGIN falls away. All aggregates keep fixed-width buffers (hash aggregation with
     partials), so a transaction of any length reaches the shuffle as one row per chunk.
     """
+    return assemble_marks(log_marks(lines, mode), chunk_lines)
+
+
+def assemble_marks(marks: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """``assemble_transactions`` of lines that ``log_marks`` has reduced."""
+    return _close_segments(_cells(_placed(marks, chunk_lines)))
+
+
+def _placed(marks: DataFrame, chunk_lines: int) -> DataFrame:
+    """Marks with the number of BEGINs up to them and of commits before them."""
     begin, commit = _is("begin").cast("bigint"), _is("commit").cast("bigint")
-    chunk, line = _chunk(F.col("line_no"), chunk_lines).alias("chunk"), F.col("line")
     seen = (Window.partitionBy("file", "chunk").orderBy("line_no")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marks = log_marks(lines, mode).select("*", chunk).select(
-        "*", F.sum(begin).over(seen).alias("b"),
-        (F.sum(commit).over(seen) - commit).alias("c"))
-    totals = lines.groupBy("file", chunk).agg(
-        F.count_if(L.is_begin(line)).alias("begins"),
-        F.count_if(L.is_commit(line, mode)).alias("commits"))
+    dealt = _shuffled_marks(marks, chunk_lines)
+    counted = dealt.select("*", F.sum(begin).over(seen).alias("b"),
+                           (F.sum(commit).over(seen) - commit).alias("c"))
+    totals = dealt.groupBy("file", "chunk").agg(F.sum(begin).alias("begins"), F.sum(commit).alias("commits"))
     offsets = exclusive_prefix(totals, ["file"], "chunk", ["begins", "commits"])
-    placed = (marks.join(offsets, ["file", "chunk"])
-              .withColumn("begin_ord", F.col("b") + F.col("begins"))
-              .withColumn("commit_ord", F.col("c") + F.col("commits")))
-    return _close_segments(_cells(placed))
+    return (counted.join(offsets, ["file", "chunk"])
+            .withColumn("begin_ord", F.col("b") + F.col("begins"))
+            .withColumn("commit_ord", F.col("c") + F.col("commits")))
 
 
 def _cells(placed: DataFrame) -> DataFrame:
@@ -143,70 +183,158 @@ def transaction_summaries(trx: DataFrame) -> DataFrame:
     return trx.select("file", "xid", L.describe_transaction().alias("summary"))
 
 
+def _listed(spans: DataFrame, first: str, last: str, width: int) -> DataFrame:
+    """Spans under each bucket of ``width`` lines that they touch."""
+    return spans.withColumn("_bucket", F.explode(F.sequence(
+        _chunk(F.col(first), width), _chunk(F.col(last), width))))
+
+
 def _lines_in(lines: DataFrame, spans: DataFrame, first: str, last: str,
               width: int) -> DataFrame:
     """Lines inside line spans that do not overlap, with the span's columns.
 
     Both sides meet on (file, bucket of ``width`` lines): a span is listed under each bucket
     it touches and the exact bounds are a residual, so a line is compared with the few spans
-    of its own bucket. Few spans are broadcast by size and the text then never shuffles;
-    many spans shuffle on a key that no more than ``width`` lines share.
+    of its own bucket. Text is shuffled unless Spark knows the spans to be small; a landed log
+    is looked up without that.
     """
-    listed = spans.withColumn("_bucket", F.explode(F.sequence(
-        _chunk(F.col(first), width), _chunk(F.col(last), width))))
     keyed = lines.withColumn("_bucket", _chunk(F.col("line_no"), width))
-    return (keyed.join(listed, ["file", "_bucket"])
+    return (keyed.join(_listed(spans, first, last, width), ["file", "_bucket"])
             .filter(F.col("line_no").between(F.col(first), F.col(last)))
             .drop("_bucket"))
 
 
-def transaction_lines(lines: DataFrame, trx: DataFrame) -> DataFrame:
+def _pieces(log: LandedLog, spans: DataFrame, first: str, last: str) -> DataFrame:
+    """Spans as ranges of line ids: one row per span and file block, with ``_from``, ``_to`` and
+    ``_shift``, by which ids of the block differ from line numbers."""
+    width = RUN_LINES * 8
+    zones = _listed(log.zones.select("file", "block", "first_id", "first_line", "last_line"),
+                    "first_line", "last_line", width)
+    met = _listed(spans, first, last, width).join(zones, ["file", "_bucket"]).filter(
+        (F.col(first) <= F.col("last_line")) & (F.col(last) >= F.col("first_line")))
+    shift = F.col("first_line") - F.col("first_id")
+    return met.groupBy(*spans.columns, "block").agg(
+        F.min(F.greatest(first, "first_line") - shift).alias("_from"),
+        F.max(F.least(last, "last_line") - shift).alias("_to"), F.min(shift).alias("_shift"))
+
+
+def _stored_between(log: LandedLog, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Stored lines with ids in one of the ranges: a filter that Parquet's row groups are pruned
+    by. Neighbouring ranges become one."""
+    merged: list[list[int]] = []
+    for low, high in sorted(ranges):
+        if merged and low <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    tests = [F.col("line_id").between(low, high) for low, high in merged]
+    return log.stored.filter(reduce(lambda a, b: a | b, tests, F.lit(False)))
+
+
+def _landed_lines_in(log: LandedLog, spans: DataFrame, first: str, last: str) -> DataFrame:
+    """Lines of a landed log inside line spans that do not overlap, with the span's columns.
+
+    The spans are stored first, and meet the zone map, never the text. Up to 256 ranges of line
+    ids are then written into the scan, so only their row groups are read and no text is
+    shuffled. More spans than that meet the lines by (file, block, bucket of ids).
+    """
+    pieces = store(_pieces(log, spans, first, last), "pieces")
+    few = pieces.select("_from", "_to").limit(MAX_PIECES + 1).collect()
+    inside = F.col("line_id").between(F.col("_from"), F.col("_to"))
+    number = (F.col("line_id") + F.col("_shift")).alias("line_no")
+    keep = [c for c in spans.columns if c not in ("file", first, last)]
+    bounds = [c for c in (first, last) if not c.startswith("_")]
+    if len(few) <= MAX_PIECES:
+        text = _stored_between(log, [(r["_from"], r["_to"]) for r in few]).select("file", "block", "line_id", "line")
+        met = text.join(F.broadcast(pieces), ["file", "block"])
+    else:
+        ids = F.shiftright("line_id", SPAN_LINES.bit_length() - 1)
+        text = log.stored.select("file", "block", "line_id", "line").withColumn("_bucket", ids)
+        met = text.join(_listed(pieces, "_from", "_to", SPAN_LINES), ["file", "block", "_bucket"])
+    return met.filter(inside).select("file", number, "line", *keep, *bounds)
+
+
+def transaction_lines(lines: DataFrame | LandedLog, trx: DataFrame) -> DataFrame:
     """All log lines of the given transactions, first to last."""
     spans = (trx.filter("start_line is not null")
              .select("file", "xid", "start_line", "end_line"))
-    return (_lines_in(lines, spans, "start_line", "end_line", SPAN_LINES)
-            .select("file", "xid", "start_line", "line_no", "line"))
+    found = (_landed_lines_in(lines, spans, "start_line", "end_line") if isinstance(lines, LandedLog)
+             else _lines_in(lines, spans, "start_line", "end_line", SPAN_LINES))
+    return found.select("file", "xid", "start_line", "line_no", "line")
 
 
-def log_window(lines: DataFrame, start_ts: str | None = None, stop_ts: str | None = None,
+def _event_lines(lines: DataFrame) -> DataFrame:
+    """(file, line_no, pos, ts) of the lines that begin an event or hold its header."""
+    line = F.col("line")
+    return lines.select("file", F.col("line_no").cast("bigint").alias("line_no"),
+                        L.log_position(line).alias("pos"), L.event_ts(line).alias("ts")).filter(
+        "pos is not null or ts is not null")
+
+
+def _landed_events(log: LandedLog, hit: Column) -> DataFrame:
+    """Event lines of the zones that ``hit`` (of the zone map) cannot rule out, and of those next
+    to them, where their first event may begin and their last one ends. No text is read.
+
+    A zone in which no event begins goes with the one before, as its headers do.
+    """
+    along = Window.partitionBy("file").orderBy("first_line").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    busy = log.zones.filter("first_pos is not null or first_ts is not null").select(
+        "file", "first_id", "last_id", hit.alias("hit"),
+        F.count("first_pos").over(along).alias("group"))
+    order = Window.partitionBy("file").orderBy("group")
+    groups = busy.groupBy("file", "group").agg(F.bool_or("hit").alias("hit"))
+    near = groups.withColumn("near", F.col("hit") | F.coalesce(F.lag("hit").over(order), F.lit(False))
+                             | F.coalesce(F.lead("hit").over(order), F.lit(False))).filter("near")
+    wanted = store(busy.join(near.select("file", "group"), ["file", "group"]).select("first_id", "last_id"), "zones")
+    few = wanted.limit(MAX_PIECES + 1).collect()
+    stored = (_stored_between(log, [(r.first_id, r.last_id) for r in few]) if len(few) <= MAX_PIECES else log.stored)
+    return log.number(stored.filter("pos is not null or ts is not null").select(
+        "file", "block", "line_id", "pos", "ts"))
+
+
+def log_window(lines: DataFrame | LandedLog, start_ts: str | None = None, stop_ts: str | None = None,
                start_pos: int | None = None, stop_pos: int | None = None,
                chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Lines of the events in a half-open time or position range.
 
     An event runs from its ``# at N`` line to the next one. Only these lines and the
     headers after them are shuffled; runs of kept events become line spans, usually a
-    handful, that are then looked up in the text.
+    handful, that are then looked up in the text. Of a landed log the zone map rules out most
+    zones before events are read, and only the row groups of the spans are read as text.
     """
     timed = start_ts is not None and stop_ts is not None
     placed = start_pos is not None and stop_pos is not None
     if not (timed or placed):
         raise ValueError("give both ends of a time range or of a position range")
-    line, no = F.col("line"), F.col("line_no").cast("bigint")
-    at = L.log_position(line)
-    stamp = F.when(line.startswith("#") & ~L.is_row_text(line), L.log_ts(line))
-    events = (lines.select("file", no.alias("line_no"), at.alias("pos"), stamp.alias("ts"))
-              .filter("pos is not null or ts is not null")
-              .groupBy("file", F.when(F.col("pos").isNotNull(), F.col("line_no"))
-                       .otherwise(F.col("line_no") - 1).alias("at_line"))
+    low, high = ((F.lit(t).cast("timestamp_ntz") for t in (start_ts, stop_ts)) if timed
+                 else (F.lit(start_pos), F.lit(stop_pos)))
+    at = "ts" if timed else "pos"
+    landed = isinstance(lines, LandedLog)
+    if landed:
+        hit = F.coalesce((F.col(f"last_{at}") >= low) & (F.col(f"first_{at}") < high), F.lit(False))
+        found = _landed_events(lines, hit)
+        ends = lines.zones.groupBy("file").agg(F.max("last_line").alias("final_line"))
+    else:
+        found = _event_lines(lines)
+        ends = lines.groupBy("file").agg(F.max(F.col("line_no").cast("bigint")).alias("final_line"))
+    events = (found.groupBy("file", F.when(F.col("pos").isNotNull(), F.col("line_no"))
+                            .otherwise(F.col("line_no") - 1).alias("at_line"))
               .agg(F.max("pos").alias("pos"), F.max("ts").alias("ts"))
               .filter("pos is not null"))
-    if timed:
-        inside = ((F.col("ts") >= F.lit(start_ts).cast("timestamp_ntz"))
-                  & (F.col("ts") < F.lit(stop_ts).cast("timestamp_ntz")))
-    else:
-        inside = (F.col("pos") >= start_pos) & (F.col("pos") < stop_pos)
+    inside = (F.col(at) >= low) & (F.col(at) < high)
     events = events.select("file", "at_line", _chunk(F.col("at_line"), chunk_lines)
                            .alias("chunk"), F.coalesce(inside, F.lit(False)).alias("keep"))
     turns = (bucketed_offset(events, ["file"], "chunk", ["at_line"], {"keep": "was"})
              .filter("keep != coalesce(was, false)").drop("was"))
     runs = bucketed_offset(turns, ["file"], "chunk", ["at_line"], {"at_line": "stop_line"},
                            lead=True).filter("keep")
-    ends = lines.groupBy("file").agg(F.max(no).alias("final_line"))
     spans = runs.join(ends, "file").select(
         "file", F.col("at_line").alias("_first"),
         F.coalesce(F.col("stop_line") - 1, F.col("final_line")).alias("_last"))
-    return (_lines_in(lines, spans, "_first", "_last", RUN_LINES)
-            .select("file", "line_no", "line"))
+    met = (_landed_lines_in(lines, spans, "_first", "_last") if landed
+           else _lines_in(lines, spans, "_first", "_last", RUN_LINES))
+    return met.select("file", "line_no", "line")
 
 
 def group_commit_stats(trx: DataFrame, bucket: str = "hour") -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = os.path.join(tempfile.mkdtemp(prefix="fleetlens-"), "checkpoints")
     context.setCheckpointDir(configured)
     return configured
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here, and what follows
+    knows its size."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

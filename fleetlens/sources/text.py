@@ -2,45 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions import logtext as L
 from fleetlens.functions.values import norm_name
+from fleetlens.session import shared_folder
 
+#: Line ids that one row of the zone map covers, at most.
+ZONE_LINES = 1 << 16
 
-def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as ``(file, line_no, line)``, numbered per file, any file size.
-
-    Two light passes and no shuffle of text. ``monotonically_increasing_id`` runs without
-    gaps through a file block, so a line's number is its id, minus the first id of the
-    block, plus the lines of the file's earlier blocks; only the per-block table (one row
-    per block) is windowed and joined. Should a cluster that changes size split the files
-    differently in the two passes, the check below fails the job instead of misnumbering;
-    set spark.sql.files.minPartitionNum to pin the split. Store the result when several
-    queries follow (``land_log``). A compressed file is one block.
+
+def _zone(line_id: Column) -> Column:
+    return F.shiftright(line_id, ZONE_LINES.bit_length() - 1)
+
+
+@dataclass(frozen=True)
+class LandedLog:
+    """A log stored once, and the map of its zones.
+
+    ``stored`` is (file, block, line_id, pos, ts, line). Ids rise without gaps through a file
+    block, so row groups hold id ranges and a filter on ``line_id`` reads only theirs. ``pos``
+    and ``ts`` are those of event lines, so events are found without reading text.
+    ``zones`` is (file, block, zone, first_id, last_id, first_line, last_line, first_pos,
+    last_pos, first_ts, last_ts): a zone is the part of a block with equal upper bits of the id.
+    """
+
+    stored: DataFrame
+    zones: DataFrame
+
+    def number(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with file, block and line_id) with ``line_no`` instead of block and id."""
+        starts = self.zones.select("file", "block", F.col("zone").alias("_zone"), "first_id", "first_line")
+        keyed = rows.withColumn("_zone", _zone(F.col("line_id")))
+        number = (F.col("line_id") - F.col("first_id") + F.col("first_line")).alias("line_no")
+        rest = [c for c in rows.columns if c not in ("file", "block", "line_id")]
+        return keyed.join(starts, ["file", "block", "_zone"]).select("file", number, *rest)
+
+    def lines(self) -> DataFrame:
+        """(file, line_no, line) of the whole log; the zone map is one row per 65,536 lines, which
+        Spark broadcasts where that is small."""
+        return self.number(self.stored.select("file", "block", "line_id", "line"))
+
+
+def read_landed_log(spark: SparkSession, out: str) -> LandedLog:
+    """A log that ``land_log`` stored at ``out``."""
+    return LandedLog(spark.read.parquet(f"{out}/lines"), spark.read.parquet(f"{out}/zones"))
+
+
+def land_log(spark: SparkSession, path: str, out: str,
+             name: Callable[[Column], Column] = lambda file: file) -> LandedLog:
+    """Store the text files under ``path`` at ``out``, for all later log queries.
+
+    One scan writes every line where it is read, with its file, file block and id; nothing is
+    shuffled. The zone map is then made of what is stored, so how files are split into blocks
+    later on, or between two passes, does not matter. A line's number is its id minus
+    the first of its zone plus the lines of the file's earlier zones; only the zone map is put in order.
+    ``name`` turns a path into the name of the log. A compressed file is one block.
     """
+    line = F.col("line")
     raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    blocks = raw.groupBy("file", "block").agg(F.min("id").alias("first_id"),
-                                              F.count("*").alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    at = F.col("id") - F.col("first_id")
-    inside = F.coalesce((at >= 0) & (at < F.col("n")), F.lit(False))
-    number = F.when(inside, at + F.col("offset") + 1).otherwise(
-        F.raise_error(F.lit("file blocks changed between passes; set "
-                            "spark.sql.files.minPartitionNum")).cast("bigint"))
-    return raw.join(starts, ["file", "block"], "left").select(
-        "file", number.alias("line_no"), "line")
-
-
-def land_log(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Numbered lines stored once as Parquet, and read back, for all later log queries."""
-    read_numbered_lines(spark, path).write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+        name(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
+    raw.select("file", "block", "line_id", L.log_position(line).alias("pos"), L.event_ts(line).alias("ts"),
+               "line").write.mode("overwrite").parquet(f"{out}/lines")
+    stored = spark.read.parquet(f"{out}/lines")
+    zones = stored.groupBy("file", "block", _zone(F.col("line_id")).alias("zone")).agg(
+        F.min("line_id").alias("first_id"), F.max("line_id").alias("last_id"),
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    upto = Window.partitionBy("file").orderBy("block", "zone").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    own = F.col("last_id") - F.col("first_id") + 1
+    placed = zones.withColumn("last_line", F.sum(own).over(upto)).withColumn(
+        "first_line", F.col("last_line") - own + 1)
+    placed.select("file", "block", "zone", "first_id", "last_id", "first_line", "last_line", "first_pos",
+                  "last_pos", "first_ts", "last_ts").write.mode("overwrite").parquet(f"{out}/zones")
+    return read_landed_log(spark, out)
+
+
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text files as ``(file, line_no, line)``, numbered per file, any file size. The lines are
+    stored once in the shared folder (see ``land_log``), so both passes see the same blocks."""
+    return land_log(spark, path, shared_folder(spark, "lines")).lines()
 
 
 def parse_config_lines(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import logtext as L
 from fleetlens.operators import logs
 from fleetlens.plans.pipelines import largest_transactions
+from fleetlens.sources import text
 from fleetlens.sources.text import land_log, read_numbered_lines
 from fleetlens.streaming.transactions import stream_transactions
 
@@ -194,10 +195,55 @@ def test_log_file_to_transactions(spark, tmp_path):
     source.mkdir()
     _write(str(source), "log.txt", LOG, end="\r\n")
     stored = land_log(spark, str(source), str(tmp_path / "stored"))
-    assert stored.count() == len(LOG)
+    assert stored.lines().count() == len(LOG)
     assert rows(logs.assemble_transactions(stored), *FIELDS) == EXPECTED
 
 
+def _long_log(transactions=60):
+    """A log whose transactions have from none to 40 changed rows, so events and zones overlap."""
+    out = ["/*!50530 SET x */;"]
+    for i in range(transactions):
+        hour = f"{i // 6:2d}"
+        out += trx(100 + 1000 * i, i, ["### UPDATE `d`.`t`"] * (i * 7 % 41), start=f"{hour}:00:0{i % 6}",
+                   end=f"{hour}:00:0{i % 6 + 1}", lc=i // 3)
+    return out
+
+
+@pytest.mark.parametrize("zone,block,pieces", [(4, "512", 256), (16, "2048", 256), (64, "700", 2), (4, "900", 0),
+                                               (65536, "134217728", 256)])
+def test_landed_windows_equal_plain_ones(spark, tmp_path, monkeypatch, zone, block, pieces):
+    monkeypatch.setattr(text, "ZONE_LINES", zone)
+    monkeypatch.setattr(logs, "MAX_PIECES", pieces)
+    log = _long_log()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"file={name}").mkdir(parents=True)
+        _write(str(tmp_path / "in" / f"file={name}"), "x.txt", log if name == "a" else log[:400])
+    plain = spark.createDataFrame([(f, i, x) for f, part in (("a", log), ("b", log[:400]))
+                                   for i, x in enumerate(part, 1)], "file string, line_no long, line string")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        stored = land_log(spark, str(tmp_path / "in"), str(tmp_path / "out"),
+                          lambda p: F.regexp_extract(p, "file=([^/]+)", 1))
+        # What is read later may be split as it likes.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        assert rows(stored.lines()) == rows(plain)
+        found = logs.assemble_transactions(stored, chunk_lines=97)
+        assert rows(found) == rows(logs.assemble_transactions(plain))
+        assert found.count() == 60 + sum(x == "COMMIT/*!*/;" for x in log[:400])
+        for how in ({"start_pos": 5100, "stop_pos": 9101}, {"start_pos": 59100, "stop_pos": 10**9},
+                    {"start_pos": 0, "stop_pos": 101}, {"start_pos": 7, "stop_pos": 8}, {"start_pos": 0, "stop_pos": 10**9},
+                    {"start_ts": "2024-01-02 02:00:00", "stop_ts": "2024-01-02 02:00:02"},
+                    {"start_ts": "2024-01-02 03:00:01", "stop_ts": "2024-01-02 08:30:00"}):
+            assert rows(logs.log_window(stored, **how)) == rows(logs.log_window(plain, **how)), how
+        some = found.filter("xid in (5, 6, 17, 40)")
+        assert rows(logs.transaction_lines(stored, some)) == rows(logs.transaction_lines(plain, some))
+        assert rows(logs.transaction_lines(stored, found)) == rows(logs.transaction_lines(plain, found))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 # --- stream ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("mode", ["strict", "compat"])

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from fleetlens.operators import logs
 from workload.queries import Inputs
 
 QUERIES = contract.queries()
@@ -24,13 +25,37 @@ def test_no_cross_join_no_global_window_no_python(name, spark, sf_dir):
     assert "SinglePartition" not in text
 
 
-def test_log_text_is_not_shuffled(spark, sf_dir):
-    text = plan(Inputs(spark, sf_dir).trx)
-    below = re.findall(r"Exchange hashpartitioning\(file[^\n]*\n[^\n]*?(\w+\(keys[^\n]*|"
-                       r"Project \[[^\n]*)", text)
-    assert len(below) == 5
-    marks = [p for p in below if p.startswith("Project")]
-    assert len(marks) == 1 and "mask#" in marks[0] and " line#" not in marks[0]
+def executed(df):
+    """The plan as it was run."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_log_text_is_read_once_and_not_shuffled(spark, sf_dir):
+    df = Inputs(spark, sf_dir).trx
+    assert " line#" not in "".join(re.findall(r"Exchange [^\n]*\n[^\n]*", plan(df)))
+    text = executed(df)
+    text_scans = [x for x in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "line:string" in x]
+    assert len(text_scans) == 1 and "ReusedExchange" in text
+
+
+def test_windows_of_a_landed_log_read_their_row_groups(spark, sf_dir):
+    """No text in an exchange, and id ranges in the scan, with automatic broadcasts off."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        i = Inputs(spark, sf_dir)
+        few = i.trx.filter("xid < 50")
+        found = [plan(QUERIES["q_log_window"](spark, sf_dir)), plan(logs.transaction_lines(i.log, few))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for text in found:
+        assert "hashpartitioning" not in text
+        pushed = re.findall(r"PushedFilters: \[([^\n]*)\], ReadSchema: struct<[^>]*line:string", text)
+        assert len(pushed) == 1 and "GreaterThanOrEqual(line_id" in pushed[0] and "LessThanOrEqual(line_id" in pushed[0]
 
 
 def test_top_k_plans(spark, sf_dir):

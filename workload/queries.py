@@ -16,11 +16,11 @@ from fleetlens.operators import (backup, diagnosis, drift, locks, logs, ranges,
 from fleetlens.plans import pipelines
 from fleetlens.session import ensure_checkpoint_dir
 from fleetlens.sources import tables as src
-from fleetlens.sources.text import parse_config_lines
+from fleetlens.sources.text import LandedLog, parse_config_lines, read_numbered_lines
 from fleetlens.streaming.health import stream_health
 from fleetlens.streaming.transactions import stream_transactions
 from workload.oracle_views import AS_OF
-from workload.views import landed, table, view, with_views
+from workload.views import folder_name, landed, landed_log, table, text_files, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,8 +47,8 @@ class Inputs:
         return view(*self._at, name)
 
     @property
-    def log(self) -> DataFrame:
-        return self.m7_lines
+    def log(self) -> LandedLog:
+        return landed_log(*self._at)
 
     @property
     def trx(self) -> DataFrame:
@@ -143,6 +143,18 @@ def q_log_window_position(spark, sf_dir):
     return logs.log_window(Inputs(spark, sf_dir).log, start_pos=20_000, stop_pos=90_000)
 
 
+@query("""select source as file, row_number() over (partition by source order by doc_id, place) as line_no,
+ line from (select source, doc_id, unnest(string_split(text, chr(10))) as line,
+  unnest(range(0, len(string_split(text, chr(10))))) as place from documents
+  where text is not null and source is not null) q""")
+def q_read_numbered_lines(spark, sf_dir):
+    """A text file per source, with the lines of its documents, read back in numbers."""
+    lines = table(spark, sf_dir, "documents").filter("source is not null").select(
+        "source", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    path = text_files(spark, sf_dir, "document_lines", lines, "source", "doc_id", "place")
+    return read_numbered_lines(spark, path).withColumn("file", folder_name(F.col("file")))
+
+
 @query("""select file, bucket_start, cast(grouping(file, bucket_start) as bigint) as level,
  count(*) as n_groups, cast(sum(n) as bigint) as n_transactions, max(n) as largest_group
 from (select file, date_trunc('hour', min(start_time)) as bucket_start, last_committed,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.ordered import bucketed_offset, exclusive_prefix
 from fleetlens.session import ensure_checkpoint_dir
+from fleetlens.sources.text import LandedLog, land_log
 from workload.oracle_views import ORACLE
 
 LANDED = ("m1_processlist", "m4_waits", "m7_lines")
@@ -331,7 +332,7 @@ def _render(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_spark_text(text), **inputs)
 
 
-_landed: dict[tuple[str, str, str], str] = {}
+_landed: dict = {}
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -350,6 +351,38 @@ def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(_landed[key])
 
 
+def _written(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Folder that ``write`` (given the folder) has filled, once per application."""
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir, name)
+    if key not in _landed:
+        tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+        path = f"{ensure_checkpoint_dir(spark)}/landed-{app}-{tag}/{name}"
+        write(path)
+        _landed[key] = path
+    return _landed[key]
+
+
+def text_files(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, file: str, *order: str) -> str:
+    """Folder of text files, one per value of ``file``, with the column ``line`` in order."""
+    lined = rows.repartition(file).sortWithinPartitions(file, *order).select(file, F.col("line").alias("value"))
+    return _written(spark, sf_dir, name, lambda path: lined.write.partitionBy(file).mode("overwrite").text(path))
+
+
+def folder_name(path):
+    """The value that the folder of a partitioned file stands for."""
+    return F.regexp_extract(path, "/[a-z]+=([^/]+)/[^/]*$", 1)
+
+
+def landed_log(spark: SparkSession, sf_dir: str) -> LandedLog:
+    """The decoded log, as text files that are then landed as in production."""
+    texts = text_files(spark, sf_dir, "m7_text", view(spark, sf_dir, "m7_lines"), "file", "line_no")
+    key = (spark.sparkContext.applicationId, sf_dir, "m7_log")
+    if key not in _landed:
+        _landed[key] = land_log(spark, texts, texts.removesuffix("m7_text") + "m7_log", folder_name)
+    return _landed[key]
+
+
 def _waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lock waits: each transaction waits for the one before it in its snapshot."""
     trx = view(spark, sf_dir, "m2_trx").select(
