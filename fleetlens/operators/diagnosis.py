@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.operators.locks import (blocker_statements, mdl_waiters, version_family,
-                                       waiter_blockers)
+from fleetlens.functions.statements import first_table
+from fleetlens.operators.locks import (MDL_WAIT, blocker_counts, blocker_statements, mdl_waiters,
+                                       version_family)
 from fleetlens.operators.ordered import MOMENT, moment_keys
 from fleetlens.operators.threads import LONG_CLASSES, classify_threads
+from fleetlens.session import store
 
 FACTS = ("version", "performance_schema", "mdl_instrument", "global_instrumentation",
          "read_only", "is_replica")
@@ -89,96 +91,134 @@ def mdl_visibility(facts: DataFrame) -> DataFrame:
                         _flush_ladder().alias("flush_visibility"))
 
 
-def _finding(df: DataFrame, finding: Column, advice: Column, trx: Column, query: Column,
-             detail: Column | None = None, visibility: Column | None = None) -> DataFrame:
+#: Every state that leads to a finding.
+STATES = (*(rule[0] for rule in RULES), GLOBAL_READ_LOCK, MDL_WAIT, "updating", "Opening tables")
+_RULE = ("state", "finding", "advice", "shows_statement", "ladder", "trx_problem", "query_problem")
+
+
+def relevant_threads(active: DataFrame) -> DataFrame:
+    """The classified threads that a diagnosis looks at: those in a telling state, and the long
+    statements; with only the columns it needs."""
+    keep = F.col("state").isin(*STATES) | F.col("class").isin(*LONG_CLASSES)
+    return classify_threads(active).filter(keep).select(
+        *moment_keys(active), "id", "state", "info", "class")
+
+
+def _moment_facts(threads: DataFrame, open_tables: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One row per moment: n_ddl, n_opening, n_in_use; and the keys it is found by.
+
+    Threads and open tables are stacked and counted together, so a moment is one row of one
+    aggregate. Open tables that name fewer keys than the threads are counted by those.
+    """
+    keys, shared = moment_keys(threads), moment_keys(threads, open_tables)
+    none = F.lit(0)
+    counted = threads.select(*keys, (F.col("class") == "ddl").cast("int").alias("n_ddl"), F.coalesce(
+        (F.col("state") == "Opening tables").cast("int"), none).alias("n_opening"), none.alias("n_in_use"))
+    used = open_tables.select(*shared, none.alias("n_ddl"), none.alias("n_opening"), F.lit(1).alias("n_in_use"))
+    sums = [F.sum(c).alias(c) for c in ("n_ddl", "n_opening", "n_in_use")]
+    if shared == keys:
+        return counted.unionByName(used).groupBy(*keys).agg(*sums), keys
+    per_moment = counted.groupBy(*keys).agg(*sums[:2])
+    return per_moment.join(used.groupBy(*shared).agg(sums[2]), shared, "left"), keys
+
+
+def _found(finding: Column | str, advice: Column | str, trx: Column | bool = False, query: Column | bool = False,
+           detail: Column | None = None, visibility: Column | None = None) -> Column:
+    def column(value) -> Column:
+        return value if isinstance(value, Column) else F.lit(value)
     none = F.lit(None).cast("string")
-    return df.select(
-        *moment_keys(df), "id", "state", finding.alias("finding"), advice.alias("advice"),
+    return F.struct(
+        column(finding).alias("finding"), column(advice).alias("advice"),
         (none if detail is None else detail).alias("detail"),
         (none if visibility is None else visibility).alias("visibility"),
-        F.coalesce(trx, F.lit(False)).alias("trx_problem"),
-        F.coalesce(query, F.lit(False)).alias("query_problem"))
+        F.coalesce(column(trx), F.lit(False)).alias("trx_problem"),
+        F.coalesce(column(query), F.lit(False)).alias("query_problem"))
 
 
-def diagnose_threads(active: DataFrame, facts: DataFrame, open_tables: DataFrame,
-                     long_trx: DataFrame, waits: DataFrame,
-                     rules: DataFrame | None = None, match: str = "exact") -> DataFrame:
-    """Findings for the active threads, one row per thread and finding.
+def _of_rules(rules: Column) -> Column:
+    """Findings of the rules (an array) that a thread's state meets."""
+    return F.transform(rules, lambda r: _found(
+        r["finding"], r["advice"], r["trx_problem"], r["query_problem"],
+        F.when(r["shows_statement"], F.col("info")),
+        F.when(r["ladder"] == "plain", F.col("plain")).when(r["ladder"] == "flush", F.col("flush"))))
 
-    ``facts`` is pivoted, ``open_tables`` the tables in use, ``waits`` the lock-wait
-    report. Each branch filters the process list by state, so only the few waiting threads
-    of a branch take part in its joins.
-    """
-    yes, no = F.lit(True), F.lit(False)
-    rules = rules_table(active.sparkSession) if rules is None else rules
-    known = facts.select("instance", "version_family", _plain_ladder().alias("plain"),
-                         _flush_ladder().alias("flush"))
-    info = F.col("info")
-
-    by_rule = active.join(rules, "state").join(known, "instance", "left")
-    stated = _finding(by_rule, F.col("finding"), F.col("advice"), F.col("trx_problem"),
-                      F.col("query_problem"), F.when(F.col("shows_statement"), info),
-                      F.when(F.col("ladder") == "plain", F.col("plain"))
-                      .when(F.col("ladder") == "flush", F.col("flush")))
-
-    in_use = open_tables.groupBy(*moment_keys(active, open_tables)).agg(
-        F.count("*").alias("n_in_use"))
-    held = (active.filter(F.col("state") == GLOBAL_READ_LOCK)
-            .join(in_use, moment_keys(active, open_tables), "left")
-            .join(known, "instance", "left"))
+
+def _of_states() -> list[Column]:
+    """Findings that need more than the state, each NULL where it does not apply."""
+    info, state, no = F.col("info"), F.col("state"), F.lit(False)
     flushing = F.coalesce(info == FLUSH_STATEMENT, no)
     idle = F.coalesce(F.col("n_in_use"), F.lit(0)) == 0
-    read_lock = _finding(
-        held, F.when(flushing, "flush_is_waiting").when(idle, "blocked_by_flush")
+    read_lock = F.when(state == GLOBAL_READ_LOCK, _found(
+        F.when(flushing, "flush_is_waiting").when(idle, "blocked_by_flush")
         .otherwise("blocked_by_long_query"),
         F.when(flushing, "end the long statements and transactions the flush waits for")
         .when(idle, "find the session that flushed tables with a read lock")
         .otherwise("a long statement holds up the read lock"),
         flushing | ~idle, flushing | ~idle, F.when(~flushing, info),
-        F.when(~flushing & idle, F.col("plain")))
-
-    statements = blocker_statements(classify_threads(active), long_trx)
-    waiting = waiter_blockers(mdl_waiters(active), statements, match).withColumn(
-        "state", F.lit("Waiting for table metadata lock"))
-    named, blocked = F.col("table_name").isNotNull(), F.col("n_blockers") > 0
-    metadata = _finding(
-        waiting, F.when(~named, "table_name_unreadable").when(blocked, "mdl_blocked")
+        F.when(~flushing & idle, F.col("plain"))))
+
+    named = F.col("table_name").isNotNull()
+    blocked = F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0)) > 0
+    metadata = F.when(state == MDL_WAIT, _found(
+        F.when(~named, "table_name_unreadable").when(blocked, "mdl_blocked")
         .otherwise("mdl_blocker_unknown"),
         F.when(~named, "no table name in the statement, perhaps a keyword")
         .when(blocked, "see the blocking statements of the table")
         .otherwise("an uncommitted transaction or long statement holds the table"),
-        named, named & ~blocked, F.col("table_name"))
+        named, named & ~blocked, F.col("table_name")))
 
-    keys = moment_keys(active, waits)
-    blocked_ids = waits.select(*keys, F.col("waiting_thread").alias("id")).distinct() \
-        .withColumn("is_blocked", yes)
-    updating = (active.filter(F.col("state") == "updating")
-                .join(blocked_ids, [*keys, "id"], "left").join(known, "instance", "left"))
     supported, stuck = F.col("version_family").isNotNull(), F.col("is_blocked").isNotNull()
-    dml = _finding(
-        updating, F.when(~supported, "unsupported_version").when(stuck, "dml_blocked")
+    dml = F.when(state == "updating", _found(
+        F.when(~supported, "unsupported_version").when(stuck, "dml_blocked")
         .otherwise("dml_may_block"),
         F.when(~supported, "lock waits of this server version cannot be read")
         .when(stuck, "see the lock-wait report")
         .otherwise("a long change is running and may block others"),
-        supported & stuck, no, F.when(~stuck, info))
-
-    counts = classify_threads(active).groupBy(*moment_keys(active)).agg(
-        F.count_if(F.col("class") == "ddl").alias("n_ddl"),
-        F.count_if(F.col("state") == "Opening tables").alias("n_opening"))
-    opening = (active.filter(F.col("state") == "Opening tables")
-               .join(counts, moment_keys(active))
-               .withColumn("finding", F.explode(F.array_compact(F.array(
-                   F.when(F.col("n_ddl") > 0, "long_ddl_running"),
-                   F.when(F.col("n_opening") > 10, "table_cache_pressure"))))))
-    tables = _finding(
-        opening, F.col("finding"),
-        F.when(F.col("finding") == "long_ddl_running",
-               "a large table may be dropped or truncated; see the long DDL")
-        .otherwise("enlarge the table cache, or use fewer tables and less concurrency"),
-        no, no)
-    return (stated.unionByName(read_lock).unionByName(metadata).unionByName(dml)
-            .unionByName(tables))
+        supported & stuck, no, F.when(~stuck, info)))
+
+    opening = state == "Opening tables"
+    ddl = F.when(opening & (F.col("n_ddl") > 0), _found(
+        "long_ddl_running", "a large table may be dropped or truncated; see the long DDL"))
+    cache = F.when(opening & (F.col("n_opening") > 10), _found(
+        "table_cache_pressure", "enlarge the table cache, or use fewer tables and less concurrency"))
+    return [read_lock, metadata, dml, ddl, cache]
+
+
+def diagnose_threads(active: DataFrame, facts: DataFrame, open_tables: DataFrame,
+                     long_trx: DataFrame, waits: DataFrame,
+                     rules: DataFrame | None = None, match: str = "exact") -> DataFrame:
+    """Findings for the active threads, one row per thread and finding.
+
+    ``facts`` is pivoted, ``open_tables`` the tables in use, ``waits`` the lock-wait report;
+    ``rules`` replaces the state rules; ``active`` may be what ``relevant_threads`` makes of it.
+    The process list is read once: what it comes to, the blocked threads and the statements per
+    table are stored, small as they are. Each thread then meets one row of facts per
+    instance, moment, table and thread, and its findings are one array.
+    """
+    threads = active if "class" in active.columns else store(relevant_threads(active), "threads")
+    keys = moment_keys(threads)
+    known = facts.select("instance", "version_family", _plain_ladder().alias("plain"),
+                         _flush_ladder().alias("flush"))
+    moments, moment = _moment_facts(threads, open_tables)
+    waiters = mdl_waiters(threads)
+    everyone, own = blocker_counts(waiters, blocker_statements(threads, long_trx), match)
+    held = moment_keys(threads, own)
+    blocked_keys = [*moment_keys(threads, waits), "id"]
+    blocked = store(waits.select(*blocked_keys[:-1], F.col("waiting_thread").alias("id")).distinct(), "blocked")
+    if rules is None:
+        own_rules = F.filter(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(_RULE, rule)]) for rule in RULES]),
+                             lambda r: r["state"] == F.col("state"))
+        ruled = threads.withColumn("rules", own_rules)
+    else:
+        listed = rules.groupBy("state").agg(F.collect_list(F.struct(*_RULE)).alias("rules"))
+        ruled = threads.join(listed, "state", "left").withColumn(
+            "rules", F.coalesce("rules", F.array().cast(listed.schema["rules"].dataType)))
+    named = ruled.withColumn("table_name", F.when(F.col("state") == MDL_WAIT, first_table(F.col("info"))))
+    told = (named.join(known, "instance", "left").join(moments, moment, "left")
+            .join(everyone, [*held, "table_name"], "left").join(own, [*held, "table_name", "id"], "left")
+            .join(blocked.withColumn("is_blocked", F.lit(True)), blocked_keys, "left"))
+    findings = F.concat(_of_rules(F.col("rules")), F.array_compact(F.array(*_of_states())))
+    return told.select(*keys, "id", "state", F.inline(findings))
 
 
 def problem_flags(findings: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.statements import extract_tables, first_table
 from fleetlens.operators.ordered import moment_keys
 from fleetlens.operators.threads import LONG_CLASSES
+from fleetlens.session import store
 
 MDL_WAIT = "Waiting for table metadata lock"
 
@@ -20,14 +21,30 @@ def seconds_between(start: Column, stop: Column) -> Column:
     return F.timestamp_diff("SECOND", start, stop)
 
 
+_OWNER = ("user", "host", "db", "command", "time", "info")
+
+
+def transaction_owners(trx: DataFrame, pl: DataFrame) -> DataFrame:
+    """Every transaction with the process that owns it (``has_owner`` tells whether there is one).
+    Long transactions and both sides of lock waits come out of this one table."""
+    keys = moment_keys(trx, pl)
+    owner = pl.select(*keys, F.col("id").alias("thread_id"), *[c for c in _OWNER if c in pl.columns],
+                      F.lit(True).alias("_owned"))
+    return trx.join(owner, [*keys, "thread_id"], "left").withColumn(
+        "has_owner", F.coalesce("_owned", F.lit(False))).drop("_owned")
+
+
 def long_transactions(trx: DataFrame, pl: DataFrame, as_of: str,
                       min_age: int = 10) -> DataFrame:
     """Transactions open for more than ``min_age`` seconds at ``as_of``, with the process
     that owns them. ``as_of`` is data, never the clock, so reruns agree."""
-    keys = moment_keys(trx, pl)
-    owner = pl.select(*keys, F.col("id").alias("thread_id"), "user", "host", "db", "info")
-    old = trx.filter(F.col("trx_started") < _at(as_of) - F.expr(f"interval {min_age} seconds"))
-    return (old.join(owner, [*keys, "thread_id"])
+    return long_owned(transaction_owners(trx, pl), as_of, min_age)
+
+
+def long_owned(owners: DataFrame, as_of: str, min_age: int = 10) -> DataFrame:
+    """``long_transactions`` of ``transaction_owners``."""
+    old = F.col("trx_started") < _at(as_of) - F.expr(f"interval {min_age} seconds")
+    return (owners.filter(old & F.col("has_owner")).drop("has_owner", "command", "time")
             .withColumn("age", seconds_between(F.col("trx_started"), _at(as_of))))
 
 
@@ -94,12 +111,13 @@ def lock_waits(waits: DataFrame, trx: DataFrame, locks: DataFrame, pl: DataFrame
     wait row is shuffled for three joins, not five. A transaction that blocks very many
     others makes one large key against one row, which AQE splits.
     """
+    return owned_lock_waits(waits, transaction_owners(trx, pl), locks, as_of)
+
+
+def owned_lock_waits(waits: DataFrame, owners: DataFrame, locks: DataFrame, as_of: str) -> DataFrame:
+    """``lock_waits`` of ``transaction_owners``."""
     now = _at(as_of)
-    keys = moment_keys(waits, trx)
-    own = moment_keys(trx, pl)
-    owner = pl.select(*own, F.col("id").alias("thread_id"), "user", "host", "db", "command",
-                      "time")
-    owners = trx.join(owner, [*own, "thread_id"], "left")
+    keys = moment_keys(waits, owners)
 
     def role(prefix: str, key: str, *extra: Column) -> DataFrame:
         return owners.select(
@@ -151,22 +169,61 @@ def _held_tables(waiters: DataFrame, statements: DataFrame, mode: str) -> DataFr
             .alias("table_name"))
     if mode != "contains":
         raise ValueError("mode is 'exact' or 'contains'")
-    # Substring match: distinct names meet distinct statements on the name's first
-    # characters, never every name with every statement of a moment.
-    width = 4
-    texts = statements.select(*keys, "statement").distinct()
-    grams = texts.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(width)), lambda n: F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.length("statement"), F.lit(1))),
-                     lambda i: i + n - 1 <= F.length("statement")),
-            lambda i: F.substring(F.col("statement"), i, n)))))))
-    names = waiters.select(*keys, "table_name").filter(
-        F.length("table_name") > 0).distinct().withColumn(
-        "_gram", F.substring("table_name", 1, width))
-    touched = (grams.join(names, [*keys, "_gram"])
-               .filter(F.col("statement").contains(F.col("table_name")))
-               .select(*keys, "statement", "table_name"))
-    return statements.join(touched, [*keys, "statement"])
+    return _containing(waiters, statements, keys)
+
+
+# Characters that runs of a statement are cut at, characters of a name that are looked up, and
+# first characters by which names meet positions in a run.
+_RUN = r"[\p{L}\p{N}_$]"
+_PART, _KEY, _HEAD = 256, 64, 4
+
+
+def _runs(text: Column) -> Column:
+    """Distinct runs of name characters, and of others, in parts that overlap by a key's length;
+    one pass of a pattern, linear in the text."""
+    def cut(kind: str) -> str:
+        return f"(?=({kind}{{1,{_PART + _KEY - 1}}})){kind}{{1,{_PART}}}"
+    names = F.regexp_extract_all(text, F.lit(f"(?s){cut(_RUN)}"), 1)
+    others = F.regexp_extract_all(text, F.lit(f"(?s){cut(_RUN.replace('[', '[^', 1))}"), 1)
+    return F.array_distinct(F.concat(names, others))
+
+
+def _containing(waiters: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
+    """Statements with each waited-for name that stands anywhere in their text.
+
+    An index of the distinct runs of each statement is stored once. Names are looked up in the
+    distinct runs of a moment only: a position in a run meets the lengths of the names that
+    begin like it, and what it then spells meets the names themselves, so names that begin
+    alike cost no more than others. A name of several runs, or of more than 64 characters, is
+    looked up by its longest run and then compared with the texts that hold that.
+    """
+    def longest(name: Column) -> Column:
+        runs = F.regexp_extract_all(name, F.lit(f"{_RUN}+|{_RUN.replace('[', '[^', 1)}+"), 0)
+        sized = F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
+        return F.substring(F.array_max(sized)["run"], 1, _KEY)
+
+    key, run = F.col("_key"), F.col("_run")
+    names = waiters.select(*keys, "table_name").filter(F.length("table_name") > 0).distinct().withColumn(
+        "_key", longest(F.col("table_name")))
+    heads = names.groupBy(*keys, F.substring("_key", 1, _HEAD).alias("_head")).agg(
+        F.collect_set(F.length(key)).alias("_lengths"))
+    texts = statements.select(*keys, F.md5("statement").alias("_sid"), "statement").distinct()
+    index = store(texts.select(*keys, "_sid", F.explode(_runs(F.col("statement"))).alias("_run")), "runs")
+    spots = (index.select(*keys, "_run").distinct()
+             .select(*keys, "_run", F.explode(F.sequence(F.lit(1), F.length(run))).alias("_at"))
+             .select(*keys, "_run", "_at", F.explode(F.array(*map(F.lit, range(1, _HEAD + 1)))).alias("_n"))
+             .withColumn("_head", F.expr("substring(_run, _at, _n)")).filter(F.length("_head") == F.col("_n")))
+    spelt = (spots.join(heads, [*keys, "_head"])
+             .select(*keys, "_run", "_at", F.explode("_lengths").alias("_n"))
+             .withColumn("_key", F.expr("substring(_run, _at, _n)")))
+    named = spelt.join(names, [*keys, "_key"]).select(
+        *keys, "_run", "table_name", (key == F.col("table_name")).alias("_whole")).distinct()
+    touched = store(index.join(named, [*keys, "_run"]).select(*keys, "_sid", "table_name", "_whole").distinct(), "held")
+    compared = touched.filter("not _whole").join(texts, [*keys, "_sid"]).filter(
+        F.col("statement").contains(F.col("table_name")))
+    found = touched.filter("_whole").select(*keys, "_sid", "table_name").unionByName(
+        compared.select(*keys, "_sid", "table_name"))
+    return statements.withColumn("_sid", F.md5("statement")).join(found, [*keys, "_sid"]).drop("_sid")
 
 
 def blockers_by_table(waiters: DataFrame, statements: DataFrame,
@@ -185,14 +242,21 @@ def blockers_by_table(waiters: DataFrame, statements: DataFrame,
             .filter("n_waiters > 0").drop("_own"))
 
 
+def blocker_counts(waiters: DataFrame, statements: DataFrame,
+                   mode: str = "exact") -> tuple[DataFrame, DataFrame]:
+    """Per table the number of statements that touch it (``n_all``), and the same per table and
+    thread (``n_own``); what a thread itself holds is told from what others hold by the two."""
+    keys = [*moment_keys(waiters, statements), "table_name"]
+    own = store(_held_tables(waiters, statements, mode).groupBy(
+        *keys, F.col("thread_id").alias("id")).agg(F.count("*").alias("n_own")), "held-counts")
+    return own.groupBy(*keys).agg(F.sum("n_own").alias("n_all")), own
+
+
 def waiter_blockers(waiters: DataFrame, statements: DataFrame,
                     mode: str = "exact") -> DataFrame:
     """Each waiter with the number of other threads' statements that touch its table."""
     keys = [*moment_keys(waiters, statements), "table_name"]
-    own = _held_tables(waiters, statements, mode).groupBy(
-        *keys, F.col("thread_id").alias("id")).agg(F.count("*").alias("_own"))
-    everyone = own.groupBy(*keys).agg(F.sum("_own").alias("_all"))
+    everyone, own = blocker_counts(waiters, statements, mode)
     return (waiters.join(everyone, keys, "left").join(own, [*keys, "id"], "left")
-            .withColumn("n_blockers", F.coalesce(F.col("_all"), F.lit(0))
-                        - F.coalesce(F.col("_own"), F.lit(0)))
-            .drop("_all", "_own"))
+            .withColumn("n_blockers", F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0)))
+            .drop("n_all", "n_own"))

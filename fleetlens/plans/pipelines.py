@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from fleetlens.operators import backup, diagnosis, logs, threads
+from fleetlens.operators import backup, diagnosis, logs
+from fleetlens.session import store
 
 
 def largest_transactions(lines: DataFrame, by: str = "n_rows", n: int = 100,
@@ -18,10 +19,11 @@ def largest_transactions(lines: DataFrame, by: str = "n_rows", n: int = 100,
 
 def propose_actions(active: DataFrame, facts: DataFrame, open_tables: DataFrame,
                     long_trx: DataFrame, waits: DataFrame) -> DataFrame:
-    """Snapshot to the threads worth ending: findings, flags per moment, candidates."""
-    findings = diagnosis.diagnose_threads(active, facts, open_tables, long_trx, waits)
-    return diagnosis.action_candidates(threads.classify_threads(active), long_trx,
-                                       diagnosis.problem_flags(findings), facts)
+    """Snapshot to the threads worth ending: findings, flags per moment, candidates. The process
+    list is read once."""
+    relevant = store(diagnosis.relevant_threads(active), "threads")
+    findings = diagnosis.diagnose_threads(relevant, facts, open_tables, long_trx, waits)
+    return diagnosis.action_candidates(relevant, long_trx, diagnosis.problem_flags(findings), facts)
 
 
 def backup_compliance(instances: DataFrame, ledger: DataFrame, policies: DataFrame,

@@ -2,6 +2,9 @@
 
 import datetime
 
+import re
+import time
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -184,6 +187,49 @@ def test_blockers_against_brute_force(spark, mode):
     assert total == sum(got.values())
 
 
+def test_contains_is_linear_in_the_text(spark):
+    """A megabyte of text in long and short runs, and ten thousand names that begin alike."""
+    names = [f"customer_{i:05d}" for i in range(10_000)]
+    text = " ".join(f"x{n}y" for n in names[::3]) + " 0x" + "A7" * 400_000 + names[5000] + "B" * 300
+    waiters = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "instance long, id long, table_name string")
+    statements = spark.createDataFrame([(1, "dml", 7, 20_000, text), (1, "dml", 8, 20_001, "select 1")],
+                                       "instance long, kind string, blocker_id long, thread_id long, statement string")
+    start = time.perf_counter()
+    got = dict(rows(locks.waiter_blockers(waiters, statements, "contains"), "table_name", "n_blockers"))
+    assert time.perf_counter() - start < 90
+    assert got == {n: int(n in text) for n in names} and sum(got.values()) == 3335
+
+
+def test_contains_with_odd_names(spark):
+    long = "n" * 300
+    names = ["a b", "`", "-x-", "é", "t", "t1", long, long + "é", "b", "A B", "x" * 64 + "-" + "y" * 70, "  "]
+    texts = ["select * from `a b`", "t10-x-", "tÉé", "p" + long + "éq", "x" * 64 + "-" + "y" * 70, "", "a  b", "x" * 700 + long]
+    waiters = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "instance long, id long, table_name string")
+    statements = spark.createDataFrame([(1, "dml", i, 100 + i % 3, x) for i, x in enumerate(texts)],
+                                       "instance long, kind string, blocker_id long, thread_id long, statement string")
+    got = dict(rows(locks.waiter_blockers(waiters, statements, "contains"), "table_name", "n_blockers"))
+    assert got == {n: sum(n in x for x in texts) for n in names}
+
+
+def test_diagnosis_reads_the_process_list_once(spark, sf_dir):
+    from workload.queries import QUERIES
+    text = QUERIES["q_diagnose_threads"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan", text)) <= 7
+    assert len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range|Single)", text)) < 10
+    assert "user:string" not in "".join(re.findall(r"ReadSchema: [^\n]*", text))
+
+
+def test_rules_can_be_replaced(spark):
+    own = spark.createDataFrame([("login", "slow_login", "look", True, "plain", False, True),
+                                 ("login", "second", "look", False, "none", True, False)],
+                                "state string, finding string, advice string, shows_statement boolean, "
+                                "ladder string, trx_problem boolean, query_problem boolean")
+    pl = threads.classify_threads(plist(spark, [(1, "login", "x"), (2, "updating", "update t set a=1")]))
+    got = diagnosis.diagnose_threads(pl, facts(spark), open_tables(spark), no_trx(spark), no_waits(spark), own)
+    assert findings(got) == [(1, "second", None, True, False), (1, "slow_login", "show_holders", False, True),
+                             (2, "dml_may_block", None, False, False)]
+
+
 def test_opening_tables(spark):
     many = [(i, "Opening tables", "select 1") for i in range(11)]
     assert {f[1] for f in findings(diagnose(spark, plist(spark, many)))} == {

@@ -96,6 +96,29 @@ from {o_facts}""",
    and h.snapshot_ts = w.snapshot_ts and h.table_name = w.table_name
    and h.thread_id <> w.id) as n_blockers from {o_waiters} w""",
     "o_findings": """
+select q.*, (select v.advice from (values
+ ('rolling_back', 'a transaction is being rolled back'),
+ ('second_phase_delete', 'a multi-table delete is in its second phase; rewrite the statement'),
+ ('client_network', 'check name resolution and the network to the client'),
+ ('system_lock', 'check I/O, long statements and tables without a primary key'),
+ ('big_ddl', 'a large table is being altered'), ('stale_statistics', 'refresh table statistics'),
+ ('sort_without_index', 'give the sort an index'), ('commit_lock', 'commits are held by a lock'),
+ ('reads_many_rows', 'read fewer rows or enlarge the buffer pool'),
+ ('temporary_table', 'rewrite the statement, then consider larger temporary tables'),
+ ('result_too_large', 'return fewer rows, then consider larger network buffers'),
+ ('table_flush', 'blocked by a table lock or a long statement'),
+ ('flush_is_waiting', 'end the long statements and transactions the flush waits for'),
+ ('blocked_by_flush', 'find the session that flushed tables with a read lock'),
+ ('blocked_by_long_query', 'a long statement holds up the read lock'),
+ ('table_name_unreadable', 'no table name in the statement, perhaps a keyword'),
+ ('mdl_blocked', 'see the blocking statements of the table'),
+ ('mdl_blocker_unknown', 'an uncommitted transaction or long statement holds the table'),
+ ('unsupported_version', 'lock waits of this server version cannot be read'),
+ ('dml_blocked', 'see the lock-wait report'),
+ ('dml_may_block', 'a long change is running and may block others'),
+ ('long_ddl_running', 'a large table may be dropped or truncated; see the long DDL'),
+ ('table_cache_pressure', 'enlarge the table cache, or use fewer tables and less concurrency'))
+ v(finding, advice) where v.finding = q.finding) as advice from (
 select a.instance, a.snapshot_ts, a.id, a.state, r.finding,
  case when r.shown then a.info end as detail,
  case r.ladder when 1 then v.visibility when 2 then v.flush_visibility end as visibility,
@@ -149,7 +172,7 @@ from {o_active} a join {o_counts} c on c.instance = a.instance
 union all
 select instance, snapshot_ts, id, state, 'table_cache_pressure', null, null, false, false
 from (select *, count(*) over (partition by instance, snapshot_ts) as n from {o_active}
-      where state = 'Opening tables') a where n > 10""",
+      where state = 'Opening tables') a where n > 10) q""",
     "o_flags": """select instance, snapshot_ts, bool_or(trx_problem) as trx_problem,
  bool_or(query_problem) as query_problem from {o_findings} group by instance, snapshot_ts""",
     "o_trx_actions": """select distinct t.instance, t.snapshot_ts, t.thread_id as id

@@ -14,7 +14,7 @@ from fleetlens.functions.statements import extract_tables
 from fleetlens.operators import (backup, diagnosis, drift, locks, logs, ranges, threads,
                                  topology)
 from fleetlens.plans import pipelines
-from fleetlens.session import ensure_checkpoint_dir
+from fleetlens.session import ensure_checkpoint_dir, store
 from fleetlens.sources import tables as src
 from fleetlens.sources.text import LandedLog, parse_config_lines, read_numbered_lines
 from fleetlens.streaming.health import stream_health
@@ -75,11 +75,16 @@ class Inputs:
     def facts(self) -> DataFrame:
         return diagnosis.server_facts(self.m12_facts)
 
+    @property
+    def capture(self) -> tuple[DataFrame, ...]:
+        """What a diagnosis takes; transactions meet their processes once for it."""
+        owners = store(locks.transaction_owners(self.m2_trx, self.m3_threads), "owners")
+        return (self.active, self.facts, threads.open_tables_in_use(self.m14_open_tables),
+                locks.long_owned(owners, AS_OF), locks.owned_lock_waits(self.m4_waits, owners, self.m5_locks, AS_OF))
+
     @property
     def findings(self) -> DataFrame:
-        return diagnosis.diagnose_threads(
-            self.active, self.facts, threads.open_tables_in_use(self.m14_open_tables),
-            self.long_trx, self.lock_report)
+        return diagnosis.diagnose_threads(*self.capture)
 
     def sides(self, name: str) -> tuple[DataFrame, DataFrame]:
         both = getattr(self, name)
@@ -376,7 +381,7 @@ def q_mdl_visibility(spark, sf_dir):
 
 @query("select * from {o_findings}")
 def q_diagnose_threads(spark, sf_dir):
-    return Inputs(spark, sf_dir).findings.drop("advice")
+    return Inputs(spark, sf_dir).findings
 
 
 @query("select * from {o_flags}")
@@ -386,10 +391,7 @@ def q_problem_flags(spark, sf_dir):
 
 @query("select * from {o_actions}")
 def q_action_candidates(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    return pipelines.propose_actions(i.active, i.facts,
-                                     threads.open_tables_in_use(i.m14_open_tables),
-                                     i.long_trx, i.lock_report)
+    return pipelines.propose_actions(*Inputs(spark, sf_dir).capture)
 
 
 @query("""select c.instance, c.snapshot_ts, c.id, c.class,
