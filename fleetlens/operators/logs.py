@@ -113,7 +113,13 @@ def assemble_transactions(lines: DataFrame | LandedLog, mode: str = "strict",
 
 def assemble_marks(marks: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """``assemble_transactions`` of lines that ``log_marks`` has reduced."""
-    return _close_segments(_cells(_placed(marks, chunk_lines)))
+    return closed_segments(segments(cells(marks, chunk_lines)))
+
+
+def cells(marks: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """One row per (file, commit_ord, begin_ord) of marks: what lies between two BEGINs or
+    commits."""
+    return _cells(_placed(marks, chunk_lines))
 
 
 def _placed(marks: DataFrame, chunk_lines: int) -> DataFrame:
@@ -138,7 +144,9 @@ def _cells(placed: DataFrame) -> DataFrame:
         F.max(at("begin")).alias("start_line"),
         F.max(at("commit")).alias("end_line"),
         F.count_if(_is("change")).alias("n_rows"),
+        F.min(at("hash")).alias("hash_at"),
         F.min_by("pos", at("hash")).alias("start_pos"),
+        F.min(at("map")).alias("map_at"),
         F.min_by("ts", at("map")).alias("start_time"),
         F.max(at("end")).alias("end_at"),
         F.max_by("end_pos", at("end")).alias("end_pos"),
@@ -149,18 +157,23 @@ def _cells(placed: DataFrame) -> DataFrame:
         F.max_by("sequence_number", at("gtid")).alias("sequence_number"))
 
 
-def _close_segments(cells: DataFrame) -> DataFrame:
-    """Of each commit ordinal: fields of its last BEGIN, last end header, last GTID."""
+def segments(found: DataFrame) -> DataFrame:
+    """Of each commit ordinal: fields of its last BEGIN, last end header, last GTID. The one of a
+    file that no commit has ended has no ``end_line``."""
     def last(name: str, by: str) -> Column:
         return F.max_by(name, by).alias(name)
     begun = F.when(F.col("start_line").isNotNull(), F.col("begin_ord"))
-    closed = (cells.withColumn("_b", begun).groupBy("file", "commit_ord").agg(
-        last("start_line", "_b"), last("start_pos", "_b"), last("start_time", "_b"),
+    return found.withColumn("_b", begun).groupBy("file", "commit_ord").agg(
+        *[last(c, "_b") for c in ("start_line", "hash_at", "start_pos", "map_at", "start_time")],
         F.coalesce(F.max_by("n_rows", "_b"), F.sum("n_rows")).alias("n_rows"),
-        F.max("end_line").alias("end_line"),
+        F.max("end_line").alias("end_line"), F.max("end_at").alias("end_at"),
         last("end_pos", "end_at"), last("end_time", "end_at"), last("xid", "end_at"),
-        last("last_committed", "gtid_at"), last("sequence_number", "gtid_at"))
-        .filter(F.col("end_line").isNotNull()))
+        F.max("gtid_at").alias("gtid_at"), last("last_committed", "gtid_at"), last("sequence_number", "gtid_at"))
+
+
+def closed_segments(found: DataFrame) -> DataFrame:
+    """Transactions out of the segments that a commit has ended."""
+    closed = found.filter(F.col("end_line").isNotNull())
     secs = F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time"))
     return closed.select(
         "file", "xid", "n_rows", (F.col("end_pos") - F.col("start_pos")).alias("size"),
@@ -170,6 +183,25 @@ def _close_segments(cells: DataFrame) -> DataFrame:
         F.coalesce((secs == 0) & (F.col("n_rows") > 0), F.lit(False)).alias("is_implicit"))
 
 
+def continued_cells(found: DataFrame, open_segments: DataFrame) -> DataFrame:
+    """Cells of lines that follow on the open segments: an open segment is what stood in the first
+    cell of its file before them."""
+    zero = F.lit(0).cast("bigint")
+    carried = open_segments.withColumn("commit_ord", zero).withColumn("begin_ord", zero)
+
+    def early(name: str, by: str) -> Column:
+        return F.min_by(name, by).alias(name)
+
+    def late(name: str, by: str) -> Column:
+        return F.max_by(name, by).alias(name)
+    return found.unionByName(carried.select(*found.columns)).groupBy("file", "commit_ord", "begin_ord").agg(
+        F.max("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n_rows").alias("n_rows"),
+        F.min("hash_at").alias("hash_at"), early("start_pos", "hash_at"),
+        F.min("map_at").alias("map_at"), early("start_time", "map_at"), F.max("end_at").alias("end_at"),
+        late("end_pos", "end_at"), late("end_time", "end_at"), late("xid", "end_at"), F.max("gtid_at").alias("gtid_at"),
+        late("last_committed", "gtid_at"), late("sequence_number", "gtid_at"))
+
+
 def top_transactions(trx: DataFrame, by: str = "n_rows", n: int = 100) -> DataFrame:
     """The ``n`` largest transactions by ``n_rows``, ``size`` or ``secs``; file order
     breaks ties. Plans as a top-k per task, not as a full sort."""

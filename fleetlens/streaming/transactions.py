@@ -1,160 +1,124 @@
 """Transactions out of a stream of log lines.
 
-The lines are reduced to marks before the shuffle. State per file is the open transaction
-as at most a handful of marks: they are put in front of the next batch, and the batch is
-then assembled as if it began there. Which marker lines were seen is state too, a bit a line, so that a
-line that is sent again is told from one that comes late.
+Each batch is assembled like a stored log, with the open transaction of every file in front. What
+is open, and which line numbers a file has sent, are tables with one version per batch: a batch
+reads the version before its own and replaces its own, so a batch that is run again gives the
+same tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, \
-    StatefulProcessorHandle
-
-from fleetlens.operators.logs import _FLAGS, log_marks
-
-_MARK_FIELDS = ("line_no", "mask", "pos", "ts", "end_pos", "xid", "last_committed",
-                "sequence_number", "weight")
-_MARK_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in _MARK_FIELDS])
-_OUT_FIELDS = ("xid", "n_rows", "size", "secs", "start_us", "start_line", "end_line",
-               "last_committed", "sequence_number")
-_OUT_SCHEMA = T.StructType([T.StructField("file", T.StringType()),
-                            *[T.StructField(n, T.LongType()) for n in _OUT_FIELDS]])
-
-
-def _has(marks: pd.DataFrame, flag: str) -> pd.Series:
-    return (marks["mask"] & (1 << _FLAGS.index(flag))) != 0
-
-
-def _assemble(marks: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Closed transactions of ordered marks, and the marks the open one still needs."""
-    commit, begin = _has(marks, "commit"), _has(marks, "begin")
-    segment = commit.cumsum().shift(fill_value=0)
-    opened = begin.cumsum()
-    own_begin = opened.where(begin).groupby(segment).transform("max")
-    inside = own_begin.isna() | (opened >= own_begin)
-    started = own_begin.notna() & inside
-
-    def pick(flag: str, where: pd.Series, keep: str) -> pd.DataFrame:
-        rows = marks[_has(marks, flag) & where]
-        return rows.assign(segment=segment[rows.index]).drop_duplicates(
-            "segment", keep=keep).set_index("segment")
-    always = pd.Series(True, index=marks.index)
-    first_begin, ended = pick("begin", inside, "last"), pick("end", always, "last")
-    hashed, mapped = pick("hash", started, "first"), pick("map", started, "first")
-    gtid, closing = pick("gtid", always, "last"), pick("commit", always, "last")
-    weight = marks["weight"].abs().where(_has(marks, "change") & inside, 0)
-    out = pd.DataFrame({
-        "xid": ended["xid"], "n_rows": weight.groupby(segment).sum(),
-        "size": ended["end_pos"].sub(hashed["pos"]),
-        "secs": ended["ts"].sub(mapped["ts"]) // 1_000_000,
-        "start_us": mapped["ts"], "start_line": first_begin["line_no"],
-        "end_line": closing["line_no"], "last_committed": gtid["last_committed"],
-        "sequence_number": gtid["sequence_number"]})
-    done = out[out["end_line"].notna()].astype("Int64")
-
-    tail = int(commit.sum())
-    at_tail = segment == tail
-    kept = pd.concat([f.loc[f.index == tail, list(_MARK_FIELDS)] for f in
-                      (first_begin, hashed, mapped, ended, gtid)])
-    changes = int(weight[at_tail].sum())
-    if changes:
-        last = marks.loc[at_tail, "line_no"].max()
-        blank = {n: pd.NA for n in _MARK_FIELDS}
-        kept = pd.concat([kept, pd.DataFrame([{
-            **blank, "line_no": last, "mask": 1 << _FLAGS.index("change"),
-            "weight": -changes}])])
-    kept = kept.astype("Int64").drop_duplicates()
-    # The pending count stands in one mark of its own (negative weight, so that it is told
-    # from a line); no other mark may count again.
-    change = 1 << _FLAGS.index("change")
-    other = kept["weight"] == 1
-    kept.loc[other, "mask"] = kept.loc[other, "mask"] & ~change
-    return done, kept
-
-
-#: Lines whose bits share a value of the state.
-_SEEN_LINES = 8192
-
-
-class TransactionAssembler(StatefulProcessor):
-    """Per file: the open transaction's marks, the last line and all marker lines seen."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getListState("open", _MARK_SCHEMA)
-        self._last = handle.getValueState("last", T.StructType(
-            [T.StructField("line_no", T.LongType()), T.StructField("first", T.LongType())]))
-        self._seen = handle.getMapState("seen", T.StructType([T.StructField("part", T.LongType())]),
-                                        T.StructType([T.StructField("bits", T.BinaryType())]))
-
-    def _mark_seen(self, line_no: np.ndarray) -> np.ndarray:
-        """Which of the lines were seen before; from now on all are."""
-        again = np.zeros(len(line_no), bool)
-        parts, places = np.divmod(line_no, _SEEN_LINES)
-        for part in np.unique(parts).tolist():
-            rows = np.flatnonzero(parts == part)
-            bits = np.zeros(_SEEN_LINES, np.uint8)
-            if self._seen.containsKey((part,)):
-                bits = np.unpackbits(np.frombuffer(bytes(self._seen.getValue((part,))[0]), np.uint8))
-            again[rows] = bits[places[rows]] == 1
-            bits[places[rows]] = 1
-            self._seen.updateValue((part,), (bytes(np.packbits(bits)),))
-        return again
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
-                        timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).astype({n: "Int64" for n in _MARK_FIELDS})
-        seen, first = self._last.get() if self._last.exists() else (0, int(batch["line_no"].min()))
-        late = batch[batch["line_no"] < first]
-        if not late.empty:
-            raise ValueError(f"{key[0]}: {len(late)} lines before number {first}, the first one seen")
-        again = self._mark_seen(batch["line_no"].to_numpy(np.int64))
-        late = batch[(batch["line_no"] <= seen) & ~again]
-        if not late.empty:
-            raise ValueError(f"{key[0]}: {late['line_no'].nunique()} late lines, the first {late['line_no'].min()}, "
-                             f"were not seen before and lie behind number {seen}, the last one seen")
-        batch = batch[batch["line_no"] > seen]        # lines that are sent again
-        if batch.empty:
-            return
-        batch = batch.drop_duplicates("line_no").sort_values("line_no")
-        held = [tuple(r) for r in self._open.get()] if self._open.exists() else []
-        carried = pd.DataFrame(held, columns=list(_MARK_FIELDS)).astype("Int64")
-        marks = pd.concat([carried.sort_values("line_no"), batch[list(_MARK_FIELDS)]],
-                          ignore_index=True)
-        done, kept = _assemble(marks)
-        self._last.update((int(batch["line_no"].max()), first))
-        if kept.empty:
-            self._open.clear()
-        else:
-            self._open.put([tuple(None if pd.isna(v) else int(v) for v in r)
-                            for r in kept.itertuples(index=False)])
-        if not done.empty:
-            yield done.assign(file=key[0])[["file", *_OUT_FIELDS]]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_transactions(lines: DataFrame, mode: str = "strict") -> DataFrame:
-    """Committed transactions of a line stream ``(file, line_no, line)``, in append mode.
-
-    Needs the RocksDB state store. Within a file, lines must arrive in batches that do not
-    step back: a marker line before the first one ever seen, or below the last one seen and not
-    seen itself, fails the stream; what is sent again is passed over. Lines that decide nothing
-    are not tracked. All marks of a file in a batch are one group in one task.
+from pyspark.sql.streaming import StreamingQuery
+
+from fleetlens.operators import logs
+from fleetlens.session import store
+
+# Tables under the folder of a stream.
+TRANSACTIONS, LATE, OPEN, SEEN = "transactions", "late", "open", "seen"
+
+_OPEN = """file string, start_line bigint, hash_at bigint, start_pos bigint, map_at bigint,
+ start_time timestamp_ntz, n_rows bigint, end_line bigint, end_at bigint, end_pos bigint, end_time timestamp_ntz,
+ xid bigint, gtid_at bigint, last_committed bigint, sequence_number bigint"""
+_SEEN = "file string, first bigint, last bigint"
+_LATE = "file string, line_no bigint, line string"
+_TRANSACTIONS = """file string, xid bigint, n_rows bigint, size bigint, secs bigint, start_time timestamp_ntz,
+ end_time timestamp_ntz, start_line bigint, end_line bigint, start_pos bigint, end_pos bigint,
+ last_committed bigint, sequence_number bigint, is_complete boolean, is_implicit boolean"""
+
+
+def _table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A table with its versions as ``batch``; empty before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{schema}, batch bigint")
+    return spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/{name}")
+
+
+def _version_before(spark: SparkSession, folder: str, name: str, schema: str, batch_id: int) -> DataFrame:
+    versions = _table(spark, folder, name, schema).filter(F.col("batch") < batch_id)
+    newest = versions.agg(F.max("batch")).first()[0]
+    return versions.filter(F.col("batch") == F.lit(newest)).drop("batch")
+
+
+def _write(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+
+
+def _line_runs(lines: DataFrame, chunk_lines: int) -> DataFrame:
+    """(file, first, last) of unbroken line numbers, cut at chunks; only numbers are shuffled."""
+    order = Window.partitionBy("file", "chunk").orderBy("line_no")
+    numbered = lines.select("file", "line_no", F.floor(F.col("line_no") / chunk_lines).alias("chunk"))
+    return numbered.withColumn("run", F.col("line_no") - F.dense_rank().over(order)).groupBy(
+        "file", "chunk", "run").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last")).select(
+        "file", "first", "last")
+
+
+def _merged_runs(runs: DataFrame) -> DataFrame:
+    """Runs that touch or overlap become one; a row per chunk and gap is put in order."""
+    before = Window.partitionBy("file").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file").orderBy("first", "last").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    apart = F.coalesce(F.col("first") > F.max("last").over(before) + 1, F.lit(True))
+    return runs.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(upto)).groupBy(
+        "file", "group").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("file", "first", "last")
+
+
+def _behind(lines: DataFrame, seen: DataFrame) -> tuple[DataFrame, Column]:
+    """``lines`` with ``reached``, the last number of their file so far, and whether they lie
+    behind it."""
+    reached = seen.groupBy("file").agg(F.max("last").alias("reached"))
+    return lines.join(reached, "file", "left"), F.col("line_no") <= F.coalesce("reached", F.lit(-1))
+
+
+def assemble_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "strict",
+                   chunk_lines: int = logs.CHUNK_LINES) -> None:
+    """Take in one batch of lines (file, line_no, line) and write its version of all tables.
+
+    Lines may come in any order within the batch. A line that was sent before is passed over. One
+    that lies behind the last number its file has reached and was not sent before comes too
+    late for its transaction: it goes to the table of late lines, and the stream goes on.
+    """
+    spark = batch.sparkSession
+    lines = batch.select("file", F.col("line_no").cast("bigint").alias("line_no"), "line").persist()
+    try:
+        seen = store(_version_before(spark, folder, SEEN, _SEEN, batch_id), "seen")
+        waiting = _version_before(spark, folder, OPEN, _OPEN, batch_id)
+        placed, behind = _behind(lines, seen)
+        old = placed.filter(behind).select("file", "line_no", "line").alias("l")
+        sent = (F.col("l.file") == F.col("s.file")) & F.col("l.line_no").between(F.col("s.first"), F.col("s.last"))
+        late = old.join(seen.alias("s"), sent, "left_anti").dropDuplicates(["file", "line_no"])
+        _write(late, folder, LATE, batch_id)
+        marks, behind = _behind(logs.log_marks(lines, mode), seen)
+        fresh = marks.filter(~behind).drop("reached").dropDuplicates(["file", "line_no"])
+        found = store(logs.segments(logs.continued_cells(logs.cells(fresh, chunk_lines), waiting)), "segments")
+        _write(logs.closed_segments(found), folder, TRANSACTIONS, batch_id)
+        still = found.filter("end_line is null").drop("commit_ord")
+        _write(still, folder, OPEN, batch_id)
+        _write(_merged_runs(seen.unionByName(_line_runs(lines, chunk_lines))), folder, SEEN, batch_id)
+    finally:
+        lines.unpersist()
+
+
+def stream_transactions(lines: DataFrame, folder: str, checkpoint: str, mode: str = "strict",
+                        **trigger) -> StreamingQuery:
+    """Start a stream of log lines (file, line_no, line); committed transactions come to
+    ``read_transactions(spark, folder)``, late lines to ``read_late_lines``.
+
+    Per file the state is one row of what is open and one row per unbroken run of line numbers. A
+    busy file is split by chunks of lines like a stored log. Batches of a file must not step
+    back: what a later batch has of earlier numbers is late. Versions before the last two may
+    be deleted at any time.
     """
-    marks = log_marks(lines, mode).withColumn("ts", F.expr(
-        "unix_micros(cast(ts as timestamp))")).withColumn("mask", F.col("mask").cast("bigint"))
-    weighted = marks.withColumn("weight", F.lit(1).cast("bigint"))
-    found = weighted.groupBy("file").transformWithStateInPandas(
-        statefulProcessor=TransactionAssembler(), outputStructType=_OUT_SCHEMA,
-        outputMode="Append", timeMode="None")
-    return found.withColumn("start_time", F.timestamp_micros("start_us")
-                            .cast("timestamp_ntz")).drop("start_us")
+    writer = lines.writeStream.foreachBatch(
+        lambda batch, batch_id: assemble_batch(batch, batch_id, folder, mode)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def read_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, TRANSACTIONS, _TRANSACTIONS).drop("batch")
+
+
+def read_late_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, LATE, _LATE).drop("batch")

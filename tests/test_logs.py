@@ -1,5 +1,6 @@
 """Hand-written decoded logs: assembly, windows, ranking, detail lines, streaming."""
 
+import json
 import os
 import random
 
@@ -12,7 +13,7 @@ from fleetlens.operators import logs
 from fleetlens.plans.pipelines import largest_transactions
 from fleetlens.sources import text
 from fleetlens.sources.text import land_log, read_numbered_lines
-from fleetlens.streaming.transactions import stream_transactions
+from fleetlens.streaming.transactions import assemble_batch, read_late_lines, read_transactions, stream_transactions
 
 
 def head(clock, pos, rest):
@@ -246,71 +247,62 @@ def test_landed_windows_equal_plain_ones(spark, tmp_path, monkeypatch, zone, blo
 
 # --- stream ----------------------------------------------------------------------------
 
-@pytest.mark.parametrize("mode", ["strict", "compat"])
-@pytest.mark.parametrize("cuts", [(), (4, 9, 20, 21, 50), tuple(range(1, len(LOG), 15))])
-def test_stream_equals_batch(spark, tmp_path, cuts, mode):
-    source = tmp_path / "in"
-    source.mkdir()
-    edges = [0, *cuts, len(LOG)]
-    lines = frame(spark, LOG)
-    schema = lines.schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(
-        str(source))
-    numbered = list(enumerate(LOG, 1))
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        part = numbered[max(a - 2, 0):b]           # two lines are sent twice
-        random.Random(i).shuffle(part)
-        path = source / f"{i:03d}.json"
-        path.write_text("\n".join(
-            spark_json("f", n, text) for n, text in part) + "\n")
-        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
-    found = stream_transactions(stream, mode)
-    (found.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-     .option("checkpointLocation", str(tmp_path / "progress"))
-     .trigger(availableNow=True).start().awaitTermination())
-    got = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
-    cols = ("xid", "n_rows", "size", "secs", "start_time", "start_line", "end_line",
-            "last_committed", "sequence_number")
-    assert rows(got, *cols) == rows(logs.assemble_transactions(lines, mode), *cols)
+TRX = ("xid", "n_rows", "size", "secs", "start_time", "start_line", "end_line", "last_committed", "sequence_number")
 
 
-def test_stream_fails_on_lines_before_the_first(spark, tmp_path):
+def _feed(spark, tmp_path, batches, mode="strict", file="f"):
+    """Run a stream whose batches are these lists of (line_no, line)."""
     source = tmp_path / "in"
-    source.mkdir()
-    numbered = list(enumerate(LOG, 1))
-    for i, part in enumerate((numbered[9:], numbered[:9])):
+    source.mkdir(exist_ok=True)
+    for i, part in enumerate(batches):
         path = source / f"{i:03d}.json"
-        path.write_text("\n".join(spark_json("f", n, text) for n, text in part) + "\n")
+        path.write_text("\n".join(json.dumps({"file": file, "line_no": n, "line": x}) for n, x in part) + "\n")
         os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
-    stream = spark.readStream.schema(frame(spark, LOG).schema).option(
-        "maxFilesPerTrigger", 1).json(str(source))
-    run = (stream_transactions(stream).writeStream.format("parquet")
-           .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
-           .trigger(availableNow=True).start())
-    with pytest.raises(Exception, match="the first one seen"):
-        run.awaitTermination()
+    stream = spark.readStream.schema(frame(spark, LOG).schema).option("maxFilesPerTrigger", 1).json(str(source))
+    stream_transactions(stream, str(tmp_path / "out"), str(tmp_path / "progress"), mode,
+                        availableNow=True).awaitTermination()
+    return read_transactions(spark, str(tmp_path / "out"))
 
 
-def test_stream_fails_on_a_batch_that_steps_back_into_a_gap(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    numbered = list(enumerate(LOG, 1))
-    for i, part in enumerate((numbered[:8], numbered[16:24], numbered[8:16])):
-        path = source / f"{i:03d}.json"
-        path.write_text("\n".join(spark_json("f", n, text) for n, text in part) + "\n")
-        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
-    stream = spark.readStream.schema(frame(spark, LOG).schema).option(
-        "maxFilesPerTrigger", 1).json(str(source))
-    run = (stream_transactions(stream).writeStream.format("parquet")
-           .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
-           .trigger(availableNow=True).start())
-    with pytest.raises(Exception, match="late lines"):
-        run.awaitTermination()
-
-
-def spark_json(file, line_no, line):
-    import json
-    return json.dumps({"file": file, "line_no": line_no, "line": line})
+@pytest.mark.parametrize("mode,cuts", [("strict", ()), ("compat", (4, 9, 20, 21, 50)), ("strict", (4, 9, 20, 21, 50)),
+                                       ("strict", tuple(range(1, len(LOG), 15)))])
+def test_stream_equals_batch(spark, tmp_path, cuts, mode):
+    edges, numbered, batches = [0, *cuts, len(LOG)], list(enumerate(LOG, 1)), []
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        part = numbered[max(a - 2, 0):b]           # two lines are sent twice
+        random.Random(i).shuffle(part)
+        batches.append(part)
+    got = _feed(spark, tmp_path, batches, mode)
+    assert rows(got, *TRX) == rows(logs.assemble_transactions(frame(spark, LOG), mode), *TRX)
+    assert read_late_lines(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_late_lines_have_a_table_and_the_stream_goes_on(spark, tmp_path):
+    log = _long_log(30)
+    numbered = list(enumerate(log, 1))
+    third = len(log) // 3
+    # The second third comes last, and its first ten lines twice.
+    got = _feed(spark, tmp_path, [numbered[:third], numbered[2 * third:], numbered[third:2 * third], numbered[third:third + 10],
+                                  [(len(log) + i, x) for i, x in enumerate(trx(90_000, 99, ["### UPDATE `d`.`t`"]), 1)]])
+    late = read_late_lines(spark, str(tmp_path / "out"))
+    assert rows(late, "line_no", "line") == sorted(numbered[third:2 * third], key=lambda t: str(t[0]))
+    rest = spark.createDataFrame([("f", i, x) for i, x in numbered[:third] + numbered[2 * third:]] + [
+        ("f", len(log) + i, x) for i, x in enumerate(trx(90_000, 99, ["### UPDATE `d`.`t`"]), 1)],
+        "file string, line_no long, line string")
+    assert rows(got, *TRX) == rows(logs.assemble_transactions(rest), *TRX)
+
+
+def test_a_batch_run_again_replaces_itself(spark, tmp_path):
+    log, folder = _long_log(12), str(tmp_path / "out")
+    lines = spark.createDataFrame([(f, i, x) for f in "ab" for i, x in enumerate(log, 1)],
+                                  "file string, line_no long, line string")
+    cut = len(log) // 2 + 3
+    first, second = lines.filter(f"line_no <= {cut}"), lines.filter(f"line_no > {cut} or line_no = 5")
+    for batch_id, part in ((0, first), (0, first), (1, second), (1, second)):
+        assemble_batch(part, batch_id, folder, chunk_lines=7)
+    assert rows(read_transactions(spark, folder), "file", *TRX) == rows(
+        logs.assemble_transactions(lines), "file", *TRX)
+    assert read_late_lines(spark, folder).count() == 0
 
 
 def test_commit_marker_inside_a_row_image(spark):

@@ -14,11 +14,11 @@ from fleetlens.functions.statements import extract_tables
 from fleetlens.operators import (backup, diagnosis, drift, locks, logs, ranges, threads,
                                  topology)
 from fleetlens.plans import pipelines
-from fleetlens.session import ensure_checkpoint_dir, store
+from fleetlens.session import ensure_checkpoint_dir, shared_folder, store
 from fleetlens.sources import tables as src
 from fleetlens.sources.text import LandedLog, parse_config_lines, read_numbered_lines
 from fleetlens.streaming.health import stream_health
-from fleetlens.streaming.transactions import stream_transactions
+from fleetlens.streaming.transactions import read_transactions, stream_transactions
 from workload.oracle_views import AS_OF
 from workload.views import folder_name, landed, landed_log, table, text_files, view, with_views
 
@@ -768,11 +768,12 @@ def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 @query("""select file, xid, n_rows, size, secs, start_time, start_line, end_line,
  last_committed, sequence_number from {o_trx}""")
 def q_stream_transactions(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state."
-                   "RocksDBStateStoreProvider")
-    lines = _follow(spark, sf_dir, "m7_lines")
-    return _drain(spark, stream_transactions(lines), "transactions")
+    base = shared_folder(spark, "stream-transactions")
+    stream_transactions(_follow(spark, sf_dir, "m7_lines"), f"{base}/out", f"{base}/progress",
+                        availableNow=True).awaitTermination()
+    return read_transactions(spark, f"{base}/out").select(
+        "file", "xid", "n_rows", "size", "secs", "start_time", "start_line", "end_line", "last_committed",
+        "sequence_number")
 
 
 @query("""select instance, snapshot_ts as window_start, n_select, n_dml, n_ddl, n_commit,
