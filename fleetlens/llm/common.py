@@ -45,6 +45,12 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                        F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0)).alias("sig"))
 
 
+def as_row(table: DataFrame) -> Column:
+    """All columns of ``table`` as one struct, so that none can clash with a helper column;
+    ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("row")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is (``lower`` is the same for ASCII texts)."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import keyed, lower_ascii, stage
+from fleetlens.llm.common import as_row, keyed, lower_ascii, stage
 
 WINDOW = 13
 #: Largest number of distinct test n-grams that is sent to every executor (some 200 bytes
@@ -97,14 +97,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     judged = contamination(docs, benchmark, doc_id, text)
     keys = judged.filter("contaminated" if remove == "documents" else "size(hit) > 0").select(
-        F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), F.col("hit").alias("_hit"))
-    keys = stage(keys.dropDuplicates(["_id", "_sig"]), "contaminated")
-    match = (F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))
-             & (F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0)) == F.col("_sig")))
+        F.col("doc_id").alias("id"), F.col("sig").alias("of"), "hit")
+    keys = stage(keys.dropDuplicates(["id", "of"]), "contaminated")
+    whole = F.col(text).cast("string")
+    rows = docs.select(as_row(docs), F.col(doc_id).cast("long").alias("own"), whole.alias("whole"),
+                       F.coalesce(F.xxhash64(whole), F.lit(0)).alias("sig"))
+    match = F.col("own").eqNullSafe(F.col("id")) & (F.col("sig") == F.col("of"))
     if remove == "documents":
-        return docs.join(keys, match, "left_anti")
-    pieces = F.regexp_extract_all(F.col(text), F.lit(_WORD_AND_GAP), F.lit(0))
-    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("_hit", i)), "")
-    cut = F.when(F.col("_hit").isNull(), F.col(text)).otherwise(kept)
-    return docs.join(keys, match, "left").select(
-        *[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
+        return rows.join(keys, match, "left_anti").select("row.*")
+    pieces = F.regexp_extract_all(F.col("whole"), F.lit(_WORD_AND_GAP), F.lit(0))
+    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("hit", i)), "")
+    cut = F.when(F.col("hit").isNull(), F.col("row")[text]).otherwise(kept)
+    return rows.join(keys, match, "left").select(
+        *[(cut if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

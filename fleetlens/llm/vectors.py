@@ -32,6 +32,13 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors by a power of two, so that squares neither overflow nor vanish; cosines stay the
+    same to the last bit."""
+    largest = np.abs(x).max(-1, keepdims=True)
+    return np.ldexp(x, -np.frexp(largest)[1])
+
+
 def blocks(size: int) -> list[tuple[int, int, float]]:
     """(begin, end, squared radius): the whole squared distance, shared by dimensions.
 
@@ -47,14 +54,14 @@ def _cells(dims: int) -> Callable:
     """Each vector under its own cell of every block, and as a guest under the later cells that
     its ball reaches; a pair meets where the later of its two cells is."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = [("label", pa.int64()), ("size", pa.int32()), ("block", pa.int32()),
+        kind = [("label", pa.string()), ("size", pa.int32()), ("block", pa.int32()),
                 ("cell", pa.list_(pa.int32())), ("guest", pa.bool_()), ("id", pa.int64()),
-                ("copies", pa.int64()), ("vector", pa.list_(pa.float32()))]
+                ("copies", pa.int64()), ("vector", pa.list_(pa.float64()))]
         for batch in batches:
             out: list[list] = [[] for _ in kind]
             columns = (batch.column(c).to_pylist() for c in ("label", "id", "copies", "vector"))
             for label, vec_id, copies, vector in zip(*columns):
-                x = np.array(vector, np.float32).astype(float)
+                x = scaled(np.array(vector, float))
                 turned = (x / np.linalg.norm(x)) @ rotation_of(len(x))
                 for block, (begin, end, budget) in enumerate(blocks(len(x))):
                     radius = math.sqrt(budget)
@@ -111,7 +118,7 @@ def _links(left: dict, right: dict, block: int, same: bool, turn: np.ndarray) ->
 
 
 def _side(table: pa.Table, turn: np.ndarray) -> dict:
-    x = np.array(table.column("vector").to_pylist(), np.float32).astype(float)
+    x = scaled(np.array(table.column("vector").to_pylist(), float))
     norm = np.sqrt((x * x).sum(1))
     return {"id": table.column("id").to_numpy(), "copies": table.column("copies").to_numpy(),
             "guest": table.column("guest").to_numpy(), "x": x, "norm": norm,
@@ -154,6 +161,7 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     in double precision is at least 0.98; NULL and zero vectors and those with NULL or
     non-finite parts link with nothing. ``component_id`` is the smallest vec_id over links. Equal
     vectors of a label are one class with its number of copies, and link with each other.
+    Labels may have any type with a text form, vectors any numbers; they are compared as doubles.
     Rows with a NULL vec_id link and are counted, but have a NULL component of their own if
     no other is in it.
 
@@ -163,14 +171,14 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     that finds it, and links are counted and contracted where they are found, so no pairs
     are written. A cell with many rows is dealt out in pairs of parts.
     """
-    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"),
-                        F.col(vector).cast("array<float>").alias("vector"))
+    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"),
+                        F.col(vector).cast("array<double>").alias("vector"))
     parts = F.transform("vector", lambda v: F.coalesce(
         ~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
     usable = (F.col("label").isNotNull() & F.col("vector").isNotNull() & F.forall(parts, lambda p: p)
               & F.exists("vector", lambda v: v != 0))
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn(
-        "key", F.when(F.col("usable"), F.transform("vector", lambda v: v + F.lit(0.0).cast("float"))))
+        "key", F.when(F.col("usable"), F.transform("vector", lambda v: v + F.lit(0.0))))
     classes = rows.filter("usable").groupBy("label", F.col("key").alias("vector")).agg(
         F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -178,8 +186,8 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
                    if r[0]], default=1)
     dims = min(BLOCK, max(2, math.ceil(math.log(max(largest / CELL_ROWS, 1)) / math.log(3))))
     spread = classes.select("label", "id", "copies", "vector").mapInArrow(
-        _cells(dims), "label long, size int, block int, cell array<int>, guest boolean, id long, "
-        "copies long, vector array<float>")
+        _cells(dims), "label string, size int, block int, cell array<int>, guest boolean, id long, "
+        "copies long, vector array<double>")
     cell = ["label", "size", "block", "cell"]
     full = stage(classes_in_cells(spread, cell), "cells")
     dealt = spread.join(full.withColumnRenamed("rows", "cell_rows"), cell).withColumn(

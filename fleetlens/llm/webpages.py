@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import stage
 
-#: A subtree is a template of its host if it stands beside so many different main contents.
+#: A subtree is a template of its host if it stands beside so many different main contents, and
+#: beside so large a share of all that the host has: outside of articles, and inside of them, where
+#: paragraphs may recur for reasons of their own.
 TEMPLATE_PAGES = 5
+TEMPLATE_SHARE, INNER_SHARE = 0.01, 0.2
 #: From so many recurring parts on, an article of which they hold over three quarters is a near
 #: copy of other articles, not a template filled in, and stays whole.
 COPY_PARTS = 3
@@ -287,11 +290,16 @@ def _content(root: Element) -> int:
     return xxhash.xxh64_intdigest(repr(mains)) if any(mains) else root.digest
 
 
+def _place(element: Element, inside: bool) -> int:
+    """The subtree's hash as it is counted: the same part inside of an article is another one."""
+    return _signed((element.digest + 0x9E3779B97F4A7C15 * inside) % (1 << 64))
+
+
 def main_text(root: Element, templates: set[int]) -> str:
     """Text of what is no template and no side part; of the main elements only if any has text."""
     dead: set[int] = set()
     if templates:
-        marked = [(id(e), inside) for e, inside in _counted(root) if _signed(e.digest) in templates]
+        marked = [(id(e), inside) for e, inside in _counted(root) if _place(e, inside) in templates]
         dead = {i for i, inside in marked if not inside}
         dead |= _inner_dead(root, {i for i, inside in marked if inside})
     every: list[str] = []
@@ -315,19 +323,20 @@ def main_text(root: Element, templates: set[int]) -> str:
 
 
 def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per page and subtree, and one of the page itself (digest 0, ``inside`` NULL)."""
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for page_id, sig, host, page in zip(*(c.to_pylist() for c in batch.columns)):
             root = parse(page, parts=False)
             hash_subtrees(root)
             content = _signed(_content(root))
-            for digest in {_signed(e.digest) for e, _ in _counted(root)}:
-                for column, value in zip(rows, (page_id, sig, host, digest, content)):
+            for digest, inside in {(0, None), *((_place(e, inside), inside) for e, inside in _counted(root))}:
+                for column, value in zip(rows, (page_id, sig, host, digest, content, inside)):
                     column.append(value)
         yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
                                pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64()),
-                               pa.array(rows[4], pa.int64())],
-                              names=["page_id", "sig", "host", "digest", "content"])
+                               pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.bool_())],
+                              names=["page_id", "sig", "host", "digest", "content", "inside"])
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +363,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     Every element subtree outside and inside the article is hashed (tag, words, children); hashes
     are counted per host over different article contents, so copies of a page count once;
-    subtrees that recur beside five or more are the site's template and go. Inside an article
+    subtrees that recur beside five or more, and beside a share of all contents of the host (a
+    hundredth, inside an article a fifth), are the site's template and go. Inside an article
     cells, items and headings go with their table, list or box only, and an article that would
     lose all its text, or is a near copy of others, stays whole. Of the rest go elements that
     the standard or their class, id or role name as menus, headers, footers, sidebars, notices,
@@ -368,9 +378,13 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = rows.withColumn("sig", F.xxhash64("url", "html"))
     subtrees = (rows.select("page_id", "sig", host_of(F.col("url")).alias("host"), "html")
                 .filter("host is not null and html <> ''").mapInArrow(
-                    _subtree_rows, "page_id long, sig long, host string, digest long, content long"))
-    templates = stage(subtrees.select("host", "digest", "content").distinct().groupBy("host", "digest")
-                      .count().filter(F.col("count") >= TEMPLATE_PAGES).select("host", "digest"), "templates")
+                    _subtree_rows, "page_id long, sig long, host string, digest long, content long, inside boolean"))
+    counts = stage(subtrees.select("host", "digest", "inside", "content").distinct().groupBy("host", "digest", "inside")
+                   .count().filter((F.col("count") >= TEMPLATE_PAGES) | F.col("inside").isNull()), "counts")
+    contents = counts.filter("inside is null").select("host", F.col("count").alias("contents"))
+    share = F.when(F.col("inside"), INNER_SHARE).otherwise(TEMPLATE_SHARE)
+    templates = stage(counts.filter("inside is not null").join(contents, "host").filter(
+        F.col("count") >= share * F.col("contents")).select("host", "digest"), "templates")
     found = (subtrees.select("page_id", "sig", "host", "digest").join(templates, ["host", "digest"])
              .groupBy("page_id", "sig").agg(F.collect_set("digest").alias("found"))
              .select(F.col("page_id").alias("id"), F.col("sig").alias("of"), "found"))
