@@ -1,136 +1,242 @@
-"""Line dedup by an exact set-similarity join. DataFrame functions only."""
+"""Line dedup by an exact set-similarity join.
+
+The texts are split into words and ordered in Arrow batches: with DataFrame functions alone this took
+over twice the time that the operator may take (README). The joins are DataFrame operations.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import keyed, stage
+from fleetlens.llm.common import as_row, keyed, stage
 
-#: Lines whose word sets have a Jaccard similarity of 4/5 or more are the same.
-_SPACES = r"[\x20\x09-\x0D]+"
 #: Hash buckets of word counts: a word's rarity is the count of its bucket, in 1.2-fold steps.
 RARITY_BUCKETS = 1 << 18
 #: Removed line numbers (8 bytes each) up to which they are sent to all executors; beyond, the
 #: same join shuffles the texts.
 BROADCAST_NUMBERS = 8_000_000
-#: Characters of six bits each of the set filter that thins a scan before an exact join.
-FILTER_CHARACTERS = 1 << 18
+#: Bytes of the set filter that thins a scan before an exact join.
+FILTER_BYTES = 1 << 20
+#: Rounds of the join: of the lines that share a key (and, in the first, have as many words) a line
+#: meets so many of the earliest; in the last all that are left meet all.
+ROUNDS = ((4, True), (32, False), (None, False))
+#: Words and lines that a task remembers; full, it starts again, which costs time only.
+_KEPT_WORDS, _KEPT_LINES = 1_000_000, 100_000
+_PARITIES = ("p0", "p1", "p2", "p3")
+
+
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's number of words in each bucket."""
+    def note() -> None:
+        at = np.fromiter((_hash(w) % RARITY_BUCKETS for w in counts), np.int64, len(counts))
+        np.add.at(total, at, np.fromiter(counts.values(), np.int64, len(counts)))
+        counts.clear()
 
+    counts: Counter = Counter()
+    total = np.zeros(RARITY_BUCKETS, np.int64)
+    for batch in batches:
+        for raw in batch.column("raw"):
+            counts.update((raw.as_py() or b"").split())
+            if len(counts) > _KEPT_WORDS:
+                note()
+    note()
+    found = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["at", "n"])
 
-def _character(table: str, index: Column) -> Column:
-    """Code of the character of an ASCII table at an index; a slice of bytes, so constant time."""
-    return F.ascii(F.substring(F.lit(table.encode()), index.cast("int") + 1, F.lit(1)).cast("string"))
 
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """Level (1 to 120) of every bucket, by the number of its words in all texts; the table has a
+    fixed size."""
+    counts = texts.mapInArrow(_word_counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.ones(RARITY_BUCKETS, np.int64)
+    n = counts.column("n").to_numpy()
+    levels[counts.column("at").to_numpy()] = np.minimum(120, 1 + np.floor(np.log(n) / np.log(1.2)))
+    return levels
 
-def _table(spark: SparkSession, codes: DataFrame, size: int, default: int) -> str:
-    """(at, code) rows as one string of ``size`` characters: a table of fixed size."""
-    whole = spark.range(size).withColumnRenamed("id", "at").join(codes, "at", "left").select(
-        F.struct("at", F.coalesce("code", F.lit(default)).alias("code")).alias("cell"))
-    return whole.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list("cell")), lambda c: F.char(c["code"])), "").alias("t")).first().t
 
+def _keys(levels: np.ndarray, words: list[bytes], known: dict[bytes, int]) -> None:
+    """Put the keys of new words into ``known``: rarity level, then 56 bits of the hash."""
+    if len(known) > _KEPT_WORDS:
+        known.clear()
+    for word in words:
+        if word not in known:
+            h = _hash(word)
+            known[word] = int(levels[h % RARITY_BUCKETS]) << 56 | h & (1 << 56) - 1
 
-def _filter_of(keys: DataFrame, column: str) -> str:
-    """A set filter over the hashes in ``column``: what is not in it was not in the set."""
-    bit = F.pmod(F.col(column), F.lit(6 * FILTER_CHARACTERS))
-    codes = keys.select(F.floor(bit / 6).alias("at"), F.expr(
-        f"cast(shiftleft(1, cast(pmod({column}, {6 * FILTER_CHARACTERS}) % 6 as int)) as int)").alias("one"))
-    codes = codes.groupBy("at").agg((F.bit_or("one") + 32).alias("code"))
-    return _table(keys.sparkSession, codes, FILTER_CHARACTERS, 32)
 
+def _described(keys: list[int]) -> tuple:
+    """Class, size, parities and prefix of a set of words, rarest first."""
+    n, parity = len(keys), 0
+    for key in keys:
+        parity ^= 1 << (key & 255)
+    packed = np.array(keys, np.int64)
+    cls = xxhash.xxh3_64_intdigest(packed.tobytes())
+    own = np.frombuffer(parity.to_bytes(32, "little"), np.int64)
+    return cls - (1 << 64) * (cls >> 63), n, own, packed[:n - (4 * n + 4) // 5 + 1]
 
-def _may_hold(table: str, key: Column) -> Column:
-    bit = F.pmod(key, F.lit(6 * FILTER_CHARACTERS))
-    code = _character(table, F.floor(bit / 6)) - 32
-    return F.getbit(code, (bit % 6).cast("int")) == 1
 
+def _line_rows(shared: Broadcast) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, known, lines = shared.value, {}, {}
+        for batch in batches:
+            place: list[list] = [[], [], []]
+            found: list[tuple] = []
+            for doc_id, sig, raw in zip(*(batch.column(c) for c in ("doc_id", "sig", "raw"))):
+                doc_id, sig = doc_id.as_py(), sig.as_py()
+                for line_no, line in enumerate((raw.as_py() or b"").split(b"\n")):
+                    told = lines.get(line)
+                    if told is None:
+                        words = line.split()
+                        if not words:
+                            continue
+                        _keys(levels, words, known)
+                        told = _described(sorted(set(map(known.__getitem__, words))))
+                        if len(lines) > _KEPT_LINES:
+                            lines.clear()
+                        lines[line] = told
+                    found.append(told)
+                    for column, value in zip(place, (doc_id, sig, line_no)):
+                        column.append(value)
+            if not found:
+                continue
+            parity = np.stack([f[2] for f in found])
+            ends = np.cumsum([0, *(len(f[3]) for f in found)])
+            yield pa.record_batch(
+                [pa.array(place[0], pa.int64()), pa.array(place[1], pa.int64()), pa.array(place[2], pa.int32()),
+                 pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
+                 *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f[3] for f in found])))],
+                names=["doc_id", "sig", "line_no", "cls", "n", *_PARITIES, "prefix"])
+    return rows
 
-def split_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sig, line_no, line) of every row; lines end at a line feed."""
-    rows = keyed(docs, doc_id, text)
-    return rows.select("doc_id", "sig", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
+def _spots(doc_id: np.ndarray, sig: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+    """Bit of the set filter that a line's place stands for."""
+    with np.errstate(over="ignore"):
+        mixed = (doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ sig.astype(np.uint64)) \
+            + line_no.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ mixed >> np.uint64(32)) % np.uint64(8 * FILTER_BYTES)
 
-def _word_hashes(line: Column) -> Column:
-    words = F.array_distinct(F.array_remove(F.split(line, _SPACES), ""))
-    return F.transform(words, lambda w: F.xxhash64(w))
 
+def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's places as one filter."""
+    held = np.zeros(8 * FILTER_BYTES, bool)
+    for batch in batches:
+        ids = batch.column("doc_id").fill_null(0).to_numpy()
+        held[_spots(ids, batch.column("sig").to_numpy(), batch.column("line_no").to_numpy())] = True
+    bits = np.packbits(held).view(np.int64)
+    at = np.flatnonzero(bits)
+    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(bits[at])], names=["at", "bits"])
 
-def _rarity(lines: DataFrame) -> str:
-    """Level (1 to 120) of every bucket of word hashes, by the number of lines with its words."""
-    counts = lines.select(F.explode(_word_hashes(F.col("line"))).alias("h")).groupBy(
-        F.pmod("h", F.lit(RARITY_BUCKETS)).alias("at")).count()
-    level = F.least(F.lit(120), F.lit(1) + F.floor(F.log("count") / F.log(F.lit(1.2)))).cast("int")
-    return _table(lines.sparkSession, counts.select("at", level.alias("code")), RARITY_BUCKETS, 1)
 
+def _filter(asked: DataFrame) -> np.ndarray:
+    """A set filter of fixed size over places: what is not in it was not asked for."""
+    found = asked.mapInArrow(_filter_parts, "at int, bits long").groupBy("at").agg(
+        F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BYTES // 8, np.int64)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return bits.view(np.uint8)
 
-def _ordered(line: Column, rarity: str) -> Column:
-    """The distinct words as 63-bit keys, rarest first: level, then 56 bits of the hash."""
-    def key(h: Column) -> Column:
-        level = _character(rarity, F.pmod(h, F.lit(RARITY_BUCKETS))).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-    return F.sort_array(F.transform(_word_hashes(line), key))
+
+def _asked_words(shared: Broadcast) -> Callable:
+    """Word hashes of the lines that the filter lets through."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, levels, known = *shared.value, {}
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for doc_id, sig, raw in zip(*(batch.column(c) for c in ("doc_id", "sig", "raw"))):
+                doc_id, sig, lines = doc_id.as_py(), sig.as_py(), (raw.as_py() or b"").split(b"\n")
+                numbers = np.arange(len(lines))
+                spots = _spots(np.full(len(lines), doc_id or 0), np.full(len(lines), sig), numbers)
+                held = bits[(spots >> np.uint64(3)).astype(np.int64)] >> (7 - (spots & np.uint64(7))).astype(np.uint8) & 1
+                for line_no in numbers[held == 1].tolist():
+                    words = lines[line_no].split()
+                    if words:
+                        _keys(levels, words, known)
+                        for column, value in zip(out, (doc_id, sig, line_no, sorted(set(map(known.__getitem__, words))))):
+                            column.append(value)
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                                   pa.array(out[3], pa.list_(pa.int64()))], names=["doc_id", "sig", "line_no", "words"])
+    return rows
+
+
+def _candidates(open_rows: DataFrame, index: DataFrame, limit: int | None, same_size: bool) -> DataFrame:
+    """Distinct pairs (x, y) of lines that are open and earlier lines that may be similar.
+
+    Sizes, the place of the shared word in both prefixes, and parities (of words per hash value
+    of eight bits: at most one of 256 changes with each word that differs) rule out the rest.
+    """
+    group = ["key", "n"] if same_size else ["key"]
+    if limit is not None:
+        order = Window.partitionBy(*group).orderBy("first")
+        index = index.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= limit).drop("turn")
+    x, y = open_rows.alias("x"), index.alias("y")
+    meet = F.col("x.key") == F.col("y.key")
+    if same_size:
+        meet &= F.col("x.n") == F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITIES), F.lit(0))
+    near = F.expr("""y.first < x.first and 5 * y.n >= 4 * x.n and 5 * x.n >= 4 * y.n
+        and least(x.n - x.pos, y.n - y.pos) >= (4 * (x.n + y.n) + 8) div 9""")
+    return x.join(y, meet & near & (apart <= F.expr("x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)"))).select(
+        F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
 
 
 def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
                    text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, classes, preceded): every line with words as (doc_id, sig, line_no, cls), the
-    classes as (cls, no, first), and the numbers of those with an earlier class that has a
+    classes as (cls, no, first), and the numbers (x) of those with an earlier class that has a
     Jaccard similarity of 4/5 or more.
 
     A class is a set of words, so copies enter the join once. Of each set's words, rarest
-    first, only the prefix that two similar sets must share a word in is joined. Pairs whose
-    sizes, word positions or parities (of words per hash value of six bits: at most one of 64
-    changes with each word that differs) rule out the overlap are left out, and the rest is
-    verified on all words: for each class its earliest candidate, then, where that one fails,
-    all others, so a large group of near copies is not verified pair by pair. Words are told apart by 56 bits of their hash and the rarity level.
+    first, only the prefix that two similar sets must share a word in is joined. Whether any
+    earlier line is similar is all that counts, so a line meets the earliest lines of a key
+    first, and is out once one of them is similar, verified on all words; it stays in the index.
+    A large group of near copies ends in the first rounds, in pairs that grow with its size. The last
+    round compares what is left with all. Words are told apart by 56 bits of their hash and the
+    rarity level.
     """
-    split = split_lines(docs, doc_id, text)
-    rarity = _rarity(split)
-    keys = split.select("doc_id", "sig", "line_no", _ordered(F.col("line"), rarity).alias("keys"))
-    parity = F.expr("aggregate(keys, 0L, (p, k) -> p ^ shiftleft(1L, cast(k & 63 as int)))")
-    lines = stage(keys.filter(F.size("keys") > 0).select(
-        "doc_id", "sig", "line_no", F.xxhash64("keys").alias("cls"), F.size("keys").alias("n"),
-        parity.alias("parity"), F.monotonically_increasing_id().alias("no"),
-        F.expr("transform(slice(keys, 1, size(keys) - (4 * size(keys) + 4) div 5 + 1), k -> hash(k))")
-        .alias("prefix")), "lines")
+    spark = docs.sparkSession
+    texts = keyed(docs, doc_id, text).select("doc_id", "sig", F.col("text").cast("binary").alias("raw"))
+    levels = _rarity(texts)
+    shared = spark.sparkContext.broadcast(levels)
+    rows = texts.mapInArrow(_line_rows(shared), "doc_id long, sig long, line_no int, cls long, n int, p0 long, p1 long, "
+                            "p2 long, p3 long, prefix array<long>")
+    lines = stage(rows.withColumn("no", F.monotonically_increasing_id()), "lines")
     place = F.struct("doc_id", "sig", "line_no")
-    classes = stage(lines.groupBy("cls").agg(
-        F.min("no").alias("no"), F.min(place).alias("first")), "classes")
-    rows = (lines.groupBy("cls", "n", "parity", "prefix").agg(F.min("no").alias("no"))
-            .select("no", "n", "parity", F.posexplode("prefix").alias("pos", "key")))
-    x, y = rows.alias("x"), rows.alias("y")
-    near = F.expr("""(y.n < x.n or (y.n = x.n and y.no < x.no)) and 5 * y.n >= 4 * x.n
-        and y.pos <= y.n - (8 * y.n + 8) div 9
-        and least(x.n - x.pos, y.n - y.pos) >= (4 * (x.n + y.n) + 8) div 9
-        and bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)""")
-    pairs = stage(x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(
-        F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct(), "pairs")
-    asked = stage(pairs.select(F.col("a").alias("no")).union(pairs.select("b")).distinct()
-                  .join(classes, "no").select("no", "first.*", F.xxhash64("first").alias("spot")), "asked")
-    table = _filter_of(asked, "spot")
-    found = split.filter(_may_hold(table, F.xxhash64(place))).alias("s").join(
-        asked.alias("q"), F.col("s.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("s.sig") == F.col("q.sig"))
-        & (F.col("s.line_no") == F.col("q.line_no"))).select(
-        "no", _word_hashes(F.col("line")).alias("words")).dropDuplicates(["no"])
-    words = stage(found, "words")
-    # A wide parity, of one of 256 hash values a word, for the candidates alone.
-    wide = [F.expr("aggregate(words, 0L, (p, h) -> case when (shiftright(h, 6) & 3) = %d "
-                   "then p ^ shiftleft(1L, cast(h & 63 as int)) else p end)" % i) for i in range(4)]
-    sides = stage(words.select("no", F.size("words").alias("n"), F.array(*wide).alias("w")).join(
-        classes.select("no", "first"), "no"), "sides")
-    apart = sum((F.bit_count(F.col("v")[i].bitwiseXOR(F.col("w")[i])) for i in range(4)), F.lit(0))
-    turned = (pairs.join(sides.toDF("a", "m", "v", "p"), "a").join(sides.toDF("b", "n", "w", "q"), "b")
-              .filter(apart <= F.expr("m + n - 2 * ((4 * (m + n) + 8) div 9)"))
-              .select(F.when(F.expr("p > q"), F.col("a")).otherwise(F.col("b")).alias("x"),
-                      F.when(F.expr("p > q"), F.col("b")).otherwise(F.col("a")).alias("y"),
-                      F.least("p", "q").alias("place")))
-    turned = stage(turned, "turned")
-    picked = turned.groupBy("x").agg(F.min(F.struct("place", "y")).alias("m")).select("x", "m.y")
-    sure = stage(_verified(picked, words), "sure")
-    rest = stage(_verified(turned.select("x", "y").join(sure, "x", "left_anti"), words), "rest")
-    return lines.select("doc_id", "sig", "line_no", "cls"), classes, sure.union(rest)
+    classes = stage(lines.groupBy("cls").agg(F.min("no").alias("no"), F.min(place).alias("first")), "classes")
+    index = stage(lines.join(classes, ["cls", "no"]).select(
+        "no", "first", "n", *_PARITIES, F.posexplode("prefix").alias("pos", "key")), "index")
+    found = None
+    for limit, same_size in ROUNDS:
+        left = index if found is None else index.join(found.withColumnRenamed("x", "no"), "no", "left_anti")
+        pairs = stage(_candidates(left, index, limit, same_size), "pairs")
+        asked = stage(pairs.select(F.col("x").alias("no")).union(pairs.select("y")).distinct().join(
+            classes, "no").select("no", "first.*"), "asked")
+        if asked.isEmpty():
+            continue
+        held = spark.sparkContext.broadcast((_filter(asked), levels))
+        spelt = texts.mapInArrow(_asked_words(held), "doc_id long, sig long, line_no int, words array<long>").alias("s")
+        words = stage(asked.alias("q").join(spelt, F.col("s.doc_id").eqNullSafe(F.col("q.doc_id"))
+                                            & (F.col("s.sig") == F.col("q.sig")) & (F.col("s.line_no") == F.col("q.line_no")))
+                      .select("q.no", "s.words").dropDuplicates(["no"]), "words")
+        sure = _verified(pairs, words)
+        found = stage(sure if found is None else found.union(sure), "sure")
+    if found is None:
+        found = index.filter("false").select(F.col("no").alias("x"))
+    return lines.select("doc_id", "sig", "line_no", "cls"), classes, found
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -162,12 +268,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Columns named ``n_lines`` or ``n_removed`` are replaced.
     """
     gone = _removed(*preceded_lines(docs, doc_id, text))
-    sig = F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0))
-    joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("id")) & (sig == F.col("of")), "left")
-    split = F.split(F.col(text), "\n")
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(
+    whole = F.col(text).cast("string")
+    rows = docs.select(as_row(docs), F.col(doc_id).cast("long").alias("own"), whole.alias("whole"),
+                       F.coalesce(F.xxhash64(whole), F.lit(0)).alias("sig"))
+    joined = rows.join(gone, F.col("own").eqNullSafe(F.col("id")) & (F.col("sig") == F.col("of")), "left")
+    split = F.split("whole", "\n")
+    kept = F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(F.array_join(
         F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in keep],
+    return joined.select(*[(kept if c == text else F.col("row")[c]).alias(c) for c in keep],
                          F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
                          F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
