@@ -1,10 +1,14 @@
 """Table references of a SQL statement, with built-in expressions only.
 
 Supported grammar: names after FROM, any word ending in JOIN, INTO, a bare INSERT or
-TRUNCATE, UPDATE, TABLE, COPY; ``schema.table``, back-quoted names, aliases with or without AS, comma lists (not after
-INTO), sub-selects. Literals and comments are removed first. A keyword in the place of a
-name, or anything unreadable, gives no reference; the result is then an empty array. Not
-seen: names that follow a sub-select in a comma list.
+TRUNCATE, UPDATE, TABLE, COPY; ``schema.table``, back-quoted names, aliases with or without AS,
+comma lists (not after INTO), also behind sub-selects, ON and USING clauses, nested to any depth.
+Literals and comments are removed first. A keyword in the place of a name, or anything
+unreadable, gives no reference; the result is then an empty array.
+
+Statements without parentheses and join conditions are read by one pattern. All others are cut
+into tokens and folded: what a level of parentheses is waiting for is one character, so the state
+is a short string.
 """
 
 from __future__ import annotations
@@ -59,12 +63,56 @@ def clean_statement(sql: Column) -> Column:
                   F.regexp_replace(text, _NO_TABLE, " ? ")).otherwise(text)
 
 
+#: Words between a verb and its table, and words that end a list of tables.
+_SKIPPED = ("low_priority", "high_priority", "delayed", "quick", "ignore", "only", "if", "not", "exists", "lateral")
+_ENDERS = ("where", "group", "order", "having", "limit", "union", "set", "values", "value", "select", "window",
+           "returning", "lock", "except", "intersect", "procedure")
+_TOKENS = r"(?:" + _QUOTED + r"|[\p{L}\p{N}_$]+)(?:\s*\.\s*(?:" + _QUOTED + r"|[\p{L}\p{N}_$]+))?|\S"
+
+# What a level waits for: nothing; a table of a list; what follows one; the end of a join
+# condition; the one table of INTO; what follows that.
+_NOTHING, _LIST, _LISTED_ONE, _CONDITION, _ONE, _DONE = "0", "1", "2", "3", "5", "6"
+
+
+def _fold(tokens: Column) -> Column:
+    """References (name and alias in one text) of a statement's tokens, in order."""
+    def step(state: Column, token: Column) -> Column:
+        levels, refs, fresh = state["levels"], state["refs"], state["fresh"]
+        word, top = F.lower(token), F.right(levels, F.lit(1))
+        below = F.left(levels, F.length(levels) - 1)
+        verb = word.isin("from", "update", "table", "copy", "truncate") | word.rlike("^[a-z_]*join$")
+        into, skipped = word.isin("into", "insert"), word.isin(*_SKIPPED)
+        name = token.rlike(r"^(?:`|\p{N}*[\p{L}_$])") & ~word.isin(*RESERVED) & ~verb & ~into
+        waits = top.isin(_LIST, _ONE)
+        taken = waits & name & ~skipped
+        alias = fresh & top.isin(_LISTED_ONE, _DONE) & name
+        after = F.when(top == _LIST, _LISTED_ONE).when(top == _ONE, _DONE).otherwise(top)
+        now = (F.when(taken, after).when(waits & skipped, top)
+               .when(verb, _LIST).when(into, _ONE)
+               .when((token == ",") & top.isin(_LISTED_ONE, _CONDITION), _LIST)
+               .when(top.isin(_LISTED_ONE, _CONDITION) & word.isin("on", "using"), _CONDITION)
+               .when(word.isin(*_ENDERS) | (waits & (token != ",")), _NOTHING).otherwise(top))
+        return F.struct(
+            F.when(token == "(", F.concat(below, after, F.when(top == _LIST, _LIST).otherwise(_NOTHING)))
+            .when(token == ")", F.when(F.length(levels) > 1, below).otherwise(_NOTHING))
+            .otherwise(F.concat(below, now)).alias("levels"),
+            F.when(taken, F.concat(refs, F.array(token)))
+            .when(alias, F.concat(F.slice(refs, 1, F.size(refs) - 1), F.array(
+                F.concat(F.element_at(refs, -1), F.lit(" "), token)))).otherwise(refs).alias("refs"),
+            (taken | (fresh & (word == "as"))).alias("fresh"))
+    start = F.struct(F.lit(_NOTHING).alias("levels"), F.array().cast("array<string>").alias("refs"),
+                     F.lit(False).alias("fresh"))
+    return F.aggregate(tokens, start, step, lambda state: state["refs"])
+
+
 def extract_tables(sql: Column) -> Column:
     """``ARRAY<STRUCT<schema, table, alias>>`` in order of appearance."""
-    clauses = F.regexp_extract_all(clean_statement(F.coalesce(sql, F.lit(""))),
-                                   F.lit(_LISTED), 0)
-    refs = F.flatten(F.transform(clauses, lambda x: F.split(
+    text = clean_statement(F.coalesce(sql, F.lit("")))
+    nested = text.contains(",") & (text.contains("(") | F.lower(text).rlike(r"\b(?:on|using)\b"))
+    clauses = F.regexp_extract_all(text, F.lit(_LISTED), 0)
+    plain = F.flatten(F.transform(clauses, lambda x: F.split(
         F.regexp_replace(x, "(?i)^" + _LEAD, ""), ",")))
+    refs = F.when(nested, _fold(F.regexp_extract_all(text, F.lit(_TOKENS), 0))).otherwise(plain)
     parts = F.transform(refs, lambda r: F.split(
         F.replace(F.replace(F.replace(
             F.regexp_replace(F.btrim(r), _PARTS, "$1\u0001$2\u0001$3"),

@@ -268,6 +268,43 @@ def q_extract_tables(spark, sf_dir):
                        F.col("col.table").alias("table_name"), "col.alias")
 
 
+_FORMS = (
+    ("""'select * from (select 1, 2 from ' || a || ') z, ' || b""",
+     "a, b"),
+    ("""'select * from ' || a || ' join ' || b || ' on x.i = y.i, ' || c""",
+     "a, b, c"),
+    ("""'select f(1, 2) from ' || a || ' left join (' || b || ' cross join ' || c || ') using (i, j), ' || a""",
+     "a, b, c, a"),
+    ("""'insert into ' || a || ' (i, j) select 1, 2 from ' || b || ' where k in (select k from ' || c || ')'""",
+     "a, b, c"),
+    ("""'update ' || a || ', ' || b || ' set x = (select max(i) from ' || c || ')'""",
+     "a, b, c"),
+    ("""'delete from ' || a || ' where ''from nowhere'' = "into nothing" /* join gone */'""",
+     "a"),
+    ("""'select * from ' || a || ' where i in (1, 2) and exists (select 1, 2 from ' || b || ', (select 3 from ' || c || ') q, ' || b || ')'""",
+     "a, b, c, b"),
+    ("""'drop table if exists ' || a || ', ' || b""",
+     "a, b"),
+    ("""'select 1, (2)'""",
+     ""),
+)
+_NAMES = """select o_orderkey, o_orderkey % 9 as form, 't' || cast(o_custkey % 97 as varchar(9)) as a,
+ 'u' || cast(o_orderkey % 89 as varchar(9)) as b, 'v' || cast(o_custkey % 83 as varchar(9)) as c from {orders}"""
+
+
+@query(f"""select o_orderkey, cast(i as bigint) as pos, names[i] as table_name from (
+ select o_orderkey, names, unnest(range(1, len(names) + 1)) as i from (
+  select o_orderkey, case form {" ".join(f"when {i} then [{n}]" for i, (_, n) in enumerate(_FORMS) if n)} else [] end as names
+  from ({_NAMES.replace("{orders}", "orders")}) n) m) l""")
+def q_extract_tables_nested(spark, sf_dir):
+    """Sub-selects, join conditions and lists in all combinations, a statement per order."""
+    forms = " ".join(f"when {i} then {text}" for i, (text, _) in enumerate(_FORMS))
+    names = spark.sql(_NAMES, orders=table(spark, sf_dir, "orders"))
+    stated = names.selectExpr("o_orderkey", "case form " + forms.replace("''", "\\'") + " end as statement")
+    return stated.select("o_orderkey", F.posexplode(extract_tables(F.col("statement")))).select(
+        "o_orderkey", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("col.table").alias("table_name"))
+
+
 @query("""select instance, schema_name, table_name, count(*) as n_references
 from {o_refs} group by instance, schema_name, table_name""")
 def q_table_usage(spark, sf_dir):
