@@ -25,12 +25,11 @@ RARITY_BUCKETS = 1 << 18
 BROADCAST_NUMBERS = 8_000_000
 #: Bytes of the set filter that thins a scan before an exact join.
 FILTER_BYTES = 1 << 20
-#: Rounds of the join: of the lines that share a key (and, in the first, have as many words) a line
-#: meets so many of the earliest; in the last all that are left meet all.
-ROUNDS = ((4, True), (32, False), (None, False))
+#: In the first round a line meets so many of the earliest lines that share a key and have as many
+#: words; in the second, lines that are left meet all.
+EARLIEST = 4
 #: Words and lines that a task remembers; full, it starts again, which costs time only.
 _KEPT_WORDS, _KEPT_LINES = 1_000_000, 100_000
-_PARITIES = ("p0", "p1", "p2", "p3")
 
 
 def _hash(word: bytes) -> int:
@@ -77,14 +76,13 @@ def _keys(levels: np.ndarray, words: list[bytes], known: dict[bytes, int]) -> No
 
 
 def _described(keys: list[int]) -> tuple:
-    """Class, size, parities and prefix of a set of words, rarest first."""
-    n, parity = len(keys), 0
-    for key in keys:
-        parity ^= 1 << (key & 255)
+    """Class, size, parity and prefix (32 bits of each key) of a set of words, rarest first."""
+    n = len(keys)
     packed = np.array(keys, np.int64)
     cls = xxhash.xxh3_64_intdigest(packed.tobytes())
-    own = np.frombuffer(parity.to_bytes(32, "little"), np.int64)
-    return cls - (1 << 64) * (cls >> 63), n, own, packed[:n - (4 * n + 4) // 5 + 1]
+    ones = np.bincount(packed & 63, minlength=64) & 1
+    parity = int(np.packbits(ones.astype(np.uint8)).view(np.int64)[0])
+    return cls - (1 << 64) * (cls >> 63), n, parity, packed[:n - (4 * n + 4) // 5 + 1].astype(np.int32)
 
 
 def _line_rows(shared: Broadcast) -> Callable:
@@ -111,14 +109,13 @@ def _line_rows(shared: Broadcast) -> Callable:
                         column.append(value)
             if not found:
                 continue
-            parity = np.stack([f[2] for f in found])
             ends = np.cumsum([0, *(len(f[3]) for f in found)])
             yield pa.record_batch(
                 [pa.array(place[0], pa.int64()), pa.array(place[1], pa.int64()), pa.array(place[2], pa.int32()),
                  pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
-                 *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)),
+                 pa.array([f[2] for f in found], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f[3] for f in found])))],
-                names=["doc_id", "sig", "line_no", "cls", "n", *_PARITIES, "prefix"])
+                names=["doc_id", "sig", "line_no", "cls", "n", "parity", "prefix"])
     return rows
 
 
@@ -173,27 +170,38 @@ def _asked_words(shared: Broadcast) -> Callable:
     return rows
 
 
-def _candidates(open_rows: DataFrame, index: DataFrame, limit: int | None, same_size: bool) -> DataFrame:
-    """Distinct pairs (x, y) of lines that are open and earlier lines that may be similar.
+_NEAR = """y.no < x.no and 5 * y.n >= 4 * x.n and 5 * x.n >= 4 * y.n
+ and least(x.n - x.pos, y.n - y.pos) >= (4 * (x.n + y.n) + 8) div 9
+ and bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)"""
+
+
+def _met(x: DataFrame, y: DataFrame, more: str = "true") -> DataFrame:
+    """Distinct pairs (x, y) of lines and earlier lines that share a key and may be similar.
 
     Sizes, the place of the shared word in both prefixes, and parities (of words per hash value
-    of eight bits: at most one of 256 changes with each word that differs) rule out the rest.
+    of six bits: at most one of 64 changes with each word that differs) rule out the rest.
     """
-    group = ["key", "n"] if same_size else ["key"]
-    if limit is not None:
-        order = Window.partitionBy(*group).orderBy("first")
-        index = index.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= limit).drop("turn")
-    x, y = open_rows.alias("x"), index.alias("y")
-    meet = F.col("x.key") == F.col("y.key")
-    if same_size:
-        meet &= F.col("x.n") == F.col("y.n")
-    apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITIES), F.lit(0))
-    near = F.expr("""y.first < x.first and 5 * y.n >= 4 * x.n and 5 * x.n >= 4 * y.n
-        and least(x.n - x.pos, y.n - y.pos) >= (4 * (x.n + y.n) + 8) div 9""")
-    return x.join(y, meet & near & (apart <= F.expr("x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)"))).select(
+    return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(f"{_NEAR} and {more}")).select(
         F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
 
 
+def _with_earliest(index: DataFrame) -> DataFrame:
+    """Pairs with the earliest lines of a key and size: no more than four for a line and key. Both
+    sides come from one exchange (so the sizes are compared as a range, not as a key)."""
+    dealt = index.repartition("key")
+    order = Window.partitionBy("key", "n").orderBy("no")
+    first = dealt.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= EARLIEST).drop("turn")
+    return _met(dealt, first, "y.n <= x.n and y.n >= x.n")
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """(cls, id, first, no): classes numbered in the order of their first places, without one task
+    that sorts them all."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return classes.repartitionByRange(parts, "first").sortWithinPartitions("first").withColumn(
+        "no", F.monotonically_increasing_id())
+
+
 def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
                    text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, classes, preceded): every line with words as (doc_id, sig, line_no, cls), the
@@ -203,30 +211,28 @@ def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
     A class is a set of words, so copies enter the join once. Of each set's words, rarest
     first, only the prefix that two similar sets must share a word in is joined. Whether any
     earlier line is similar is all that counts, so a line meets the earliest lines of a key
-    first, and is out once one of them is similar, verified on all words; it stays in the index.
-    A large group of near copies ends in the first rounds, in pairs that grow with its size. The last
-    round compares what is left with all. Words are told apart by 56 bits of their hash and the
-    rarity level.
+    and size first, and is out once one of them is similar, verified on all words; it stays in the
+    index. A large group of near copies ends in the first round, in pairs that grow with its size. The
+    second round compares what is left with all. Words are told apart by 56 bits of their hash and
+    the rarity level.
     """
     spark = docs.sparkSession
     texts = keyed(docs, doc_id, text).select("doc_id", "sig", F.col("text").cast("binary").alias("raw"))
     levels = _rarity(texts)
     shared = spark.sparkContext.broadcast(levels)
-    rows = texts.mapInArrow(_line_rows(shared), "doc_id long, sig long, line_no int, cls long, n int, p0 long, p1 long, "
-                            "p2 long, p3 long, prefix array<long>")
-    lines = stage(rows.withColumn("no", F.monotonically_increasing_id()), "lines")
+    rows = texts.mapInArrow(_line_rows(shared), "doc_id long, sig long, line_no int, cls long, n int, parity long, "
+                            "prefix array<int>")
+    lines = stage(rows.withColumn("id", F.monotonically_increasing_id()), "lines")
     place = F.struct("doc_id", "sig", "line_no")
-    classes = stage(lines.groupBy("cls").agg(F.min("no").alias("no"), F.min(place).alias("first")), "classes")
-    index = stage(lines.join(classes, ["cls", "no"]).select(
-        "no", "first", "n", *_PARITIES, F.posexplode("prefix").alias("pos", "key")), "index")
+    classes = stage(_numbered(lines.groupBy("cls").agg(F.min("id").alias("id"), F.min(place).alias("first"))), "classes")
+    index = stage(lines.join(classes.select("cls", "id", "no"), ["cls", "id"]).select(
+        "no", "n", "parity", F.posexplode("prefix").alias("pos", "key")), "index")
     found = None
-    for limit, same_size in ROUNDS:
-        left = index if found is None else index.join(found.withColumnRenamed("x", "no"), "no", "left_anti")
-        pairs = stage(_candidates(left, index, limit, same_size), "pairs")
+    for _ in range(2):
+        pairs = stage(_with_earliest(index) if found is None else _met(
+            index.join(found.withColumnRenamed("x", "no"), "no", "left_anti"), index), "pairs")
         asked = stage(pairs.select(F.col("x").alias("no")).union(pairs.select("y")).distinct().join(
             classes, "no").select("no", "first.*"), "asked")
-        if asked.isEmpty():
-            continue
         held = spark.sparkContext.broadcast((_filter(asked), levels))
         spelt = texts.mapInArrow(_asked_words(held), "doc_id long, sig long, line_no int, words array<long>").alias("s")
         words = stage(asked.alias("q").join(spelt, F.col("s.doc_id").eqNullSafe(F.col("q.doc_id"))
@@ -234,8 +240,6 @@ def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
                       .select("q.no", "s.words").dropDuplicates(["no"]), "words")
         sure = _verified(pairs, words)
         found = stage(sure if found is None else found.union(sure), "sure")
-    if found is None:
-        found = index.filter("false").select(F.col("no").alias("x"))
     return lines.select("doc_id", "sig", "line_no", "cls"), classes, found
 
 
