@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,12 @@ ORDER = 5
 ALPHABET = 257
 END_SYMBOL = 256
 #: Steps and words with at least this part of all counts have their prices at hand on every
-#: executor (16 bytes a step, some 150 a word), so there are no more of them than this; all
+#: executor (16 bytes a step, 24 a word), so there are no more of them than this; all
 #: others are joined.
-KEPT_STEPS = 1 << 22
-KEPT_WORDS = 1 << 20
-KEPT_WORD_BYTES = 32
+KEPT_STEPS = 1 << 21
+KEPT_WORDS = 1 << 18
+#: Words whose places a task remembers; full, it starts again, which costs time only.
+_MET_WORDS = 200_000
 #: Stands for the end of a document in the table of words; no word holds a space.
 END = " "
 #: Distinct keys gathered in a task before they are handed on, and bytes numbered at a time.
@@ -192,34 +194,100 @@ def prices(seen: DataFrame) -> DataFrame:
     return direct.union(levels.select("step", F.lit(0).cast("long"), known + rest))
 
 
+def _word_key(word: bytes) -> int:
+    """Spark's ``xxhash64`` of the word."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) * (h >> 63)
+
+
+class _Hand:
+    """What is at hand on an executor: sorted keys of words and steps with their figures, and the
+    places of the words that were met, in a table of bounded size."""
+
+    def __init__(self, words: np.ndarray, figures: np.ndarray, steps: np.ndarray, step_prices: np.ndarray) -> None:
+        self.words, self.figures, self.steps, self.step_prices = words, figures, steps, step_prices
+        self.met: dict[bytes, int] = {}
+
+    @staticmethod
+    def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in a sorted table, -1 if it is not there."""
+        if not len(table):
+            return np.full(len(keys), -1)
+        spot = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[spot] == keys, spot, -1)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        new = [w for w in set(words) if w not in self.met]
+        if len(self.met) + len(new) > _MET_WORDS:
+            self.met.clear()
+            new = list(set(words))
+        keys = np.fromiter(map(_word_key, new), np.int64, len(new))
+        self.met.update(zip(new, self._find(self.words, keys).tolist()))
+        return np.fromiter(map(self.met.__getitem__, words), np.int64, len(words))
+
+    def step_places(self, taken: np.ndarray) -> np.ndarray:
+        return self._find(self.steps, taken)
+
+
+_PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("is_step", pa.bool_()), ("key", pa.int64()),
+                    ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                    ("base", pa.float64()), ("score", pa.float64())])
+
+
 def _scorer(kept: Broadcast) -> Callable:
-    """One row of sums over what is at hand per document, and a row per other distinct word or
-    step, under keys of their own."""
+    """One row of sums over what is at hand per document (``is_step`` NULL), and a row per other
+    distinct word or step."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, figures, end, hand, hand_prices = kept.value
+        hand, end = _Hand(*kept.value[0]), kept.value[1]
         row = TaskContext.get().partitionId() << 36
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.string()),
-                            ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                            ("base", pa.float64()), ("score", pa.float64())])
+        sums: list[tuple] = []
+        others: list[tuple] = []
+        waiting = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if sums:
+                columns = list(zip(*sums))
+                none = pa.nulls(len(sums))
+                yield pa.record_batch(
+                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), none.cast(pa.bool_()),
+                     none.cast(pa.int64()), none.cast(pa.int64()), pa.array(columns[2], pa.int64()),
+                     pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.float64()),
+                     pa.array(columns[5], pa.float64())], schema=_PARTS)
+            if others:
+                sizes = [len(o[2]) for o in others]
+                none = pa.nulls(sum(sizes))
+                yield pa.record_batch(
+                    [pa.array(np.repeat([o[0] for o in others], sizes), pa.int64()), none.cast(pa.int64()),
+                     pa.array(np.repeat([o[1] for o in others], sizes), pa.bool_()),
+                     pa.array(np.concatenate([o[2] for o in others])), pa.array(np.concatenate([o[3] for o in others])),
+                     none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())],
+                    schema=_PARTS)
+            sums.clear()
+            others.clear()
+
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw")):
+            for doc_id, raw in zip(batch.column("doc_id"), batch.column("raw")):
                 words = raw.as_py().translate(LOWER_ASCII).split()
-                places = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                known, base = figures[places[places >= 0]].sum(0) + end
-                taken = steps(words)
-                spot = np.minimum(np.searchsorted(hand, taken), len(hand) - 1)
-                there = hand[spot] == taken
-                lines = [(f" {row}", 0, len(words) + 1, int(known), base, hand_prices[spot[there]].sum())]
-                others = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
-                lines += [("w" + w.decode(), n, 0, 0, 0.0, 0.0) for w, n in others.items()]
-                rest, counts = np.unique(taken[~there], return_counts=True)
-                lines += [(f"s{s}", n, 0, 0, 0.0, 0.0) for s, n in zip(rest.tolist(), counts.tolist())]
-                for line in lines:
-                    for column, value in zip(out, (row, doc_id, *line)):
-                        column.append(value)
+                places = hand.places(words)
+                known, base = hand.figures[places[places >= 0]].sum(0) + end
+                total = 0.0
+                for taken in np.array_split(own := steps(words), -(-len(own) // _STEPS_AT_ONCE)):
+                    spot = hand.step_places(taken)
+                    total += hand.step_prices[spot[spot >= 0]].sum()
+                    rest, times = np.unique(taken[spot < 0], return_counts=True)
+                    others.append((row, True, rest, times))
+                    waiting += len(rest)
+                sums.append((row, doc_id.as_py(), len(words) + 1, int(known), base, total))
+                if len(away := np.flatnonzero(places < 0)):
+                    met = Counter([words[i] for i in away.tolist()])
+                    others.append((row, False, np.fromiter(map(_word_key, met), np.int64, len(met)),
+                                   np.fromiter(met.values(), np.int64, len(met))))
+                    waiting += len(met)
                 row += 1
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                if waiting > _GATHER:
+                    yield from rows()
+                    waiting = 0
+        yield from rows()
     return score
 
 
@@ -236,7 +304,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Counts are gathered over all rows and pre-aggregated in the tasks. The commonest words
     and steps, in bounded number, are priced on all executors at hand; every other one is
-    joined, so the result does not depend on those bounds.
+    joined, so the result does not depend on those bounds. Words meet by a 64-bit hash. Texts that
+    differ in white space alone have equal scores.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
@@ -250,30 +319,31 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = float(total + kinds + 1)
     priced = stage(prices(stage(marked.mapInArrow(_step_counts, "step long, n long").groupBy("step").agg(
         F.sum("n").alias("n")), "steps")), "prices")
-    short = words.filter((F.octet_length("word") <= KEPT_WORD_BYTES) & (F.col("word") != END))
-    common = short.filter((F.col("n") > 0) & (F.col("n") * KEPT_WORDS >= total)).select("word", "n").toArrow()
-    often = common.column("n").to_numpy()
-    figures = np.stack([np.ones(len(often)), np.log10((often + 1) / base)], 1)
+    known_words = words.filter((F.col("n") > 0) & (F.col("word") != END))
+    often = known_words.filter(F.col("n") * KEPT_WORDS >= total).select(F.xxhash64("word").alias("key"), "n").toArrow()
+    order = np.argsort(often.column("key").to_numpy())
+    counts = often.column("n").to_numpy()[order]
+    figures = np.stack([np.ones(len(counts)), np.log10((counts + 1) / base)], 1)
     all_steps = priced.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     taken = priced.filter((F.col("n") > 0) & (F.col("n") * KEPT_STEPS >= all_steps)).select(
         "step", "price").toArrow()
-    order = np.argsort(taken.column("step").to_numpy())
-    hand = taken.column("step").to_numpy()[order] if len(order) else np.array([-1])
-    hand_prices = taken.column("price").to_numpy()[order] if len(order) else np.array([0.0])
-    kept = spark.sparkContext.broadcast(
-        ({w.encode(): i for i, w in enumerate(common.column("word").to_pylist())}, figures,
-         np.array([ends > 0, np.log10((ends + 1) / base)], float), hand, hand_prices))
-    parts = rows.mapInArrow(_scorer(kept), "row long, doc_id long, key string, times long, "
-                            "n_tokens long, n_known long, base double, score double")
-    each = words.select(F.concat(F.lit("w"), "word").alias("key"), (F.col("n") > 0).cast("long").alias("known"),
+    turn = np.argsort(taken.column("step").to_numpy())
+    kept = spark.sparkContext.broadcast((
+        (often.column("key").to_numpy()[order], figures, taken.column("step").to_numpy()[turn],
+         taken.column("price").to_numpy()[turn]), np.array([ends > 0, np.log10((ends + 1) / base)], float)))
+    parts = stage(rows.mapInArrow(_scorer(kept), "row long, doc_id long, is_step boolean, key long, times long, "
+                                  "n_tokens long, n_known long, base double, score double"), "parts")
+    each = words.select(F.lit(False).alias("is_step"), F.xxhash64("word").alias("key"), (F.col("n") > 0).cast("long").alias("known"),
                         F.log10((F.col("n") + 1) / F.lit(base)).alias("base_each"), F.lit(0.0).alias("score_each"))
-    each = each.union(priced.select(F.concat(F.lit("s"), F.col("step").cast("string")), F.lit(0).cast("long"),
-                                    F.lit(0.0), "price"))
+    each = each.union(priced.select(F.lit(True), "step", F.lit(0).cast("long"), F.lit(0.0), "price"))
     times = F.col("times")
-    return (parts.join(each, "key", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.coalesce(times * F.col("known"), F.lit(0))).alias("n_known"),
-        F.sum(F.col("base") + F.coalesce(times * F.col("base_each"), F.lit(0.0))).alias("base_score"),
-        F.sum(F.col("score") + F.coalesce(times * F.col("score_each"), F.lit(0.0))).alias("score"))
+    found = parts.filter("is_step is not null").join(each, ["is_step", "key"]).select(
+        "row", (times * F.col("known")).alias("n_known"), (times * F.col("base_each")).alias("base"),
+        (times * F.col("score_each")).alias("score")).groupBy("row").agg(
+        F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    sums = parts.filter("is_step is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
+    return (sums.unionByName(found, allowMissingColumns=True).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"))
         .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
                 F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"))
