@@ -35,6 +35,8 @@ _BLOCK = 256
 _ROUNDS = 12
 _SPARE = 16
 
+_CELL = np.dtype([("at", "<u2"), ("value", "<f4")])
+
 _CLASSES = bytes(
     ord("X") if 65 <= c <= 90 else ord("x") if 97 <= c <= 122 or c >= 128
     else ord("9") if 48 <= c <= 57 else c for c in range(256))
@@ -90,6 +92,44 @@ def term_weights(raw: bytes) -> np.ndarray:
     return out
 
 
+@dataclass
+class SparseRows:
+    """Rows of terms, only what is not zero: the sample is never a whole matrix."""
+
+    ends: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, packed: list[bytes]) -> SparseRows:
+        """Of rows packed by ``pack_terms``."""
+        cells = [np.frombuffer(p, _CELL) for p in packed]
+        every = np.concatenate(cells) if cells else np.zeros(0, _CELL)
+        return cls(np.cumsum([0, *map(len, cells)]), every["at"].copy(), every["value"].copy())
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, dense rows), a block at a time."""
+        for at in range(0, len(self), _BLOCK):
+            ends = self.ends[at:at + _BLOCK + 1]
+            out = np.zeros((len(ends) - 1, TERMS), np.float32)
+            rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            out[rows, self.places[ends[0]:ends[-1]]] = self.values[ends[0]:ends[-1]]
+            yield at, out
+
+    def document_counts(self) -> np.ndarray:
+        return np.bincount(self.places, minlength=TERMS).astype(float)
+
+
+def pack_terms(terms: np.ndarray) -> bytes:
+    at = np.flatnonzero(terms)
+    cells = np.empty(len(at), _CELL)
+    cells["at"], cells["value"] = at, terms[at]
+    return cells.tobytes()
+
+
 @dataclass
 class Model:
     """Inverse document frequencies, the projection, and the voters' vectors and labels."""
@@ -124,19 +164,27 @@ def weigh(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _leading(rows: np.ndarray) -> np.ndarray:
-    """The leading right singular vectors as columns, by subspace iteration; 0 beyond the rank."""
-    start = np.random.default_rng(0).standard_normal((rows.shape[1], DIMENSIONS + _SPARE))
+def _leading(rows: SparseRows, weights: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of the weighted rows as columns, by subspace iteration,
+    a block of rows at a time; 0 beyond the rank."""
+    start = np.random.default_rng(0).standard_normal((TERMS, DIMENSIONS + _SPARE))
     basis = np.linalg.qr(start.astype(np.float32))[0]
     for _ in range(_ROUNDS):
-        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
-    image = (rows @ basis).astype(np.float64)
-    values, turn = np.linalg.eigh(image.T @ image)
+        product = np.zeros_like(basis)
+        for _, block in rows.blocks():
+            weighed = weigh(block, weights)
+            product += weighed.T @ (weighed @ basis)
+        basis = np.linalg.qr(product)[0]
+    gram = np.zeros((basis.shape[1],) * 2)
+    for _, block in rows.blocks():
+        image = (weigh(block, weights) @ basis).astype(np.float64)
+        gram += image.T @ image
+    values, turn = np.linalg.eigh(gram)
     values, turn = values[::-1][:DIMENSIONS], turn[:, ::-1][:, :DIMENSIONS]
     return np.ascontiguousarray(basis @ (turn * (values > 1e-6 * values[0]))).astype(np.float32)
 
 
-def fit_model(terms: np.ndarray, labels: np.ndarray, doc_counts: np.ndarray, n_docs: int) -> Model:
+def fit_model(terms: SparseRows, labels: np.ndarray, doc_counts: np.ndarray, n_docs: int) -> Model:
     """Latent-semantic space of the sample: its leading right singular vectors.
 
     Shapes are weighted by the sample's counts, words by ``doc_counts``, the number of all
@@ -146,13 +194,11 @@ def fit_model(terms: np.ndarray, labels: np.ndarray, doc_counts: np.ndarray, n_d
         nothing = np.zeros((0, 0), np.float32)
         return Model(np.ones(TERMS, np.float32), nothing, nothing, labels)
     weights = np.full(TERMS, 0.5, np.float32)
-    seen = (terms[:, :_SHAPES] > 0).sum(0)
-    weights[:_SHAPES] = 1 + np.log((1 + len(terms)) / (1 + seen))
+    weights[:_SHAPES] = 1 + np.log((1 + len(terms)) / (1 + terms.document_counts()[:_SHAPES]))
     weights[_FORM:] = 1 + np.log((1 + n_docs) / (1 + doc_counts))
-    projection = _leading(weigh(terms, weights))
+    projection = _leading(terms, weights)
     model = Model(weights, projection, np.zeros((0, DIMENSIONS), np.float32), labels.astype(float))
-    model.voters = np.concatenate([model.project(terms[at:at + _BLOCK])
-                                   for at in range(0, len(terms), _BLOCK)])
+    model.voters = np.concatenate([model.project(block) for _, block in terms.blocks()])
     return model
 
 
@@ -179,7 +225,7 @@ def document_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, in
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [zlib.compress(term_weights(raw.as_py()).tobytes(), 1) for raw in batch.column("raw")]
+        rows = [pack_terms(term_weights(raw.as_py())) for raw in batch.column("raw")]
         yield pa.record_batch([batch.column("label"), pa.array(rows, pa.binary())],
                               names=["label", "terms"])
 
@@ -220,12 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
               .select("id", "label", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
               .mapInArrow(_terms, "label int, terms binary")
               .orderBy(F.xxhash64("terms"), "terms").limit(sample))
-    found = chosen.collect()
-    terms = np.zeros((len(found), TERMS), np.float32)
-    for at, row in enumerate(found):
-        terms[at] = np.frombuffer(zlib.decompress(row.terms), np.float32)
-    counts, n_docs = document_counts(docs, text) if found else (np.zeros(_WORDS), 0)
-    return fit_model(terms, np.array([r.label for r in found], int), counts, n_docs)
+    found = chosen.toArrow()
+    terms = SparseRows.of(found.column("terms").to_pylist())
+    counts, n_docs = document_counts(docs, text) if len(terms) else (np.zeros(_WORDS), 0)
+    return fit_model(terms, found.column("label").to_numpy().astype(int), counts, n_docs)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
