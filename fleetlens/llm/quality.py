@@ -284,7 +284,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text))
     stay = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in stay)
-    free = next(n for n in ("raw", *(f"raw{i}" for i in range(len(stay)))) if n not in stay)
-    rows = docs.select(F.col(text).cast("string").alias(free), *stay)
-    return rows.mapInArrow(_scorer(shared), f"{fields}, score double")
+    # Columns travel under numbers, so any name will do.
+    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(stay))
+    rows = docs.select(F.col(text).cast("string").alias("raw"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(stay)])
+    return rows.mapInArrow(_scorer(shared), f"{fields}, score double").toDF(*stay, "score")

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import LOWER_ASCII, components, stage
+from fleetlens.llm.common import LOWER_ASCII, as_row, components, stage
 
 SHINGLE = 3
 SEED = 42
@@ -121,3 +121,21 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = ["label"] if signed else []
     placed = marked.join(roots, "label").select("fp", "component_id", *more)
     return prints.join(placed, "fp").select("doc_id", "fp", "component_id", *["sig"] * signed, *more)
+
+
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of links: that with the smallest doc_id.
+
+    Rows are told apart by doc_id and a hash of the text, so rows of other groups that repeat
+    the id stay. Of a group's rows with this id those with the smallest hash win, and of copies
+    the one with the smallest hash of all columns; of a group of NULL ids alone all stay.
+    """
+    groups = simhash_groups(docs, doc_id, text, signed=True)
+    heads = stage(groups.filter("doc_id = component_id").groupBy("label", F.col("doc_id").alias("id")).agg(
+        F.min("sig").alias("of")).select("id", "of"), "heads")
+    nobody = stage(groups.filter("component_id is null").select(F.col("sig").alias("of")).distinct(), "nobody")
+    rows = docs.select(as_row(docs), F.col(doc_id).cast("long").alias("id"), signature(F.col(text)).alias("of"))
+    turn = F.row_number().over(Window.partitionBy("id", "of").orderBy(F.xxhash64("row")))
+    kept = rows.filter("id is not null").join(heads, ["id", "of"], "left_semi").withColumn("turn", turn)
+    unnamed = rows.filter("id is null").join(nobody, "of", "left_semi")
+    return kept.filter("turn = 1").select("row.*").union(unnamed.select("row.*"))
