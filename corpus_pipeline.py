@@ -6,7 +6,7 @@ read again as the next stage's ``docs``. All but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import bpe, common, decontaminate, lines, quality, simhash
@@ -31,21 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of SimHash links: that with the smallest doc_id.
-
-    Rows are told apart by doc_id and a hash of the text, so rows of other groups that repeat
-    the id stay. Of a group's rows with this id those with the smallest hash win, and of copies
-    the one with the smallest hash of all columns; of a group of NULL ids alone all stay.
-    """
-    groups = simhash.simhash_groups(docs, signed=True)
-    heads = common.stage(groups.filter("doc_id = component_id").groupBy("label", F.col("doc_id").alias("_id")).agg(
-        F.min("sig").alias("_sig")).select("_id", "_sig"), "heads")
-    nobody = common.stage(groups.filter("component_id is null").select(F.col("sig").alias("_sig")).distinct(), "nobody")
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_sig", simhash.signature(F.col("text")))
-    turn = F.row_number().over(Window.partitionBy("_id", "_sig").orderBy(F.xxhash64(*docs.columns)))
-    kept = rows.filter("_id is not null").join(heads, ["_id", "_sig"], "left_semi").withColumn("_turn", turn)
-    unnamed = rows.filter("_id is null").join(nobody, "_sig", "left_semi")
-    return kept.filter("_turn = 1").select(*docs.columns).union(unnamed.select(*docs.columns))
+    """One row of each group of SimHash links: that with the smallest doc_id."""
+    return simhash.one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
