@@ -43,6 +43,23 @@ def index_definition(create_sql: Column, key_name: Column) -> Column:
         F.lit(1))
 
 
+def definition_lines(create_sql: Column) -> Column:
+    """``ARRAY<STRUCT<element_kind, element, definition>>`` of all column and key lines; the primary
+    key is named PRIMARY."""
+    key = r"^(?:UNIQUE |FULLTEXT |SPATIAL )?KEY `((?:[^`]|``)+)`"
+
+    def named(line: Column, pattern: str) -> Column:
+        return F.replace(F.regexp_extract(line, pattern, 1), F.lit("``"), F.lit("`"))
+
+    def entry(line: Column) -> Column:
+        kind = F.when(line.startswith("`"), "column").when(
+            line.startswith("PRIMARY KEY") | line.rlike(key), "index")
+        name = F.when(line.startswith("`"), named(line, r"^`((?:[^`]|``)+)`")).when(
+            line.startswith("PRIMARY KEY"), "PRIMARY").otherwise(named(line, key))
+        return F.struct(kind.alias("element_kind"), name.alias("element"), line.alias("definition"))
+    return F.filter(F.transform(_body(create_sql), entry), lambda e: e["element_kind"].isNotNull())
+
+
 _URL = r"^([^:@]*)(?::(.*))?@([^@:/]+):(\d+)/(.*)$"
 
 

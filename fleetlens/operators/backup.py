@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.logtext import as_bigint
@@ -139,18 +141,31 @@ def _typed(*frames: DataFrame) -> list[str]:
 
 
 def policy_sync(policies: DataFrame, installed: DataFrame) -> DataFrame:
-    """What turns the installed jobs into the policies: add, remove or change. Where both
-    sides carry ``backup_type``, a host has one job of each type."""
+    """What turns the installed jobs into the policies: add, remove or change.
+
+    The jobs of a host are a multiset of schedules; where both sides carry ``backup_type``, those of
+    a host and type. Equal schedules cancel out one by one. Of what is left, in order, a policy
+    and a job make a change; policies beyond that are added, jobs beyond that removed.
+    """
     keys = ["backup_port", "backup_ip", *_typed(policies, installed)]
-    wanted = policies.select(*keys, F.col("backup_cron").alias("policy_cron"),
-                             F.lit(True).alias("_wanted"))
-    present = installed.select(*keys, F.col("backup_cron").alias("installed_cron"),
-                               F.lit(True).alias("_present"))
-    action = (F.when(F.col("_present").isNull(), "add")
-              .when(F.col("_wanted").isNull(), "remove")
-              .when(~F.col("policy_cron").eqNullSafe(F.col("installed_cron")), "change"))
-    return (wanted.join(present, keys, "full").withColumn("action", action)
-            .filter("action is not null").drop("_wanted", "_present"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        copy = F.row_number().over(Window.partitionBy(*keys, "backup_cron").orderBy("backup_cron"))
+        return df.select(*keys, F.col("backup_cron").alias(name), copy.alias("_copy"), F.lit(True).alias(f"_{name}"))
+    wanted, present = side(policies, "policy_cron"), side(installed, "installed_cron")
+    same = reduce(lambda x, y: x & y, [F.col(f"w.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]) \
+        & F.col("policy_cron").eqNullSafe(F.col("installed_cron")) & (F.col("w._copy") == F.col("p._copy"))
+
+    def rest(df: DataFrame, other: DataFrame, name: str, left: str, right: str) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(name))
+        return df.alias(left).join(other.alias(right), same, "left_anti").select(
+            *keys, name, f"_{name}", turn.alias("_turn"))
+    lacking = rest(wanted, present, "policy_cron", "w", "p")
+    extra = rest(present, wanted, "installed_cron", "p", "w")
+    action = F.when(F.col("_installed_cron").isNull(), "add").when(
+        F.col("_policy_cron").isNull(), "remove").otherwise("change")
+    return lacking.join(extra, [*keys, "_turn"], "full").select(
+        *keys, "policy_cron", "installed_cron", action.alias("action"))
 
 
 def expired_backups(ledger: DataFrame, policies: DataFrame, as_of: str,

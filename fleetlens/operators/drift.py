@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.ddl import OPTIONS, column_definition, index_definition, \
-    table_options
+from fleetlens.functions.ddl import OPTIONS, definition_lines, table_options
 from fleetlens.functions.values import norm_name, norm_value
 from fleetlens.operators.ordered import bucketed_offset
 
@@ -168,22 +167,29 @@ def schema_diff(tables_a: DataFrame, tables_b: DataFrame, columns_a: DataFrame,
     return reduce(DataFrame.unionByName, found)
 
 
+def definition_index(tables: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(table_name, element_kind, element, definition): one row per column and key that a create
+    statement defines; each statement is cut once."""
+    return tables.select(*scope, "table_name", F.inline(definition_lines(F.col("create_sql"))))
+
+
 def with_definitions(diff: DataFrame, tables_a: DataFrame, tables_b: DataFrame,
                      scope: Sequence[str] = ()) -> DataFrame:
-    """Add the defining lines of both create statements to column and index findings."""
-    keys = [*scope, "table_name"]
-    element = F.substring_index(F.col("name"), ".", 1)
-
-    def line(sql: Column) -> Column:
-        return (F.when(F.col("kind").isin("column", "missing_column"),
-                       column_definition(sql, element))
-                .when(F.col("kind").isin("index", "missing_index"),
-                      index_definition(sql, element)))
-    sides = [t.select(*keys, F.col("create_sql").alias(f"_sql_{s}"))
-             for t, s in ((tables_a, "a"), (tables_b, "b"))]
-    return (diff.join(sides[0], keys, "left").join(sides[1], keys, "left")
-            .withColumn("definition_a", line(F.col("_sql_a")))
-            .withColumn("definition_b", line(F.col("_sql_b"))).drop("_sql_a", "_sql_b"))
+    """Add the defining lines of both create statements to column and index findings.
+
+    A finding's element is its whole name if it is missing, else the name without the attribute
+    behind its last dot (attributes have none); elements meet the definition index by kind and name.
+    """
+    keys = [*scope, "table_name", "element_kind", "element"]
+    missing = F.col("kind").startswith("missing_")
+    kind = F.when(F.col("kind").isin("column", "missing_column"), "column").when(
+        F.col("kind").isin("index", "missing_index"), "index")
+    element = F.when(missing, F.col("name")).otherwise(F.regexp_replace("name", r"\.[^.]*$", ""))
+    told = diff.withColumn("element_kind", kind).withColumn("element", element)
+    for tables, side in ((tables_a, "a"), (tables_b, "b")):
+        told = told.join(definition_index(tables, scope).withColumnRenamed("definition", f"definition_{side}"),
+                         keys, "left")
+    return told.select(*diff.columns, "definition_a", "definition_b")
 
 
 def config_drift(file_vars: DataFrame, live: DataFrame, dynamic: DataFrame,

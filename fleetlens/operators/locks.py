@@ -103,6 +103,41 @@ def normalize_locks(df: DataFrame, layout: str) -> DataFrame:
     return _relayout(df, LOCK_LAYOUTS[layout])
 
 
+# Columns of open transactions, the same in both generations.
+_TRX_COLUMNS = {"trx_id": "trx_id", "trx_state": "trx_state", "trx_started": "trx_started",
+                "trx_wait_started": "trx_wait_started", "trx_requested_lock_id": "requested_lock_id",
+                "trx_mysql_thread_id": "thread_id", "trx_query": "trx_query", "trx_tables_in_use": "tables_in_use",
+                "trx_tables_locked": "tables_locked", "trx_isolation_level": "isolation_level",
+                "trx_rows_modified": "rows_modified"}
+TRX_LAYOUTS = {"5.x": _TRX_COLUMNS, "8.x": _TRX_COLUMNS}
+
+
+def dispatch_layouts(df: DataFrame, facts: DataFrame, layouts: dict[str, dict[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(rows, findings) of a capture of many servers in one table, which has the columns of all
+    generations: each row is read by the layout of its own instance's version.
+
+    ``facts`` is pivoted. Rows of an instance whose version no layout fits, or that no fact
+    names, cannot be read: they are counted per moment as findings ``unsupported_version``.
+    Columns that a capture lacks are NULL.
+    """
+    known = df.join(facts.select("instance", "version_family"), "instance", "left")
+    family = F.col("version_family")
+    names = list(dict.fromkeys(new for layout in layouts.values() for new in layout.values()))
+
+    def value(name: str) -> Column:
+        found = F.lit(None)
+        for version, layout in layouts.items():
+            for old, new in layout.items():
+                if new == name and old in df.columns:
+                    found = F.when(family == version, F.col(old)).otherwise(found)
+        return found.alias(name)
+    readable = F.coalesce(family.isin(*layouts), F.lit(False))
+    rows = known.filter(readable).select(*moment_keys(df), *[value(n) for n in names])
+    findings = known.filter(~readable).groupBy(*moment_keys(df)).agg(F.count("*").alias("n_rows")).withColumn(
+        "finding", F.lit("unsupported_version"))
+    return rows, findings
+
+
 def lock_waits(waits: DataFrame, trx: DataFrame, locks: DataFrame, pl: DataFrame,
                as_of: str) -> DataFrame:
     """Every lock wait with both transactions, their processes and the lock.

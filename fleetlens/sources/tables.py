@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.operators.ordered import moment_keys
 
-# Largest file that is read as one value, the limit of Spark's binary source.
-WHOLE_FILE_BYTES = 2_000_000_000
-
 
 def scan_processlist(df: DataFrame) -> DataFrame:
     return S.conform(df, S.PROCESSLIST)
@@ -72,47 +69,8 @@ def append_ledger(df: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("backup_day").parquet(path)
 
 
-def file_manifest(spark: SparkSession, path: str, chunks: DataFrame | None = None,
-                  whole: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Size, checksum and ``checksum_of`` of each file of any size.
-
-    Sizes come from the listing, without the content. Files of up to ``whole`` bytes have the
-    MD5 of their content ("content"). Larger ones have the MD5 of the checksums of their
-    chunks, in order, if ``chunks`` (file, chunk_no, checksum) names them ("chunks"), else
-    NULL ("too large").
-
-    Spark's scans pass over empty files, and an empty backup is what one looks for, so the
-    listed paths (which the driver holds anyway) that were not read are added.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-    def one_form(path_col: str) -> Column:       # file:/x and file:///x are the same
-        return F.regexp_replace(path_col, "^file:/+", "file:/").alias("file")
-    name = one_form("_metadata.file_path")
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(
-        one_form("path"))
-    size = F.col("length").alias("size_bytes")
-    small = files.filter(F.col("length") <= whole).select(
-        name, size, F.md5("content").alias("checksum"), F.lit("content").alias("checksum_of"))
-    large = files.filter(F.col("length") > whole).select(name, size)
-    if chunks is None:
-        large = large.withColumn("checksum", F.lit(None).cast("string"))
-    else:
-        ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "checksum")))
-        known = chunks.select(one_form("file"), "chunk_no", "checksum").groupBy("file").agg(
-            F.md5(F.array_join(F.transform(ordered, lambda c: c["checksum"]), "")
-                  .cast("binary")).alias("checksum"))
-        large = large.join(known, "file", "left").select("file", "size_bytes", "checksum")
-    large = large.withColumn("checksum_of", F.when(F.col("checksum").isNull(), "too large")
-                             .otherwise("chunks"))
-    empty = listed.join(files.select(name), "file", "left_anti").select(
-        "file", F.lit(0).cast("bigint").alias("size_bytes"),
-        F.md5(F.lit("").cast("binary")).alias("checksum"), F.lit("content").alias("checksum_of"))
-    return small.unionByName(large).unionByName(empty)
-
-
 def content_manifest(df: DataFrame, id_col: str, content: str, *keep: str) -> DataFrame:
-    """The same for contents that are already a column."""
+    """Size and checksum of contents that are already a column."""
     data: Column = F.col(content).cast("binary")
     return df.select(id_col, *keep, F.md5(data).alias("checksum"),
                      F.octet_length(data).cast("bigint").alias("size_bytes"))
@@ -137,7 +95,7 @@ def jdbc_snapshot(spark: SparkSession, url: str, table: str, **how) -> DataFrame
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **how)).load()
 
 
-# Columns of the four tabular reports.
+# Columns of the four tabular reports.
 REPORTS = {
     "processlist": ("id", "user", "host", "db", "command", "time", "state", "info",
                     "rows_sent", "rows_examined"),

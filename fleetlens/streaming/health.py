@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.operators.backup import policy_sync
 from fleetlens.operators.threads import CLASSES, active_threads, classify_threads
+from fleetlens.session import store
+from fleetlens.streaming import versions
 
 
 def stream_health(pl: DataFrame, window: str = "1 day", watermark: str = "1 hour",
@@ -41,13 +43,46 @@ def policy_actions(feed: DataFrame, installed: DataFrame) -> DataFrame:
     return policy_sync(last.filter(~F.coalesce("removed", F.lit(False))), touched)
 
 
-def stream_policy_changes(feed: DataFrame, installed_path: str, out_path: str,
-                          checkpoint: str, **trigger) -> StreamingQuery:
-    """Start the feed: each batch is compared with the installed jobs as they are then, and
-    its actions are stored under the batch id, so a replayed batch replaces itself."""
-    def act(batch: DataFrame, batch_id: int) -> None:
-        installed = batch.sparkSession.read.parquet(installed_path)
-        policy_actions(batch, installed).write.mode("overwrite").parquet(
-            f"{out_path}/batch={batch_id}")
-    writer = feed.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)
+# Tables under the folder of a feed, and their columns.
+INSTALLED, ACTIONS = "installed", "actions"
+_JOB = "backup_port bigint, backup_ip string, backup_cron string"
+_ACTION = "backup_port bigint, backup_ip string, policy_cron string, installed_cron string, action string"
+
+
+def take_policies(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """Compare one piece of the feed with the jobs as the batches before have left them; store its
+    actions, and the jobs as its actions leave them."""
+    spark = batch.sparkSession
+    jobs = store(versions.newest(spark, folder, INSTALLED, _JOB, batch_id), "jobs")
+    actions = store(policy_actions(batch, jobs), "actions")
+    versions.write(actions, folder, ACTIONS, batch_id)
+    keys = ["backup_port", "backup_ip"]
+    gone = actions.filter("installed_cron is not null or action <> 'add'").select(
+        *keys, F.col("installed_cron").alias("backup_cron"))
+    came = actions.filter("action <> 'remove'").select(*keys, F.col("policy_cron").alias("backup_cron"))
+    versions.write(jobs.exceptAll(gone).unionByName(came), folder, INSTALLED, batch_id)
+
+
+def stream_policy_changes(feed: DataFrame, installed: DataFrame, folder: str, checkpoint: str,
+                          **trigger) -> StreamingQuery:
+    """Start the feed over the jobs that are ``installed`` now (kept if the feed has run before).
+
+    The state is the list of jobs, one version per batch. Each batch reads the version before
+    its own and writes its actions and its own version, so later batches see what earlier ones
+    have changed, and a batch that is run again replaces itself. Results:
+    ``read_policy_actions`` and ``read_installed_jobs``.
+    """
+    spark = feed.sparkSession
+    if versions.newest(spark, folder, INSTALLED, _JOB).isEmpty():
+        versions.write(installed.select("backup_port", "backup_ip", "backup_cron"), folder, INSTALLED, -1)
+    writer = feed.writeStream.foreachBatch(
+        lambda batch, batch_id: take_policies(batch, batch_id, folder)).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def read_policy_actions(spark: SparkSession, folder: str) -> DataFrame:
+    return versions.all_versions(spark, folder, ACTIONS, _ACTION)
+
+
+def read_installed_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    return versions.newest(spark, folder, INSTALLED, _JOB)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.operators import logs
 from fleetlens.session import store
+from fleetlens.streaming import versions
 
 # Tables under the folder of a stream.
 TRANSACTIONS, LATE, OPEN, SEEN = "transactions", "late", "open", "seen"
@@ -28,24 +29,6 @@ _TRANSACTIONS = """file string, xid bigint, n_rows bigint, size bigint, secs big
  last_committed bigint, sequence_number bigint, is_complete boolean, is_implicit boolean"""
 
 
-def _table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """A table with its versions as ``batch``; empty before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], f"{schema}, batch bigint")
-    return spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/{name}")
-
-
-def _version_before(spark: SparkSession, folder: str, name: str, schema: str, batch_id: int) -> DataFrame:
-    versions = _table(spark, folder, name, schema).filter(F.col("batch") < batch_id)
-    newest = versions.agg(F.max("batch")).first()[0]
-    return versions.filter(F.col("batch") == F.lit(newest)).drop("batch")
-
-
-def _write(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
-
-
 def _line_runs(lines: DataFrame, chunk_lines: int) -> DataFrame:
     """(file, first, last) of unbroken line numbers, cut at chunks; only numbers are shuffled."""
     order = Window.partitionBy("file", "chunk").orderBy("line_no")
@@ -83,20 +66,20 @@ def assemble_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "st
     spark = batch.sparkSession
     lines = batch.select("file", F.col("line_no").cast("bigint").alias("line_no"), "line").persist()
     try:
-        seen = store(_version_before(spark, folder, SEEN, _SEEN, batch_id), "seen")
-        waiting = _version_before(spark, folder, OPEN, _OPEN, batch_id)
+        seen = store(versions.newest(spark, folder, SEEN, _SEEN, batch_id), "seen")
+        waiting = versions.newest(spark, folder, OPEN, _OPEN, batch_id)
         placed, behind = _behind(lines, seen)
         old = placed.filter(behind).select("file", "line_no", "line").alias("l")
         sent = (F.col("l.file") == F.col("s.file")) & F.col("l.line_no").between(F.col("s.first"), F.col("s.last"))
         late = old.join(seen.alias("s"), sent, "left_anti").dropDuplicates(["file", "line_no"])
-        _write(late, folder, LATE, batch_id)
+        versions.write(late, folder, LATE, batch_id)
         marks, behind = _behind(logs.log_marks(lines, mode), seen)
         fresh = marks.filter(~behind).drop("reached").dropDuplicates(["file", "line_no"])
         found = store(logs.segments(logs.continued_cells(logs.cells(fresh, chunk_lines), waiting)), "segments")
-        _write(logs.closed_segments(found), folder, TRANSACTIONS, batch_id)
+        versions.write(logs.closed_segments(found), folder, TRANSACTIONS, batch_id)
         still = found.filter("end_line is null").drop("commit_ord")
-        _write(still, folder, OPEN, batch_id)
-        _write(_merged_runs(seen.unionByName(_line_runs(lines, chunk_lines))), folder, SEEN, batch_id)
+        versions.write(still, folder, OPEN, batch_id)
+        versions.write(_merged_runs(seen.unionByName(_line_runs(lines, chunk_lines))), folder, SEEN, batch_id)
     finally:
         lines.unpersist()
 
@@ -117,8 +100,8 @@ def stream_transactions(lines: DataFrame, folder: str, checkpoint: str, mode: st
 
 
 def read_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, TRANSACTIONS, _TRANSACTIONS).drop("batch")
+    return versions.all_versions(spark, folder, TRANSACTIONS, _TRANSACTIONS).drop("batch")
 
 
 def read_late_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, LATE, _LATE).drop("batch")
+    return versions.all_versions(spark, folder, LATE, _LATE).drop("batch")

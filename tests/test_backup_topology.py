@@ -12,7 +12,9 @@ from fleetlens.operators.ranges import time_range
 from fleetlens.schemas import LEDGER
 from fleetlens.session import ensure_checkpoint_dir
 from fleetlens.sources import tables as src
-from fleetlens.streaming.health import stream_policy_changes
+from fleetlens.sources.files import file_manifest
+from fleetlens.streaming import versions
+from fleetlens.streaming.health import read_installed_jobs, read_policy_actions, stream_policy_changes, take_policies
 
 BOTH = "Slave_IO_Running: Yes\nSlave_SQL_Running: Yes"
 
@@ -154,7 +156,7 @@ def test_manifest_of_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "b").write_bytes(b"")
     got = {os.path.basename(r["file"]): (r["size_bytes"], r["checksum"])
-           for r in src.file_manifest(spark, str(tmp_path)).collect()}
+           for r in file_manifest(spark, str(tmp_path)).collect()}
     assert got == {"a": (5, hashlib.md5(b"hello").hexdigest()),
                    "b": (0, hashlib.md5(b"").hexdigest())}
 
@@ -195,15 +197,34 @@ def test_two_policies_of_a_host(spark):
     assert backup.policy_sync(policy, policy).count() == 0
 
 
-def test_manifest_of_large_files(spark, tmp_path):
-    (tmp_path / "big").write_bytes(b"x" * 100)
-    (tmp_path / "small").write_bytes(b"y")
-    chunks = spark.createDataFrame([(f"file:{tmp_path}/big", 2, "b"), (f"file:{tmp_path}/big", 1, "a")],
-                                   "file string, chunk_no int, checksum string")
-    plain = src.file_manifest(spark, str(tmp_path), whole=10)
-    assert rows(plain, "size_bytes", "checksum_of") == [(1, "content"), (100, "too large")]
-    named = src.file_manifest(spark, str(tmp_path), chunks, whole=10).filter("size_bytes = 100")
-    assert rows(named, "checksum", "checksum_of") == [(hashlib.md5(b"ab").hexdigest(), "chunks")]
+def test_manifest_lists_folders_and_hashes_ranges(spark, tmp_path):
+    contents = {"top": b"y", "empty": b"", "a/b/c/deep": b"z" * 25, "a/b/x y+%20.bak": bytes(range(256)) * 4,
+                "a/exact": b"e" * 10, "b/edge": b"e" * 11}
+    for name, data in contents.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    (tmp_path / "in" / "nothing" / "here").mkdir(parents=True)
+
+    def plain(data):
+        sums = [hashlib.md5(data[i:i + 10]).hexdigest() for i in range(0, len(data), 10)]
+        return (hashlib.md5(data).hexdigest(), "content") if len(data) <= 10 else (
+            hashlib.md5("".join(sums).encode()).hexdigest(), "ranges")
+    for address in (str(tmp_path / "in"), f"file://{tmp_path}/in"):
+        found = file_manifest(spark, address, range_bytes=10).collect()
+        assert {r.file.split("/in/")[1]: (r.size_bytes, r.checksum, r.checksum_of) for r in found} == {
+            n: (len(d), *plain(d)) for n, d in contents.items()}
+        assert all(r.file.startswith(address) for r in found)
+
+
+def test_policy_sync_of_many_jobs(spark):
+    """Without types a host's jobs are a multiset."""
+    schema = "backup_port long, backup_ip string, backup_cron string"
+    wanted = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "a", "x"), (2, "a", "x"), (3, "a", "n"), (5, "a", None)], schema)
+    present = spark.createDataFrame([(1, "a", "y"), (1, "a", "x"), (2, "a", "x"), (2, "a", "z"), (2, "a", "q"), (4, "a", "o"),
+                                     (5, "a", None)], schema)
+    assert rows(backup.policy_sync(wanted, present), "backup_port", "policy_cron", "installed_cron", "action") == [
+        (2, None, "z", "remove"), (2, "x", "q", "change"), (3, "n", None, "add"), (4, None, "o", "remove")]
+    assert backup.policy_sync(wanted.withColumn("backup_type", F.lit("full")), wanted).count() == 0
 
 
 def test_contracts_keep_the_moment(spark):
@@ -231,18 +252,30 @@ def test_checkpoint_dir_is_the_sessions(spark):
         spark.conf.get("spark.checkpoint.dir") in ensure_checkpoint_dir(spark)
 
 
+JOBS = "backup_port bigint, backup_ip string, backup_cron string"
+EVENT = "seq bigint, backup_port bigint, backup_ip string, backup_cron string, removed boolean"
+
+
 def test_policy_feed(spark, tmp_path):
-    installed = spark.createDataFrame([(1, "a", "daily"), (2, "a", "daily"), (3, "a", "x")],
-                                      "backup_port bigint, backup_ip string, backup_cron string")
-    installed.write.parquet(str(tmp_path / "installed"))
-    schema = ("seq bigint, backup_port bigint, backup_ip string, backup_cron string, "
-              "removed boolean")
+    installed = spark.createDataFrame([(1, "a", "daily"), (2, "a", "daily"), (3, "a", "x")], JOBS)
     events = [(1, 1, "a", "weekly", False), (2, 1, "a", "daily", False),
               (3, 2, "a", "hourly", False), (4, 3, "a", None, True),
               (5, 4, "a", "daily", False), (6, 9, "a", None, True)]
-    spark.createDataFrame(events, schema).write.parquet(str(tmp_path / "feed"))
-    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))
-    stream_policy_changes(feed, str(tmp_path / "installed"), str(tmp_path / "out"),
-                          str(tmp_path / "progress"), availableNow=True).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "backup_port", "action") == [
-        (2, "change"), (3, "remove"), (4, "add")]
+    spark.createDataFrame(events, EVENT).write.parquet(str(tmp_path / "feed"))
+    feed = spark.readStream.schema(EVENT).parquet(str(tmp_path / "feed"))
+    out = str(tmp_path / "out")
+    stream_policy_changes(feed, installed, out, str(tmp_path / "progress"), availableNow=True).awaitTermination()
+    assert rows(read_policy_actions(spark, out), "backup_port", "action") == [(2, "change"), (3, "remove"), (4, "add")]
+    assert rows(read_installed_jobs(spark, out)) == [(1, "a", "daily"), (2, "a", "hourly"), (4, "a", "daily")]
+
+
+def test_policy_batches_see_what_earlier_ones_changed(spark, tmp_path):
+    out = str(tmp_path / "out")
+    versions.write(spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (2, "a", "x")], JOBS), out, "installed", -1)
+    first = spark.createDataFrame([(1, 1, "a", "y", False), (2, 3, "a", "z", False)], EVENT)
+    second = spark.createDataFrame([(3, 1, "a", "y", False), (4, 3, "a", None, True), (5, 2, "a", "x", False)], EVENT)
+    for batch, part in ((0, first), (0, first), (1, second), (1, second), (0, first)):
+        take_policies(part, batch, out)
+    assert rows(read_policy_actions(spark, out), "batch", "backup_port", "policy_cron", "installed_cron", "action") == [
+        (0, 1, "y", "x", "change"), (0, 3, "z", None, "add"), (1, 2, None, "x", "remove"), (1, 3, None, "z", "remove")]
+    assert rows(read_installed_jobs(spark, out)) == [(1, "a", "y"), (2, "a", "x")]

@@ -114,6 +114,20 @@ def test_definitions(spark):
     assert got["missing_index", "lost"] is None
 
 
+def test_definitions_of_names_with_dots(spark):
+    sql = "CREATE TABLE `t` (\n  `a.b` int,\n  `a` text,\n  `c``d` int,\n  KEY `k.1` (`a.b`),\n  PRIMARY KEY (`a`)\n) ENGINE=x"
+    tables = spark.createDataFrame([("t", sql)], "table_name string, create_sql string")
+    assert rows(drift.definition_index(tables), "element_kind", "element", "definition") == [
+        ("column", "a", "`a` text"), ("column", "a.b", "`a.b` int"), ("column", "c`d", "`c``d` int"),
+        ("index", "PRIMARY", "PRIMARY KEY (`a`)"), ("index", "k.1", "KEY `k.1` (`a.b`)")]
+    found = spark.createDataFrame([("column", "t", "a.b.type"), ("missing_column", "t", "a.b"), ("index", "t", "k.1.columns"),
+                                   ("option", "t", "engine"), ("missing_column", "u", "a")], "kind string, table_name string, name string")
+    got = {(r.kind, r.table_name): (r.definition_a, r.definition_b) for r in drift.with_definitions(
+        found, tables, tables.filter("false")).collect()}
+    assert got == {("column", "t"): ("`a.b` int", None), ("missing_column", "t"): ("`a.b` int", None),
+                   ("index", "t"): ("KEY `k.1` (`a.b`)", None), ("option", "t"): (None, None), ("missing_column", "u"): (None, None)}
+
+
 def test_ddl_functions(spark):
     df = spark.createDataFrame([(SQL_A,)], "s string")
     options = df.select(ddl.table_options(F.col("s")).alias("o")).collect()[0]["o"]

@@ -230,6 +230,20 @@ def test_rules_can_be_replaced(spark):
                              (2, "dml_may_block", None, False, False)]
 
 
+def test_layouts_of_a_mixed_fleet(spark):
+    waits = spark.createDataFrame([(1, "r", "b", "l", None, None, None), (2, None, None, None, "r8", "b8", "l8"),
+                                   (3, "x", "y", "z", "x", "y", "z"), (4, "x", "y", "z", None, None, None)],
+                                  "instance long, requesting_trx_id string, blocking_trx_id string, requested_lock_id string, "
+                                  "requesting_engine_transaction_id string, blocking_engine_transaction_id string, "
+                                  "requesting_engine_lock_id string")
+    known = spark.createDataFrame([(1, "5.x"), (2, "8.x"), (3, None)], "instance long, version_family string")
+    read, unread = locks.dispatch_layouts(waits, known, locks.WAIT_LAYOUTS)
+    assert rows(read, "instance", "requesting", "blocking", "lock_id") == [(1, "r", "b", "l"), (2, "r8", "b8", "l8")]
+    assert rows(unread, "instance", "n_rows", "finding") == [(3, 1, "unsupported_version"), (4, 1, "unsupported_version")]
+    trx = spark.createDataFrame([(1, 7), (3, 8)], "instance long, trx_mysql_thread_id long")
+    assert rows(locks.dispatch_layouts(trx, known, locks.TRX_LAYOUTS)[0], "instance", "thread_id", "trx_id") == [(1, 7, None)]
+
+
 def test_opening_tables(spark):
     many = [(i, "Opening tables", "select 1") for i in range(11)]
     assert {f[1] for f in findings(diagnose(spark, plist(spark, many)))} == {

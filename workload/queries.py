@@ -16,11 +16,12 @@ from fleetlens.operators import (backup, diagnosis, drift, locks, logs, ranges,
 from fleetlens.plans import pipelines
 from fleetlens.session import ensure_checkpoint_dir, shared_folder, store
 from fleetlens.sources import tables as src
+from fleetlens.sources.files import file_manifest
 from fleetlens.sources.text import LandedLog, parse_config_lines, read_numbered_lines
-from fleetlens.streaming.health import stream_health
+from fleetlens.streaming.health import read_installed_jobs, read_policy_actions, stream_health, stream_policy_changes
 from fleetlens.streaming.transactions import read_transactions, stream_transactions
 from workload.oracle_views import AS_OF
-from workload.views import folder_name, landed, landed_log, table, text_files, view, with_views
+from workload.views import content_files, folder_name, landed, landed_log, table, text_files, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,28 +354,50 @@ def q_report_lock_waits(spark, sf_dir):
     return src.report(Inputs(spark, sf_dir).lock_report, "lock_waits")
 
 
+def _mixed(df: DataFrame, layouts: dict[str, dict[str, str]]) -> DataFrame:
+    """A capture of the whole fleet: the columns of both generations, filled by the instance's own;
+    instance 0 speaks the older layout, 1 the newer, 2 is of a version that nobody knows."""
+    columns = {}
+    for instance, version in ((0, "5.x"), (1, "8.x")):
+        for old, new in layouts[version].items():
+            here = F.when(F.col("instance") == instance, F.col(new)) if new in df.columns else F.lit(None).cast("string")
+            columns[old] = F.coalesce(columns[old], here) if old in columns else here
+    return df.select("instance", "snapshot_ts", *[c.alias(n) for n, c in columns.items()])
+
+
+def _fleet_versions(spark: SparkSession) -> DataFrame:
+    return spark.sql("""select instance, version, case when version like '5.%' then '5.x' when version like '8.%' then '8.x' end
+ as version_family from values (0L, '5.7.31'), (1L, '8.0.22'), (2L, '10.4.1') v(instance, version)""")
+
+
 @query("""select w.instance, w.snapshot_ts, w.requesting, w.blocking, w.lock_id,
  l.lock_mode, l.lock_table, l.lock_index
-from {m4_waits} w join {m5_locks} l on l.lock_id = w.lock_id""")
+from {m4_waits} w join {m5_locks} l on l.lock_id = w.lock_id where w.instance <> 2""")
 def q_normalize_lock_waits(spark, sf_dir):
-    """Instance 0 speaks the older layout, the others the newer; both become one."""
-    i = Inputs(spark, sf_dir)
-    old, new = F.col("instance") == 0, F.col("instance") != 0
-
-    def spoken(df: DataFrame, layout: dict[str, str]) -> DataFrame:
-        return df.select("instance", "snapshot_ts",
-                         *[F.col(b).alias(a) for a, b in layout.items()])
-
-    def both(df: DataFrame, layouts, normalize) -> DataFrame:
-        return normalize(spoken(df.filter(old), layouts["5.x"]), "5.x").unionByName(
-            normalize(spoken(df.filter(new), layouts["8.x"]), "8.x"))
-    waits = both(i.m4_waits, locks.WAIT_LAYOUTS, locks.normalize_lock_waits)
-    held = both(i.m5_locks, locks.LOCK_LAYOUTS, locks.normalize_locks)
+    i, facts = Inputs(spark, sf_dir), _fleet_versions(spark)
+    waits, _ = locks.dispatch_layouts(_mixed(i.m4_waits, locks.WAIT_LAYOUTS), facts, locks.WAIT_LAYOUTS)
+    held, _ = locks.dispatch_layouts(_mixed(i.m5_locks, locks.LOCK_LAYOUTS), facts, locks.LOCK_LAYOUTS)
     return waits.join(held, ["instance", "snapshot_ts", "lock_id"]).select(
         "instance", "snapshot_ts", "requesting", "blocking", "lock_id", "lock_mode",
         "lock_table", "lock_index")
 
 
+@query("""select instance, snapshot_ts, count(*) as n_rows, 'unsupported_version' as finding
+from {m4_waits} where instance = 2 group by instance, snapshot_ts""")
+def q_unreadable_lock_waits(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return locks.dispatch_layouts(_mixed(i.m4_waits, locks.WAIT_LAYOUTS), _fleet_versions(spark), locks.WAIT_LAYOUTS)[1]
+
+
+@query("""select instance, snapshot_ts, trx_id, trx_state, trx_started, requested_lock_id, thread_id, trx_query,
+ rows_modified from {m2_trx} where instance <> 2""")
+def q_normalize_transactions(spark, sf_dir):
+    trx, _ = locks.dispatch_layouts(_mixed(Inputs(spark, sf_dir).m2_trx, locks.TRX_LAYOUTS), _fleet_versions(spark),
+                                    locks.TRX_LAYOUTS)
+    return trx.select("instance", "snapshot_ts", "trx_id", "trx_state", "trx_started", "requested_lock_id", "thread_id",
+                      "trx_query", "rows_modified")
+
+
 @query("""select h.*, n as n_waiters from (select h.*, (select count(*) from {o_waiters} w
    where w.instance = h.instance and w.snapshot_ts = h.snapshot_ts
     and w.table_name = h.table_name and w.id <> h.thread_id) as n
@@ -555,6 +578,52 @@ def q_render_schema_diff(spark, sf_dir):
     return drift.render_schema_diff(_schema_diff(spark, sf_dir))
 
 
+# A catalog with create statements: names with dots, a column and a key that differ, a column of one side.
+_DEFINED = {
+    "statements": """select 't' || cast(s_suppkey as varchar(9)) as table_name, 'CREATE TABLE `t` (' || chr(10)
+ || '  `id` bigint NOT NULL,' || chr(10) || '  `a.b` ' || {type} || ' DEFAULT NULL,' || chr(10)
+ || case when {lone} then '  `only.a` text,' || chr(10) else '' end || '  PRIMARY KEY (`id`),' || chr(10)
+ || '  UNIQUE KEY `k.1` (`' || {keyed} || '`)' || chr(10) || ') ENGINE=InnoDB' as create_sql from {{supplier}}""",
+    "columns": """select 't' || cast(s_suppkey as varchar(9)) as table_name, column_name, "type", '' as nullable,
+ '' as column_key, '' as default_value, '' as extra from (
+ select s_suppkey, 'id' as column_name, 'bigint' as "type" from {{supplier}}
+ union all select s_suppkey, 'a.b', {type} from {{supplier}}
+ union all select s_suppkey, 'only.a', 'text' from {{supplier}} where {lone}) c""",
+    "indexes": """select 't' || cast(s_suppkey as varchar(9)) as table_name, key_name, cast(1 as bigint) as seq_in_index,
+ column_name, '' as nullable from (select s_suppkey, 'PRIMARY' as key_name, 'id' as column_name from {{supplier}}
+ union all select s_suppkey, 'k.1', {keyed} from {{supplier}}) k""",
+}
+_SIDES = ({"type": "'int'", "lone": "s_suppkey % 4 = 0", "keyed": "'a.b'"},
+          {"type": "case when s_suppkey % 3 = 0 then 'bigint' else 'int' end", "lone": "1 = 0",
+           "keyed": "case when s_suppkey % 5 = 0 then 'id' else 'a.b' end"})
+
+
+@query("""select 'column' as kind, 't' || s_suppkey as table_name, 'a.b.type' as name, 'int' as side_a, 'bigint' as side_b,
+ '`a.b` int DEFAULT NULL' as definition_a, '`a.b` bigint DEFAULT NULL' as definition_b from supplier where s_suppkey % 3 = 0
+union all select 'missing_column', 't' || s_suppkey, 'only.a', 'text', null, '`only.a` text', null
+ from supplier where s_suppkey % 4 = 0
+union all select 'index', 't' || s_suppkey, 'k.1.columns', 'a.b', 'id', 'UNIQUE KEY `k.1` (`a.b`)', 'UNIQUE KEY `k.1` (`id`)'
+ from supplier where s_suppkey % 5 = 0""")
+def q_schema_diff_definitions(spark, sf_dir):
+    supplier = table(spark, sf_dir, "supplier")
+
+    def part(side: dict[str, str], name: str) -> DataFrame:
+        return spark.sql(_DEFINED[name].format(**side).replace('"', "`"), supplier=supplier)
+    a, b = ({name: part(side, name) for name in _DEFINED} for side in _SIDES)
+    found = drift.schema_diff(a["statements"], b["statements"], a["columns"], b["columns"], a["indexes"], b["indexes"])
+    return drift.with_definitions(found, a["statements"], b["statements"])
+
+
+@query("""select 't' || s_suppkey as table_name, k.element_kind, k.element, k.definition from supplier,
+ (values (0, 'column', 'id', '`id` bigint NOT NULL'), (1, 'column', 'a.b', '`a.b` int DEFAULT NULL'),
+  (2, 'column', 'only.a', '`only.a` text'), (3, 'index', 'PRIMARY', 'PRIMARY KEY (`id`)'),
+  (4, 'index', 'k.1', 'UNIQUE KEY `k.1` (`a.b`)')) k(no, element_kind, element, definition)
+where k.no <> 2 or s_suppkey % 4 = 0""")
+def q_definition_index(spark, sf_dir):
+    stated = spark.sql(_DEFINED["statements"].format(**_SIDES[0]), supplier=table(spark, sf_dir, "supplier"))
+    return drift.definition_index(stated)
+
+
 # --- configuration ---------------------------------------------------------------------
 
 @query("""select file, line_no, replace(trim(split_part(line, '=', 1)), '-', '_') as name,
@@ -738,11 +807,27 @@ def q_last_checkpoint_lsn(spark, sf_dir):
 
 @query("""select doc_id, source, md5(text) as checksum, cast(strlen(text) as bigint)
  as size_bytes from documents""")
-def q_file_manifest(spark, sf_dir):
+def q_content_manifest(spark, sf_dir):
     return src.content_manifest(table(spark, sf_dir, "documents"), "doc_id", "text",
                                 "source")
 
 
+@query("""select source || '/' || (doc_id % 7) || '/' || doc_id || '.bak' as file, strlen(content) as size_bytes,
+ case when strlen(content) <= 4096 then md5(content) else md5(array_to_string(list_transform(
+   range(0, strlen(content), 4096), lambda i: md5(substr(content, i + 1, 4096))), '')) end as checksum,
+ case when strlen(content) <= 4096 then 'content' else 'ranges' end as checksum_of
+from (select doc_id, source, case when doc_id % 11 = 0 then '' else hex(coalesce(text, '')) end as content
+      from documents where source is not null) q""")
+def q_file_manifest(spark, sf_dir):
+    """A backup file per document in folders of folders, empty ones and ones of many ranges too."""
+    rows = table(spark, sf_dir, "documents").filter("source is not null").selectExpr(
+        "concat(source, '/', doc_id % 7, '/', doc_id, '.bak') as path",
+        "case when doc_id % 11 = 0 then '' else hex(coalesce(text, '')) end as content")
+    folder = content_files(spark, sf_dir, "backup_files", rows)
+    return file_manifest(spark, folder, range_bytes=4096).withColumn(
+        "file", F.regexp_extract("file", "backup_files/(.*)$", 1))
+
+
 # --- topology --------------------------------------------------------------------------
 
 @query("""with recursive t as (
@@ -824,6 +909,51 @@ def q_stream_health(spark, sf_dir):
     return _drain(spark, stream_health(_follow(spark, sf_dir, "m1_processlist")), "health")
 
 
+_EVENTS = """select 1 as seq, c_custkey as backup_port, 'h' || cast(c_nationkey as varchar(9)) as backup_ip,
+ 'c' || cast(c_custkey % 7 as varchar(9)) as backup_cron, false as removed from {customer}
+union all select 2, c_custkey, 'h' || cast(c_nationkey as varchar(9)), null, true from {customer} where c_custkey % 3 = 0
+union all select 3, c_custkey, 'h' || cast(c_nationkey as varchar(9)), 'd' || cast(c_custkey % 5 as varchar(9)), false
+ from {customer} where c_custkey % 3 < 2"""
+_STATES_AFTER = """select c_custkey as backup_port, 'h' || c_nationkey as backup_ip,
+ case when c_custkey % 2 = 0 then 'c' || (c_custkey % 3) end as s0, 'c' || (c_custkey % 7) as s1,
+ case when c_custkey % 3 <> 0 then 'c' || (c_custkey % 7) end as s2,
+ case when c_custkey % 3 < 2 then 'd' || (c_custkey % 5) else 'c' || (c_custkey % 7) end as s3 from customer"""
+
+
+def _policy_feed(spark: SparkSession, sf_dir: str) -> str:
+    """The feed of three batches run over the jobs of every second host; folder of the results."""
+    base = shared_folder(spark, "policy-feed")
+    events = spark.sql(_EVENTS, customer=table(spark, sf_dir, "customer"))
+    installed = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").selectExpr(
+        "c_custkey as backup_port", "concat('h', c_nationkey) as backup_ip", "concat('c', c_custkey % 3) as backup_cron")
+    for seq in (1, 2, 3):
+        events.filter(F.col("seq") == seq).write.mode("append").parquet(f"{base}/feed")
+        feed = spark.readStream.schema(events.schema).parquet(f"{base}/feed")
+        stream_policy_changes(feed, installed, f"{base}/out", f"{base}/progress", availableNow=True).awaitTermination()
+    return f"{base}/out"
+
+
+@query(" union all ".join(f"""select cast({k - 1} as bigint) as batch, backup_port, backup_ip, s{k} as policy_cron,
+ s{k - 1} as installed_cron, case when s{k - 1} is null then 'add' when s{k} is null then 'remove' else 'change' end as action
+from ({_STATES_AFTER}) t where s{k} is distinct from s{k - 1}""" for k in (1, 2, 3)))
+def q_stream_policy_changes(spark, sf_dir):
+    return read_policy_actions(spark, _policy_feed(spark, sf_dir))
+
+
+@query(f"""select backup_port, backup_ip, s3 as backup_cron from ({_STATES_AFTER}) t where s3 is not null""")
+def q_stream_policy_jobs(spark, sf_dir):
+    return read_installed_jobs(spark, _policy_feed(spark, sf_dir))
+
+
+@query("""select 'hdfs' as storage_type, '/backup/' || s_nationkey as storage_dir, null as storage_param,
+ 'h' || s_suppkey as storage_ip, s_name as storage_zone from supplier""")
+def q_scan_storage(spark, sf_dir):
+    named = table(spark, sf_dir, "supplier").selectExpr(
+        "s_name as STORAGE_ZONE", "concat('h', s_suppkey) as storage_ip", "concat('/backup/', s_nationkey) as storage_dir",
+        "'hdfs' as storage_type", "cast(null as string) as storage_param", "s_acctbal as extra")
+    return src.scan_storage(named)
+
+
 # --- contracts and reports -------------------------------------------------------------
 
 def _report(name: str, source: str, columns: str) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.ordered import bucketed_offset, exclusive_prefix
 from fleetlens.session import ensure_checkpoint_dir
+from fleetlens.sources.files import open_store
 from fleetlens.sources.text import LandedLog, land_log
 from workload.oracle_views import ORACLE
 
@@ -374,6 +375,25 @@ def folder_name(path):
     return F.regexp_extract(path, "/[a-z]+=([^/]+)/[^/]*$", 1)
 
 
+def _files_of(folder: str):
+    def write(batches):
+        system, root = open_store(folder)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = f"{root}/{path}"
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(name) as file:
+                    file.write(content or b"")
+            yield batch.select([0])
+    return write
+
+
+def content_files(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame) -> str:
+    """Folder of files, one per row of ``rows`` (path, content), written in tasks."""
+    return _written(spark, sf_dir, name, lambda folder: rows.select("path", F.col("content").cast("binary")).mapInArrow(
+        _files_of(folder), "path string").write.format("noop").mode("overwrite").save())
+
+
 def landed_log(spark: SparkSession, sf_dir: str) -> LandedLog:
     """The decoded log, as text files that are then landed as in production."""
     texts = text_files(spark, sf_dir, "m7_text", view(spark, sf_dir, "m7_lines"), "file", "line_no")
