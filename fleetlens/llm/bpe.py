@@ -152,6 +152,18 @@ def _word_ids(answers: pa.Table, buckets: np.ndarray) -> list[bytes]:
     return table
 
 
+def _spelled(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The texts that runs of ids spell: ids meet the table of pieces by number, and what they
+    spell lies one behind the other."""
+    if not len(ids):
+        return [""] * (len(ends) - 1)
+    joined = pieces.take(pa.array(ids))
+    _, offsets, content = joined.buffers()
+    starts = np.frombuffer(offsets, np.int32)[joined.offset:joined.offset + len(joined) + 1][ends].tolist()
+    raw = memoryview(content)
+    return [str(raw[a:b], "utf-8", "replace") for a, b in zip(starts, starts[1:])]
+
+
 def _assembler(tokenizer: Broadcast, decoded: bool) -> Callable:
     def assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
         seals = {*docs.column("seal").to_pylist(), *answers.column("seal").to_pylist()}
@@ -161,19 +173,16 @@ def _assembler(tokenizer: Broadcast, decoded: bool) -> Callable:
         table = zlib.decompress(docs.column("numbers")[is_doc.index(False)].as_py())
         word_ids = _word_ids(answers, np.frombuffer(table, np.uint16))
         rows = docs.filter(docs.column("is_doc"))
-        pieces = vocab.byte_pieces(tokenizer.value) if decoded else []
-        spelled = [b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
-                   for ids in word_ids] if decoded else []
-        out_ids, texts = [], []
+        out_ids = []
         for n, packed in zip(rows.column("n").to_pylist(), rows.column("numbers")):
             own = _unpack(packed.as_py(), n).tolist() if n else []
             out_ids.append(np.frombuffer(b"".join(map(word_ids.__getitem__, own)), "<u4"))
-            texts.append(b"".join(map(spelled.__getitem__, own)).decode("utf-8", "replace")
-                         if decoded else None)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out_ids]))).astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in out_ids]))).astype(np.int32)
         flat = np.concatenate(out_ids).astype(np.int32) if out_ids else np.array([], np.int32)
+        texts = (_spelled(pa.array(vocab.byte_pieces(tokenizer.value), pa.binary()), flat, ends) if decoded
+                 else [None] * len(out_ids))
         return pa.table([rows.column("doc_id").combine_chunks(),
-                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                          pa.array(texts, pa.string())], schema=_OUT)
     return assemble
 
@@ -189,7 +198,8 @@ def encode(docs: DataFrame, tokenizer: str = vocab.BYTE_BPE, decoded: bool = Fal
     Each task numbers the distinct words (with the white space before them) of a block of
     its rows, and sends them to their hash buckets, packed. In a bucket all blocks' words meet,
     each distinct word of the corpus is encoded once, and its ids go back to every block that
-    asked; documents, as packed word numbers, take them by position. A frequent word is in one
+    asked; documents, as packed word numbers, take them by position. Decoding starts from these
+    ids, which meet the table of pieces by number. A frequent word is in one
     row a block, so none is hot, and no table of words is sent to all executors. The documents
     are read twice, and both reads must give the same rows in the same order, as files do; a
     seal over each block's words is compared and the job fails if they don't.
@@ -206,10 +216,11 @@ def encode(docs: DataFrame, tokenizer: str = vocab.BYTE_BPE, decoded: bool = Fal
 
 def _decoder(tokenizer: Broadcast) -> Callable:
     def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocab.byte_pieces(tokenizer.value)
+        pieces = pa.array(vocab.byte_pieces(tokenizer.value), pa.binary())
         for batch in batches:
-            texts = [b"".join([pieces[i] for i in ids or ()]).decode("utf-8", "replace")
-                     for ids in batch.column(1).to_pylist()]
+            runs = [np.array(ids or [], np.int32) for ids in batch.column(1).to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int32)
+            texts = _spelled(pieces, np.concatenate([np.zeros(0, np.int32), *runs]), ends)
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())],
                                   names=["doc_id", "text"])
     return decode_rows
