@@ -224,7 +224,8 @@ def instance_drift(variables: DataFrame, pairs: DataFrame, dynamic: DataFrame) -
 def variable_changes(history: DataFrame, tie: str | None = None,
                      bucket: str = "day") -> DataFrame:
     """Changes of a variable between consecutive snapshots of an instance; ``tie`` is a
-    column that orders rows of the same moment. A busy variable is split by ``bucket``; no
+    column that orders rows of the same moment, which without it have no defined order: give one
+    where a moment repeats. A busy variable is split by ``bucket``; no
     task sorts its whole history."""
     keyed = history.withColumn("_bucket", F.date_trunc(bucket, F.col("snapshot_ts"))
                                .cast("timestamp_ntz"))
