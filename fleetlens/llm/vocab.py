@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -50,8 +51,9 @@ def byte_pieces(text: str) -> list[bytes]:
     return [added.get(i) or bytes(byte_of[c] for c in p) for i, p in enumerate(pieces)]
 
 #: Words whose ids a worker process keeps; full, it starts again, which costs time only.
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 1_000_000
 _WORD = re.compile(f"[^{_SPACE}]+")
+_CONTROL = re.compile("[\x1c-\x1f]")
 
 
 #: Letters, then marks without an apostrophe: a border of both tokenizers' patterns between them.
@@ -67,7 +69,13 @@ def _encode_into(library: Tokenizer, known: dict[str, bytes], words: list[str])
     for at in range(0, len(words), 4096):
         part = words[at:at + 4096]
         for word, coded in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
-            known[word] = np.array(coded.ids, "<u4").tobytes()
+            known[word] = array("I", coded.ids).tobytes()
+
+
+def _split(text: str) -> list[str]:
+    """The words of a text. ``str.split`` cuts at the same characters, and at four control
+    characters that the tokenizers do not take for white space."""
+    return _WORD.findall(text) if _CONTROL.search(text) else text.split()
 
 
 def payloads(text: str, documents: list[str]) -> list[bytes]:
@@ -75,11 +83,11 @@ def payloads(text: str, documents: list[str]) -> list[bytes]:
     white space and case: each distinct word is encoded once per worker while it is kept, and
     words that differ in ASCII case or in the marks behind them share the work."""
     (known, cores), library = _known(text), load(text)
-    words = [_WORD.findall(d) for d in documents]
+    words = [_split(d) for d in documents]
     for kept in (known, cores):
         if len(kept) > _KEPT_WORDS:
             kept.clear()
-    fresh = [w for w in dict.fromkeys(w for own in words for w in own) if w not in known]
+    fresh = list(set().union(*words).difference(known))
     split = []
     for word in fresh:
         found = _CORE.match(word)
