@@ -29,7 +29,7 @@ FILTER_BYTES = 1 << 20
 #: words; in the second, lines that are left meet all.
 EARLIEST = 4
 #: Words and lines that a task remembers; full, it starts again, which costs time only.
-_KEPT_WORDS, _KEPT_LINES = 1_000_000, 100_000
+_KEPT_WORDS, _KEPT_LINES = 200_000, 20_000
 
 
 def _hash(word: bytes) -> int:
@@ -176,22 +176,28 @@ _NEAR = """y.no < x.no and 5 * y.n >= 4 * x.n and 5 * x.n >= 4 * y.n
 
 
 def _met(x: DataFrame, y: DataFrame, more: str = "true") -> DataFrame:
-    """Distinct pairs (x, y) of lines and earlier lines that share a key and may be similar.
+    """Pairs (x, y) of lines and earlier lines that share a key and may be similar, per key.
 
     Sizes, the place of the shared word in both prefixes, and parities (of words per hash value
     of six bits: at most one of 64 changes with each word that differs) rule out the rest.
     """
     return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(f"{_NEAR} and {more}")).select(
-        F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
+        F.col("x.no").alias("x"), F.col("y.no").alias("y"))
+
+
+def _index(classes: DataFrame) -> DataFrame:
+    """A row per class and key of its prefix."""
+    return classes.select("no", "n", "parity", F.posexplode("prefix").alias("pos", "key"))
 
 
 def _with_earliest(index: DataFrame) -> DataFrame:
-    """Pairs with the earliest lines of a key and size: no more than four for a line and key. Both
-    sides come from one exchange (so the sizes are compared as a range, not as a key)."""
+    """Of the four earliest lines of each of its keys that have as many words, the earliest one that
+    each line may be similar to. Both sides come from one exchange (so the sizes are compared as a
+    range, not as a key)."""
     dealt = index.repartition("key")
     order = Window.partitionBy("key", "n").orderBy("no")
     first = dealt.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= EARLIEST).drop("turn")
-    return _met(dealt, first, "y.n <= x.n and y.n >= x.n")
+    return _met(dealt, first, "y.n <= x.n and y.n >= x.n").groupBy("x").agg(F.min("y").alias("y"))
 
 
 def _numbered(classes: DataFrame) -> DataFrame:
@@ -211,7 +217,7 @@ def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
     A class is a set of words, so copies enter the join once. Of each set's words, rarest
     first, only the prefix that two similar sets must share a word in is joined. Whether any
     earlier line is similar is all that counts, so a line meets the earliest lines of a key
-    and size first, and is out once one of them is similar, verified on all words; it stays in the
+    and size first, and is out if the earliest that may be similar is, verified on all words; it stays in the
     index. A large group of near copies ends in the first round, in pairs that grow with its size. The
     second round compares what is left with all. Words are told apart by 56 bits of their hash and
     the rarity level.
@@ -225,12 +231,11 @@ def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
     lines = stage(rows.withColumn("id", F.monotonically_increasing_id()), "lines")
     place = F.struct("doc_id", "sig", "line_no")
     classes = stage(_numbered(lines.groupBy("cls").agg(F.min("id").alias("id"), F.min(place).alias("first"))), "classes")
-    index = stage(lines.join(classes.select("cls", "id", "no"), ["cls", "id"]).select(
-        "no", "n", "parity", F.posexplode("prefix").alias("pos", "key")), "index")
+    sets = stage(lines.join(classes.select("cls", "id", "no"), ["cls", "id"]).select("no", "n", "parity", "prefix"), "sets")
     found = None
     for _ in range(2):
-        pairs = stage(_with_earliest(index) if found is None else _met(
-            index.join(found.withColumnRenamed("x", "no"), "no", "left_anti"), index), "pairs")
+        pairs = stage(_with_earliest(_index(sets)) if found is None else _met(
+            _index(sets.join(found.withColumnRenamed("x", "no"), "no", "left_anti")), _index(sets)).distinct(), "pairs")
         asked = stage(pairs.select(F.col("x").alias("no")).union(pairs.select("y")).distinct().join(
             classes, "no").select("no", "first.*"), "asked")
         held = spark.sparkContext.broadcast((_filter(asked), levels))
