@@ -51,7 +51,7 @@ def byte_pieces(text: str) -> list[bytes]:
     return [added.get(i) or bytes(byte_of[c] for c in p) for i, p in enumerate(pieces)]
 
 #: Words whose ids a worker process keeps; full, it starts again, which costs time only.
-_KEPT_WORDS = 1_000_000
+_KEPT_WORDS = 300_000
 _WORD = re.compile(f"[^{_SPACE}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
