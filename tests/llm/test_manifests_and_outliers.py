@@ -84,7 +84,7 @@ def _found(docs):
 MERKLE = "doc_id long, source string, lang string, n_chars long, text string, lo long, tree string, size int"
 
 
-@pytest.mark.parametrize("count", [1, 2, 3, 4, 9, 10, 27, 28, 243, 244, 730, 731])
+@pytest.mark.parametrize("count", [1, 4, 27, 243, 244, 731])
 def test_manifest_of_any_size(spark, count):
     docs = spark.createDataFrame([(i, "s", "en", i, f"t\n{i}", 0, "x", 9) for i in range(count)], MERKLE)
     assert _found(docs) == _manifest([r.asDict() for r in docs.collect()], _cut)
