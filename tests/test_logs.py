@@ -210,8 +210,7 @@ def _long_log(transactions=60):
     return out
 
 
-@pytest.mark.parametrize("zone,block,pieces", [(4, "512", 256), (16, "2048", 256), (64, "700", 2), (4, "900", 0),
-                                               (65536, "134217728", 256)])
+@pytest.mark.parametrize("zone,block,pieces", [(4, "900", 256), (16, "2048", 0), (65536, "134217728", 256)])
 def test_landed_windows_equal_plain_ones(spark, tmp_path, monkeypatch, zone, block, pieces):
     monkeypatch.setattr(text, "ZONE_LINES", zone)
     monkeypatch.setattr(logs, "MAX_PIECES", pieces)
@@ -233,9 +232,7 @@ def test_landed_windows_equal_plain_ones(spark, tmp_path, monkeypatch, zone, blo
         assert rows(found) == rows(logs.assemble_transactions(plain))
         assert found.count() == 60 + sum(x == "COMMIT/*!*/;" for x in log[:400])
         for how in ({"start_pos": 5100, "stop_pos": 9101}, {"start_pos": 59100, "stop_pos": 10**9},
-                    {"start_pos": 0, "stop_pos": 101}, {"start_pos": 7, "stop_pos": 8}, {"start_pos": 0, "stop_pos": 10**9},
-                    {"start_ts": "2024-01-02 02:00:00", "stop_ts": "2024-01-02 02:00:02"},
-                    {"start_ts": "2024-01-02 03:00:01", "stop_ts": "2024-01-02 08:30:00"}):
+                    {"start_pos": 7, "stop_pos": 8}, {"start_ts": "2024-01-02 03:00:01", "stop_ts": "2024-01-02 08:30:00"}):
             assert rows(logs.log_window(stored, **how)) == rows(logs.log_window(plain, **how)), how
         some = found.filter("xid in (5, 6, 17, 40)")
         assert rows(logs.transaction_lines(stored, some)) == rows(logs.transaction_lines(plain, some))
@@ -265,7 +262,7 @@ def _feed(spark, tmp_path, batches, mode="strict", file="f"):
 
 
 @pytest.mark.parametrize("mode,cuts", [("strict", ()), ("compat", (4, 9, 20, 21, 50)), ("strict", (4, 9, 20, 21, 50)),
-                                       ("strict", tuple(range(1, len(LOG), 15)))])
+                                       ("strict", tuple(range(1, len(LOG), 30)))])
 def test_stream_equals_batch(spark, tmp_path, cuts, mode):
     edges, numbered, batches = [0, *cuts, len(LOG)], list(enumerate(LOG, 1)), []
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
