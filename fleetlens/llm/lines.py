@@ -185,9 +185,21 @@ def _met(x: DataFrame, y: DataFrame, more: str = "true") -> DataFrame:
         F.col("x.no").alias("x"), F.col("y.no").alias("y"))
 
 
-def _index(classes: DataFrame) -> DataFrame:
+def _index(sets: DataFrame, *more: str) -> DataFrame:
     """A row per class and key of its prefix."""
-    return classes.select("no", "n", "parity", F.posexplode("prefix").alias("pos", "key"))
+    return sets.select("no", "n", "parity", *more, F.posexplode("prefix").alias("pos", "key"))
+
+
+def _with_all(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct pairs of the lines that are not found yet with all earlier ones they may be similar to.
+
+    Whether a line is open is compared with a column of ones of the other side, and the other way
+    round, so both sides are the same rows in one exchange, which skewed keys are split in.
+    """
+    marked = stage(sets.join(found.select(F.col("x").alias("no"), F.lit(True).alias("late")), "no", "left").select(
+        "no", "n", "parity", "prefix", F.col("late").isNull().cast("int").alias("open"), F.lit(1).alias("one")), "open")
+    index = _index(marked, "open", "one")
+    return _met(index, index, "x.open >= y.one and y.open <= x.one").distinct()
 
 
 def _with_earliest(index: DataFrame) -> DataFrame:
@@ -234,8 +246,7 @@ def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
     sets = stage(lines.join(classes.select("cls", "id", "no"), ["cls", "id"]).select("no", "n", "parity", "prefix"), "sets")
     found = None
     for _ in range(2):
-        pairs = stage(_with_earliest(_index(sets)) if found is None else _met(
-            _index(sets.join(found.withColumnRenamed("x", "no"), "no", "left_anti")), _index(sets)).distinct(), "pairs")
+        pairs = stage(_with_earliest(_index(sets)) if found is None else _with_all(sets, found), "pairs")
         asked = stage(pairs.select(F.col("x").alias("no")).union(pairs.select("y")).distinct().join(
             classes, "no").select("no", "first.*"), "asked")
         held = spark.sparkContext.broadcast((_filter(asked), levels))
