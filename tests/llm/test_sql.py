@@ -38,8 +38,9 @@ DOCS = [(1, "a b c\nq r s t u\n\n " + PASSAGE), (2, PASSAGE), (3, None), (4, "")
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("odd")
-    docs = spark.createDataFrame([(*d, 5, "clash", 0) for d in DOCS],
-                                 "doc_id long, text string, sig int, at string, n long")
+    docs = spark.createDataFrame([(*d, 5, "clash", 0, "ab"[d[0] % 2] if d[0] % 3 else None, "é" if d[0] % 4 else None, d[0])
+                                  for d in DOCS], "doc_id long, text string, sig int, at string, n long, source string, "
+                                 "lang string, n_chars long")
     docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
     items = [(1, "W3 w4; W5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16"), (2, "q R"), (3, None), (4, "..."),
              (5, "q r"), (6, "É" * 9000)]
@@ -92,4 +93,5 @@ def test_spans_are_cut(spark, odd):
     assert cut[7].text == "s t u\ns t\ns t u v" and cut[7].at == "clash"
     assert cut[3].text is None and cut[8].text == "x " * 400
     left = {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()}
-    assert left == {3, 4, 5, 8, 9, 6} or left == {3, 4, 5, 8, 9}
+    # Of 6, 14 of 107 words are hit, more than a twentieth.
+    assert left == {3, 4, 5, 8, 9}
