@@ -24,7 +24,7 @@ HEADLINE = ("q_assemble_transactions", "q_top_transactions_rows", "q_transaction
             "q_top_threads", "q_table_usage", "q_lock_waits", "q_mdl_holders",
             "q_waiter_blockers", "q_diagnose_threads", "q_action_candidates",
             "q_schema_diff", "q_config_drift", "q_instance_drift", "q_variable_changes",
-            "q_backup_status", "q_backup_chain", "q_expired_backups", "q_file_manifest",
+            "q_backup_status", "q_backup_chain", "q_expired_backups", "q_content_manifest",
             "q_replication_tree")
 
 
