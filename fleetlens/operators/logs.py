@@ -44,8 +44,8 @@ def log_marks(lines: DataFrame | LandedLog, mode: str = "strict") -> DataFrame:
     if mode not in ("strict", "compat"):
         raise ValueError("mode is 'strict' or 'compat'")
     if isinstance(lines, LandedLog):
-        return lines.number(_marked(lines.stored.select("file", "block", "line_id", "line"), mode,
-                                    ["file", "block", "line_id"]))
+        return lines.number(_marked(lines.stored.select("path", "block", "line_id", "line"), mode,
+                                    ["path", "block", "line_id"]))
     numbered = lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), "line")
     return _marked(numbered, mode, ["file", "line_no"])
 
@@ -240,12 +240,12 @@ def _pieces(log: LandedLog, spans: DataFrame, first: str, last: str) -> DataFram
     """Spans as ranges of line ids: one row per span and file block, with ``_from``, ``_to`` and
     ``_shift``, by which ids of the block differ from line numbers."""
     width = RUN_LINES * 8
-    zones = _listed(log.zones.select("file", "block", "first_id", "first_line", "last_line"),
+    zones = _listed(log.zones.select("file", "path", "block", "first_id", "first_line", "last_line"),
                     "first_line", "last_line", width)
     met = _listed(spans, first, last, width).join(zones, ["file", "_bucket"]).filter(
         (F.col(first) <= F.col("last_line")) & (F.col(last) >= F.col("first_line")))
     shift = F.col("first_line") - F.col("first_id")
-    return met.groupBy(*spans.columns, "block").agg(
+    return met.groupBy(*spans.columns, "path", "block").agg(
         F.min(F.greatest(first, "first_line") - shift).alias("_from"),
         F.max(F.least(last, "last_line") - shift).alias("_to"), F.min(shift).alias("_shift"))
 
@@ -277,12 +277,12 @@ def _landed_lines_in(log: LandedLog, spans: DataFrame, first: str, last: str) ->
     keep = [c for c in spans.columns if c not in ("file", first, last)]
     bounds = [c for c in (first, last) if not c.startswith("_")]
     if len(few) <= MAX_PIECES:
-        text = _stored_between(log, [(r["_from"], r["_to"]) for r in few]).select("file", "block", "line_id", "line")
-        met = text.join(F.broadcast(pieces), ["file", "block"])
+        text = _stored_between(log, [(r["_from"], r["_to"]) for r in few]).select("path", "block", "line_id", "line")
+        met = text.join(F.broadcast(pieces), ["path", "block"])
     else:
         ids = F.shiftright("line_id", SPAN_LINES.bit_length() - 1)
-        text = log.stored.select("file", "block", "line_id", "line").withColumn("_bucket", ids)
-        met = text.join(_listed(pieces, "_from", "_to", SPAN_LINES), ["file", "block", "_bucket"])
+        text = log.stored.select("path", "block", "line_id", "line").withColumn("_bucket", ids)
+        met = text.join(_listed(pieces, "_from", "_to", SPAN_LINES), ["path", "block", "_bucket"])
     return met.filter(inside).select("file", number, "line", *keep, *bounds)
 
 
@@ -322,7 +322,7 @@ def _landed_events(log: LandedLog, hit: Column) -> DataFrame:
     few = wanted.limit(MAX_PIECES + 1).collect()
     stored = (_stored_between(log, [(r.first_id, r.last_id) for r in few]) if len(few) <= MAX_PIECES else log.stored)
     return log.number(stored.filter("pos is not null or ts is not null").select(
-        "file", "block", "line_id", "pos", "ts"))
+        "path", "block", "line_id", "pos", "ts"))
 
 
 def log_window(lines: DataFrame | LandedLog, start_ts: str | None = None, stop_ts: str | None = None,

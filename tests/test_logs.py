@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -14,6 +15,7 @@ from fleetlens.plans.pipelines import largest_transactions
 from fleetlens.sources import text
 from fleetlens.sources.text import land_log, read_numbered_lines
 from fleetlens.streaming.transactions import assemble_batch, read_late_lines, read_transactions, stream_transactions
+from workload import views
 
 
 def head(clock, pos, rest):
@@ -312,3 +314,32 @@ def test_commit_marker_inside_a_row_image(spark):
     found = logs.assemble_transactions(df).collect()
     assert [(r["n_rows"], r["start_line"], r["end_line"], r["is_complete"]) for r in found] == [(2, 3, 9, True)]
     assert len(logs.assemble_transactions(df, "compat").collect()) == 2
+
+
+# --- shares of work --------------------------------------------------------------------
+
+def test_a_log_may_come_in_parts(spark, tmp_path):
+    """Parts of a log follow each other by name; compressed ones are read whole."""
+    log = _long_log(30)
+    for part, lines in (("part=000000000001", log[700:]), ("part=000000000000", log[:700])):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.option(
+            "compression", "gzip").text(str(tmp_path / "in" / "file=a" / part))
+    stored = land_log(spark, str(tmp_path / "in"), str(tmp_path / "out"), lambda p: F.regexp_extract(p, "/file=([^/]+)/", 1))
+    plain = frame(spark, log, "a")
+    assert rows(stored.lines()) == rows(plain) and stored.n_lines() == len(log)
+    assert rows(logs.assemble_transactions(stored)) == rows(logs.assemble_transactions(plain))
+
+
+def test_files_of_the_rendered_log_are_bounded(spark, monkeypatch, tmp_path):
+    """No task puts a whole log in order: its text files end after so many lines."""
+    monkeypatch.setattr(views, "_landed", {})
+    monkeypatch.setattr(views, "PART_LINES", 500)
+    monkeypatch.setattr(views, "PIECE_LINES", 64)
+    sf_dir = str(tmp_path)
+    spark.range(60).selectExpr("id as o_orderkey", "id % 2 as o_custkey").write.parquet(f"{sf_dir}/orders.parquet")
+    spark.range(3000).selectExpr("if(id < 1500, 7, id % 60) as l_orderkey", "'N' as l_returnflag", "1.0d as l_quantity").write.parquet(
+        f"{sf_dir}/lineitem.parquet")
+    log = views.landed_log(spark, sf_dir)
+    assert rows(log.lines()) == rows(views.view(spark, sf_dir, "m7_lines"))
+    sizes = [r["count"] for r in log.stored.groupBy("path").count().collect()]
+    assert max(sizes) <= 500 + 64 and len(sizes) > 6

@@ -20,6 +20,8 @@ from fleetlens.sources.text import LandedLog, land_log
 from workload.oracle_views import ORACLE
 
 LANDED = ("m1_processlist", "m4_waits", "m7_lines")
+#: Lines of a text file of the decoded log, and of what a transaction is cut into.
+PART_LINES, PIECE_LINES = 1 << 18, 4096
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents")
 
@@ -365,8 +367,10 @@ def _written(spark: SparkSession, sf_dir: str, name: str, write) -> str:
 
 
 def text_files(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, file: str, *order: str) -> str:
-    """Folder of text files, one per value of ``file``, with the column ``line`` in order."""
-    lined = rows.repartition(file).sortWithinPartitions(file, *order).select(file, F.col("line").alias("value"))
+    """Folder of text files, with the column ``line`` in order: a folder per value of ``file``, whose
+    files follow each other by name."""
+    dealt = rows.repartitionByRange(file, *order).sortWithinPartitions(file, *order)
+    lined = dealt.select(file, F.col("line").alias("value"))
     return _written(spark, sf_dir, name, lambda path: lined.write.partitionBy(file).mode("overwrite").text(path))
 
 
@@ -396,13 +400,29 @@ def content_files(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame)
 
 def landed_log(spark: SparkSession, sf_dir: str) -> LandedLog:
     """The decoded log, as text files that are then landed as in production."""
-    texts = text_files(spark, sf_dir, "m7_text", view(spark, sf_dir, "m7_lines"), "file", "line_no")
+    texts = _log_files(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, "m7_log")
     if key not in _landed:
-        _landed[key] = land_log(spark, texts, texts.removesuffix("m7_text") + "m7_log", folder_name)
+        _landed[key] = land_log(spark, texts, texts.removesuffix("m7_text") + "m7_log",
+                                lambda path: F.regexp_extract(path, "/file=([^/]+)/", 1))
     return _landed[key]
 
 
+def _log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of compressed text files: the decoded log, a file per ``PART_LINES`` lines of a log.
+
+    Pieces of transactions are dealt out by the part they begin in and turned to text there, so no
+    text is shuffled and no task puts more than a few parts in order.
+    """
+    def write(path: str) -> None:
+        pieces = _line_pieces(spark, sf_dir).withColumn("part", F.expr(f"lpad(string(first div {PART_LINES}), 12, '0')"))
+        upto = table(spark, sf_dir, "lineitem").count() + 8 * table(spark, sf_dir, "orders").count()
+        lines = _as_text(pieces.repartition(upto // PART_LINES + 2, "log_no", "part"), "part")
+        (lines.sortWithinPartitions("file", "part", "line_no").select("file", "part", F.col("line").alias("value"))
+         .write.partitionBy("file", "part").mode("overwrite").option("compression", "gzip").text(path))
+    return _written(spark, sf_dir, "m7_text", write)
+
+
 def _waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lock waits: each transaction waits for the one before it in its snapshot."""
     trx = view(spark, sf_dir, "m2_trx").select(
@@ -434,24 +454,35 @@ def _placed(spark: SparkSession, sf_dir: str, chunk: int = 100_000) -> DataFrame
             .drop("chunk", "w_bytes", "w_lines", "pos0", "base0"))
 
 
+def _line_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions cut into pieces of at most ``PIECE_LINES`` lines, the first of which has the
+    number ``first``, so that no transaction, of whatever length, becomes one array."""
+    return (_placed(spark, sf_dir)
+            .withColumn("n", F.col("n_rows") + 8)
+            .withColumn("k0", F.explode(F.expr(f"sequence(0L, (n - 1) div {PIECE_LINES})")))
+            .withColumn("first", F.col("base") + F.col("k0") * PIECE_LINES + 1))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decoded log of ``m7_trx``. Numbered in two steps, so that no transaction, of
-    whatever length, becomes one array. The text comes out of a generator, so that the
+    """The decoded log of ``m7_trx``."""
+    return _as_text(_line_pieces(spark, sf_dir))
+
+
+def _as_text(pieces: DataFrame, *keep: str) -> DataFrame:
+    """The lines of pieces of transactions. The text comes out of a generator, so that the
     optimizer cannot paste its long expression into every later use of ``line``."""
-    step = 4096
-    numbered = (_placed(spark, sf_dir)
-                .withColumn("n", F.col("n_rows") + 8)
-                .withColumn("k0", F.explode(F.expr(f"sequence(0L, (n - 1) div {step})")))
+    step = PIECE_LINES
+    numbered = (pieces
                 .withColumn("k", F.explode(F.expr(
                     f"sequence(k0 * {step}, least(k0 * {step} + {step} - 1, n - 1))")))
                 .withColumn("t", F.expr("xid % 86000"))
                 .withColumn("e", F.expr("xid % 86000 + secs")))
 
-    def stamp(at: str) -> str:
-        return (f"'#' || date_format(date_add(date '2024-01-01', int({at} div 86400)), "
-                f"'yyMMdd') || ' ' || lpad(string({at} % 86400 div 3600), 2, ' ') || ':' || "
+    def stamp(at: str, day: str = "'240101'") -> str:
+        return (f"'#' || {day} || ' ' || lpad(string({at} % 86400 div 3600), 2, ' ') || ':' || "
                 f"lpad(string({at} div 60 % 60), 2, '0') || ':' || "
                 f"lpad(string({at} % 60), 2, '0') || ' server id 1  end_log_pos '")
+    last_day = "date_format(date_add(date '2024-01-01', int(e div 86400)), 'yyMMdd')"
     line = f"""case when k = 0 then '# at ' || pos
      when k = 1 then {stamp('t')} || (pos + 65) || ' CRC32 0x0 ' || chr(9) || 'GTID'
        || chr(9) || 'last_committed=' || last_committed || chr(9) || 'sequence_number=' || xid
@@ -461,11 +492,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
      when k < 6 + n_ins then '### INSERT INTO `db`.`orders`'
      when k < 6 + n_ins + n_upd then '### UPDATE `db`.`orders`'
      when k < 6 + n_rows then '### DELETE FROM `db`.`orders`'
-     when k = 6 + n_rows then {stamp('e')} || (pos + 65 + size) || ' CRC32 0x0 ' || chr(9)
+     when k = 6 + n_rows then {stamp('e', last_day)} || (pos + 65 + size) || ' CRC32 0x0 ' || chr(9)
        || 'Xid = ' || xid
      else 'COMMIT/*!*/;' end"""
     return numbered.select(F.concat(F.lit("binlog.00000"), F.col("log_no")).alias("file"),
-                           (F.col("base") + F.col("k") + 1).alias("line_no"),
+                           (F.col("base") + F.col("k") + 1).alias("line_no"), *keep,
                            F.explode(F.array(F.expr(line))).alias("line"))
 
 
