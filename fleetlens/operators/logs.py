@@ -22,6 +22,8 @@ SPAN_LINES = 256
 RUN_LINES = 8_192
 #: Pieces of spans up to which a landed log is read by ranges of line ids alone.
 MAX_PIECES = 256
+#: And pieces up to which they are broadcast to the lines.
+MAX_CARRIED = 65_536
 
 
 def _chunk(line_no: Column, chunk_lines: int) -> Column:
@@ -83,19 +85,36 @@ def _epoch() -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz")
 
 
-def _shuffled_marks(marks: DataFrame, chunk_lines: int) -> DataFrame:
-    """Marks dealt out by (file, chunk of lines).
+def _shares(lines: DataFrame | LandedLog) -> int | None:
+    """Into how many partitions a landed log's lines or what is made of them is dealt out: one per
+    ``CHUNK_LINES``. Log text shrinks so much in an exchange that what Spark takes for one partition
+    by its bytes there outgrows a task."""
+    return lines.n_lines() // CHUNK_LINES + 2 if isinstance(lines, LandedLog) else None
+
+
+def _dealt(df: DataFrame, shares: int | None, *keys: str) -> DataFrame:
+    return df.repartition(*([shares] if shares else []), *keys)
+
+
+def _shuffled_marks(marks: DataFrame, chunk_lines: int, shares: int | None, repeated: bool) -> DataFrame:
+    """Marks dealt out by (file, chunk of lines), each line once.
 
     A mark travels as one array of numbers, which no rule can narrow to fewer columns. So all that
-    is made of the marks starts from the same exchange, and the text is scanned once.
+    is made of the marks starts from the same exchange, and the text is scanned once. The array
+    ends with the last number that most of its kind have.
     """
     seconds = F.timestamp_diff("SECOND", _epoch(), F.col("ts"))
     cells = [(seconds if c == "ts" else F.col(c)).cast("bigint") for c in _MARK]
-    dealt = marks.select("file", F.coalesce(_chunk(F.col("line_no"), chunk_lines), F.lit(-1)).alias("chunk"),
-                         F.array(*cells).alias("mark")).repartition("file", "chunk")
-    mark = {c: F.col("mark")[i] for i, c in enumerate(_MARK)}
-    mark["ts"] = _epoch() + F.make_dt_interval(secs=mark["ts"])
-    return dealt.select("file", "chunk", *[v.alias(c) for c, v in mark.items()])
+    bare = reduce(lambda a, b: a & b, (F.col(c).isNull() for c in _MARK[3:]))
+    mark = (F.when(bare & F.col("pos").isNull(), F.array(*cells[:2])).when(bare, F.array(*cells[:3]))
+            .otherwise(F.array(*cells)))
+    dealt = _dealt(marks.select("file", F.coalesce(_chunk(F.col("line_no"), chunk_lines), F.lit(-1)).alias("chunk"),
+                                mark.alias("mark")), shares, "file", "chunk")
+    if repeated:
+        dealt = dealt.withColumn("line_no", F.col("mark")[0]).dropDuplicates(["file", "chunk", "line_no"])
+    found = {c: F.get(F.col("mark"), F.lit(i)) for i, c in enumerate(_MARK)}
+    found["ts"] = _epoch() + F.make_dt_interval(secs=found["ts"])
+    return dealt.select("file", "chunk", *[v.alias(c) for c, v in found.items()])
 
 
 def assemble_transactions(lines: DataFrame | LandedLog, mode: str = "strict",
@@ -108,26 +127,32 @@ def assemble_transactions(lines: DataFrame | LandedLog, mode: str = "strict",
     BEGIN falls away. All aggregates keep fixed-width buffers (hash aggregation with
     partials), so a transaction of any length reaches the shuffle as one row per chunk.
     """
-    return assemble_marks(log_marks(lines, mode), chunk_lines)
+    return assemble_marks(log_marks(lines, mode), chunk_lines, _shares(lines))
 
 
-def assemble_marks(marks: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def assemble_marks(marks: DataFrame, chunk_lines: int = CHUNK_LINES, shares: int | None = None) -> DataFrame:
     """``assemble_transactions`` of lines that ``log_marks`` has reduced."""
-    return closed_segments(segments(cells(marks, chunk_lines)))
+    return closed_segments(segments(merged_cells(cells(marks, chunk_lines, shares), shares)))
 
 
-def cells(marks: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """One row per (file, commit_ord, begin_ord) of marks: what lies between two BEGINs or
-    commits."""
-    return _cells(_placed(marks, chunk_lines))
+def cells(marks: DataFrame, chunk_lines: int = CHUNK_LINES, shares: int | None = None,
+          repeated: bool = False) -> DataFrame:
+    """Parts of the cells of marks, by chunk: a cell is one (file, commit_ord, begin_ord), what lies
+    between two BEGINs or commits. Lines that are ``repeated`` count once.
 
+    Of a commit ordinal only the last cell of a chunk has a row, which holds the last end header and
+    GTID of all of them: that is all a segment is made of. What is counted in a chunk stays in its
+    partition.
+    """
+    return _last_parts(_cells(_placed(marks, chunk_lines, shares, repeated)))
 
-def _placed(marks: DataFrame, chunk_lines: int) -> DataFrame:
+
+def _placed(marks: DataFrame, chunk_lines: int, shares: int | None, repeated: bool) -> DataFrame:
     """Marks with the number of BEGINs up to them and of commits before them."""
     begin, commit = _is("begin").cast("bigint"), _is("commit").cast("bigint")
     seen = (Window.partitionBy("file", "chunk").orderBy("line_no")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    dealt = _shuffled_marks(marks, chunk_lines)
+    dealt = _shuffled_marks(marks, chunk_lines, shares, repeated)
     counted = dealt.select("*", F.sum(begin).over(seen).alias("b"),
                            (F.sum(commit).over(seen) - commit).alias("c"))
     totals = dealt.groupBy("file", "chunk").agg(F.sum(begin).alias("begins"), F.sum(commit).alias("commits"))
@@ -140,7 +165,7 @@ def _placed(marks: DataFrame, chunk_lines: int) -> DataFrame:
 def _cells(placed: DataFrame) -> DataFrame:
     def at(flag: str) -> Column:
         return F.when(_is(flag), F.col("line_no"))
-    return placed.groupBy("file", "commit_ord", "begin_ord").agg(
+    return placed.groupBy("file", "chunk", "commit_ord", "begin_ord").agg(
         F.max(at("begin")).alias("start_line"),
         F.max(at("commit")).alias("end_line"),
         F.count_if(_is("change")).alias("n_rows"),
@@ -157,6 +182,35 @@ def _cells(placed: DataFrame) -> DataFrame:
         F.max_by("sequence_number", at("gtid")).alias("sequence_number"))
 
 
+_BEGUN = ("start_line", "hash_at", "start_pos", "map_at", "start_time")
+
+
+def _last_parts(parts: DataFrame) -> DataFrame:
+    def last(name: str, by: str) -> Column:
+        return F.max_by(name, by).alias(name)
+    return parts.groupBy("file", "chunk", "commit_ord").agg(
+        *[last(c, "begin_ord") for c in (*_BEGUN, "n_rows")], F.max("end_line").alias("end_line"),
+        F.max("end_at").alias("end_at"), last("end_pos", "end_at"), last("end_time", "end_at"), last("xid", "end_at"),
+        F.max("gtid_at").alias("gtid_at"), last("last_committed", "gtid_at"), last("sequence_number", "gtid_at"),
+        F.max("begin_ord").alias("begin_ord")).drop("chunk")
+
+
+def merged_cells(parts: DataFrame, shares: int | None = None) -> DataFrame:
+    """Cells out of their parts, dealt out so that those of a segment meet: a segment has one part
+    in a chunk."""
+    def early(name: str, by: str) -> Column:
+        return F.min_by(name, by).alias(name)
+
+    def late(name: str, by: str) -> Column:
+        return F.max_by(name, by).alias(name)
+    return _dealt(parts, shares, "file", "commit_ord").groupBy("file", "commit_ord", "begin_ord").agg(
+        F.max("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n_rows").alias("n_rows"),
+        F.min("hash_at").alias("hash_at"), early("start_pos", "hash_at"),
+        F.min("map_at").alias("map_at"), early("start_time", "map_at"), F.max("end_at").alias("end_at"),
+        late("end_pos", "end_at"), late("end_time", "end_at"), late("xid", "end_at"), F.max("gtid_at").alias("gtid_at"),
+        late("last_committed", "gtid_at"), late("sequence_number", "gtid_at"))
+
+
 def segments(found: DataFrame) -> DataFrame:
     """Of each commit ordinal: fields of its last BEGIN, last end header, last GTID. The one of a
     file that no commit has ended has no ``end_line``."""
@@ -164,7 +218,7 @@ def segments(found: DataFrame) -> DataFrame:
         return F.max_by(name, by).alias(name)
     begun = F.when(F.col("start_line").isNotNull(), F.col("begin_ord"))
     return found.withColumn("_b", begun).groupBy("file", "commit_ord").agg(
-        *[last(c, "_b") for c in ("start_line", "hash_at", "start_pos", "map_at", "start_time")],
+        *[last(c, "_b") for c in _BEGUN],
         F.coalesce(F.max_by("n_rows", "_b"), F.sum("n_rows")).alias("n_rows"),
         F.max("end_line").alias("end_line"), F.max("end_at").alias("end_at"),
         last("end_pos", "end_at"), last("end_time", "end_at"), last("xid", "end_at"),
@@ -183,23 +237,12 @@ def closed_segments(found: DataFrame) -> DataFrame:
         F.coalesce((secs == 0) & (F.col("n_rows") > 0), F.lit(False)).alias("is_implicit"))
 
 
-def continued_cells(found: DataFrame, open_segments: DataFrame) -> DataFrame:
-    """Cells of lines that follow on the open segments: an open segment is what stood in the first
-    cell of its file before them."""
+def continued_cells(found: DataFrame, open_segments: DataFrame, shares: int | None = None) -> DataFrame:
+    """Cells of lines that follow on the open segments, out of their parts: an open segment is what
+    stood in the first cell of its file before them."""
     zero = F.lit(0).cast("bigint")
     carried = open_segments.withColumn("commit_ord", zero).withColumn("begin_ord", zero)
-
-    def early(name: str, by: str) -> Column:
-        return F.min_by(name, by).alias(name)
-
-    def late(name: str, by: str) -> Column:
-        return F.max_by(name, by).alias(name)
-    return found.unionByName(carried.select(*found.columns)).groupBy("file", "commit_ord", "begin_ord").agg(
-        F.max("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n_rows").alias("n_rows"),
-        F.min("hash_at").alias("hash_at"), early("start_pos", "hash_at"),
-        F.min("map_at").alias("map_at"), early("start_time", "map_at"), F.max("end_at").alias("end_at"),
-        late("end_pos", "end_at"), late("end_time", "end_at"), late("xid", "end_at"), F.max("gtid_at").alias("gtid_at"),
-        late("last_committed", "gtid_at"), late("sequence_number", "gtid_at"))
+    return merged_cells(found.unionByName(carried.select(*found.columns)), shares)
 
 
 def top_transactions(trx: DataFrame, by: str = "n_rows", n: int = 100) -> DataFrame:
@@ -268,7 +311,8 @@ def _landed_lines_in(log: LandedLog, spans: DataFrame, first: str, last: str) ->
 
     The spans are stored first, and meet the zone map, never the text. Up to 256 ranges of line
     ids are then written into the scan, so only their row groups are read and no text is
-    shuffled. More spans than that meet the lines by (file, block, bucket of ids).
+    shuffled. Up to 65,536 go to the lines, by bucket of ids. More than that and the lines are
+    dealt out by bucket, an even share to a partition; no id occurs twice, so that is all of the key.
     """
     pieces = store(_pieces(log, spans, first, last), "pieces")
     few = pieces.select("_from", "_to").limit(MAX_PIECES + 1).collect()
@@ -280,9 +324,13 @@ def _landed_lines_in(log: LandedLog, spans: DataFrame, first: str, last: str) ->
         text = _stored_between(log, [(r["_from"], r["_to"]) for r in few]).select("path", "block", "line_id", "line")
         met = text.join(F.broadcast(pieces), ["path", "block"])
     else:
-        ids = F.shiftright("line_id", SPAN_LINES.bit_length() - 1)
-        text = log.stored.select("path", "block", "line_id", "line").withColumn("_bucket", ids)
-        met = text.join(_listed(pieces, "_from", "_to", SPAN_LINES), ["path", "block", "_bucket"])
+        narrow = pieces.count() > MAX_CARRIED
+        width = SPAN_LINES if narrow else RUN_LINES
+        text = log.stored.select("line_id", "line", F.shiftright("line_id", width.bit_length() - 1).alias("_bucket"))
+        listed = _listed(pieces, "_from", "_to", width)
+        met = (text.repartition(_shares(log), "_bucket").join(
+                   listed.repartition(_shares(log), "_bucket").hint("shuffle_hash"), "_bucket")
+               if narrow else text.join(F.broadcast(listed), "_bucket"))
     return met.filter(inside).select("file", number, "line", *keep, *bounds)
 
 

@@ -66,6 +66,7 @@ def assemble_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "st
     spark = batch.sparkSession
     lines = batch.select("file", F.col("line_no").cast("bigint").alias("line_no"), "line").persist()
     try:
+        shares = lines.count() // logs.CHUNK_LINES + 2
         seen = store(versions.newest(spark, folder, SEEN, _SEEN, batch_id), "seen")
         waiting = versions.newest(spark, folder, OPEN, _OPEN, batch_id)
         placed, behind = _behind(lines, seen)
@@ -74,8 +75,9 @@ def assemble_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "st
         late = old.join(seen.alias("s"), sent, "left_anti").dropDuplicates(["file", "line_no"])
         versions.write(late, folder, LATE, batch_id)
         marks, behind = _behind(logs.log_marks(lines, mode), seen)
-        fresh = marks.filter(~behind).drop("reached").dropDuplicates(["file", "line_no"])
-        found = store(logs.segments(logs.continued_cells(logs.cells(fresh, chunk_lines), waiting)), "segments")
+        fresh = marks.filter(~behind).drop("reached")
+        parts = logs.cells(fresh, chunk_lines, shares, repeated=True)
+        found = store(logs.segments(logs.continued_cells(parts, waiting, shares)), "segments")
         versions.write(logs.closed_segments(found), folder, TRANSACTIONS, batch_id)
         still = found.filter("end_line is null").drop("commit_ord")
         versions.write(still, folder, OPEN, batch_id)

@@ -343,3 +343,26 @@ def test_files_of_the_rendered_log_are_bounded(spark, monkeypatch, tmp_path):
     assert rows(log.lines()) == rows(views.view(spark, sf_dir, "m7_lines"))
     sizes = [r["count"] for r in log.stored.groupBy("path").count().collect()]
     assert max(sizes) <= 500 + 64 and len(sizes) > 6
+
+
+def test_shares_follow_the_lines(spark, tmp_path, monkeypatch):
+    """What is dealt out has partitions by lines, not by bytes."""
+    monkeypatch.setattr(logs, "CHUNK_LINES", 50)
+    (tmp_path / "in" / "file=a").mkdir(parents=True)
+    _write(str(tmp_path / "in" / "file=a"), "x.txt", _long_log())
+    stored = land_log(spark, str(tmp_path / "in"), str(tmp_path / "out"), lambda p: F.regexp_extract(p, "file=([^/]+)", 1))
+    n = stored.n_lines() // 50 + 2
+    plan = logs.assemble_transactions(stored, chunk_lines=50)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(file#\d+, (?:chunk|commit_ord)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)) == {str(n)}
+    assert not re.search(r"hashpartitioning\([^\n]*begin_ord", plan)
+
+
+def test_last_cells_over_chunks(spark):
+    """Rolled-back BEGINs and cells that go on into later chunks, with lines sent twice."""
+    log = ROLLED_BACK + ROLLED_BACK + NORMAL + ROLLED_BACK + LATE[:9] + ROLLED_BACK + ZERO
+    want = rows(logs.assemble_transactions(frame(spark, log)))
+    marks = logs.log_marks(frame(spark, log).unionByName(frame(spark, log)))
+    for chunk in (1, 4, 11):
+        assert rows(logs.assemble_transactions(frame(spark, log), chunk_lines=chunk)) == want
+        parts = logs.cells(marks, chunk, 3, repeated=True)
+        assert rows(logs.closed_segments(logs.segments(logs.merged_cells(parts, 3)))) == want
