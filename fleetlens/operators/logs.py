@@ -85,14 +85,19 @@ def _epoch() -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz")
 
 
+def shares_of(n_lines: int) -> int:
+    """Into how many partitions lines or what is made of them are dealt out: one per
+    ``CHUNK_LINES``. A log shrinks so much in an exchange that what Spark takes for one partition by
+    its bytes there outgrows a task."""
+    return n_lines // CHUNK_LINES + 2
+
+
 def _shares(lines: DataFrame | LandedLog) -> int | None:
-    """Into how many partitions a landed log's lines or what is made of them is dealt out: one per
-    ``CHUNK_LINES``. Log text shrinks so much in an exchange that what Spark takes for one partition
-    by its bytes there outgrows a task."""
-    return lines.n_lines() // CHUNK_LINES + 2 if isinstance(lines, LandedLog) else None
+    return shares_of(lines.n_lines()) if isinstance(lines, LandedLog) else None
 
 
-def _dealt(df: DataFrame, shares: int | None, *keys: str) -> DataFrame:
+def dealt_out(df: DataFrame, shares: int | None, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in so many partitions, or as many as Spark makes."""
     return df.repartition(*([shares] if shares else []), *keys)
 
 
@@ -108,7 +113,7 @@ def _shuffled_marks(marks: DataFrame, chunk_lines: int, shares: int | None, repe
     bare = reduce(lambda a, b: a & b, (F.col(c).isNull() for c in _MARK[3:]))
     mark = (F.when(bare & F.col("pos").isNull(), F.array(*cells[:2])).when(bare, F.array(*cells[:3]))
             .otherwise(F.array(*cells)))
-    dealt = _dealt(marks.select("file", F.coalesce(_chunk(F.col("line_no"), chunk_lines), F.lit(-1)).alias("chunk"),
+    dealt = dealt_out(marks.select("file", F.coalesce(_chunk(F.col("line_no"), chunk_lines), F.lit(-1)).alias("chunk"),
                                 mark.alias("mark")), shares, "file", "chunk")
     if repeated:
         dealt = dealt.withColumn("line_no", F.col("mark")[0]).dropDuplicates(["file", "chunk", "line_no"])
@@ -203,7 +208,7 @@ def merged_cells(parts: DataFrame, shares: int | None = None) -> DataFrame:
 
     def late(name: str, by: str) -> Column:
         return F.max_by(name, by).alias(name)
-    return _dealt(parts, shares, "file", "commit_ord").groupBy("file", "commit_ord", "begin_ord").agg(
+    return dealt_out(parts, shares, "file", "commit_ord").groupBy("file", "commit_ord", "begin_ord").agg(
         F.max("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n_rows").alias("n_rows"),
         F.min("hash_at").alias("hash_at"), early("start_pos", "hash_at"),
         F.min("map_at").alias("map_at"), early("start_time", "map_at"), F.max("end_at").alias("end_at"),
@@ -288,7 +293,7 @@ def _pieces(log: LandedLog, spans: DataFrame, first: str, last: str) -> DataFram
     met = _listed(spans, first, last, width).join(zones, ["file", "_bucket"]).filter(
         (F.col(first) <= F.col("last_line")) & (F.col(last) >= F.col("first_line")))
     shift = F.col("first_line") - F.col("first_id")
-    return met.groupBy(*spans.columns, "path", "block").agg(
+    return dealt_out(met, _shares(log), "file", first).groupBy(*spans.columns, "path", "block").agg(
         F.min(F.greatest(first, "first_line") - shift).alias("_from"),
         F.max(F.least(last, "last_line") - shift).alias("_to"), F.min(shift).alias("_shift"))
 
@@ -351,9 +356,10 @@ def _event_lines(lines: DataFrame) -> DataFrame:
         "pos is not null or ts is not null")
 
 
-def _landed_events(log: LandedLog, hit: Column) -> DataFrame:
+def _landed_events(log: LandedLog, hit: Column) -> tuple[DataFrame, int]:
     """Event lines of the zones that ``hit`` (of the zone map) cannot rule out, and of those next
-    to them, where their first event may begin and their last one ends. No text is read.
+    to them, where their first event may begin and their last one ends; and how many lines these
+    zones have. No text is read.
 
     A zone in which no event begins goes with the one before, as its headers do.
     """
@@ -369,8 +375,9 @@ def _landed_events(log: LandedLog, hit: Column) -> DataFrame:
     wanted = store(busy.join(near.select("file", "group"), ["file", "group"]).select("first_id", "last_id"), "zones")
     few = wanted.limit(MAX_PIECES + 1).collect()
     stored = (_stored_between(log, [(r.first_id, r.last_id) for r in few]) if len(few) <= MAX_PIECES else log.stored)
+    n_lines = wanted.agg(F.sum(F.col("last_id") - F.col("first_id") + 1)).first()[0] or 0
     return log.number(stored.filter("pos is not null or ts is not null").select(
-        "path", "block", "line_id", "pos", "ts"))
+        "path", "block", "line_id", "pos", "ts")), n_lines
 
 
 def log_window(lines: DataFrame | LandedLog, start_ts: str | None = None, stop_ts: str | None = None,
@@ -393,18 +400,19 @@ def log_window(lines: DataFrame | LandedLog, start_ts: str | None = None, stop_t
     landed = isinstance(lines, LandedLog)
     if landed:
         hit = F.coalesce((F.col(f"last_{at}") >= low) & (F.col(f"first_{at}") < high), F.lit(False))
-        found = _landed_events(lines, hit)
+        found, n_lines = _landed_events(lines, hit)
         ends = lines.zones.groupBy("file").agg(F.max("last_line").alias("final_line"))
     else:
         found = _event_lines(lines)
         ends = lines.groupBy("file").agg(F.max(F.col("line_no").cast("bigint")).alias("final_line"))
-    events = (found.groupBy("file", F.when(F.col("pos").isNotNull(), F.col("line_no"))
-                            .otherwise(F.col("line_no") - 1).alias("at_line"))
-              .agg(F.max("pos").alias("pos"), F.max("ts").alias("ts"))
+    at_line = F.when(F.col("pos").isNotNull(), F.col("line_no")).otherwise(F.col("line_no") - 1)
+    chunked = found.withColumn("at_line", at_line).select(
+        "file", "at_line", _chunk(F.col("at_line"), chunk_lines).alias("chunk"), "pos", "ts")
+    events = (dealt_out(chunked, shares_of(n_lines) if landed else None, "file", "chunk")
+              .groupBy("file", "chunk", "at_line").agg(F.max("pos").alias("pos"), F.max("ts").alias("ts"))
               .filter("pos is not null"))
     inside = (F.col(at) >= low) & (F.col(at) < high)
-    events = events.select("file", "at_line", _chunk(F.col("at_line"), chunk_lines)
-                           .alias("chunk"), F.coalesce(inside, F.lit(False)).alias("keep"))
+    events = events.select("file", "at_line", "chunk", F.coalesce(inside, F.lit(False)).alias("keep"))
     turns = (bucketed_offset(events, ["file"], "chunk", ["at_line"], {"keep": "was"})
              .filter("keep != coalesce(was, false)").drop("was"))
     runs = bucketed_offset(turns, ["file"], "chunk", ["at_line"], {"at_line": "stop_line"},

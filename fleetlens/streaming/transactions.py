@@ -29,11 +29,11 @@ _TRANSACTIONS = """file string, xid bigint, n_rows bigint, size bigint, secs big
  last_committed bigint, sequence_number bigint, is_complete boolean, is_implicit boolean"""
 
 
-def _line_runs(lines: DataFrame, chunk_lines: int) -> DataFrame:
+def _line_runs(lines: DataFrame, chunk_lines: int, shares: int) -> DataFrame:
     """(file, first, last) of unbroken line numbers, cut at chunks; only numbers are shuffled."""
     order = Window.partitionBy("file", "chunk").orderBy("line_no")
     numbered = lines.select("file", "line_no", F.floor(F.col("line_no") / chunk_lines).alias("chunk"))
-    return numbered.withColumn("run", F.col("line_no") - F.dense_rank().over(order)).groupBy(
+    return logs.dealt_out(numbered, shares, "file", "chunk").withColumn("run", F.col("line_no") - F.dense_rank().over(order)).groupBy(
         "file", "chunk", "run").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last")).select(
         "file", "first", "last")
 
@@ -66,7 +66,7 @@ def assemble_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "st
     spark = batch.sparkSession
     lines = batch.select("file", F.col("line_no").cast("bigint").alias("line_no"), "line").persist()
     try:
-        shares = lines.count() // logs.CHUNK_LINES + 2
+        shares = logs.shares_of(lines.count())
         seen = store(versions.newest(spark, folder, SEEN, _SEEN, batch_id), "seen")
         waiting = versions.newest(spark, folder, OPEN, _OPEN, batch_id)
         placed, behind = _behind(lines, seen)
@@ -81,7 +81,7 @@ def assemble_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "st
         versions.write(logs.closed_segments(found), folder, TRANSACTIONS, batch_id)
         still = found.filter("end_line is null").drop("commit_ord")
         versions.write(still, folder, OPEN, batch_id)
-        versions.write(_merged_runs(seen.unionByName(_line_runs(lines, chunk_lines))), folder, SEEN, batch_id)
+        versions.write(_merged_runs(seen.unionByName(_line_runs(lines, chunk_lines, shares))), folder, SEEN, batch_id)
     finally:
         lines.unpersist()
 

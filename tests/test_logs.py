@@ -357,6 +357,23 @@ def test_shares_follow_the_lines(spark, tmp_path, monkeypatch):
     assert not re.search(r"hashpartitioning\([^\n]*begin_ord", plan)
 
 
+@pytest.mark.parametrize("carried", [0, 100])
+def test_many_spans_equal_few(spark, tmp_path, monkeypatch, carried):
+    """Spans that are broadcast, and spans that meet the lines by bucket of ids alone, over two
+    logs whose parts have the same file blocks."""
+    monkeypatch.setattr(logs, "MAX_PIECES", 0)
+    monkeypatch.setattr(logs, "MAX_CARRIED", carried)
+    log = _long_log(20)
+    for name in "ab":
+        (tmp_path / "in" / f"file={name}").mkdir(parents=True)
+        _write(str(tmp_path / "in" / f"file={name}"), "1.txt", log[:150])
+        _write(str(tmp_path / "in" / f"file={name}"), "2.txt", log[150:])
+    stored = land_log(spark, str(tmp_path / "in"), str(tmp_path / "out"), lambda p: F.regexp_extract(p, "file=([^/]+)", 1))
+    plain = frame(spark, log, "a").unionByName(frame(spark, log, "b"))
+    found = logs.assemble_transactions(plain).filter("xid % 3 <> 1")
+    assert rows(logs.transaction_lines(stored, found)) == rows(logs.transaction_lines(plain, found))
+
+
 def test_last_cells_over_chunks(spark):
     """Rolled-back BEGINs and cells that go on into later chunks, with lines sent twice."""
     log = ROLLED_BACK + ROLLED_BACK + NORMAL + ROLLED_BACK + LATE[:9] + ROLLED_BACK + ZERO
