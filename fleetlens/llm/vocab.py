@@ -56,8 +56,13 @@ _WORD = re.compile(f"[^{_SPACE}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
-#: Letters, then marks without an apostrophe: a border of both tokenizers' patterns between them.
-_CORE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: Marks without an apostrophe: between letters and these both tokenizers' patterns have a border.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Letters of Latin-1 are changed by no normal form and have one lower case, in Python as in Rust, which is
+#: a letter (that of a dotted capital I is two characters, the second of which joins marks behind it).
+_LATIN = re.compile("[\0-\xff]+")
+#: Words that are encoded as one text.
+_IN_A_TEXT = 512
 
 
 @lru_cache(maxsize=1)
@@ -65,9 +70,35 @@ def _known(text: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
     return {}, {}
 
 
-def _encode_into(library: Tokenizer, known: dict[str, bytes], words: list[str]) -> None:
-    for at in range(0, len(words), 4096):
-        part = words[at:at + 4096]
+@lru_cache(maxsize=4)
+def _ends(text: str) -> np.ndarray:
+    """Whether an id ends a run of letters, by id."""
+    library = load(text)
+    suffix = getattr(library.model, "end_of_word_suffix", None)
+    pieces = (library.id_to_token(i) or "" for i in range(library.get_vocab_size()))
+    return np.array([bool(suffix) and p.endswith(suffix) for p in pieces])
+
+
+def _encode_into(text: str, known: dict[str, bytes], words: list[str]) -> None:
+    """Put the ids of words into ``known``. Words of Latin letters have one end each, by which the ids
+    of many words in one text are told apart."""
+    library, ends = load(text), _ends(text)
+    plain = [w for w in words if w.isalpha() and _LATIN.fullmatch(w)]
+    rest = [w for w in words if not (w.isalpha() and _LATIN.fullmatch(w))]
+    parts = [plain[at:at + _IN_A_TEXT] for at in range(0, len(plain), _IN_A_TEXT)]
+    for at in range(0, len(parts), 8):
+        some = parts[at:at + 8]
+        for part, coded in zip(some, library.encode_batch_fast(list(map(" ".join, some)), add_special_tokens=False)):
+            ids = np.array(coded.ids, np.uint32)
+            cuts = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+            if len(cuts) != len(part):
+                rest += part
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, cut in zip(part, cuts):
+                known[word], start = raw[start:cut], cut
+    for at in range(0, len(rest), 4096):
+        part = rest[at:at + 4096]
         for word, coded in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
             known[word] = array("I", coded.ids).tobytes()
 
@@ -81,20 +112,22 @@ def _split(text: str) -> list[str]:
 def payloads(text: str, documents: list[str]) -> list[bytes]:
     """Ids of whole documents as little-endian 32-bit integers, for a vocabulary that drops
     white space and case: each distinct word is encoded once per worker while it is kept, and
-    words that differ in ASCII case or in the marks behind them share the work."""
-    (known, cores), library = _known(text), load(text)
+    words that differ in the case of Latin letters or in the marks behind them share the work."""
+    known, cores = _known(text)
     words = [_split(d) for d in documents]
     for kept in (known, cores):
         if len(kept) > _KEPT_WORDS:
             kept.clear()
     fresh = list(set().union(*words).difference(known))
-    split = []
+    stems, marks = [], []
     for word in fresh:
-        found = _CORE.match(word)
-        core, marks = found.groups() if found else (word, "")
-        split.append((core.lower() if found and core.isascii() else core, marks))
-    new = dict.fromkeys(part for both in split for part in both if part and part not in cores)
-    _encode_into(library, cores, list(new))
-    for word, (core, marks) in zip(fresh, split):
-        known[word] = cores[core] + cores[marks] if marks else cores[core]
+        core = word.rstrip(_MARKS)
+        if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
+            stems.append(core.lower())
+            marks.append(word[len(core):])
+        else:
+            stems.append(word)
+            marks.append("")
+    _encode_into(text, cores, list(set(stems).union(marks).difference(cores, ("",))))
+    known.update(zip(fresh, (cores[s] + cores[m] if m else cores[s] for s, m in zip(stems, marks))))
     return [b"".join(map(known.__getitem__, own)) for own in words]

@@ -111,3 +111,28 @@ def test_perfect_hash(n):
     assert len(index.entries) == n
     foreign = keys_of(ids + 1, np.zeros(n, int), np.zeros(n, bool))
     assert (index.find(foreign)[0] < 0).mean() > 0.999 if n else True
+
+
+def test_words_share_texts_and_capital_dotted_i(monkeypatch):
+    tokenizer = open(vocab.WORD_BPE, encoding="utf-8").read()
+    library = vocab.load(tokenizer)
+    words = ["".join(chr(97 + (i * 7 + k * k) % 26) for k in range(2 + i % 9)) + "é" * (i % 3) for i in range(2000)]
+    odd = ["İ! aİ?? İ", "Σας! ΣΑΣ. qक़!", "don't!! É.É ÀÉß!!! µª² 1a.b", "", "  ", "a\x1cb　c​!"]
+    texts = [" ".join(words), *odd]
+    known: dict[str, bytes] = {}
+    calls: list[int] = []
+
+    class Counting:
+        def encode_batch_fast(self, part, add_special_tokens):
+            calls.append(len(part))
+            return library.encode_batch_fast(part, add_special_tokens=add_special_tokens)
+
+    vocab._ends(tokenizer)
+    monkeypatch.setattr(vocab, "load", lambda text: Counting())
+    vocab._encode_into(tokenizer, known, list(dict.fromkeys(words)))
+    monkeypatch.undo()
+    assert sum(calls) <= 2000 // vocab._IN_A_TEXT + 1
+    coded = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [known[w] for w in words] == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(
+        words, add_special_tokens=False)]
+    assert vocab.payloads(tokenizer, texts) == coded
