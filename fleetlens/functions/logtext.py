@@ -48,6 +48,12 @@ def as_bigint(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{1,19}$"), text.try_cast("bigint"))
 
 
+def _number(line: Column, before: str) -> Column:
+    """The number after the pattern ``before``; NULL for more than 19 digits. The text is searched
+    once: a test of what was found would search it again in a branch."""
+    return F.regexp_extract(line, before + r"(?:(\d{1,19})(?!\d)|\d)", 1).try_cast("bigint")
+
+
 def log_ts(line: Column) -> Column:
     """Event-header time as TIMESTAMP_NTZ; NULL when the line has none.
 
@@ -65,7 +71,7 @@ def event_ts(line: Column) -> Column:
 
 
 def end_log_pos(line: Column) -> Column:
-    return as_bigint(F.regexp_extract(line, r"end_log_pos\s+(\d+)", 1))
+    return _number(line, r"end_log_pos\s+")
 
 
 def last_token(line: Column) -> Column:
@@ -74,13 +80,12 @@ def last_token(line: Column) -> Column:
 
 def number_after(line: Column, name: str) -> Column:
     """The number in ``name=<number>``."""
-    return as_bigint(F.regexp_extract(line, name + r"=(\d+)", 1))
+    return _number(line, name + "=")
 
 
 def log_position(line: Column) -> Column:
     """N of a ``# at N`` line, else NULL."""
-    return F.when(line.startswith(POSITION_LINE),
-                  as_bigint(F.regexp_extract(line, r"^# at (\d+)", 1)))
+    return F.when(line.startswith(POSITION_LINE), _number(line, "^# at "))
 
 
 def describe_transaction() -> Column:

@@ -19,6 +19,8 @@ from fleetlens.sources.text import LandedLog
 # Lines per ordered chunk; per bucket in which lines meet short spans; and long spans.
 CHUNK_LINES = 200_000
 SPAN_LINES = 256
+#: Lines of a chunk whose marks are counted in order: what Spark's windows hold as rows.
+ORDER_LINES = 4_096
 RUN_LINES = 8_192
 #: Pieces of spans up to which a landed log is read by ranges of line ids alone.
 MAX_PIECES = 256
@@ -52,22 +54,27 @@ def log_marks(lines: DataFrame | LandedLog, mode: str = "strict") -> DataFrame:
     return _marked(numbered, mode, ["file", "line_no"])
 
 
+def _mask(line: Column, mode: str) -> Column:
+    """Flags of a line. In strict mode the first characters of a line rule out most of them, so a row
+    image, the greater part of a log, is not searched for words."""
+    def bits(**tests: Column) -> Column:
+        return reduce(lambda a, b: a + b, (
+            F.when(test, F.lit(1 << _FLAGS.index(flag))).otherwise(F.lit(0)) for flag, test in tests.items()))
+    commit, change = L.is_commit(line, mode), L.is_change(line, mode)
+    header = F.when(line.contains("end_log_pos"), bits(
+        map=line.contains("Table_map"), end=line.contains("Xid"))).otherwise(F.lit(0)) + bits(
+        gtid=line.contains("last_committed") & line.contains("sequence_number"))
+    if mode == "compat":
+        return bits(begin=L.is_begin(line), commit=commit, change=change, hash=line.startswith("#")) + header
+    return (F.when(L.is_row_text(line), bits(change=change))
+            .when(line.startswith("#"), bits(commit=commit, hash=F.lit(True)) + header)
+            .otherwise(bits(begin=L.is_begin(line), commit=commit)))
+
+
 def _marked(lines: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     line = F.col("line")
-    strict = mode == "strict"
-    hashed = line.startswith("#") & ~L.is_row_text(line) if strict else line.startswith("#")
-    header = hashed if strict else F.lit(True)
-    flags = dict(zip(_FLAGS, (
-        L.is_begin(line), L.is_commit(line, mode), L.is_change(line, mode), hashed,
-        header & line.contains("end_log_pos") & line.contains("Table_map"),
-        header & line.contains("end_log_pos") & line.contains("Xid"),
-        header & line.contains("last_committed") & line.contains("sequence_number"))))
-    wanted = ("begin", "commit", "change", "hash") if strict else _FLAGS
-    mask = reduce(lambda a, b: a + b, (
-        F.when(test, F.lit(1 << i)).otherwise(F.lit(0)) for i, test in
-        enumerate(flags.values())))
-    marked = lines.filter(reduce(lambda a, b: a | b, (flags[f] for f in wanted))).select(
-        *keys, "line", mask.alias("mask"))
+    mask = _mask(line, mode)
+    marked = lines.filter(mask != 0).select(*keys, "line", mask.alias("mask"))
     return marked.select(
         *keys, "mask",
         F.when(_is("hash"), L.as_bigint(L.last_token(line))).alias("pos"),
@@ -123,7 +130,7 @@ def _shuffled_marks(marks: DataFrame, chunk_lines: int, shares: int | None, repe
 
 
 def assemble_transactions(lines: DataFrame | LandedLog, mode: str = "strict",
-                          chunk_lines: int = CHUNK_LINES) -> DataFrame:
+                          chunk_lines: int = ORDER_LINES) -> DataFrame:
     """One row per committed transaction of every file; the text is read once.
 
     Every mark gets two ordinals, commits before it and BEGINs up to it, as a count
@@ -135,12 +142,12 @@ def assemble_transactions(lines: DataFrame | LandedLog, mode: str = "strict",
     return assemble_marks(log_marks(lines, mode), chunk_lines, _shares(lines))
 
 
-def assemble_marks(marks: DataFrame, chunk_lines: int = CHUNK_LINES, shares: int | None = None) -> DataFrame:
+def assemble_marks(marks: DataFrame, chunk_lines: int = ORDER_LINES, shares: int | None = None) -> DataFrame:
     """``assemble_transactions`` of lines that ``log_marks`` has reduced."""
     return closed_segments(segments(merged_cells(cells(marks, chunk_lines, shares), shares)))
 
 
-def cells(marks: DataFrame, chunk_lines: int = CHUNK_LINES, shares: int | None = None,
+def cells(marks: DataFrame, chunk_lines: int = ORDER_LINES, shares: int | None = None,
           repeated: bool = False) -> DataFrame:
     """Parts of the cells of marks, by chunk: a cell is one (file, commit_ord, begin_ord), what lies
     between two BEGINs or commits. Lines that are ``repeated`` count once.

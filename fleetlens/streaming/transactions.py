@@ -56,7 +56,7 @@ def _behind(lines: DataFrame, seen: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def assemble_batch(batch: DataFrame, batch_id: int, folder: str, mode: str = "strict",
-                   chunk_lines: int = logs.CHUNK_LINES) -> None:
+                   chunk_lines: int = logs.ORDER_LINES) -> None:
     """Take in one batch of lines (file, line_no, line) and write its version of all tables.
 
     Lines may come in any order within the batch. A line that was sent before is passed over. One

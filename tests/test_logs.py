@@ -383,3 +383,61 @@ def test_last_cells_over_chunks(spark):
         assert rows(logs.assemble_transactions(frame(spark, log), chunk_lines=chunk)) == want
         parts = logs.cells(marks, chunk, 3, repeated=True)
         assert rows(logs.closed_segments(logs.segments(logs.merged_cells(parts, 3)))) == want
+
+
+ODD_LINES = ["BEGIN", " BEGIN\t", "BEGIN x", "# BEGIN", "### BEGIN", "COMMIT/*!*/;", "# COMMIT/*!*/;", "### COMMIT/*!*/;",
+             "### INSERT INTO `a`.`b`", "### UPDATE `a`", "### DELETE FROM x", "#### INSERT INTO", "## INSERT INTO", "UPDATE x",
+             "# at 5", "# at 12345678901234567890", "# at x", "###   @1='end_log_pos 7 Xid = 4'", "", None, "#",
+             "#240101  0:00:05 server id 1  end_log_pos 65 CRC32 0x0 \tTable_map: `d`.`t` Xid",
+             "#240101 0:00:05 server id 1  end_log_pos 123456789012345678901 Xid = 00000000000000000000007",
+             "end_log_pos x end_log_pos  12 Xid = 3", "#x last_committed= last_committed=8\tsequence_number=9x",
+             "#x Table_map last_committed=123456789012345678901 last_committed=4 sequence_number=-1 sequence_number=2"]
+
+
+@pytest.mark.parametrize("mode", ["strict", "compat"])
+def test_flags_and_numbers_of_odd_lines(spark, mode):
+    def number(found):
+        return int(found[1]) if found and len(found[1]) < 20 and int(found[1]) < 2**63 else None
+
+    numbered = [(n, s) for n, s in enumerate(ODD_LINES, 1)]
+    marks = logs.log_marks(spark.createDataFrame(numbered, "line_no long, line string").withColumn("file", F.lit("f")), mode)
+    got = {r.line_no: (r["mask"], r.end_pos, r.last_committed, r.sequence_number) for r in marks.collect()}
+    want = {}
+    for n, s in numbered:
+        if s is None:
+            continue
+        strict, image = mode == "strict", s.startswith("###")
+        hashed = s.startswith("#") and not (strict and image)
+        head = hashed or not strict
+        words = ("### UPDATE", "### INSERT INTO", "### DELETE FROM") if strict else ("UPDATE", "INSERT", "DELETE")
+        flags = [s.strip(" \t\r\n") == "BEGIN", "COMMIT/*!*/;" in s and not (strict and image),
+                 any(s.startswith(w) if strict else w in s for w in words), hashed,
+                 head and "end_log_pos" in s and "Table_map" in s, head and "end_log_pos" in s and "Xid" in s,
+                 head and "last_committed" in s and "sequence_number" in s]
+        if any(flags):
+            want[n] = (sum(f << i for i, f in enumerate(flags)),
+                       number(re.search(r"end_log_pos\s+(\d+)", s)) if flags[5] else None,
+                       number(re.search(r"last_committed=(\d+)", s)) if flags[6] else None,
+                       number(re.search(r"sequence_number=(\d+)", s)) if flags[6] else None)
+    assert got == want
+
+
+def test_marks_of_a_chunk_stay_rows_in_a_window(spark):
+    assert logs.ORDER_LINES <= int(spark.conf.get("spark.sql.windowExec.buffer.in.memory.threshold"))
+    lines = spark.createDataFrame([("f", 1, "BEGIN")], "file string, line_no long, line string")
+    assert str(logs.ORDER_LINES) in logs.cells(logs.log_marks(lines))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("width", [8, 4096])
+def test_piece_text_is_the_lines(spark, monkeypatch, width):
+    monkeypatch.setattr(views, "PIECE_LINES", width)
+    trx = spark.createDataFrame(
+        [(7, 1, 1, 0, 0, 17, 0, 3, 0, 0), (9, 1, 30, 12, 9, None, 8, 90, 82, 9), (90001, 1, 8, 8, 0, 4, 90000, 24, 147, 47),
+         (90002, 1, 5, 0, 2, 4, 90000, 200000, 216, 63)],
+        "xid long, log_no long, n_rows long, n_ins long, n_upd long, size long, last_committed long, secs long, pos long, base long")
+    monkeypatch.setattr(views, "_placed", lambda spark, sf_dir: trx)
+    pieces = views._line_pieces(spark, "")
+    texts = views._timed(pieces).select("first", views._piece_text().alias("text")).orderBy("first").collect()
+    lines = views._lines(spark, "").orderBy("line_no").collect()
+    assert [line for r in texts for line in r.text.split("\n")] == [r.line or "" for r in lines]
+    assert len(lines) == sum(n + 8 for n in (1, 30, 8, 5))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.ordered import bucketed_offset, exclusive_prefix
@@ -411,15 +411,16 @@ def landed_log(spark: SparkSession, sf_dir: str) -> LandedLog:
 def _log_files(spark: SparkSession, sf_dir: str) -> str:
     """Folder of compressed text files: the decoded log, a file per ``PART_LINES`` lines of a log.
 
-    Pieces of transactions are dealt out by the part they begin in and turned to text there, so no
-    text is shuffled and no task puts more than a few parts in order.
+    Pieces of transactions are dealt out by the part they begin in, put in order, and only then
+    turned to text, a value of many lines per piece: no text is shuffled or sorted.
     """
     def write(path: str) -> None:
-        pieces = _line_pieces(spark, sf_dir).withColumn("part", F.expr(f"lpad(string(first div {PART_LINES}), 12, '0')"))
+        pieces = (_line_pieces(spark, sf_dir).withColumn("part", F.expr(f"lpad(string(first div {PART_LINES}), 12, '0')"))
+                  .withColumn("file", F.concat(F.lit("binlog.00000"), F.col("log_no"))))
         upto = table(spark, sf_dir, "lineitem").count() + 8 * table(spark, sf_dir, "orders").count()
-        lines = _as_text(pieces.repartition(upto // PART_LINES + 2, "log_no", "part"), "part")
-        (lines.sortWithinPartitions("file", "part", "line_no").select("file", "part", F.col("line").alias("value"))
-         .write.partitionBy("file", "part").mode("overwrite").option("compression", "gzip").text(path))
+        placed = pieces.repartition(upto // PART_LINES + 2, "log_no", "part").sortWithinPartitions("file", "part", "first")
+        (_timed(placed).select("file", "part", _piece_text().alias("value"))
+         .write.partitionBy("file", "part").mode("overwrite").option("compression", "snappy").text(path))
     return _written(spark, sf_dir, "m7_text", write)
 
 
@@ -468,33 +469,59 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(_line_pieces(spark, sf_dir))
 
 
+def _timed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with the seconds their transactions begin (``t``) and end at (``e``)."""
+    return pieces.withColumns({"t": F.expr("xid % 86000"), "e": F.expr("xid % 86000 + secs")})
+
+
+def _stamp(at: str, day: str = "'240101'") -> str:
+    return (f"'#' || {day} || ' ' || lpad(string({at} % 86400 div 3600), 2, ' ') || ':' || "
+            f"lpad(string({at} div 60 % 60), 2, '0') || ':' || "
+            f"lpad(string({at} % 60), 2, '0') || ' server id 1  end_log_pos '")
+
+
+# Lines of a transaction.
+_HEAD = (
+    "'# at ' || pos",
+    _stamp("t") + " || (pos + 65) || ' CRC32 0x0 ' || chr(9) || 'GTID' || chr(9) || 'last_committed=' || last_committed"
+    " || chr(9) || 'sequence_number=' || xid",
+    "'BEGIN'", "'/*!*/;'", "'# at ' || (pos + 65)",
+    _stamp("t") + " || (pos + 100) || ' CRC32 0x0 ' || chr(9) || 'Table_map: `db`.`orders`'")
+_ROW_LINES = ("'### INSERT INTO `db`.`orders`'", "'### UPDATE `db`.`orders`'", "'### DELETE FROM `db`.`orders`'")
+_XID_LINE = (_stamp("e", "date_format(date_add(date '2024-01-01', int(e div 86400)), 'yyMMdd')")
+             + " || (pos + 65 + size) || ' CRC32 0x0 ' || chr(9) || 'Xid = ' || xid")
+_COMMIT_LINE = "'COMMIT/*!*/;'"
+
+
+def _piece_text() -> Column:
+    """All lines of a piece as one text; an unknown line is empty, as in a text file."""
+    def line(text: str) -> str:
+        return f"'\\n' || coalesce({text}, '')"
+
+    low, past = f"(k0 * {PIECE_LINES})", f"least((k0 + 1) * {PIECE_LINES}, n)"
+    ends = ("6", "6 + n_ins", "6 + n_ins + n_upd", "6 + n_rows")
+    rows = [f"repeat({line(text)}, int(greatest(0, least({past}, {last}) - greatest({low}, {first}))))"
+            for text, first, last in zip(_ROW_LINES, ends, ends[1:])]
+    return F.substring(F.expr(" || ".join([
+        f"case when k0 = 0 then {' || '.join(map(line, _HEAD))} else '' end", *rows,
+        f"case when {low} <= 6 + n_rows and 6 + n_rows < {past} then {line(_XID_LINE)} else '' end",
+        f"case when {past} = n then {line(_COMMIT_LINE)} else '' end"])), 2, 2**31 - 1)
+
+
 def _as_text(pieces: DataFrame, *keep: str) -> DataFrame:
     """The lines of pieces of transactions. The text comes out of a generator, so that the
     optimizer cannot paste its long expression into every later use of ``line``."""
     step = PIECE_LINES
-    numbered = (pieces
-                .withColumn("k", F.explode(F.expr(
-                    f"sequence(k0 * {step}, least(k0 * {step} + {step} - 1, n - 1))")))
-                .withColumn("t", F.expr("xid % 86000"))
-                .withColumn("e", F.expr("xid % 86000 + secs")))
-
-    def stamp(at: str, day: str = "'240101'") -> str:
-        return (f"'#' || {day} || ' ' || lpad(string({at} % 86400 div 3600), 2, ' ') || ':' || "
-                f"lpad(string({at} div 60 % 60), 2, '0') || ':' || "
-                f"lpad(string({at} % 60), 2, '0') || ' server id 1  end_log_pos '")
-    last_day = "date_format(date_add(date '2024-01-01', int(e div 86400)), 'yyMMdd')"
-    line = f"""case when k = 0 then '# at ' || pos
-     when k = 1 then {stamp('t')} || (pos + 65) || ' CRC32 0x0 ' || chr(9) || 'GTID'
-       || chr(9) || 'last_committed=' || last_committed || chr(9) || 'sequence_number=' || xid
-     when k = 2 then 'BEGIN' when k = 3 then '/*!*/;' when k = 4 then '# at ' || (pos + 65)
-     when k = 5 then {stamp('t')} || (pos + 100) || ' CRC32 0x0 ' || chr(9)
-       || 'Table_map: `db`.`orders`'
-     when k < 6 + n_ins then '### INSERT INTO `db`.`orders`'
-     when k < 6 + n_ins + n_upd then '### UPDATE `db`.`orders`'
-     when k < 6 + n_rows then '### DELETE FROM `db`.`orders`'
-     when k = 6 + n_rows then {stamp('e', last_day)} || (pos + 65 + size) || ' CRC32 0x0 ' || chr(9)
-       || 'Xid = ' || xid
-     else 'COMMIT/*!*/;' end"""
+    numbered = _timed(pieces.withColumn("k", F.explode(F.expr(
+        f"sequence(k0 * {step}, least(k0 * {step} + {step} - 1, n - 1))"))))
+
+    head = " ".join(f"when k = {k} then {text}" for k, text in enumerate(_HEAD))
+    line = f"""case {head}
+     when k < 6 + n_ins then {_ROW_LINES[0]}
+     when k < 6 + n_ins + n_upd then {_ROW_LINES[1]}
+     when k < 6 + n_rows then {_ROW_LINES[2]}
+     when k = 6 + n_rows then {_XID_LINE}
+     else {_COMMIT_LINE} end"""
     return numbered.select(F.concat(F.lit("binlog.00000"), F.col("log_no")).alias("file"),
                            (F.col("base") + F.col("k") + 1).alias("line_no"), *keep,
                            F.explode(F.array(F.expr(line))).alias("line"))
