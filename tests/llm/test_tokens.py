@@ -1,6 +1,7 @@
 """BPE round trip and token files against the tokenizers library; the perfect hash alone."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -136,3 +137,16 @@ def test_words_share_texts_and_capital_dotted_i(monkeypatch):
     assert [known[w] for w in words] == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(
         words, add_special_tokens=False)]
     assert vocab.payloads(tokenizer, texts) == coded
+
+
+def test_small_letters_skip_normal_forms_that_do_nothing():
+    tokenizer = open(vocab.WORD_BPE, encoding="utf-8").read()
+    assert vocab._for_plain(tokenizer).normalizer is None
+    texts = ["Été ÇA né. naïve, ÿÿ!", "plain words aa", ""]
+    changed = json.loads(tokenizer)
+    changed["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "aa"}, "content": "é"})
+    for own in (tokenizer, json.dumps(changed)):
+        for kept in vocab._known(own):
+            kept.clear()
+        assert vocab.payloads(own, texts) == [np.array(e.ids, "<u4").tobytes() for e in vocab.load(own).encode_batch_fast(
+            texts, add_special_tokens=False)]
