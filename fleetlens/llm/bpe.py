@@ -152,16 +152,22 @@ def _word_ids(answers: pa.Table, buckets: np.ndarray) -> list[bytes]:
     return table
 
 
-def _spelled(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+def _spelled(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The texts that runs of ids spell: ids meet the table of pieces by number, and what they
-    spell lies one behind the other."""
+    spell lies one behind the other. Where all of it is UTF-8, that is the result as it lies there."""
     if not len(ids):
-        return [""] * (len(ends) - 1)
+        return pa.array([""] * (len(ends) - 1), pa.string())
     joined = pieces.take(pa.array(ids))
     _, offsets, content = joined.buffers()
-    starts = np.frombuffer(offsets, np.int32)[joined.offset:joined.offset + len(joined) + 1][ends].tolist()
-    raw = memoryview(content)
-    return [str(raw[a:b], "utf-8", "replace") for a, b in zip(starts, starts[1:])]
+    starts = np.frombuffer(offsets, np.int32)[joined.offset:joined.offset + len(joined) + 1][ends]
+    del joined, offsets
+    texts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), content)
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        raw, bounds = memoryview(content), starts.tolist()
+        return pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(bounds, bounds[1:])], pa.string())
 
 
 def _assembler(tokenizer: Broadcast, decoded: bool) -> Callable:
@@ -173,17 +179,19 @@ def _assembler(tokenizer: Broadcast, decoded: bool) -> Callable:
         table = zlib.decompress(docs.column("numbers")[is_doc.index(False)].as_py())
         word_ids = _word_ids(answers, np.frombuffer(table, np.uint16))
         rows = docs.filter(docs.column("is_doc"))
-        out_ids = []
+        parts, sizes = [], []
         for n, packed in zip(rows.column("n").to_pylist(), rows.column("numbers")):
             own = _unpack(packed.as_py(), n).tolist() if n else []
-            out_ids.append(np.frombuffer(b"".join(map(word_ids.__getitem__, own)), "<u4"))
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in out_ids]))).astype(np.int32)
-        flat = np.concatenate(out_ids).astype(np.int32) if out_ids else np.array([], np.int32)
+            parts.append(b"".join(map(word_ids.__getitem__, own)))
+            sizes.append(len(parts[-1]) // 4)
+        del word_ids
+        ends = np.cumsum([0, *sizes]).astype(np.int32)
+        flat = np.frombuffer(b"".join(parts), np.int32)
+        del parts
         texts = (_spelled(pa.array(vocab.byte_pieces(tokenizer.value), pa.binary()), flat, ends) if decoded
-                 else [None] * len(out_ids))
+                 else pa.nulls(len(sizes), pa.string()))
         return pa.table([rows.column("doc_id").combine_chunks(),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                         pa.array(texts, pa.string())], schema=_OUT)
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), texts], schema=_OUT)
     return assemble
 
 
@@ -221,7 +229,7 @@ def _decoder(tokenizer: Broadcast) -> Callable:
             runs = [np.array(ids or [], np.int32) for ids in batch.column(1).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int32)
             texts = _spelled(pieces, np.concatenate([np.zeros(0, np.int32), *runs]), ends)
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())],
+            yield pa.record_batch([batch.column(0), texts],
                                   names=["doc_id", "text"])
     return decode_rows
 

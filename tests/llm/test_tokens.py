@@ -5,6 +5,7 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -150,3 +151,11 @@ def test_small_letters_skip_normal_forms_that_do_nothing():
             kept.clear()
         assert vocab.payloads(own, texts) == [np.array(e.ids, "<u4").tobytes() for e in vocab.load(own).encode_batch_fast(
             texts, add_special_tokens=False)]
+
+
+def test_texts_lie_where_they_are_spelled_unless_they_are_no_utf8():
+    pieces = pa.array([b"a", "é".encode(), "é".encode()[:1], "é".encode()[1:]], pa.binary())
+    for ids, ends, expected in (([0, 1, 2, 3], [0, 2, 2, 4], ["aé", "", "é"]), ([2, 3, 0], [0, 1, 3], ["\ufffd", "\ufffda"]),
+                                ([], [0, 0], [""]), ([], [0], [])):
+        found = bpe._spelled(pieces, np.array(ids, np.int32), np.array(ends, np.int32))
+        assert isinstance(found, pa.Array) and found.to_pylist() == expected
