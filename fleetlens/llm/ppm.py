@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,8 @@ ORDER = 5
 #: Byte values and the end of a document.
 ALPHABET = 257
 END_SYMBOL = 256
-#: Steps and words with at least this part of all counts have their prices at hand on every
-#: executor (16 bytes a step, 24 a word), so there are no more of them than this; all
-#: others are joined.
+#: So many of the commonest steps and words at most have their prices at hand on every executor
+#: (16 bytes a step, 24 a word); all others are joined.
 KEPT_STEPS = 1 << 21
 KEPT_WORDS = 1 << 18
 #: Words whose places a task remembers; full, it starts again, which costs time only.
@@ -31,6 +31,8 @@ END = " "
 #: Distinct keys gathered in a task before they are handed on, and bytes numbered at a time.
 _GATHER = 400_000
 _STEPS_AT_ONCE = 1 << 22
+#: Bytes and number of the documents that are scored together: what they share is looked up once.
+_SCORED_AT_ONCE, _DOCUMENTS_AT_ONCE = 1 << 18, 4096
 
 _SYMBOL_BITS = 9
 
@@ -216,14 +218,18 @@ class _Hand:
         spot = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return np.where(table[spot] == keys, spot, -1)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.met]
+    def places(self, words: list[list[bytes]]) -> np.ndarray:
+        """Places of the words of some documents, one behind the other."""
+        new = set().union(*words).difference(self.met)
         if len(self.met) + len(new) > _MET_WORDS:
             self.met.clear()
-            new = list(set(words))
+            new = set().union(*words)
         keys = np.fromiter(map(_word_key, new), np.int64, len(new))
-        self.met.update(zip(new, self._find(self.words, keys).tolist()))
-        return np.fromiter(map(self.met.__getitem__, words), np.int64, len(words))
+        turn = np.argsort(keys)
+        found = np.empty(len(new), np.int64)
+        found[turn] = self._find(self.words, keys[turn])
+        self.met.update(zip(new, found.tolist()))
+        return np.fromiter(map(self.met.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
 
     def step_places(self, taken: np.ndarray) -> np.ndarray:
         return self._find(self.steps, taken)
@@ -257,7 +263,7 @@ def _scorer(kept: Broadcast) -> Callable:
                 sizes = [len(o[2]) for o in others]
                 none = pa.nulls(sum(sizes))
                 yield pa.record_batch(
-                    [pa.array(np.repeat([o[0] for o in others], sizes), pa.int64()), none.cast(pa.int64()),
+                    [pa.array(np.concatenate([o[0] for o in others]), pa.int64()), none.cast(pa.int64()),
                      pa.array(np.repeat([o[1] for o in others], sizes), pa.bool_()),
                      pa.array(np.concatenate([o[2] for o in others])), pa.array(np.concatenate([o[3] for o in others])),
                      none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())],
@@ -265,34 +271,74 @@ def _scorer(kept: Broadcast) -> Callable:
             sums.clear()
             others.clear()
 
+        def together(ids: list, words: list[list[bytes]]) -> int:
+            """Score some documents; how many keys of them are not at hand."""
+            n, away = len(ids), 0
+            places = hand.places(words)
+            of = np.repeat(np.arange(n), list(map(len, words)))
+            there = places >= 0
+            known = np.bincount(of[there], minlength=n) + end[0]
+            base = np.bincount(of[there], hand.figures[places[there], 1], n) + end[1]
+            own = [steps(w) for w in words]
+            taken, by = np.concatenate(own), np.repeat(np.arange(n), list(map(len, own)))
+            total = np.zeros(n)
+            for at in range(0, len(taken), _STEPS_AT_ONCE):
+                # Distinct steps in order: fewer of them to look up, and near each other in the table.
+                keys, which = np.unique(taken[at:at + _STEPS_AT_ONCE], return_inverse=True)
+                docs, spot = by[at:at + _STEPS_AT_ONCE], hand.step_places(keys)
+                price = np.zeros(len(keys))
+                price[spot >= 0] = hand.step_prices[spot[spot >= 0]]
+                total += np.bincount(docs, price[which], n)
+                missed = np.flatnonzero((spot < 0)[which])
+                pairs, times = np.unique(docs[missed] * len(keys) + which[missed], return_counts=True)
+                others.append((row + pairs // len(keys), True, keys[pairs % len(keys)], times))
+                away += len(pairs)
+            sums.extend(zip(range(row, row + n), ids, [len(w) + 1 for w in words], known.astype(np.int64).tolist(),
+                            base.tolist(), total.tolist()))
+            if len(missed := np.flatnonzero(~there)):
+                every = list(chain.from_iterable(words))
+                met = Counter(zip(of[missed].tolist(), map(every.__getitem__, missed.tolist())))
+                others.append((np.fromiter((row + d for d, _ in met), np.int64, len(met)), False,
+                               np.fromiter((_word_key(w) for _, w in met), np.int64, len(met)),
+                               np.fromiter(met.values(), np.int64, len(met))))
+                away += len(met)
+            return away
+
+        ids: list = []
+        words: list[list[bytes]] = []
+        size = 0
         for batch in batches:
             for doc_id, raw in zip(batch.column("doc_id"), batch.column("raw")):
-                words = raw.as_py().translate(LOWER_ASCII).split()
-                places = hand.places(words)
-                known, base = hand.figures[places[places >= 0]].sum(0) + end
-                total = 0.0
-                for taken in np.array_split(own := steps(words), -(-len(own) // _STEPS_AT_ONCE)):
-                    # Distinct steps in order: fewer of them to look up, and near each other in the table.
-                    keys, times = np.unique(taken, return_counts=True)
-                    spot = hand.step_places(keys)
-                    there = spot >= 0
-                    total += float(hand.step_prices[spot[there]] @ times[there])
-                    others.append((row, True, keys[~there], times[~there]))
-                    waiting += len(others[-1][2])
-                sums.append((row, doc_id.as_py(), len(words) + 1, int(known), base, total))
-                if len(away := np.flatnonzero(places < 0)):
-                    met = Counter([words[i] for i in away.tolist()])
-                    others.append((row, False, np.fromiter(map(_word_key, met), np.int64, len(met)),
-                                   np.fromiter(met.values(), np.int64, len(met))))
-                    waiting += len(met)
-                row += 1
-                if waiting > _GATHER:
-                    yield from rows()
-                    waiting = 0
+                raw = raw.as_py()
+                if ids and (size + len(raw) > _SCORED_AT_ONCE or len(ids) == _DOCUMENTS_AT_ONCE):
+                    waiting += together(ids, words)
+                    row += len(ids)
+                    ids, words, size = [], [], 0
+                    if waiting > _GATHER:
+                        yield from rows()
+                        waiting = 0
+                ids.append(doc_id.as_py())
+                words.append(raw.translate(LOWER_ASCII).split())
+                size += len(raw)
+        if ids:
+            together(ids, words)
         yield from rows()
     return score
 
 
+def _commonest(counted: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest ``n``, no more than ``most`` of them and without a part of those of
+    equal size: sizes are told apart in steps of an eighth."""
+    size = F.floor(8 * F.log2("n")).cast("int")
+    room, smallest = most, None
+    for row in counted.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        smallest = row["size"]
+    return counted.filter(F.lit(smallest is not None) & (size >= (smallest or 0)))
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
@@ -322,13 +368,11 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     priced = stage(prices(stage(marked.mapInArrow(_step_counts, "step long, n long").groupBy("step").agg(
         F.sum("n").alias("n")), "steps")), "prices")
     known_words = words.filter((F.col("n") > 0) & (F.col("word") != END))
-    often = known_words.filter(F.col("n") * KEPT_WORDS >= total).select(F.xxhash64("word").alias("key"), "n").toArrow()
+    often = _commonest(known_words, KEPT_WORDS).select(F.xxhash64("word").alias("key"), "n").toArrow()
     order = np.argsort(often.column("key").to_numpy())
     counts = often.column("n").to_numpy()[order]
     figures = np.stack([np.ones(len(counts)), np.log10((counts + 1) / base)], 1)
-    all_steps = priced.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    taken = priced.filter((F.col("n") > 0) & (F.col("n") * KEPT_STEPS >= all_steps)).select(
-        "step", "price").toArrow()
+    taken = _commonest(priced.filter("n > 0"), KEPT_STEPS).select("step", "price").toArrow()
     turn = np.argsort(taken.column("step").to_numpy())
     kept = spark.sparkContext.broadcast((
         (often.column("key").to_numpy()[order], figures, taken.column("step").to_numpy()[turn],

@@ -305,3 +305,20 @@ def test_pipeline_runs_on_odd_tables(spark, tmp_path):
                         ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
         table.write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2
+
+
+def test_ppm_rare_steps_are_at_hand_while_there_is_room(spark, monkeypatch):
+    texts = {2: "z" * 2000, 3: "abc def ghi"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    staged = {}
+    monkeypatch.setattr(ppm, "stage", lambda df, name: staged.setdefault(name, common.stage(df, name)))
+    monkeypatch.setattr(ppm, "KEPT_STEPS", 50)
+    monkeypatch.setattr(ppm, "KEPT_WORDS", 50)
+    _check_ppm(ppm.score_documents(docs).collect(), texts)
+    assert staged["parts"].filter("is_step is not null").count() == 0
+    monkeypatch.setattr(ppm, "_SCORED_AT_ONCE", 1)
+    monkeypatch.setattr(ppm, "KEPT_STEPS", 1)
+    _check_ppm(ppm.score_documents(docs).collect(), texts)
+    counted = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 5, 1, 1, 1])], "key long, n long")
+    assert [ppm._commonest(counted, most).count() for most in (0, 1, 2, 3, 5, 6, 9)] == [0, 0, 2, 3, 3, 6, 6]
+    assert ppm._commonest(counted.filter("false"), 9).count() == 0
