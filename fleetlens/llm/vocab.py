@@ -51,7 +51,7 @@ def byte_pieces(text: str) -> list[bytes]:
     pieces = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     return [added.get(i) or bytes(byte_of[c] for c in p) for i, p in enumerate(pieces)]
 
-#: Words whose ids a worker process keeps; full, it starts again, which costs time only.
+#: Words whose ids a worker process keeps; beyond, those of the last texts stay, which costs time only.
 _KEPT_WORDS = 300_000
 _WORD = re.compile(f"[^{_SPACE}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -137,10 +137,8 @@ def payloads(text: str, documents: list[str]) -> list[bytes]:
     words that differ in the case of Latin letters or in the marks behind them share the work."""
     known, cores = _known(text)
     words = [_split(d) for d in documents]
-    for kept in (known, cores):
-        if len(kept) > _KEPT_WORDS:
-            kept.clear()
-    fresh = list(set().union(*words).difference(known))
+    every = set().union(*words)
+    fresh = list(every.difference(known))
     stems, marks = [], []
     for word in fresh:
         core = word.rstrip(_MARKS)
@@ -150,6 +148,13 @@ def payloads(text: str, documents: list[str]) -> list[bytes]:
         else:
             stems.append(word)
             marks.append("")
-    _encode_into(text, cores, list(set(stems).union(marks).difference(cores, ("",))))
+    parts = set(stems).union(marks).difference(("",))
+    _encode_into(text, cores, list(parts.difference(cores)))
     known.update(zip(fresh, [cores[s] + cores[m] if m else cores[s] for s, m in zip(stems, marks)]))
-    return [b"".join(map(known.__getitem__, own)) for own in words]
+    found = [b"".join(map(known.__getitem__, own)) for own in words]
+    for kept, used in ((known, every), (cores, parts)):
+        if len(kept) > _KEPT_WORDS:
+            last = {word: kept[word] for word in used}
+            kept.clear()
+            kept.update(last)
+    return found

@@ -159,3 +159,16 @@ def test_texts_lie_where_they_are_spelled_unless_they_are_no_utf8():
                                 ([], [0, 0], [""]), ([], [0], [])):
         found = bpe._spelled(pieces, np.array(ids, np.int32), np.array(ends, np.int32))
         assert isinstance(found, pa.Array) and found.to_pylist() == expected
+
+
+def test_words_of_the_last_texts_stay_when_there_are_too_many(monkeypatch):
+    tokenizer = open(vocab.WORD_BPE, encoding="utf-8").read()
+    known, cores = vocab._known(tokenizer)
+    known.clear(), cores.clear()
+    monkeypatch.setattr(vocab, "_KEPT_WORDS", 3)
+    for texts in (["one two. Three", "four"], ["two. five!", "six seven"], ["two. SIX"], [""]):
+        assert vocab.payloads(tokenizer, texts) == [np.array(e.ids, "<u4").tobytes() for e in vocab.load(tokenizer)
+                                                    .encode_batch_fast(texts, add_special_tokens=False)]
+        if len(texts) == 2:
+            assert set(known) == set(" ".join(texts).split())
+    known.clear(), cores.clear()
