@@ -1,18 +1,7 @@
-"""Line dedup by an exact set-similarity join.
-
-The texts are split into words and ordered in Arrow batches: with DataFrame functions alone this took
-over twice the time that the operator may take (README). The joins are DataFrame operations.
-"""
+"""Line dedup by an exact set-similarity join. DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,204 +12,141 @@ RARITY_BUCKETS = 1 << 18
 #: Removed line numbers (8 bytes each) up to which they are sent to all executors; beyond, the
 #: same join shuffles the texts.
 BROADCAST_NUMBERS = 8_000_000
-#: Bytes of the set filter that thins a scan before an exact join.
-FILTER_BYTES = 1 << 20
-#: In the first round a line meets so many of the earliest lines that share a key and have as many
-#: words; in the second, lines that are left meet all.
-EARLIEST = 4
-#: Words and lines that a task remembers; full, it starts again, which costs time only.
-_KEPT_WORDS, _KEPT_LINES = 200_000, 20_000
-
-
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's number of words in each bucket."""
-    def note() -> None:
-        at = np.fromiter((_hash(w) % RARITY_BUCKETS for w in counts), np.int64, len(counts))
-        np.add.at(total, at, np.fromiter(counts.values(), np.int64, len(counts)))
-        counts.clear()
-
-    counts: Counter = Counter()
-    total = np.zeros(RARITY_BUCKETS, np.int64)
-    for batch in batches:
-        for raw in batch.column("raw"):
-            counts.update((raw.as_py() or b"").split())
-            if len(counts) > _KEPT_WORDS:
-                note()
-    note()
-    found = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["at", "n"])
-
-
-def _rarity(texts: DataFrame) -> np.ndarray:
-    """Level (1 to 120) of every bucket, by the number of its words in all texts; the table has a
-    fixed size."""
-    counts = texts.mapInArrow(_word_counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    levels = np.ones(RARITY_BUCKETS, np.int64)
-    n = counts.column("n").to_numpy()
-    levels[counts.column("at").to_numpy()] = np.minimum(120, 1 + np.floor(np.log(n) / np.log(1.2)))
-    return levels
-
-
-def _keys(levels: np.ndarray, words: list[bytes], known: dict[bytes, int]) -> None:
-    """Put the keys of new words into ``known``: rarity level, then 56 bits of the hash."""
-    if len(known) > _KEPT_WORDS:
-        known.clear()
-    for word in words:
-        if word not in known:
-            h = _hash(word)
-            known[word] = int(levels[h % RARITY_BUCKETS]) << 56 | h & (1 << 56) - 1
-
-
-def _described(keys: list[int]) -> tuple:
-    """Class, size, parity and prefix (32 bits of each key) of a set of words, rarest first."""
-    n = len(keys)
-    packed = np.array(keys, np.int64)
-    cls = xxhash.xxh3_64_intdigest(packed.tobytes())
-    ones = np.bincount(packed & 63, minlength=64) & 1
-    parity = int(np.packbits(ones.astype(np.uint8)).view(np.int64)[0])
-    return cls - (1 << 64) * (cls >> 63), n, parity, packed[:n - (4 * n + 4) // 5 + 1].astype(np.int32)
-
-
-def _line_rows(shared: Broadcast) -> Callable:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, known, lines = shared.value, {}, {}
-        for batch in batches:
-            place: list[list] = [[], [], []]
-            found: list[tuple] = []
-            for doc_id, sig, raw in zip(*(batch.column(c) for c in ("doc_id", "sig", "raw"))):
-                doc_id, sig = doc_id.as_py(), sig.as_py()
-                for line_no, line in enumerate((raw.as_py() or b"").split(b"\n")):
-                    told = lines.get(line)
-                    if told is None:
-                        words = line.split()
-                        if not words:
-                            continue
-                        _keys(levels, words, known)
-                        told = _described(sorted(set(map(known.__getitem__, words))))
-                        if len(lines) > _KEPT_LINES:
-                            lines.clear()
-                        lines[line] = told
-                    found.append(told)
-                    for column, value in zip(place, (doc_id, sig, line_no)):
-                        column.append(value)
-            if not found:
-                continue
-            ends = np.cumsum([0, *(len(f[3]) for f in found)])
-            yield pa.record_batch(
-                [pa.array(place[0], pa.int64()), pa.array(place[1], pa.int64()), pa.array(place[2], pa.int32()),
-                 pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
-                 pa.array([f[2] for f in found], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f[3] for f in found])))],
-                names=["doc_id", "sig", "line_no", "cls", "n", "parity", "prefix"])
-    return rows
-
-
-def _spots(doc_id: np.ndarray, sig: np.ndarray, line_no: np.ndarray) -> np.ndarray:
-    """Bit of the set filter that a line's place stands for."""
-    with np.errstate(over="ignore"):
-        mixed = (doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ sig.astype(np.uint64)) \
-            + line_no.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed ^ mixed >> np.uint64(32)) % np.uint64(8 * FILTER_BYTES)
-
-
-def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's places as one filter."""
-    held = np.zeros(8 * FILTER_BYTES, bool)
-    for batch in batches:
-        ids = batch.column("doc_id").fill_null(0).to_numpy()
-        held[_spots(ids, batch.column("sig").to_numpy(), batch.column("line_no").to_numpy())] = True
-    bits = np.packbits(held).view(np.int64)
-    at = np.flatnonzero(bits)
-    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(bits[at])], names=["at", "bits"])
-
-
-def _filter(asked: DataFrame) -> np.ndarray:
-    """A set filter of fixed size over places: what is not in it was not asked for."""
-    found = asked.mapInArrow(_filter_parts, "at int, bits long").groupBy("at").agg(
-        F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BYTES // 8, np.int64)
-    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return bits.view(np.uint8)
-
-
-def _asked_words(shared: Broadcast) -> Callable:
-    """Word hashes of the lines that the filter lets through."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, levels, known = *shared.value, {}
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc_id, sig, raw in zip(*(batch.column(c) for c in ("doc_id", "sig", "raw"))):
-                doc_id, sig, lines = doc_id.as_py(), sig.as_py(), (raw.as_py() or b"").split(b"\n")
-                numbers = np.arange(len(lines))
-                spots = _spots(np.full(len(lines), doc_id or 0), np.full(len(lines), sig), numbers)
-                held = bits[(spots >> np.uint64(3)).astype(np.int64)] >> (7 - (spots & np.uint64(7))).astype(np.uint8) & 1
-                for line_no in numbers[held == 1].tolist():
-                    words = lines[line_no].split()
-                    if words:
-                        _keys(levels, words, known)
-                        for column, value in zip(out, (doc_id, sig, line_no, sorted(set(map(known.__getitem__, words))))):
-                            column.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                                   pa.array(out[3], pa.list_(pa.int64()))], names=["doc_id", "sig", "line_no", "words"])
-    return rows
-
-
-_NEAR = """y.no < x.no and 5 * y.n >= 4 * x.n and 5 * x.n >= 4 * y.n
- and least(x.n - x.pos, y.n - y.pos) >= (4 * (x.n + y.n) + 8) div 9
- and bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)"""
-
-
-def _met(x: DataFrame, y: DataFrame, more: str = "true") -> DataFrame:
-    """Pairs (x, y) of lines and earlier lines that share a key and may be similar, per key.
-
-    Sizes, the place of the shared word in both prefixes, and parities (of words per hash value
-    of six bits: at most one of 64 changes with each word that differs) rule out the rest.
+#: Lines to be verified up to which their places are sent to all executors; beyond, as above.
+BROADCAST_PLACES = 2_000_000
+#: In the first round a line meets so many of the earliest lines that share one of so many rarest
+#: words and have as many words; in the second, lines that are left meet all.
+EARLIEST, RAREST = 4, 3
+#: Words up to which a line's parity has 64 bits; beyond, 128.
+NARROW = 60
+#: Smaller sets are similar to no other set.
+LEAST = 4
+
+
+def _plain(text: Column) -> Column:
+    """The text with blanks for all white space but line feeds. Blanks alone are split without a
+    pattern, in a third of the time."""
+    odd = [F.contains(text, F.lit(c)) for c in "\t\v\f\r"]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(text, "\t\v\f\r", "    ")).otherwise(text)
+
+
+def _hashes(line: Column) -> Column:
+    """Hashes of the words of a line."""
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+
+
+def _rarity(texts: DataFrame) -> DataFrame:
+    """One row, the level (1 to 120) of every bucket by the number of its words in all texts, in the
+    highest bits of a long; it has a fixed size."""
+    words = texts.select(F.explode(F.split(F.replace(F.col("plain"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).alias("id")).count()
+    level = F.coalesce(F.least(F.lit(120), F.lit(1) + F.floor(F.log("count") / F.log(F.lit(1.2)))), F.lit(1))
+    cells = texts.sparkSession.range(RARITY_BUCKETS).join(counts, "id", "left").select(
+        F.struct("id", F.shiftleft(level.cast("long"), 56).alias("level")).alias("cell"))
+    return stage(cells.agg(F.transform(F.array_sort(F.collect_list("cell")), lambda c: c["level"]).alias("levels")),
+                 "rarity")
+
+
+def _keys(line: Column, levels: Column) -> Column:
+    """The distinct words as 63-bit keys, rarest first: level, then 56 bits of the hash."""
+    def key(h: Column) -> Column:
+        # Never NULL, so that the keys are sorted as plain numbers.
+        level = F.coalesce(F.get(levels, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0))
+        return level.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    return F.sort_array(F.array_distinct(F.transform(_hashes(line), key)))
+
+
+def _line_sets(texts: DataFrame, levels: DataFrame) -> DataFrame:
+    """Every line with words: its place, the class (hash of its set of words), size, parity and prefix (32 bits of
+    each key).
+
+    Parities are of words per hash value of seven bits, those of NARROW words and less folded to six.
     """
-    return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(f"{_NEAR} and {more}")).select(
+    split = texts.select("doc_id", "sig", F.posexplode(F.split("plain", "\n")).alias("line_no", "line")).filter(
+        F.trim("line") != "")
+    # The scalar ends up inside the expression, so the table is in no row.
+    keys = split.withColumn("levels", levels.scalar()).select(
+        "doc_id", "sig", "line_no", _keys(F.col("line"), F.col("levels")).alias("keys"))
+    odd = "aggregate(keys, 0L, (p, k) -> p ^ shiftleft({}, cast(k & 63 as int)))"
+    return keys.select(
+        "doc_id", "sig", "line_no", F.xxhash64("keys").alias("cls"), F.size("keys").alias("n"),
+        F.expr(odd.format("1L")).alias("parity"),
+        F.expr(f"case when size(keys) > {NARROW} then {odd.format('shiftright(k, 6) & 1L')} else 0L end").alias("wide"),
+        F.expr("transform(slice(keys, 1, size(keys) - (4 * size(keys) + 4) div 5 + 1), "
+               "k -> cast((k & 4294967295) - 2147483648 as int))").alias("prefix"))
+
+
+_N, _POS = ("shiftright({0}.at, 33)", "(shiftright({0}.at, 2) & 2147483647)")
+_XN, _YN = _N.format("x"), _N.format("y")
+_SHARED = f"((4 * ({_XN} + {_YN}) + 8) div 9)"
+# Whether x is open and y's one are compared together, or the test would go before the exchange.
+_NEAR = f"""y.no < x.no and 5 * {_YN} >= 4 * {_XN} and 5 * {_XN} >= 4 * {_YN} and (shiftright(x.at, 1) & y.at & 1) = 1
+ and least({_XN} - {_POS.format("x")}, {_YN} - {_POS.format("y")}) >= {_SHARED}
+ and case when {_XN} > {NARROW} and {_YN} > {NARROW}
+     then bit_count(x.parity ^ x.wide ^ y.parity ^ y.wide) + bit_count(x.wide ^ y.wide)
+     else bit_count(x.parity ^ y.parity) end <= {_XN} + {_YN} - 2 * {_SHARED}"""
+
+
+def _met(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+    """Pairs (x, y) of open lines and earlier lines that share a key and may be similar, per key.
+
+    Sizes, the place of the shared word in both prefixes, and parities (at most one bit of them
+    changes with each word that differs) rule out the rest.
+    """
+    same = " and ".join(f"x.{c} = y.{c}" for c in on)
+    return x.alias("x").join(y.alias("y"), F.expr(f"{same} and {_NEAR}")).select(
         F.col("x.no").alias("x"), F.col("y.no").alias("y"))
 
 
-def _index(sets: DataFrame, *more: str) -> DataFrame:
-    """A row per class and key of its prefix."""
-    return sets.select("no", "n", "parity", *more, F.posexplode("prefix").alias("pos", "key"))
+def _index(sets: DataFrame, prefix: Column, open_: Column) -> DataFrame:
+    """A row per class and key of its prefix. ``at`` holds the size, the place of the key, whether the
+    line is open, and a one."""
+    rows = sets.filter(F.col("n") >= LEAST).select("no", "n", "parity", "wide", open_, F.posexplode(prefix).alias("pos", "key"))
+    return rows.select("key", "no", "parity", "wide", F.expr(
+        "shiftleft(cast(n as long), 33) | shiftleft(cast(pos as long), 2) | open * 2 | 1").alias("at"))
 
 
 def _with_all(sets: DataFrame, found: DataFrame) -> DataFrame:
     """Distinct pairs of the lines that are not found yet with all earlier ones they may be similar to.
-
-    Whether a line is open is compared with a column of ones of the other side, and the other way
-    round, so both sides are the same rows in one exchange, which skewed keys are split in.
-    """
+    Both sides are the same rows in one exchange, which skewed keys are split in."""
     marked = stage(sets.join(found.select(F.col("x").alias("no"), F.lit(True).alias("late")), "no", "left").select(
-        "no", "n", "parity", "prefix", F.col("late").isNull().cast("int").alias("open"), F.lit(1).alias("one")), "open")
-    index = _index(marked, "open", "one")
-    return _met(index, index, "x.open >= y.one and y.open <= x.one").distinct()
+        "no", "n", "parity", "wide", "prefix", F.col("late").isNull().cast("int").alias("open")), "open")
+    index = _index(marked, F.col("prefix"), F.col("open"))
+    return _met(index, index, "key").distinct()
 
 
-def _with_earliest(index: DataFrame) -> DataFrame:
-    """Of the four earliest lines of each of its keys that have as many words, the earliest one that
-    each line may be similar to. Half of the keys do for this round: similar lines share many, and
-    what it misses the next one finds. Both sides come from one exchange (so the sizes are compared
-    as a range, not as a key)."""
-    dealt = index.filter(F.col("key") % 2 == 0).repartition("key")
+def _with_earliest(sets: DataFrame) -> DataFrame:
+    """Of the four earliest lines of each of its rarest words that have as many words, the earliest one
+    that each line may be similar to. Three words do for this round: similar lines share most, and
+    what it misses the next one finds. Both sides come from one exchange."""
+    dealt = _index(sets, F.slice("prefix", 1, RAREST), F.lit(1).alias("open")).withColumn(
+        "n", F.shiftright("at", 33)).repartition("key", "n")
     order = Window.partitionBy("key", "n").orderBy("no")
     first = dealt.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= EARLIEST).drop("turn")
-    return _met(dealt, first, "y.n <= x.n and y.n >= x.n").groupBy("x").agg(F.min("y").alias("y"))
+    return _met(dealt, first, "key", "n").groupBy("x").agg(F.min("y").alias("y"))
 
 
 def _numbered(classes: DataFrame) -> DataFrame:
-    """(cls, id, first, no): classes numbered in the order of their first places, without one task
-    that sorts them all."""
+    """Classes numbered (``no``) in the order of their first places, without one task that sorts
+    them all."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return classes.repartitionByRange(parts, "first").sortWithinPartitions("first").withColumn(
         "no", F.monotonically_increasing_id())
 
 
+def _words_of(asked: DataFrame, texts: DataFrame, levels: DataFrame) -> DataFrame:
+    """(no, words) of the asked lines (no, doc_id, sig, line_no), out of the texts."""
+    wanted = asked.groupBy(F.col("doc_id").alias("id"), F.col("sig").alias("of")).agg(
+        F.collect_list(F.struct("line_no", "no")).alias("asked"))
+    wanted = F.broadcast(wanted) if asked.count() <= BROADCAST_PLACES else wanted
+    met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sig") == F.col("of")))
+    # Split once a text: what a generator makes is not copied into the expression below.
+    split = met.select("asked", F.explode(F.array(F.split("plain", "\n"))).alias("lines"))
+    spelt = split.select(F.explode(F.transform("asked", lambda a: F.struct(
+        a["no"].alias("no"), F.get("lines", a["line_no"]).alias("line")))).alias("s"))
+    return spelt.withColumn("levels", levels.scalar()).select("s.no", _keys(F.col("s.line"), F.col("levels")).alias("words")).dropDuplicates(["no"])
+
+
 def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
                    text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, classes, preceded): every line with words as (doc_id, sig, line_no, cls), the
@@ -235,26 +161,19 @@ def preceded_lines(docs: DataFrame, doc_id: str = "doc_id",
     second round compares what is left with all. Words are told apart by 56 bits of their hash and
     the rarity level.
     """
-    spark = docs.sparkSession
-    texts = keyed(docs, doc_id, text).select("doc_id", "sig", F.col("text").cast("binary").alias("raw"))
+    texts = keyed(docs, doc_id, text).select("doc_id", "sig", _plain(F.col("text")).alias("plain"))
     levels = _rarity(texts)
-    shared = spark.sparkContext.broadcast(levels)
-    rows = texts.mapInArrow(_line_rows(shared), "doc_id long, sig long, line_no int, cls long, n int, parity long, "
-                            "prefix array<int>")
-    lines = stage(rows.withColumn("id", F.monotonically_increasing_id()), "lines")
-    place = F.struct("doc_id", "sig", "line_no")
-    classes = stage(_numbered(lines.groupBy("cls").agg(F.min("id").alias("id"), F.min(place).alias("first"))), "classes")
-    sets = stage(lines.join(classes.select("cls", "id", "no"), ["cls", "id"]).select("no", "n", "parity", "prefix"), "sets")
+    lines = stage(_line_sets(texts, levels), "lines")
+    told = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "sig", "line_no", "n", "parity", "wide", "prefix")).alias("m"))
+    sets = stage(_numbered(told.select("cls", F.struct("m.doc_id", "m.sig", "m.line_no").alias("first"), "m.n", "m.parity",
+                                       "m.wide", "m.prefix")), "sets")
+    classes = sets.select("cls", "no", "first")
     found = None
     for _ in range(2):
-        pairs = stage(_with_earliest(_index(sets)) if found is None else _with_all(sets, found), "pairs")
+        pairs = stage(_with_earliest(sets) if found is None else _with_all(sets, found), "pairs")
         asked = stage(pairs.select(F.col("x").alias("no")).union(pairs.select("y")).distinct().join(
             classes, "no").select("no", "first.*"), "asked")
-        held = spark.sparkContext.broadcast((_filter(asked), levels))
-        spelt = texts.mapInArrow(_asked_words(held), "doc_id long, sig long, line_no int, words array<long>").alias("s")
-        words = stage(asked.alias("q").join(spelt, F.col("s.doc_id").eqNullSafe(F.col("q.doc_id"))
-                                            & (F.col("s.sig") == F.col("q.sig")) & (F.col("s.line_no") == F.col("q.line_no")))
-                      .select("q.no", "s.words").dropDuplicates(["no"]), "words")
+        words = stage(_words_of(asked, texts, levels), "words")
         sure = _verified(pairs, words)
         found = stage(sure if found is None else found.union(sure), "sure")
     return lines.select("doc_id", "sig", "line_no", "cls"), classes, found
