@@ -15,8 +15,8 @@ BROADCAST_NUMBERS = 8_000_000
 #: Lines to be verified up to which their places are sent to all executors; beyond, as above.
 BROADCAST_PLACES = 2_000_000
 #: In the first round a line meets so many of the earliest lines that share one of so many rarest
-#: words and have as many words; in the second, lines that are left meet all.
-EARLIEST, RAREST = 4, 3
+#: words and are of one size class (powers of e ** 0.2); in the second, lines that are left meet all.
+EARLIEST, RAREST = 4, 8
 #: Words up to which a line's parity has 64 bits; beyond, 128.
 NARROW = 60
 #: Smaller sets are similar to no other set.
@@ -116,14 +116,14 @@ def _with_all(sets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _with_earliest(sets: DataFrame) -> DataFrame:
-    """Of the four earliest lines of each of its rarest words that have as many words, the earliest one
-    that each line may be similar to. Three words do for this round: similar lines share most, and
+    """Of the four earliest lines of each of its eight rarest words and of its size class, the earliest
+    one that each line may be similar to. These words do for this round: similar lines share most, and
     what it misses the next one finds. Both sides come from one exchange."""
     dealt = _index(sets, F.slice("prefix", 1, RAREST), F.lit(1).alias("open")).withColumn(
-        "n", F.shiftright("at", 33)).repartition("key", "n")
-    order = Window.partitionBy("key", "n").orderBy("no")
+        "size", F.floor(F.log(F.shiftright("at", 33)) * 5)).repartition("key", "size")
+    order = Window.partitionBy("key", "size").orderBy("no")
     first = dealt.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= EARLIEST).drop("turn")
-    return _met(dealt, first, "key", "n").groupBy("x").agg(F.min("y").alias("y"))
+    return _met(dealt, first, "key", "size").groupBy("x").agg(F.min("y").alias("y"))
 
 
 def _numbered(classes: DataFrame) -> DataFrame:
